@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, langid, tokenstore
+from . import bpe, decontam, langid, linededup, secretscan, tokenstore
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,9 +31,73 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary()).drop("text")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_gone", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secretscan.report(docs, secretscan.scan_unseen(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT DISTINCT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS h FROM documents),
+b AS (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS h FROM benchmark),
+dp AS (SELECT doc_id, h, unnest(range(1, len(h) - 6)) AS i FROM d),
+bp AS (SELECT item_id, h, unnest(range(1, len(h) - 6)) AS i FROM b),
+ds AS (SELECT doc_id, i, 0 AS m, concat_ws(' ', h[i], h[i+1], h[i+2], h[i+4], h[i+5], h[i+7]) AS s FROM dp
+       UNION ALL SELECT doc_id, i, 1, concat_ws(' ', h[i], h[i+2], h[i+3], h[i+4], h[i+6], h[i+7]) FROM dp),
+bs AS (SELECT item_id, i, 0 AS m, concat_ws(' ', h[i], h[i+1], h[i+2], h[i+4], h[i+5], h[i+7]) AS s FROM bp
+       UNION ALL SELECT item_id, i, 1, concat_ws(' ', h[i], h[i+2], h[i+3], h[i+4], h[i+6], h[i+7]) FROM bp),
+hits AS (SELECT DISTINCT ds.doc_id, bs.item_id, ds.i - bs.i AS diag FROM ds JOIN bs USING (m, s)),
+cells AS (SELECT doc_id, item_id, diag, k, CASE WHEN dh[k + diag] = bh[k] THEN 1 ELSE -1 END AS v, len(bh) AS n
+          FROM (SELECT hits.*, d.h AS dh, b.h AS bh, unnest(range(greatest(1, 1 - diag), least(len(b.h), len(d.h) - diag) + 1)) AS k
+                FROM hits JOIN d USING (doc_id) JOIN b USING (item_id))),
+sums AS (SELECT *, sum(v) OVER (PARTITION BY doc_id, item_id, diag ORDER BY k) AS p FROM cells),
+best AS (SELECT doc_id, item_id, n, p - least(0, coalesce(min(p) OVER (PARTITION BY doc_id, item_id, diag ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS score FROM sums)
+SELECT doc_id, item_id, CAST(max(score) AS BIGINT) AS score, CAST(max(n) AS BIGINT) AS item_tokens
+FROM best GROUP BY doc_id, item_id HAVING max(score) >= least(12, greatest(8, ceil(max(n) * 0.6)))
+"""
+
+OP9_SQL = """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS ln, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+f AS (SELECT doc_id, i, trim(ln) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM l WHERE trim(ln) <> ''),
+w AS (SELECT a.doc_id, a.i AS i1, b.i AS i2, false AS whole, a.t || chr(10) || b.t AS content FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.r = a.r + 1 WHERE length(a.t) + length(b.t) >= 50
+      UNION ALL SELECT doc_id, i, i, true, t FROM f WHERE n = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY whole, content ORDER BY doc_id, i1) AS nth FROM w),
+g AS (SELECT doc_id, i1 AS i FROM o WHERE nth > 1 UNION SELECT doc_id, i2 FROM o WHERE nth > 1)
+SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_gone, sha256(coalesce(string_agg(l.ln, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id
+"""
+
+OP10_SQL = r"""
+WITH m AS (
+  SELECT doc_id, 'assign' AS kind, 0 AS o, 12 AS least_len, string_split_regex(t, '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+') AS gaps,
+    regexp_extract_all(t, '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0) AS hits, regexp_extract_all(t, '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) AS vals
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+  UNION ALL
+  SELECT doc_id, 'access', 1, 18, string_split_regex(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0), regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0) FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+  UNION ALL
+  SELECT doc_id, 'hex', 2, 16, string_split_regex(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+', 0), regexp_extract_all(t, '[0-9a-f]+', 0) FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+h AS (SELECT doc_id, kind, o, least_len, unnest(hits) AS hit, unnest(vals) AS val, unnest(gaps[1:len(hits)]) AS gap, unnest(range(1, len(hits) + 1)) AS n FROM m),
+p AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY n) AS e FROM h),
+s AS (SELECT doc_id, kind, count(*) AS c, list({'a': e - length(hit), 'o': o, 'x': kind || ':' || CAST(e - length(hit) AS VARCHAR) || ':' || CAST(e AS VARCHAR)}) AS x FROM p WHERE length(val) >= least_len GROUP BY doc_id, kind),
+r AS (SELECT doc_id, sum(c) FILTER (WHERE kind = 'assign') AS n_assign, sum(c) FILTER (WHERE kind = 'access') AS n_access, sum(c) FILTER (WHERE kind = 'hex') AS n_hex,
+  array_to_string(list_transform(list_sort(flatten(list(x))), lambda y: y.x), ',') AS spans FROM s GROUP BY doc_id)
+SELECT documents.doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
+  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN r USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op3_token_files, op5_bpe)}
+    return {f.__name__: f for f in (op1_language_id, op3_token_files, op4_decontamination, op5_bpe, op9_line_dedup, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontamination": OP4_SQL, "op9_line_dedup": OP9_SQL, "op10_secret_scan": OP10_SQL}
