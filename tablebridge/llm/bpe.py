@@ -7,7 +7,7 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -16,36 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-# White space as the tokenizer's patterns have it: str.split() also cuts at the four separators below.
-SPLIT = re.compile("[\t-\r \x85\xa0  -     　]+")
-SEPARATORS = re.compile("[\x1c-\x1f]")
-
-
-def chunks(text: str | None) -> list[str]:
-    """The text's runs without white space."""
-    if not text:
-        return []
-    return [x for x in SPLIT.split(text) if x] if SEPARATORS.search(text) else text.split()
-
-
-class Memo(dict):
-    """Bounded cache of a function: two generations of at most ``size`` entries each."""
-
-    def __init__(self, of: Callable, size: int = 150_000) -> None:
-        super().__init__()
-        self.of, self.size, self.old = of, size, {}
-
-    def __missing__(self, key: str):
-        value = self.old.get(key)
-        if value is None:
-            value = self.of(key)
-        if len(key) <= 64:
-            if len(self) >= self.size:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
-
+from .textids import TextIds, gather
 
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
@@ -61,7 +32,7 @@ class Bpe:
     space dropped. Special tokens in a text are kept whole.
     """
 
-    def __init__(self, path: str, cache: int = 150_000) -> None:
+    def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -81,8 +52,10 @@ class Bpe:
         self.pieces = regex.compile(pattern)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.letters = byte_letters()
-        self.word_memo = Memo(self._word, cache)
-        self.memo = Memo(self._chunk, cache)
+        self.texts = TextIds(self._words, self._words)
+        names = [(" " + x).encode() for x in self.names]
+        self.name_bytes = np.frombuffer(b"".join(names), np.uint8)
+        self.name_ends = np.cumsum([0, *map(len, names)])
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Apply merges, lowest rank first and leftmost among equals, until none is left.
@@ -111,37 +84,40 @@ class Bpe:
                 heapq.heappush(queue, (m[0], h, sym[h], new, m[1]))
         return [x for x in sym if x >= 0]
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> list[int]:
         letters = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
         letters[-1] += self.end
-        return tuple(self.merge([self.vocab[x] for x in letters]))
-
-    def _plain(self, text: str) -> list[int]:
-        if not text.isascii():
-            text = "".join([c.lower() for c in unicodedata.normalize("NFC", text)])
-        else:
-            text = text.lower()
-        return [x for w in self.pieces.findall(text) for x in self.word_memo[w]]
+        return self.merge([self.vocab[x] for x in letters])
 
-    def _chunk(self, chunk: str) -> bytes:
-        parts = self.cut.split(chunk) if self.cut else [chunk]
+    def _run(self, run: str) -> list[int]:
+        """Ids of a run without white space."""
         ids: list[int] = []
-        for k, part in enumerate(parts):
-            if part:
-                ids.extend([self.special[part]] if k % 2 else self._plain(part))
-        return np.array(ids, "<u4").tobytes()
-
-    def encode_bytes(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers; none for null."""
-        return b"".join(map(self.memo.__getitem__, chunks(text)))
+        for k, part in enumerate(self.cut.split(run) if self.cut else [run]):
+            if k % 2:
+                ids.append(self.special[part])
+            elif part:
+                lower = part.lower() if part.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", part)])
+                for word in self.pieces.findall(lower):
+                    ids += self._word(word)
+        return ids
+
+    def _words(self, runs: list[str]) -> tuple[np.ndarray, list[int]]:
+        ids = [self._run(r) for r in runs]
+        return np.array([i for x in ids for i in x], np.uint32), [len(x) for x in ids]
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
+        return self.texts.encode(pa.array([text], pa.string()))[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
-        """Vocabulary strings in a row; without a decoder in the file a blank stands between them, ids beyond the vocabulary vanish."""
-        names = self.names
-        return " ".join([names[i] for i in ids if i < len(names)])
+        """Vocabulary strings in a row; without a decoder in the file a blank stands between them."""
+        return " ".join([self.names[i] for i in ids if i < len(self.names)])
+
+    def decode_many(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """UTF-8 of decode() for each stretch of ids."""
+        raw, at = gather(self.name_bytes, self.name_ends, ids)
+        cut = at[ends].tolist()
+        raw = raw.tobytes()
+        return [raw[a + 1 : b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 @lru_cache(2)
@@ -163,21 +139,21 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", texts: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for b in batches:
-            n, a, d, ids, out = [], [], [], [], []
-            for t in b.column(text).to_pylist():
-                raw = bpe.encode_bytes(t)
-                one = np.frombuffer(raw, "<u4").tolist()
-                back = bpe.decode(one)
-                n.append(len(one))
-                a.append(hashlib.sha256(raw).hexdigest())
-                d.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
+        for whole in batches:
+            for k in range(0, whole.num_rows, 2000):
+                b = whole.slice(k, 2000)
+                ids, ends = bpe.texts.encode(b.column(text))
+                raw, cut = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+                back = bpe.decode_many(ids, ends)
+                cols = [
+                    pa.array(np.diff(ends)),
+                    pa.array([hashlib.sha256(raw[x:y]).hexdigest() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.string()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string()),
+                ]
                 if texts:
-                    ids.append(one)
-                    out.append(back)
-            cols = [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), *([pa.array(ids, pa.list_(pa.int32())), pa.array(out, pa.string())] if texts else [])]
-            for name, col in zip(new, cols, strict=True):
-                b = b.append_column(name, col)
-            yield b
+                    cols += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32))), pa.array([x.decode() for x in back], pa.string())]
+                for name, col in zip(new, cols, strict=True):
+                    b = b.append_column(name, col)
+                yield b
 
     return docs.mapInArrow(run, schema)

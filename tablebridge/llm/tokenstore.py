@@ -9,6 +9,7 @@ low bits of each value packed, the high parts in unary as a bit string of at mos
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Memo, chunks
+from .textids import TextIds
 from .common import materialise, shared_dir
 
 MAGIC = b"TBRIDGE1"
@@ -126,25 +127,31 @@ class Shard:
 
 
 @lru_cache(2)
-def _encoder(path: str) -> Memo:
+def library_encoder(path: str) -> TextIds:
+    """Ids of the tokenizers library for whole texts; vocabularies that keep white space get whole texts, not words."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-    pieces = Memo(lambda x: np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes())
-    if t.normalizer is None or "Lowercase" not in repr(t.normalizer) or "\\\\s" not in repr(t.pre_tokenizer):
-        return pieces  # a vocabulary that keeps white space: whole texts, not pieces
+    spec = json.loads(t.to_str())
+    if not (spec["model"].get("end_of_word_suffix") == "</w>" and "Lowercase" in repr(t.normalizer) and "invert" in json.dumps(spec["pre_tokenizer"])):
+        raise ValueError("not a vocabulary of lower-cased words with word ends")
+    ends = np.zeros(t.get_vocab_size() + 1, bool)
+    for token, i in t.get_vocab(with_added_tokens=False).items():
+        ends[i] = token.endswith("</w>")
 
-    def chunk(x: str) -> bytes:
-        return pieces[x.lower()] if x.isascii() and x.isalpha() else pieces[x]
+    def odd(texts: list[str]) -> tuple[np.ndarray, list[int]]:
+        ids = [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], np.uint32), [len(x) for x in ids]
 
-    return Memo(chunk)
+    def plain(words: list[str]) -> tuple[np.ndarray, list[int]]:
+        """Many words at a time; each has one word-end token, which tells them apart again."""
+        ids = np.array(t.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        at = np.flatnonzero(ends[ids]) + 1
+        return (ids, np.diff(at, prepend=0).tolist()) if len(at) == len(words) and at[-1] == len(ids) else odd(words)
 
-
-def encode_ids(path: str, text: str | None) -> bytes:
-    """Ids of the tokenizers library. White space always ends a token, so that each run between is encoded once and kept."""
-    return b"".join(map(_encoder(path).__getitem__, chunks(text)))
+    return TextIds(plain, odd)
 
 
 def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 1, shard_ids: int = 8_000_000, partitions: int | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -166,11 +173,10 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 1, shard_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         store, root = fs.FileSystem.from_uri(out) if "://" in out or out.startswith("file:") else (fs.LocalFileSystem(), out)
-        end = np.array([end_id], "<u4").tobytes()
         keys, lengths, pieces, held, seq = [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(pieces), "<u4")
+            ids = np.concatenate(pieces)
             name = f"ids-{part:05d}-{seq:05d}.bin"
             store.create_dir(root, recursive=True)
             with store.open_output_stream(tmp := f"{root}/.{name}.{uuid.uuid4().hex}") as f:
@@ -179,12 +185,13 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 1, shard_id
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "file": [name], "n_docs": [len(keys)], "n_ids": [len(ids)]})
 
         for b in batches:
-            for k, t in zip(b.column("k").to_pylist(), b.column("t").to_pylist(), strict=True):
-                raw = encode_ids(path, t) + end
-                keys.append(k)
-                lengths.append(len(raw) // 4)
-                pieces.append(raw)
-                held += len(raw) // 4
+            for k in range(0, b.num_rows, 2000):
+                some = b.slice(k, 2000)
+                ids, ends = library_encoder(path).encode(some.column("t"), end_id)
+                keys += some.column("k").to_pylist()
+                lengths += np.diff(ends).tolist()
+                pieces.append(ids)
+                held += len(ids)
                 if held >= shard_ids:
                     yield flush()
                     keys, lengths, pieces, held, seq = [], [], [], 0, seq + 1
