@@ -127,3 +127,28 @@ def local_spanning(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np
 
 def crc_fold(col: Column, folds: int) -> Column:
     return F.crc32(col.cast("string")) % folds
+
+
+def sorted_groups(batches, key: str):
+    """Slices of record batches with equal values in the long column ``key``, by which the rows are sorted."""
+    import pyarrow as pa
+
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held is not None:
+            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        k = b.column(key).to_numpy()
+        cut = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist()]
+        for x, y in zip(cut[:-1], cut[1:], strict=True):
+            yield b.slice(x, y - x)
+        held = b.slice(cut[-1])
+    if held is not None:
+        yield held
+
+
+def by_group(df: DataFrame, key: str, run, schema: str) -> DataFrame:
+    """Send groups of ``key`` to ``run``, which takes an iterator of groups and yields record batches."""
+    spread = df.repartition(key).sortWithinPartitions(key)
+    return spread.mapInArrow(lambda batches: run(sorted_groups(batches, key)), schema)

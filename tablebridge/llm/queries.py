@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, linededup, secretscan, tokenstore
+from . import bpe, decontam, langid, linededup, ngramjoin, secretscan, tokenstore
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_gone", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -96,7 +100,7 @@ SELECT documents.doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op3_token_files, op4_decontamination, op5_bpe, op9_line_dedup, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_language_id, op3_token_files, op4_decontamination, op5_bpe, op8_ngram_join, op9_line_dedup, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
