@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, linededup, ngramjoin, secretscan, tokenstore
+from . import ann, bpe, decontam, langid, licenses, linededup, ngramjoin, paradedup, secretscan, tokenstore
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,18 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paradedup.repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.join_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links")
 
@@ -100,7 +112,9 @@ SELECT documents.doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op3_token_files, op4_decontamination, op5_bpe, op8_ngram_join, op9_line_dedup, op10_secret_scan)}
+    return {f.__name__: f for f in (
+        op1_language_id, op2_paragraph_dedup, op3_token_files, op4_decontamination, op5_bpe, op6_license_scan, op7_nearest, op8_ngram_join, op9_line_dedup, op10_secret_scan,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
