@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from .textids import TextIds, gather
 
@@ -135,7 +135,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", texts: bool =
     docs = docs.drop(*new)
     schema = StructType(docs.schema.fields[:]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if texts:
-        schema = schema.add("ids", "array<int>").add("decoded", "string")
+        schema = schema.add("ids", ArrayType(IntegerType())).add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)

@@ -54,11 +54,11 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND)
     """Banded alignment of a template with a stretch of text: (matched words, first and last matched place or -1).
 
     Cell (i, d) aligns i template words with the text up to place i + shift + d - band; leaving out a word on either
-    side is free, so the count is the longest common subsequence inside the band.
+    side is free, so the count is the longest common subsequence inside the band. Of equal counts the one that begins last is
+    kept, and at the end the shortest stretch, so that a match does not reach into its neighbour.
     """
-    width = 2 * band + 1
-    best = np.zeros(width, np.int64)
-    head = np.full(width, -1, np.int64)
+    width, big = 2 * band + 1, 1 << 32
+    best = np.full(width, -1, np.int64)  # matched * big + first place; -1 without a match
     tail = np.full(width, -1, np.int64)
     for i, w in enumerate(template):
         at = np.arange(width) + i + shift - band
@@ -66,16 +66,19 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND)
         hit = np.zeros(width, bool)
         hit[ok] = text[at[ok]] == w
         # skip the template word: the same text place was one cell further in the row before
-        up, up_h, up_t = np.append(best[1:], 0), np.append(head[1:], -1), np.append(tail[1:], -1)
-        take = hit & (best + 1 >= up)
-        head = np.where(take, np.where(head >= 0, head, at), up_h)
-        tail = np.where(take, at, up_t)
-        best = np.where(take, best + 1, up)
+        up, up_tail = np.append(best[1:], -1), np.append(tail[1:], -1)
+        with_hit = np.where(best >= 0, best + big, big + at)
+        take = hit & (with_hit >= up)
+        best, tail = np.where(take, with_hit, up), np.where(take, at, up_tail)
         for d in range(1, width):  # skip a text word
             if best[d - 1] > best[d]:
-                best[d], head[d], tail[d] = best[d - 1], head[d - 1], tail[d - 1]
-    d = int(np.argmax(best))
-    return int(best[d]), int(head[d]), int(tail[d])
+                best[d], tail[d] = best[d - 1], tail[d - 1]
+    if best.max() < 0:
+        return 0, -1, -1
+    matched, head = best // big, best % big
+    ends = np.flatnonzero(matched == matched.max())
+    d = ends[np.argmin(tail[ends] - head[ends])]
+    return int(matched[d]), int(head[d]), int(tail[d])
 
 
 class Index:
