@@ -55,7 +55,7 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND)
 
     Cell (i, d) aligns i template words with the text up to place i + shift + d - band; leaving out a word on either
     side is free, so the count is the longest common subsequence inside the band. Of equal counts the one that begins last is
-    kept, and at the end the shortest stretch, so that a match does not reach into its neighbour.
+    kept, and at the end the shortest stretch next to the shift, so that a match does not reach into its neighbour.
     """
     width, big = 2 * band + 1, 1 << 32
     best = np.full(width, -1, np.int64)  # matched * big + first place; -1 without a match
@@ -77,7 +77,7 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND)
         return 0, -1, -1
     matched, head = best // big, best % big
     ends = np.flatnonzero(matched == matched.max())
-    d = ends[np.argmin(tail[ends] - head[ends])]
+    d = ends[np.lexsort((np.abs(head[ends] - shift), tail[ends] - head[ends]))[0]]
     return int(matched[d]), int(head[d]), int(tail[d])
 
 
