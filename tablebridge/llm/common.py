@@ -125,6 +125,32 @@ def local_spanning(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np
     return m, root[m]
 
 
+def spanning_pairs(hit: np.ndarray, rows: np.ndarray, cols: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """local_spanning() from a boolean matrix over rows x cols of m nodes: each node's row and column are read once, no edge list is made."""
+    at_r, at_c = np.full(m, -1), np.full(m, -1)
+    at_r[rows], at_c[cols] = np.arange(len(rows)), np.arange(len(cols))
+    new = np.ones(m, bool)
+    member, root = [], []
+    for start in range(m):
+        if not new[start]:
+            continue
+        new[start] = False
+        todo = [start]
+        while todo:
+            x = todo.pop()
+            near = np.zeros(m, bool)
+            if at_r[x] >= 0:
+                near[cols] = hit[at_r[x]]
+            if at_c[x] >= 0:
+                near[rows] |= hit[:, at_c[x]]
+            found = np.flatnonzero(near & new).tolist()
+            new[found] = False
+            todo += found
+            member += found
+            root += [start] * len(found)
+    return np.array(member, np.int64), np.array(root, np.int64)
+
+
 def crc_fold(col: Column, folds: int) -> Column:
     return F.crc32(col.cast("string")) % folds
 

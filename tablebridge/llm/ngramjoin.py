@@ -11,14 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, components, local_spanning, materialise, mix64, word_shingles
+from .common import by_group, components, local_spanning, materialise, mix64, spanning_pairs, word_shingles
 
 GRAM = 5
 LEAST = 0.8
 TREES = 16
 DEEPEST = 8
 TARGET = 0.999
-BLOCK = 2048
+BLOCK = 1024
 
 
 def recall(similarity: float, depth: int, trees: int = TREES) -> float:
@@ -152,7 +152,6 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
 
 def common_counts(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of sets[rows] with sets[columns], by products of incidence matrices."""
-    at = {int(r): i for i, r in enumerate(rows)}
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, code, df = np.unique(flat, return_inverse=True, return_counts=True)
@@ -163,11 +162,10 @@ def common_counts(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray)
     out = np.zeros((len(rows), len(columns)), np.float32)
     where_r, where_c = np.full(len(sets), -1), np.full(len(sets), -1)
     where_r[rows], where_c[columns] = np.arange(len(rows)), np.arange(len(columns))
-    assert len(at) == len(rows)
     if not len(code):
         return out
     _, dense = np.unique(code, return_inverse=True)
-    width = 4096
+    width = 2048
     for lo in range(0, int(dense[-1]) + 1, width):
         x, y = np.searchsorted(dense, [lo, lo + width])
         o, c = owner[x:y], dense[x:y] - lo
@@ -226,8 +224,7 @@ def verified(sets: DataFrame, least: float = LEAST) -> DataFrame:
             else:
                 links = np.concatenate([hit @ copies[cols], hit.T @ copies[rows]])
                 named = np.concatenate([sid[rows], sid[cols]])
-            a, b = np.nonzero(hit)
-            x, y = local_spanning(g.num_rows, rows[a], cols[b])
+            x, y = spanning_pairs(hit, rows, cols, g.num_rows)
             some = links > 0
             yield pa.RecordBatch.from_pydict({
                 "sid": np.concatenate([named[some], sid[x]]), "other": pa.array([None] * int(some.sum()) + sid[y].tolist(), pa.int64()), "links": np.concatenate([links[some], np.zeros(len(x), links.dtype)]).astype(np.int64),
