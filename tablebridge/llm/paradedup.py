@@ -69,7 +69,8 @@ def _seeds() -> np.ndarray:
 
 
 def _row_key(key: str, text: str):
-    return F.md5(F.concat_ws("\x00", F.col(key).cast("string"), F.length(text).cast("string"), F.col(text)))
+    """With the key itself it names a row: eight bytes, since it stands in every paragraph."""
+    return F.xxhash64(F.col(key).cast("string"), F.col(text))
 
 
 def _shingled(texts: list[str | None]) -> tuple[list[list[tuple[int, int, list[str]]]], np.ndarray, np.ndarray]:
@@ -113,7 +114,7 @@ def units(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
                     names=names,
                 )
 
-    return rows.mapInArrow(run, "doc_id long, rk string, u int, start int, end int, words int, sid long, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, rk long, u int, start int, end int, words int, sid long, bands array<long>")
 
 
 def _stars(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,8 +146,10 @@ def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", run_words
     stars = by_group(entries.select("sid", F.explode("bands").alias("band")), "band", _stars, "src long, dst long").distinct()
     near = components(stars).select(F.col("node").alias("sid"), F.col("component").alias("comp"))
     chosen = entries.select("sid", "copies", "first").join(near, "sid")
-    wanted = chosen.groupBy(F.col("first.rk").alias("rk")).agg(F.collect_list(F.struct(F.col("first.u").alias("u"), "sid", "copies", "comp")).alias("want"))
-    texts = wanted.join(docs.select(_row_key(key, text).alias("rk"), F.col(text).alias("t")), "rk").dropDuplicates(["rk"]).select("t", "want")
+    wanted = chosen.groupBy(F.col("first.doc_id").alias("_d"), F.col("first.rk").alias("_k")).agg(F.collect_list(F.struct(F.col("first.u").alias("u"), "sid", "copies", "comp")).alias("want"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), _row_key(key, text).alias("rk"), F.col(text).alias("t"))
+    same = (F.col("rk") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+    texts = wanted.join(rows, same).dropDuplicates(["doc_id", "rk"]).select("t", "want")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
