@@ -1,4 +1,4 @@
 """Registered queries with their SQL."""
 
-from . import changes, jobs, scans  # noqa: F401  they register themselves
+from . import changes, checks, jobs, scans  # noqa: F401  they register themselves
 from .registry import QUERIES, SQL  # noqa: F401

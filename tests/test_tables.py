@@ -139,3 +139,29 @@ def test_exclusion_errors(spark):
     v = lambda *x: spark.createDataFrame([(y,) for y in x], "table_name string")
     got = {tuple(r) for r in jobs.exclusions(v("a", "b"), v("b"), v("b", "b", "a", "z")).collect()}
     assert got == {("a", "effective"), ("a", "not_missing"), ("b", "excluded"), ("b", "duplicate"), ("z", "out_of_scope")}
+
+
+def test_console_execute(spark, tmp_path):
+    from tablebridge.operators import console
+
+    audit = f"file://{tmp_path}/audit"
+    r = console.execute(spark, "select id, cast('é' as binary) b from range(10) order by id", "u", audit, most=3)
+    assert (len(r.rows), r.truncated, r.rows[0]) == (3, True, ("0", "base64:w6k="))
+    for bad in ("drop table x", "select 1; select 2", "select nothing from nowhere"):
+        with pytest.raises(Exception):
+            console.execute(spark, bad, "u", audit)
+    assert sorted((x.status, x.level) for x in spark.read.parquet(audit).collect()) == [("failed", "readonly"), ("ok", "readonly"), ("rejected", "dangerous"), ("rejected", "rejected")]
+
+
+def test_reports_and_settings(spark):
+    from tablebridge.operators import checks
+    from tablebridge.sources import files
+
+    items = spark.createDataFrame([("data", "a", True, ""), ("data", "b", False, "x")], "category string, name string, ok boolean, error string")
+    counts = spark.createDataFrame([("a", 2, 2, True), ("b", 5, 1, False)], "table_name string, src_rows int, dst_rows int, matches boolean")
+    text = checks.report_markdown(checks.report_json(copy.report(items), counts))
+    assert "| data | 2 | 1 | 1 |" in text and "| b | 5 | 1 | -4 |" in text and text.endswith("- failed data: b")
+    assert checks.retention_warning(72 * 3600 - 1) and not checks.retention_warning(72 * 3600) and not checks.retention_warning(None) and not checks.retention_warning(0)
+    assert files.configuration({"rows": 5, "on": False}, '{"rows": 7}', {"TABLEBRIDGE_ON": "true", "TABLEBRIDGE_ROWS": "9"}) == {"rows": 9, "on": True}
+    with pytest.raises(ValueError):
+        files.configuration({}, '{"x": 1}', {})
