@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablebridge.llm import bpe, decontam, langid, linededup, ngramjoin
-from tablebridge.llm.common import crc_fold, shared_dir, table
+from tablebridge.llm.common import crc_fold, mark, release, shared_dir, table
 from tablebridge.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -55,6 +55,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
+        before = mark()
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
+        release(spark, before)  # the stage's own tables; its result is written
         docs = spark.read.parquet(f"{at}/{k}")
     return docs

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textids import TextIds
-from .common import materialise, shared_dir
+from .common import fresh, materialise
 
 MAGIC = b"TBRIDGE1"
 HEAD = struct.Struct("<8s10q")
@@ -227,5 +227,5 @@ def read_tokens(manifest: DataFrame, out: str, ids: bool = False) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, **kw: int) -> DataFrame:
     """Write all texts to a fresh folder in the shared one and read them back."""
-    out = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    out = fresh(docs.sparkSession, "tokens")
     return read_tokens(write_tokens(docs, path, out, **kw), out)
