@@ -16,6 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
+from .common import text_slices
 from .textids import TextIds, gather
 
 def byte_letters() -> list[str]:
@@ -140,8 +141,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", texts: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for whole in batches:
-            for k in range(0, whole.num_rows, 2000):
-                b = whole.slice(k, 2000)
+            for b in text_slices(whole, text):
                 ids, ends = bpe.texts.encode(b.column(text))
                 raw, cut = ids.astype("<u4").tobytes(), (4 * ends).tolist()
                 back = bpe.decode_many(ids, ends)

@@ -199,6 +199,19 @@ def sorted_groups(batches, key: str):
         yield held
 
 
+def text_slices(batch, column: str, most: int = 2_000_000):
+    """Slices of a record batch with about ``most`` bytes of text each, so that long texts in a row don't add up in memory."""
+    import pyarrow.compute as pc
+
+    if not batch.num_rows:
+        return
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False) + 1000
+    part = np.cumsum(size) // most
+    cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def by_group(df: DataFrame, key: str, run, schema: str) -> DataFrame:
     """Send groups of ``key`` to ``run``, which takes an iterator of groups and yields record batches."""
     spread = df.repartition(key).sortWithinPartitions(key)

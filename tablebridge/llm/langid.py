@@ -108,7 +108,7 @@ def learn_profiles(docs: DataFrame, per_lang: int = 3000, text: str = "text", la
             for t, k in zip(b.column("t").to_pylist(), b.column("l").to_pylist(), strict=True):
                 held.setdefault(k, []).append(c := char_grams(t))
                 size += len(c)
-                if size > 8_000_000:
+                if size > 2_000_000:
                     yield from flush()
                     size = 0
         yield from flush()

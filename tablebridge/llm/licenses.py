@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, hash_words
+from .common import gram_hashes, hash_words, text_slices
 
 # Widely used notices, as their owners publish them.
 TEMPLATES = {
@@ -148,8 +148,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(found.value)
         for whole in batches:
-            for k in range(0, whole.num_rows, 2000):
-                b = whole.slice(k, 2000)
+            for b in text_slices(whole, "t"):
                 some = b.take(pa.array(index.candidates(b.column("t"))))
                 hits = [(d, *x) for d, t in zip(some.column("doc_id").to_pylist(), some.column("t").to_pylist(), strict=True) for x in index.scan(t, least)]
                 if hits:

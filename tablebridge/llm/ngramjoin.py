@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, components, local_spanning, materialise, mix64, spanning_pairs, word_shingles
+from .common import by_group, components, local_spanning, materialise, mix64, spanning_pairs, text_slices, word_shingles
 
 GRAM = 5
 LEAST = 0.8
@@ -62,8 +62,7 @@ def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                b = whole.slice(k, 1000)
+            for b in text_slices(whole, "t"):
                 sid, n, sig, labels = [], [], [], []
                 for t in b.column("t").to_pylist():
                     s = word_shingles(t, GRAM)
@@ -250,8 +249,7 @@ def join_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                b = whole.slice(k, 1000)
+            for b in text_slices(whole, "t"):
                 s = pa.array([word_shingles(t, GRAM).tobytes() for t in b.column("t").to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(c) for c in ("sid", "n", "copies", "comp")] + [s], names=["sid", "n", "copies", "comp", "s"])
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, components, gram_hashes, hash_words, materialise, mix64
+from .common import by_group, components, gram_hashes, hash_words, materialise, mix64, text_slices
 from .ngramjoin import verified
 
 GRAM = 5
@@ -96,8 +96,7 @@ def units(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = _seeds()
         for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                b = whole.slice(k, 500)
+            for b in text_slices(whole, "t"):
                 found, grams, first = _shingled(b.column("t").to_pylist())
                 if not len(first):
                     continue
@@ -153,9 +152,9 @@ def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", run_words
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 500):
+            for b in text_slices(whole, "t"):
                 rows = []
-                for t, want in zip(*(whole.slice(k, 500).column(c).to_pylist() for c in ("t", "want")), strict=True):
+                for t, want in zip(*(b.column(c).to_pylist() for c in ("t", "want")), strict=True):
                     ps = paragraphs(t)
                     for w in want:
                         s = np.unique(gram_hashes(hash_words(ps[w["u"]][2]), GRAM))

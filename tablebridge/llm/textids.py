@@ -35,7 +35,7 @@ class TextIds:
     are cached, at most ``size`` of them; each worker builds its own cache, and it is emptied when full.
     """
 
-    def __init__(self, plain: Callable[[list[str]], tuple[np.ndarray, list[int]]], odd: Callable[[list[str]], tuple[np.ndarray, list[int]]], size: int = 800_000) -> None:
+    def __init__(self, plain: Callable[[list[str]], tuple[np.ndarray, list[int]]], odd: Callable[[list[str]], tuple[np.ndarray, list[int]]], size: int = 400_000) -> None:
         self.plain, self.odd, self.size = plain, odd, size
         self.clear()
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textids import TextIds
-from .common import fresh, materialise
+from .common import fresh, materialise, text_slices
 
 MAGIC = b"TBRIDGE1"
 HEAD = struct.Struct("<8s10q")
@@ -185,8 +185,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 1, shard_id
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "file": [name], "n_docs": [len(keys)], "n_ids": [len(ids)]})
 
         for b in batches:
-            for k in range(0, b.num_rows, 2000):
-                some = b.slice(k, 2000)
+            for some in text_slices(b, "t"):
                 ids, ends = library_encoder(path).encode(some.column("t"), end_id)
                 keys += some.column("k").to_pylist()
                 lengths += np.diff(ends).tolist()
