@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, components, gram_hashes, hash_words, materialise, mix64, text_slices
+from .common import WORD, by_group, components, gram_hashes, hash_words, materialise, mix64, text_slices
 from .ngramjoin import verified
 
 GRAM = 5
@@ -20,8 +20,10 @@ BANDS = 5
 ROWS = 2
 PARA_WORDS = 8
 RUN_WORDS = 25
-STOP = re.compile(r"[.!?…。！？]")
-TOKEN = re.compile(r"\w+|[.!?…。！？]+|\n")
+LONG_WORDS = 28
+REACH = 6
+STOPS = frozenset(".!?…。！？")
+SENTENCE = re.compile(r"[^\n.!?…。！？]*[.!?…。！？]+|[^\n.!?…。！？]+|\n")
 
 
 def recall(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
@@ -29,41 +31,75 @@ def recall(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
     return 1 - (1 - similarity**rows) ** bands
 
 
-def paragraphs(text: str | None) -> list[tuple[int, int, list[str]]]:
-    """Paragraphs (start, end, words) of a text.
-
-    A line is one, and a line of several sentences is cut after each sentence of PARA_WORDS words or more, a rule
-    that depends on nothing before the sentence: a passage copied into the middle of other text has the same cuts inside.
-    Shorter sentences belong to the next. Paragraphs under PARA_WORDS words are left out.
-    """
-    out, held, sentence, start, end = [], [], 0, -1, 0
-
-    def close() -> None:
-        nonlocal held, start
+def _sentences(text: str | None) -> list[tuple[int, int, list[str]]]:
+    """Rows of sentences (start, end, words) up to one of PARA_WORDS words or a line's end."""
+    out, held, start, end = [], [], -1, 0
+    for m in SENTENCE.finditer(text or ""):
+        s = m.group()
+        if s != "\n":
+            low = s.lower()
+            words = WORD.findall(low) if len(low) == len(s) else [w.lower() for w in WORD.findall(s)]
+            if words:
+                if start < 0:
+                    start = m.end() - len(s.lstrip())
+                end = m.end()
+                held += words
+                if len(words) < PARA_WORDS or s[-1] not in STOPS:
+                    continue
+            else:
+                continue
         if len(held) >= PARA_WORDS:
             out.append((start, end, held))
         held, start = [], -1
-
-    for m in TOKEN.finditer(text or ""):
-        w = m.group()
-        if w == "\n":
-            close()
-            sentence = 0
-        elif STOP.match(w):
-            end = m.end()
-            if sentence >= PARA_WORDS:
-                close()
-            sentence = 0
-        else:
-            if start < 0:
-                start = m.start()
-            end = m.end()
-            held.append(w.lower())
-            sentence += 1
-    close()
+    if len(held) >= PARA_WORDS:
+        out.append((start, end, held))
     return out
 
 
+def _least_near(h: np.ndarray) -> np.ndarray:
+    """Which values are the least within REACH places on both sides."""
+    width = 2 * REACH + 1
+    low = np.pad(h, REACH, constant_values=np.uint64(2**64 - 1))
+    step = 1
+    while 2 * step <= width:
+        low, step = np.minimum(low[:-step], low[step:]), 2 * step
+    if step < width:
+        low = np.minimum(low[: -(width - step)], low[width - step :])
+    return low == h
+
+
+def paragraphs(texts: list[str | None]) -> tuple[list[list[tuple[int, int, int]]], np.ndarray]:
+    """Paragraphs (start, end, words) of some texts, and the hashes of all their words in a row.
+
+    A line is one, and a line of several sentences is cut after each sentence of PARA_WORDS words or more; one of more than
+    LONG_WORDS words is cut before words whose hash is the least within REACH words around. Neither rule depends on what
+    stands further off, so a passage copied into the middle of other text has the same cuts inside. Shorter sentences
+    belong to the next. Paragraphs under PARA_WORDS words are left out.
+    """
+    found = [_sentences(t) for t in texts]
+    h = hash_words([w for ps in found for p in ps for w in p[2]])
+    anchor = _least_near(h) if len(h) else np.empty(0, bool)
+    keep = np.ones(len(h), bool)
+    out, at = [], 0
+    for text, ps in zip(texts, found, strict=True):
+        mine = []
+        for start, end, words in ps:
+            n = len(words)
+            if n <= LONG_WORDS:
+                mine.append((start, end, n))
+            else:
+                cut = [0, *(np.flatnonzero(anchor[at + PARA_WORDS : at + n - PARA_WORDS + 1]) + PARA_WORDS).tolist(), n]
+                spans = [m.span() for m in WORD.finditer(text, start, end)]
+                for x, y in zip(cut[:-1], cut[1:], strict=True):
+                    if y - x >= PARA_WORDS:
+                        mine.append((spans[x][0], end if y == n else spans[y - 1][1], y - x))
+                    else:
+                        keep[at + x : at + y] = False
+            at += n
+        out.append(mine)
+    return out, h[keep]
+
+
 def _seeds() -> np.ndarray:
     return mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -73,19 +109,19 @@ def _row_key(key: str, text: str):
     return F.xxhash64(F.col(key).cast("string"), F.col(text))
 
 
-def _shingled(texts: list[str | None]) -> tuple[list[list[tuple[int, int, list[str]]]], np.ndarray, np.ndarray]:
-    """Paragraphs of some texts, all their shingle hashes in a row, and the first of each paragraph."""
-    found = [paragraphs(t) for t in texts]
-    h = hash_words([w for ps in found for p in ps for w in p[2]])
-    sizes = np.array([len(p[2]) for ps in found for p in ps], np.int64)
-    last = np.cumsum(sizes)
+def shingled(texts: list[str | None]) -> tuple[list[list[tuple[int, int, int]]], np.ndarray, np.ndarray]:
+    """Paragraphs of some texts, all their shingle hashes in a row, and where each paragraph's begin (and the end)."""
+    found, h = paragraphs(texts)
+    sizes = np.array([p[2] for ps in found for p in ps], np.int64)
+    first = np.concatenate([[0], np.cumsum(sizes - GRAM + 1)]) if len(sizes) else np.zeros(1, np.int64)
     if not len(sizes):
-        return found, h, last
+        return found, h, first
+    last = np.cumsum(sizes)
     grams = gram_hashes(h, GRAM)
     inside = np.ones(len(h), bool)  # the last GRAM - 1 words of a paragraph start no shingle
     for k in range(1, GRAM):
         inside[last - k] = False
-    return found, grams[inside[: len(grams)]], np.concatenate([[0], np.cumsum(sizes - GRAM + 1)[:-1]])
+    return found, grams[inside[: len(grams)]], first
 
 
 def units(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -97,19 +133,19 @@ def units(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
         seeds = _seeds()
         for whole in batches:
             for b in text_slices(whole, "t"):
-                found, grams, first = _shingled(b.column("t").to_pylist())
-                if not len(first):
+                found, grams, first = shingled(b.column("t").to_pylist())
+                if len(first) == 1:
                     continue
                 doc = np.repeat(np.arange(len(found)), [len(ps) for ps in found])
                 flat = [p for ps in found for p in ps]
-                least = np.stack([np.minimum.reduceat(mix64(grams * s), first) for s in seeds], 1)
+                least = np.stack([np.minimum.reduceat(mix64(grams * s), first[:-1]) for s in seeds], 1)
                 bands = [mix64(least[:, ROWS * j] * np.uint64(3) + least[:, ROWS * j + 1] + np.uint64(j)) for j in range(BANDS)]
-                ends = [*first[1:].tolist(), len(grams)]
-                sid = [int.from_bytes(hashlib.blake2b(np.unique(grams[x:y]).tobytes(), digest_size=8).digest(), "little", signed=True) for x, y in zip(first.tolist(), ends, strict=True)]
+                ends = first.tolist()
+                sid = [int.from_bytes(hashlib.blake2b(np.unique(grams[x:y]).tobytes(), digest_size=8).digest(), "little", signed=True) for x, y in zip(ends[:-1], ends[1:], strict=True)]
                 place = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").take(place), b.column("rk").take(place), pa.array([u for ps in found for u in range(len(ps))], pa.int32()), pa.array([p[0] for p in flat], pa.int32()), pa.array([p[1] for p in flat], pa.int32()),
-                     pa.array([len(p[2]) for p in flat], pa.int32()), pa.array(sid, pa.int64()), pa.array(list(np.stack(bands, 1).view(np.int64)), pa.list_(pa.int64()))],
+                     pa.array([p[2] for p in flat], pa.int32()), pa.array(sid, pa.int64()), pa.array(list(np.stack(bands, 1).view(np.int64)), pa.list_(pa.int64()))],
                     names=names,
                 )
 
@@ -153,16 +189,17 @@ def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", run_words
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in text_slices(whole, "t"):
-                rows = []
-                for t, want in zip(*(b.column(c).to_pylist() for c in ("t", "want")), strict=True):
-                    ps = paragraphs(t)
+                found, grams, first = shingled(b.column("t").to_pylist())
+                rows, at = [], 0
+                for ps, want in zip(found, b.column("want").to_pylist(), strict=True):
                     for w in want:
-                        s = np.unique(gram_hashes(hash_words(ps[w["u"]][2]), GRAM))
+                        s = np.unique(grams[first[at + w["u"]] : first[at + w["u"] + 1]])
                         rows.append((w["comp"], w["sid"], len(s), w["copies"], s.tobytes()))
+                    at += len(ps)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["comp", "sid", "n", "copies", "s"])
 
-    shingled = materialise(texts.mapInArrow(shingle, "comp long, sid long, n int, copies long, s binary"), "shingles")
-    links = verified(shingled, LEAST).where("other is not null").select(F.col("sid").alias("src"), F.col("other").alias("dst"))
+    kept_sets = materialise(texts.mapInArrow(shingle, "comp long, sid long, n int, copies long, s binary"), "shingles")
+    links = verified(kept_sets, LEAST).where("other is not null").select(F.col("sid").alias("src"), F.col("other").alias("dst"))
     classes = components(links).select(F.col("node").alias("sid"), F.col("component").alias("cluster"))
     named = entries.select("sid", "copies", "first").join(classes, "sid", "left").withColumn("cluster", F.coalesce("cluster", "sid"))
     kept = named.groupBy("cluster").agg(F.sum("copies").alias("all"), F.min("first").alias("kept")).where("all > 1")

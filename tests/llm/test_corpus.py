@@ -83,25 +83,34 @@ def test_language_held_out_accuracy(spark):
 
 # Paragraphs
 
+def cuts(text):
+    """Paragraphs of one text as (start, end, words)."""
+    (ps,), h = paradedup.paragraphs([text])
+    assert sum(n for _, _, n in ps) == len(h)
+    return [(a, b, common.words(text[a:b])) for a, b, _ in ps]
+
+
 def test_paragraph_cuts_do_not_depend_on_what_stands_before():
-    passage = ". ".join(words(s, 12) for s in range(5)) + "."
-    inside = {" ".join(p[2]) for p in paradedup.paragraphs(f"{words(50, 9)} {passage} {words(51, 9)}")}
-    alone = {" ".join(p[2]) for p in paradedup.paragraphs(passage)}
-    assert len(inside & alone) >= 3 and paradedup.recall(0.8) > 0.99
-    for text in ("", None, "short one", "…"):
-        assert paradedup.paragraphs(text) == []
-    t = "Ünï " + words(3, 10) + ".\n" + words(4, 9)
-    assert [t[a:b].rstrip(".").lower().split() for a, b, _ in paradedup.paragraphs(t)] == [w for _, _, w in paradedup.paragraphs(t)]
+    for passage in (". ".join(words(s, 12) for s in range(5)) + ".", words(9, 90)):
+        inside = {" ".join(w) for _, _, w in cuts(f"{words(50, 9)} {passage} {words(51, 9)}")}
+        alone = {" ".join(w) for _, _, w in cuts(passage)}
+        assert len(inside & alone) >= 3
+    assert paradedup.recall(0.8) > 0.99
+    for text in ("", None, "short one", "…", "... \n !"):
+        assert paradedup.paragraphs([text])[0] == [[]]
+    t = "Ünï İx " + words(3, 10) + ".\n" + words(4, 9) + " " + words(5, 60) + "! " + words(6, 7) + ". tail"
+    got = paradedup.paragraphs([None, t, t, ""])[0]
+    assert got[1] == got[2] and all(len(common.WORD.findall(t[a:b])) == n for a, b, n in got[1])
+    h = common.hash_words(words(7, 200).split())
+    assert [i for i in range(200) if h[i] == h[max(0, i - 6) : i + 7].min()] == np.flatnonzero(paradedup._least_near(h)).tolist()
 
 
 def brute_repeats(rows):
-    """Places (doc, u) of paragraphs with a partner of Jaccard 0.8 or more, and clusters."""
-    ps = [(d, t or "", u, set(np.unique(common.gram_hashes(common.hash_words(w), 5)).tolist())) for d, t in dict.fromkeys(rows) for u, (_, _, w) in enumerate(paradedup.paragraphs(t))]
-    hit = set()
-    for a, b in itertools.combinations(ps, 2):
-        if len(a[3] & b[3]) >= 0.8 * len(a[3] | b[3]):
-            hit |= {(a[0], a[2]), (b[0], b[2])}
-    return hit
+    """Documents with a paragraph that has a partner of Jaccard 0.8 or more."""
+    ps = []
+    for d, t in dict.fromkeys(rows):
+        ps += [(d, set(np.unique(common.gram_hashes(common.hash_words(w), 5)).tolist())) for _, _, w in cuts(t)]
+    return {x for a, b in itertools.combinations(ps, 2) if len(a[1] & b[1]) >= 0.8 * len(a[1] | b[1]) for x in (a[0], b[0])}
 
 
 def test_paragraph_dedup(spark, odd_rows):
@@ -112,7 +121,7 @@ def test_paragraph_dedup(spark, odd_rows):
     got = paradedup.repeated(frame(spark, [(*r, "x", 1) for r in rows], "doc_id long, text string, start string, clusters int")).collect()
     docs = {r.doc_id for r in got}
     assert {10, 11, 13, 14, 15} <= docs and 12 not in docs
-    assert {d for d, _ in brute_repeats(rows)} >= docs
+    assert brute_repeats(rows) >= docs
     assert sum(not r.removed for r in got if r.doc_id in (13, 14)) == 1 and all(r.removed for r in got if r.doc_id == 15) and any(r.removed for r in got if r.doc_id == 11)
     assert paradedup.repeated(frame(spark, [])).count() == 0
 
