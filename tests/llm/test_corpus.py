@@ -245,6 +245,27 @@ def test_license_alignment_is_a_common_subsequence():
     assert licenses.winnow(np.array([5, 3, 3, 9, 1], np.uint64)) == {2, 4} and licenses.winnow(np.array([], np.uint64)) == set()
 
 
+def test_license_whole_texts_and_siblings():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        a, b = rng.integers(0, 20, 150).astype(np.uint64), rng.integers(0, 20, 170).astype(np.uint64)
+        assert licenses.most_matched(a, b, 5, 8) >= licenses.align(a, b, 5, 8)[0]
+    index = licenses.Index(licenses.all_templates())
+    whole = licenses.whole_texts()
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "CC0-1.0", "Unlicense"} <= set(whole)
+    for name, texts in whole.items():
+        for t in texts:
+            assert index.candidates(pa.array([words(79, 3), t])).tolist() == [1]
+            n = len(licenses.WORDS.findall(t))
+            assert (name, n, 1.0) in [(x[0], x[3], x[4]) for x in index.scan(f"{words(80, 9)} {t} {words(81, 9)}")], name
+    apache = whole["Apache-2.0"][0].split(" ")
+    edited = " ".join(x for i, x in enumerate(apache) if i % 40)  # more words left out than the narrow band holds
+    assert [(x[0], 0.9 < x[4] < 1) for x in index.scan(edited)] == [("Apache-2.0", True)]
+    assert [x[0] for x in index.scan(licenses.TEMPLATES["BSD"][0])] == ["BSD"]
+    agpl = whole["GPL-3.0"][0].replace("Use with the GNU Affero", "Remote Network Interaction; Use with the GNU")
+    assert "GPL-3.0" not in [x[0] for x in index.scan(agpl)]
+
+
 # Nearest neighbours
 
 def test_nearest(spark):
