@@ -169,7 +169,7 @@ class Index:
         return self.names[t] in FOREIGN and holds(part, FOREIGN[self.names[t]])
 
     def scan(self, text: str, least: float = LEAST) -> list[tuple[str, int, int, int, float]]:
-        """Matches (license, start, end, matched words, coverage) in a text, of overlapping ones the best."""
+        """Matches (license, start, end, matched words, coverage) in a text; of overlapping ones that with the most matched words, then coverage."""
         spans = [m.span() for m in WORDS.finditer(text)]
         h = hash_words([text[a:b].lower() for a, b in spans])
         hits = Counter((t, i - j) for i, g in enumerate(gram_hashes(h, GRAM).tolist()) for t, j in self.at.get(g, ()))
@@ -193,9 +193,9 @@ class Index:
             matched, a, b = align(words, part, shift - lo, band)
             if matched >= least * n and not self.foreign(t, h[lo + a : lo + b + 1]):
                 done[t].append(shift)
-                found.append((-matched / n, -matched, spans[lo + a][0], spans[lo + b][1], self.names[t]))
+                found.append((-matched, -matched / n, spans[lo + a][0], spans[lo + b][1], self.names[t]))
         out: list[tuple[str, int, int, int, float]] = []
-        for c, m, a, b, name in sorted(found):
+        for m, c, a, b, name in sorted(found):
             if all(b <= x[1] or a >= x[2] for x in out):
                 out.append((name, a, b, -m, -c))
         return sorted(out, key=lambda x: x[1:])

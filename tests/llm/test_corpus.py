@@ -266,6 +266,13 @@ def test_license_whole_texts_and_siblings():
     assert "GPL-3.0" not in [x[0] for x in index.scan(agpl)]
 
 
+def test_edited_license_notice_keeps_its_whole_span():
+    index = licenses.Index(licenses.all_templates())
+    header = licenses.TEMPLATES["Apache-2.0"][0].replace("http:", "https:").replace("this file", "this project")
+    (name, a, b, n, c), = index.scan(f"{words(82, 4)} {header} {words(83, 4)}")
+    assert name == "Apache-2.0" and f"{words(82, 4)} {header} {words(83, 4)}"[a:b] == header and n == len(licenses.WORDS.findall(header)) - 2 and 0.8 <= c < 1
+
+
 # Nearest neighbours
 
 def test_nearest(spark):
