@@ -34,10 +34,10 @@ TEMPLATES = {
     "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "LGPL-3.0": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
-    "GPL-2.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
-    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "GPL-2.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "This work is licensed under the GNU General Public License, version 2."],
+    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD License."],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "Licensed under the Mozilla Public License, Version 2.0."],
     "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."],
@@ -52,6 +52,24 @@ LEAST = 0.8
 LONG = 200
 SIEVE = 1 << 20
 WORDS = re.compile(r"[^\W_]+")
+#: What names a license. A notice that holds such a phrase is found only with it, whatever else may differ.
+NAMING = {
+    "MIT": ["mit"],
+    "Apache-2.0": ["apache license", "2 0"],
+    "GPL-3.0": ["gnu general public", "3"],
+    "GPL-2.0": ["gnu general public", "2"],
+    "AGPL-3.0": ["affero", "3"],
+    "LGPL-3.0": ["lesser", "3"],
+    "LGPL-2.1": ["lesser", "2 1"],
+    "BSD": ["bsd"],
+    "MPL-2.0": ["mozilla", "2 0"],
+    "CC-BY-4.0": ["commons attribution 4 0"],
+    "CC-BY-SA-4.0": ["attribution sharealike 4 0"],
+    "CC-BY-NC-4.0": ["attribution noncommercial 4 0", "cc by nc 4 0"],
+    "CC-BY-ND-4.0": ["attribution noderivatives 4 0"],
+    "CC-BY-NC-SA-4.0": ["attribution noncommercial sharealike 4 0"],
+    "CC-BY-NC-ND-4.0": ["attribution noncommercial noderivatives 4 0"],
+}
 #: A whole GPL-3.0 stands word for word in most of the AGPL-3.0, but for this title of a section.
 FOREIGN = {"GPL-3.0": "Remote Network Interaction"}
 
@@ -135,7 +153,7 @@ class Index:
     """Inverted index from fingerprints to (template, place), and the templates' words."""
 
     def __init__(self, templates: dict[str, list[str]]) -> None:
-        self.names, self.words, self.at = [], [], defaultdict(list)
+        self.names, self.words, self.naming, self.at = [], [], [], defaultdict(list)
         for name, texts in templates.items():
             for t in texts:
                 h = coded(t)
@@ -144,6 +162,7 @@ class Index:
                     self.at[int(grams[i])].append((len(self.names), i))
                 self.names.append(name)
                 self.words.append(h)
+                self.naming.append([p for p in NAMING.get(name, ()) if len(h) <= LONG and holds(h, p)])
         self.sieve = np.zeros(SIEVE, bool)
         self.sieve[np.array([g % SIEVE for g in self.at], np.int64)] = True
         self.least_words = {g: min(len(self.words[t]) for t, _ in at) for g, at in self.at.items()}
@@ -165,8 +184,9 @@ class Index:
         return np.unique(owner[sizes[owner] >= least * needed])
 
     def foreign(self, t: int, part: np.ndarray) -> bool:
-        """Whether a stretch holds words that tell another license from this template's."""
-        return self.names[t] in FOREIGN and holds(part, FOREIGN[self.names[t]])
+        """Whether a stretch lacks a phrase that names this template's license, or holds words that tell another from it."""
+        name = self.names[t]
+        return not all(holds(part, p) for p in self.naming[t]) or name in FOREIGN and holds(part, FOREIGN[name])
 
     def scan(self, text: str, least: float = LEAST) -> list[tuple[str, int, int, int, float]]:
         """Matches (license, start, end, matched words, coverage) in a text; of overlapping ones that with the most matched words, then coverage."""

@@ -273,6 +273,23 @@ def test_edited_license_notice_keeps_its_whole_span():
     assert name == "Apache-2.0" and f"{words(82, 4)} {header} {words(83, 4)}"[a:b] == header and n == len(licenses.WORDS.findall(header)) - 2 and 0.8 <= c < 1
 
 
+def test_notices_of_other_licenses_keep_their_names():
+    index = licenses.Index(licenses.all_templates())
+    lesser, affero = licenses.TEMPLATES["LGPL-2.1"][0], licenses.TEMPLATES["AGPL-3.0"][0]
+    for text, want in {
+        "Licensed under the BSD License.": ["BSD"], "It is licensed under the Mozilla Public License.": [], "Released under the Foo License.": [], "Licensed under the MIT terms": ["MIT"],
+        "This program is licensed under the GNU General Public License, version 2": ["GPL-2.0"], "This work is licensed under the GNU General Public License, version 3.": ["GPL-3.0"],
+        "This work is licensed under the GNU Lesser General Public License, version 3.": [], "Licensed under the Apache License, Version 1.1.": [], "Licensed under the Apache License 2.0": ["Apache-2.0"],
+        lesser: ["LGPL-2.1"], affero: ["AGPL-3.0"], licenses.TEMPLATES["GPL-2.0"][0].replace("version 2", "version 1"): [],
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": ["CC-BY-NC-SA-4.0"],
+        "This work is licensed under a Creative Commons Attribution-NoDerivs 3.0 Unported License.": [],
+    }.items():
+        assert [x[0] for x in index.scan(text)] == want, text
+    for name, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            assert [(x[0], x[4]) for x in index.scan(t)] == [(name, 1.0)]
+
+
 # Nearest neighbours
 
 def test_nearest(spark):
