@@ -56,10 +56,10 @@ def _sentences(text: str | None) -> list[tuple[int, int, list[str]]]:
     return out
 
 
-def _least_near(h: np.ndarray) -> np.ndarray:
-    """Which values are the least within REACH places on both sides."""
-    width = 2 * REACH + 1
-    low = np.pad(h, REACH, constant_values=np.uint64(2**64 - 1))
+def _least_near(h: np.ndarray, reach: int = REACH) -> np.ndarray:
+    """Which values are the least within ``reach`` places on both sides."""
+    width = 2 * reach + 1
+    low = np.pad(h, reach, constant_values=np.uint64(2**64 - 1))
     step = 1
     while 2 * step <= width:
         low, step = np.minimum(low[:-step], low[step:]), 2 * step
@@ -68,18 +68,40 @@ def _least_near(h: np.ndarray) -> np.ndarray:
     return low == h
 
 
+def _order(h: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """Order of places by the word's hash and, for equal words, by that of the GRAM words from there, if the sentence has so many."""
+    low = np.full(len(h), 2**32 - 1, np.uint64)
+    grams = gram_hashes(h, GRAM)
+    low[: len(grams)] = grams >> np.uint64(32)
+    ends = np.cumsum(sizes)
+    for k in range(1, GRAM):
+        low[ends - k] = 2**32 - 1
+    return (h >> np.uint64(32) << np.uint64(32)) | low
+
+
+def _apart(places: np.ndarray, least: int = PARA_WORDS) -> list[int]:
+    """Anchors at least this far apart: of a row of closer ones the last stays, then the next far enough before it."""
+    if len(places) < 2 or np.diff(places).min() >= least:
+        return places.tolist()
+    out = [int(places[-1])]
+    for p in places[-2::-1].tolist():
+        if out[-1] - p >= least:
+            out.append(p)
+    return out[::-1]
+
+
 def paragraphs(texts: list[str | None]) -> tuple[list[list[tuple[int, int, int]]], np.ndarray]:
     """Paragraphs (start, end, words) of some texts, and the hashes of all their words in a row.
 
     A line is one, and a line of several sentences is cut after each sentence of PARA_WORDS words or more; one of more than
-    LONG_WORDS words is cut before words whose hash is the least within REACH words around. Neither rule depends on what
-    stands further off, so a passage copied into the middle of other text has the same cuts inside. Shorter sentences
-    belong to the next. Paragraphs under PARA_WORDS words are left out.
+    LONG_WORDS words is cut before words whose hash is the least within REACH words around (of equal words that with the least
+    hash of GRAM words from there). Of anchors closer than PARA_WORDS the later stays, so that every word is in a piece. But for
+    rows of such anchors, neither rule depends on what stands further off, so a passage copied into the middle of other text has the same
+    cuts inside. Shorter sentences belong to the next. Paragraphs under PARA_WORDS words are left out.
     """
     found = [_sentences(t) for t in texts]
     h = hash_words([w for ps in found for p in ps for w in p[2]])
-    anchor = _least_near(h) if len(h) else np.empty(0, bool)
-    keep = np.ones(len(h), bool)
+    anchor = _least_near(_order(h, [len(p[2]) for ps in found for p in ps])) if len(h) else np.empty(0, bool)
     out, at = [], 0
     for text, ps in zip(texts, found, strict=True):
         mine = []
@@ -88,16 +110,14 @@ def paragraphs(texts: list[str | None]) -> tuple[list[list[tuple[int, int, int]]
             if n <= LONG_WORDS:
                 mine.append((start, end, n))
             else:
-                cut = [0, *(np.flatnonzero(anchor[at + PARA_WORDS : at + n - PARA_WORDS + 1]) + PARA_WORDS).tolist(), n]
+                places = np.flatnonzero(anchor[at + PARA_WORDS : at + n - PARA_WORDS + 1]) + PARA_WORDS
+                cut = [0, *_apart(places), n]
                 spans = [m.span() for m in WORD.finditer(text, start, end)]
                 for x, y in zip(cut[:-1], cut[1:], strict=True):
-                    if y - x >= PARA_WORDS:
-                        mine.append((spans[x][0], end if y == n else spans[y - 1][1], y - x))
-                    else:
-                        keep[at + x : at + y] = False
+                    mine.append((spans[x][0], end if y == n else spans[y - 1][1], y - x))
             at += n
         out.append(mine)
-    return out, h[keep]
+    return out, h
 
 
 def _seeds() -> np.ndarray:

@@ -105,6 +105,21 @@ def test_paragraph_cuts_do_not_depend_on_what_stands_before():
     assert [i for i in range(200) if h[i] == h[max(0, i - 6) : i + 7].min()] == np.flatnonzero(paradedup._least_near(h)).tolist()
 
 
+def test_long_sentences_lose_no_words():
+    rng = np.random.default_rng(8)
+    some = words(52, 40).split()
+    items = [w for i in range(40) for w in ("item", f"p{rng.integers(10**6)}", "qty", "1", "price", str(rng.integers(10**4)))]
+    for text in (words(53, 240), " ".join(some[i] for i in rng.integers(0, 40, 240)), " ".join(items), "ha " * 240):
+        got = cuts(text)
+        assert sum(len(w) for *_, w in got) == 240 and min(len(w) for *_, w in got) >= 8
+    found = 0
+    for s in range(10):
+        passage = " ".join(items[6 * s : 6 * s + 78])
+        a, b = ([tuple(w) for *_, w in cuts(f"{words(60 + s, 40)} {passage} {words(90 + s, 40)}")], {tuple(w) for *_, w in cuts(f"{words(120 + s, 33)} {passage} {words(150 + s, 33)}")})
+        found += sum(len(w) for w in a if w in b) >= 25
+    assert found >= 9
+
+
 def brute_repeats(rows):
     """Documents with a paragraph that has a partner of Jaccard 0.8 or more."""
     ps = []
