@@ -42,7 +42,8 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", win
 
     Order of the corpus: key (nulls first), hash of the text, place. Fingerprints select the positions that are joined; a
     joined position holds if its window's content occurred earlier, and a run extends both ways as long as the next window
-    did too. So every run of ``window`` lines or more that occurred earlier goes, and the first place of a line never does.
+    did too. So every run of ``window`` lines or more that occurred earlier goes, but for lines that
+    stand only in windows of fewer than ``min_chars`` characters, and the first place of a line never does.
     """
     w = materialise(windows(docs, text, key, window, min_chars), "windows")
     place = F.struct("doc_id", "th", F.element_at("lines", 1).alias("at"))
