@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: a MinHash LSH forest proposes, exact set comparison decides."""
+"""N-gram Jaccard join: MinHash bands of fixed depth propose, exact set comparison decides."""
 
 from __future__ import annotations
 
