@@ -1,6 +1,6 @@
 """Cleaning of ``documents`` for training, in stages that each take what the one before kept.
 
-Language ID drops documents without a letter or unlike every learned language; line dedup deletes later repeated runs of
+Language ID drops documents without a letter or unlike every learned language (without labelled rows only the former); line dedup deletes later repeated runs of
 lines, and documents of which nothing is left; of each group of near-duplicates one document stays; documents that
 hold a benchmark text go; the last stage encodes what is left to token ids, which decode() turns back.
 """
@@ -24,6 +24,8 @@ MIN_SCORE = 0.15
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learned from the labelled rows outside the held-out fold; labels play no part in what is kept."""
     profiles = langid.learn_profiles(docs.where(F.coalesce(crc_fold(F.col("doc_id"), 5) != 0, F.lit(False))))
+    if not len(profiles.langs):  # nothing learned, so nothing is unlike it
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(COLUMNS)
     kept = langid.predict(docs.select(COLUMNS), profiles).where((F.col("lang_pred") != langid.UND) & (F.col("score") >= MIN_SCORE))
     return kept.select(COLUMNS)
 

@@ -51,3 +51,9 @@ def test_odd_tables(spark, rows, tmp_path):
     bench.write.parquet(f"file://{tmp_path}/benchmark.parquet")
     got = cp.run(spark, f"file://{tmp_path}").collect()
     assert len(got) == (1 if rows else 0)
+
+
+def test_language_stage_without_labels_keeps_texts_with_a_letter(spark):
+    rows = [(1, "some words", None, "s", 10), (2, "日本語", None, "s", 3), (3, "123 !", None, "s", 5), (4, None, None, "s", None), (5, "", None, "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in cp.language(spark, docs, SF).collect()) == [1, 2]
