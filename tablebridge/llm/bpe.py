@@ -26,6 +26,18 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+@lru_cache(1)
+def newer() -> tuple[dict[int, str], dict[int, str]]:
+    """Letters and numbers newer than Python's Unicode tables: their lower case by the library's, and those unknown to it, as an unassigned character."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    known = regex.compile(r"[\p{L}\p{N}]")
+    some = [x for c in range(0x80, 0x110000) if unicodedata.category(x := chr(c)) == "Cn" and known.match(x)]
+    theirs = {x for x, _ in pre_tokenizers.Split(Regex(r"[\p{L}\p{N}]"), "removed", invert=True).pre_tokenize_str(" ".join(some))}
+    lower = normalizers.Lowercase()
+    return {ord(x): lower.normalize_str(x) for x in some}, {ord(x): "\u0378" for x in some if x not in theirs}
+
+
 class Bpe:
     """Encoder and decoder of a ``tokenizers`` JSON file of the word-end BPE kind.
 
@@ -97,9 +109,13 @@ class Bpe:
             if k % 2:
                 ids.append(self.special[part])
             elif part:
-                lower = part.lower() if part.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", part)])
-                for word in self.pieces.findall(lower):
-                    ids += self._word(word)
+                lower = plain = part.lower()
+                if not part.isascii():
+                    small, hidden = newer()
+                    lower = "".join([c.lower() for c in unicodedata.normalize("NFC", part)]).translate(small)
+                    plain = lower.translate(hidden)
+                for m in self.pieces.finditer(plain):
+                    ids += self._word(lower[m.start() : m.end()])
         return ids
 
     def _words(self, runs: list[str]) -> tuple[np.ndarray, list[int]]:

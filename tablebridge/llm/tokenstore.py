@@ -4,7 +4,7 @@ File (little-endian): 8 bytes magic, ten unsigned 64-bit header fields (format v
 ids, null keys, first key, and the lengths in bytes of the ids, the boundary code and the key code, then the
 universe of the keys), the ids, the two codes. A code of m non-decreasing values below u keeps l = floor(log2(u / m))
 low bits of each value packed, the high parts in unary as a bit string of at most 3 m bits, and the position of every
-256th one for select.
+256th one (64 bits) for select.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .textids import TextIds
@@ -29,6 +29,7 @@ from .common import fresh, materialise, text_slices
 MAGIC = b"TBRIDGE1"
 HEAD = struct.Struct("<8s10q")
 EVERY = 256
+READ_DOCS = 4096
 
 
 class EliasFano:
@@ -48,7 +49,7 @@ class EliasFano:
         bits = np.zeros(int(at[-1]) + 1 if m else 0, np.uint8)
         bits[at] = 1
         low = ((v[:, None] >> np.arange(low_bits)) & 1).astype(np.uint8).ravel()
-        return cls(m, low_bits, np.packbits(low, bitorder="little"), np.packbits(bits, bitorder="little"), at[::EVERY].astype("<u4"))
+        return cls(m, low_bits, np.packbits(low, bitorder="little"), np.packbits(bits, bitorder="little"), at[::EVERY].astype("<u8"))
 
     def _low(self, i: int) -> int:
         a = i * self.low_bits
@@ -77,10 +78,19 @@ class EliasFano:
     def __len__(self) -> int:
         return self.m
 
-    def decode(self) -> np.ndarray:
-        at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.m]
-        low = np.unpackbits(self.low, bitorder="little")[: self.m * self.low_bits].reshape(self.m, self.low_bits).astype(np.int64)
-        return (at - np.arange(self.m)) << self.low_bits | (low << np.arange(self.low_bits)).sum(1)
+    def stretch(self, a: int, b: int) -> np.ndarray:
+        """Values a to b - 1: select from the samples around them, so that only their part of the code is unpacked."""
+        if a >= b:
+            return np.empty(0, np.int64)
+        start = int(self.samples[a // EVERY]) >> 3
+        stop = int(self.samples[-(-b // EVERY)]) // 8 + 1 if -(-b // EVERY) < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[start:stop], bitorder="little"))
+        skipped = int(self.high[start] & ((1 << (int(self.samples[a // EVERY]) & 7)) - 1)).bit_count() + a % EVERY
+        high = ones[skipped : skipped + b - a] + 8 * start - np.arange(a, b)
+        p = a * self.low_bits
+        bits = np.unpackbits(self.low[p >> 3 : (b * self.low_bits + 7) >> 3], bitorder="little")[p & 7 :]
+        low = bits[: (b - a) * self.low_bits].reshape(b - a, self.low_bits).astype(np.int64)
+        return high << self.low_bits | (low << np.arange(self.low_bits)).sum(1)
 
     def to_bytes(self) -> bytes:
         return struct.pack("<5q", self.m, self.low_bits, len(self.low), len(self.high), len(self.samples)) + self.low.tobytes() + self.high.tobytes() + self.samples.tobytes()
@@ -89,7 +99,7 @@ class EliasFano:
     def from_bytes(cls, raw: bytes) -> EliasFano:
         m, low_bits, a, b, c = struct.unpack_from("<5q", raw)
         at = 40
-        return cls(m, low_bits, np.frombuffer(raw, np.uint8, a, at), np.frombuffer(raw, np.uint8, b, at + a), np.frombuffer(raw, "<u4", c, at + a + b))
+        return cls(m, low_bits, np.frombuffer(raw, np.uint8, a, at), np.frombuffer(raw, np.uint8, b, at + a), np.frombuffer(raw, "<u8", c, at + a + b))
 
 
 def pack_shard(keys: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
@@ -104,7 +114,7 @@ def pack_shard(keys: list[int | None], lengths: list[int], ids: np.ndarray) -> b
     ends = EliasFano.build(np.cumsum(np.array([0, *lengths], np.int64)), int(sum(lengths))).to_bytes()
     codes = EliasFano.build(known - first, spread).to_bytes()
     body = ids.astype(f"<u{width}").tobytes()
-    return HEAD.pack(MAGIC, 1, width, len(keys), len(ids), nulls, first, len(body), len(ends), len(codes), spread) + body + ends + codes
+    return HEAD.pack(MAGIC, 2, width, len(keys), len(ids), nulls, first, len(body), len(ends), len(codes), spread) + body + ends + codes
 
 
 class Shard:
@@ -112,7 +122,7 @@ class Shard:
 
     def __init__(self, raw: bytes) -> None:
         magic, version, width, self.n, self.size, self.nulls, self.first, a, b, c, _ = HEAD.unpack_from(raw)
-        if magic != MAGIC or version != 1 or len(raw) != HEAD.size + a + b + c:
+        if magic != MAGIC or version != 2 or len(raw) != HEAD.size + a + b + c:
             raise ValueError("not a whole token-id file")
         at = HEAD.size
         self.ids = np.frombuffer(raw, f"<u{width}", a // width, at)
@@ -126,6 +136,13 @@ class Shard:
         return self.key(i), self.ids[self.ends[i] : self.ends[i + 1]]
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A folder as a URI: without a scheme it lies where Spark would put it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    uri = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file:///") else uri
+
+
 @lru_cache(2)
 def library_encoder(path: str) -> TextIds:
     """Ids of the tokenizers library for whole texts; vocabularies that keep white space get whole texts, not words."""
@@ -161,18 +178,18 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 1, shard_id
     each task writes its files under a temporary name and moves them, and a task that runs again writes the same
     bytes to the same names. Returns the durable manifest ``part, seq, file, n_docs, n_ids, base`` where base counts the ids
     of all files before. Null texts are empty documents of the end id alone; null keys come first; an empty table gives an
-    empty manifest. ``out`` is a URI or path that all machines see (local, hdfs, s3, gs).
+    empty manifest. ``out`` is a URI or path that all machines see (local, hdfs, s3, gs), one without a scheme is on Spark's default file system.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = out.rstrip("/")
+    out = qualified(spark, out)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = rows.repartitionByRange(n, "k", F.xxhash64("t")).sortWithinPartitions("k", F.xxhash64("t"), "t")
     schema = "part int, seq int, file string, n_docs long, n_ids long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        store, root = fs.FileSystem.from_uri(out) if "://" in out or out.startswith("file:") else (fs.LocalFileSystem(), out)
+        store, root = fs.FileSystem.from_uri(out)
         keys, lengths, pieces, held, seq = [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
@@ -203,23 +220,32 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 1, shard_id
 
 
 def read_tokens(manifest: DataFrame, out: str, ids: bool = False) -> DataFrame:
-    """Read the files of a manifest: ``doc_id, start, n_tokens, ids_crc32`` (and ``ids``) of each document, one task a few files."""
-    out = out.rstrip("/")
-    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Read the files of a manifest: ``doc_id, start, n_tokens, ids_crc32`` (and ``ids``) of each document, one task a few files.
+
+    Keys and offsets come by select, READ_DOCS documents at a time, without a table of a file's offsets. Repeated rows and keys are
+    documents of their own, an empty document (null or empty text) is its end id, a long text may fill a file; an empty manifest
+    gives an empty table. Only the manifest's columns ``file`` and ``base`` are used.
+    """
+    spark = manifest.sparkSession
+    out = qualified(spark, out)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(out) if "://" in out or out.startswith("file:") else (fs.LocalFileSystem(), out)
+        store, root = fs.FileSystem.from_uri(out)
         for b in batches:
             for name, base in zip(b.column("file").to_pylist(), b.column("base").to_pylist(), strict=True):
                 with store.open_input_file(f"{root}/{name}") as f:
                     s = Shard(f.read())
-                ends = s.ends.decode()
-                keys = [None] * s.nulls + (s.keys.decode() + s.first).tolist()
-                crc = [zlib.crc32(s.ids[x:y].astype("<u4").tobytes()) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                cols = {"doc_id": pa.array(keys, pa.int64()), "start": pa.array(ends[:-1] + base), "n_tokens": pa.array(np.diff(ends)), "ids_crc32": pa.array(crc, pa.int64())}
-                if ids:
-                    cols["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(s.ids.astype(np.int32)))
-                yield pa.RecordBatch.from_pydict(cols)
+                for lo in range(0, s.n, READ_DOCS):
+                    hi = min(s.n, lo + READ_DOCS)
+                    ends = s.ends.stretch(lo, hi + 1)
+                    nulls = min(hi, max(lo, s.nulls)) - lo
+                    keys = [None] * nulls + (s.keys.stretch(lo + nulls - s.nulls, hi - s.nulls) + s.first).tolist()
+                    crc = [zlib.crc32(s.ids[x:y].astype("<u4").tobytes()) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                    cols = {"doc_id": pa.array(keys, pa.int64()), "start": pa.array(ends[:-1] + base), "n_tokens": pa.array(np.diff(ends)), "ids_crc32": pa.array(crc, pa.int64())}
+                    if ids:
+                        cols["ids"] = pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(s.ids[ends[0] : ends[-1]].astype(np.int32)))
+                    yield pa.RecordBatch.from_pydict(cols)
 
     return manifest.select("file", "base").repartition(n, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids)
 

@@ -15,7 +15,8 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
-ODD = ["it's İstanbul ΑΣ Ως été. a b <|endoftext|>x don't.", "\x1c a\x1db", "", None, "ﬁ x² ½ ٣٤ a_b --- 'Re. Ǆ ß. ŉ. (foo) [bar] É ,", "日本語テスト。 \U0001f600‍\U0001f525 x️.", " \n ", "<|endoftext|> <|startoftext|>", "a\x85b c　d", "x" * 300 + " " + "ab1" * 50]
+ODD = ["it's İstanbul ΑΣ Ως été. a b <|endoftext|>x don't.", "\x1c a\x1db", "", None, "ﬁ x² ½ ٣٤ a_b --- 'Re. Ǆ ß. ŉ. (foo) [bar] É ,", "日本語テスト。 \U0001f600‍\U0001f525 x️.", " \n ", "<|endoftext|> <|startoftext|>", "a\x85b c　d", "x" * 300 + " " + "ab1" * 50,
+       "BELED\u0130YES\u0130, ANKARA (\u0130) A\u0130, B", "\u0915\u0958, \u0958. (\u095c) \u09dc. \ufb2a, \ufb1d.", "\u1c89, a\u0558. \ua7ce!", "y" * 5000 + "! " + "q7" * 2000]
 
 
 def words(seed, n):
@@ -150,7 +151,10 @@ def test_elias_fano(n):
     if n > 2:
         v[1] = v[0]
     ef = tokenstore.EliasFano.from_bytes(tokenstore.EliasFano.build(v, int(v[-1]) if n else 0).to_bytes())
-    assert ef.decode().tolist() == v.tolist() and [ef[i] for i in range(n)] == v.tolist()
+    assert [ef[i] for i in range(n)] == v.tolist()
+    for a in sorted({0, 1, 7, 255, 256, 300, n - 1, n} & set(range(n + 1))):
+        for b in (a, a + 1, a + 256, n):
+            assert ef.stretch(a, min(b, n)).tolist() == v[a:b].tolist()
     if n == 3000:
         assert (len(ef.low) + len(ef.high)) * 8 / n < 6
     with pytest.raises(IndexError):
@@ -204,8 +208,23 @@ def test_bpe_merge_by_brute_force(tokenizer):
     assert b.merge([]) == []
 
 
-def test_encoder_cache_is_emptied(tokenizer):
+def test_ids_of_random_letters(tokenizer):
+    rng = np.random.default_rng(11)
+    every = [chr(c) for c in range(0xC0, 0x10000) if not 0xD800 <= c < 0xE000]
+    some = [every, [c for c in every if c.isalpha()], list("abcXYZ,.()!-'\" ")]
+    texts = ["".join(some[j][k % len(some[j])] for j, k in zip(rng.integers(0, 3, n), rng.integers(0, 10**6, n), strict=True)) for n in rng.integers(1, 9, 6000)]
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for e in (bpe.Bpe(VOCAB).texts, tokenstore.library_encoder(VOCAB)):
+        ids, ends = e.encode(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in itertools.pairwise(ends.tolist())] == want
+
+
+def test_encoder_cache_is_bounded(tokenizer):
     e = bpe.Bpe(VOCAB).texts
+    long = ["".join(f"{i}{j}x" for j in range(200)) for i in range(5)] + ["z" * 900 + ","]
+    ids, ends = e.encode(pa.array(long))
+    assert [ids[a:b].tolist() for a, b in itertools.pairwise(ends.tolist())] == [tokenizer.encode(t, add_special_tokens=False).ids for t in long]
+    assert max(map(len, e.index)) < 200 and len(e.index) < 5 and e.held < 1000 and e.ends[-1] == len(e.flat)
     e.size = 3
     for t in ("one two three four five", "six seven one", "two (three) four."):
         assert e.encode(pa.array([t]))[0].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
