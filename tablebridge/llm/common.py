@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,36 +27,45 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-_made: list[str] = []
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, remembered for release()."""
-    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
+    """A new path in the shared folder, remembered by the scope around it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends in a durable table.
 
-    The table stays, since the result of an operator may read it; release() deletes it.
+    The table stays, since the result of an operator may read it; a scope() around the operator deletes it.
     """
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def mark() -> int:
-    """Where release() may start: paths made later."""
-    return len(_made)
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables made inside, at its end: what reads them must have been written by then.
+
+    Runs in other threads, and scopes around this one, keep theirs.
+    """
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        for path in _made.get():
+            drop_path(spark, path)
+        _made.reset(token)
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Delete the intermediate tables made since a mark, once what reads them has been written."""
-    for path in _made[since:]:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    del _made[since:]
+def drop_path(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -176,6 +188,24 @@ def spanning_pairs(hit: np.ndarray, rows: np.ndarray, cols: np.ndarray, m: int)
     return np.array(member, np.int64), np.array(root, np.int64)
 
 
+#: A key with more than one HOT-th of a join's rows is hot; there are fewer than HOT such keys, whatever the data.
+HOT = 1000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str, how: str = "inner") -> DataFrame:
+    """Join (inner or left) with ``right``, a durable table of one row for each key whose column ``rows`` counts the key's rows in left.
+
+    Hot keys are broadcast, at most HOT rows by arithmetic, and their rows in left stay where they are; all others are joined by
+    shuffle, where no key fills a task. Of ``right`` the key and ``rows`` stay once.
+    """
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    hot = right.where(F.col(rows) * HOT > total)
+    if not hot.limit(1).count():
+        return left.join(right, key, how)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(rows) * HOT <= total), key, how)
+    return left.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def crc_fold(col: Column, folds: int) -> Column:
     return F.crc32(col.cast("string")) % folds
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, components, local_spanning, materialise, mix64, spanning_pairs, text_slices, word_shingles
+from .common import by_group, components, join_hot, local_spanning, materialise, mix64, spanning_pairs, text_slices, word_shingles
 
 GRAM = 5
 LEAST = 0.8
@@ -181,13 +181,13 @@ def common_counts(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray)
 def verified(sets: DataFrame, least: float = LEAST) -> DataFrame:
     """Exact links among the sets of each ``comp``: rows ``sid, other, links``.
 
-    Rows: ``comp, sid, n, copies, s`` (the shingles as bytes). A row with null other adds to the number of documents linked
+    Rows: ``comp, sid, n, copies, s`` (the shingles as bytes), a durable table. A row with null other adds to the number of documents linked
     to one of sid; the rest are a spanning forest of the links. Components of more than BLOCK sets are cut by size bands,
     of which only equal and neighbouring ones can hold a link, and by blocks.
     """
     band = F.floor(F.log("n") / F.log(F.lit(1 / least)) + 1e-9).cast("int")
-    counts = sets.groupBy("comp").agg(F.count("*").alias("c"))
-    sets = sets.join(counts, "comp")
+    counts = materialise(sets.groupBy("comp").agg(F.count("*").alias("c")).where("c > 1"), "counts")
+    sets = join_hot(sets, counts, "comp", "c")
     small = sets.where(F.col("c") <= BLOCK).select(F.xxhash64("comp").alias("task"), F.lit(0).alias("side"), "sid", "n", "copies", "s")
     big = sets.where(F.col("c") > BLOCK).withColumn("band", band)
     sizes = big.groupBy("comp", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("p"))

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, by_group, components, gram_hashes, hash_words, materialise, mix64, text_slices
+from .common import WORD, components, gram_hashes, hash_words, join_hot, materialise, mix64, text_slices
 from .ngramjoin import verified
 
 GRAM = 5
@@ -31,14 +30,19 @@ def recall(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
     return 1 - (1 - similarity**rows) ** bands
 
 
+def _low_words(s: str) -> list[str]:
+    """Lower-cased words; where lower case is longer, each by itself, so that words stay one."""
+    low = s.lower()
+    return WORD.findall(low) if len(low) == len(s) else [w.lower() for w in WORD.findall(s)]
+
+
 def _sentences(text: str | None) -> list[tuple[int, int, list[str]]]:
     """Rows of sentences (start, end, words) up to one of PARA_WORDS words or a line's end."""
     out, held, start, end = [], [], -1, 0
     for m in SENTENCE.finditer(text or ""):
         s = m.group()
         if s != "\n":
-            low = s.lower()
-            words = WORD.findall(low) if len(low) == len(s) else [w.lower() for w in WORD.findall(s)]
+            words = _low_words(s)
             if words:
                 if start < 0:
                     start = m.end() - len(s.lstrip())
@@ -145,7 +149,11 @@ def shingled(texts: list[str | None]) -> tuple[list[list[tuple[int, int, int]]],
 
 
 def units(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """A row for each paragraph: ``doc_id, rk, u, start, end, words, sid, bands``; sid is a hash of its shingle set."""
+    """A row for each paragraph: ``doc_id, rk, u, start, end, words, sid, bands``.
+
+    sid is a hash of its shingles (as often as they occur); bands, a function of the shingles, stands at the first paragraph of
+    a sid in a slice of texts only.
+    """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), _row_key(key, text).alias("rk"), F.col(text).alias("t"))
     names = ["doc_id", "rk", "u", "start", "end", "words", "sid", "bands"]
 
@@ -156,52 +164,49 @@ def units(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
                 found, grams, first = shingled(b.column("t").to_pylist())
                 if len(first) == 1:
                     continue
-                doc = np.repeat(np.arange(len(found)), [len(ps) for ps in found])
-                flat = [p for ps in found for p in ps]
-                least = np.stack([np.minimum.reduceat(mix64(grams * s), first[:-1]) for s in seeds], 1)
-                bands = [mix64(least[:, ROWS * j] * np.uint64(3) + least[:, ROWS * j + 1] + np.uint64(j)) for j in range(BANDS)]
-                ends = first.tolist()
-                sid = [int.from_bytes(hashlib.blake2b(np.unique(grams[x:y]).tobytes(), digest_size=8).digest(), "little", signed=True) for x, y in zip(ends[:-1], ends[1:], strict=True)]
-                place = pa.array(doc)
+                flat = np.array([p for ps in found for p in ps], np.int32)
+                counts = [len(ps) for ps in found]
+                sid = mix64(np.add.reduceat(mix64(grams ^ seeds[0]), first[:-1]))
+                least = [np.minimum.reduceat(mix64(grams * s), first[:-1]) for s in seeds]
+                bands = np.stack([mix64(least[ROWS * j] * np.uint64(3) + least[ROWS * j + 1] + np.uint64(j)) for j in range(BANDS)], 1)
+                again = np.ones(len(sid), bool)
+                again[np.unique(sid, return_index=True)[1]] = False
+                place = pa.array(np.repeat(np.arange(len(found)), counts))
+                u = np.concatenate([np.arange(n, dtype=np.int32) for n in counts])
+                ends = pa.array(np.arange(0, BANDS * len(sid) + 1, BANDS, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(place), b.column("rk").take(place), pa.array([u for ps in found for u in range(len(ps))], pa.int32()), pa.array([p[0] for p in flat], pa.int32()), pa.array([p[1] for p in flat], pa.int32()),
-                     pa.array([p[2] for p in flat], pa.int32()), pa.array(sid, pa.int64()), pa.array(list(np.stack(bands, 1).view(np.int64)), pa.list_(pa.int64()))],
+                    [b.column("doc_id").take(place), b.column("rk").take(place), pa.array(u), *[pa.array(flat[:, k]) for k in range(3)], pa.array(sid.view(np.int64)),
+                     pa.ListArray.from_arrays(ends, pa.array(bands.view(np.int64).ravel()), mask=pa.array(again))],
                     names=names,
                 )
 
     return rows.mapInArrow(run, "doc_id long, rk long, u int, start int, end int, words int, sid long, bands array<long>")
 
 
-def _stars(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    src, dst = [], []
-    for g in groups:
-        if g.num_rows > 1:
-            s = np.unique(g.column("sid").to_numpy())
-            src += s[1:].tolist()
-            dst += [int(s[0])] * (len(s) - 1)
-        if len(src) > 50_000:
-            yield pa.RecordBatch.from_pydict({"src": src, "dst": dst})
-            src, dst = [], []
-    if src:
-        yield pa.RecordBatch.from_pydict({"src": src, "dst": dst})
+def colliding(u: DataFrame) -> DataFrame:
+    """``band, sid`` of the paragraphs that share a band with other shingles."""
+    each = Window.partitionBy("band")
+    rows = u.where("bands is not null").select(F.explode("bands").alias("band"), "sid")
+    return rows.withColumns({"lo": F.min("sid").over(each), "hi": F.max("sid").over(each)}).where("lo <> hi").select("band", "sid").distinct()
 
 
 def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", run_words: int = RUN_WORDS) -> DataFrame:
     """Repeated stretches of texts: ``doc_id, start, end, words, removed, clusters``.
 
-    Paragraphs with equal shingle sets are one entry; entries that collide in a band are joined, their Jaccard similarity is
-    computed exactly, and links of 0.8 or more make clusters by connected components. A stretch is a row of repeated
-    paragraphs of at least ``run_words`` words together; its parts are removed but for each cluster's first place by key,
-    row and place. start and end count code points. Null, empty and short texts have no paragraphs; equal rows are one
-    document and show the same stretches; a null key comes first.
+    Paragraphs with equal shingles are one entry; entries that collide in a band are joined, the Jaccard similarity of all pairs
+    under a band is computed exactly, and links of 0.8 or more make clusters by connected components. A stretch is a row of repeated
+    paragraphs of at least ``run_words`` words together (0 takes every repeated paragraph); its parts are removed but for each cluster's
+    first place by key, row and place. start and end count code points. Null, empty and short texts have no paragraphs; equal rows are one
+    document and show the same stretches; a null key comes first; other columns, whatever their names, play no part; a text of any
+    length is cut whole; an empty table gives an empty result.
     """
     place = F.struct("doc_id", "rk", "u")
     u = materialise(units(docs, text, key), "paragraphs")
-    entries = materialise(u.groupBy("sid").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.first("bands").alias("bands")), "entries")
-    stars = by_group(entries.select("sid", F.explode("bands").alias("band")), "band", _stars, "src long, dst long").distinct()
-    near = components(stars).select(F.col("node").alias("sid"), F.col("component").alias("comp"))
-    chosen = entries.select("sid", "copies", "first").join(near, "sid")
-    wanted = chosen.groupBy(F.col("first.doc_id").alias("_d"), F.col("first.rk").alias("_k")).agg(F.collect_list(F.struct(F.col("first.u").alias("u"), "sid", "copies", "comp")).alias("want"))
+    meeting = materialise(colliding(u), "meeting")
+    met = meeting.groupBy("sid").agg(F.count("*").alias("met"))
+    entries = u.groupBy("sid").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "rk", "u", "start", "end")).alias("first"))
+    entries = materialise(entries.join(met, "sid", "left").where("copies > 1 or met is not null"), "entries")
+    wanted = entries.where("met is not null").groupBy(F.col("first.doc_id").alias("_d"), F.col("first.rk").alias("_k")).agg(F.collect_list(F.struct(F.col("first.start").alias("start"), F.col("first.end").alias("end"), "sid")).alias("want"))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), _row_key(key, text).alias("rk"), F.col(text).alias("t"))
     same = (F.col("rk") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d"))
     texts = wanted.join(rows, same).dropDuplicates(["doc_id", "rk"]).select("t", "want")
@@ -209,23 +214,22 @@ def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", run_words
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in text_slices(whole, "t"):
-                found, grams, first = shingled(b.column("t").to_pylist())
-                rows, at = [], 0
-                for ps, want in zip(found, b.column("want").to_pylist(), strict=True):
+                rows = []
+                for t, want in zip(b.column("t").to_pylist(), b.column("want").to_pylist(), strict=True):
                     for w in want:
-                        s = np.unique(grams[first[at + w["u"]] : first[at + w["u"] + 1]])
-                        rows.append((w["comp"], w["sid"], len(s), w["copies"], s.tobytes()))
-                    at += len(ps)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["comp", "sid", "n", "copies", "s"])
+                        s = np.unique(gram_hashes(hash_words(_low_words(t[w["start"] : w["end"]])), GRAM))
+                        rows.append((w["sid"], len(s), s.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["sid", "n", "s"])
 
-    kept_sets = materialise(texts.mapInArrow(shingle, "comp long, sid long, n int, copies long, s binary"), "shingles")
-    links = verified(kept_sets, LEAST).where("other is not null").select(F.col("sid").alias("src"), F.col("other").alias("dst"))
+    sets = texts.mapInArrow(shingle, "sid long, n int, s binary")
+    groups = materialise(meeting.join(sets, "sid").select(F.col("band").alias("comp"), "sid", "n", F.lit(1).cast("long").alias("copies"), "s"), "shingles")
+    links = verified(groups, LEAST).where("other is not null").select(F.col("sid").alias("src"), F.col("other").alias("dst"))
     classes = components(links).select(F.col("node").alias("sid"), F.col("component").alias("cluster"))
-    named = entries.select("sid", "copies", "first").join(classes, "sid", "left").withColumn("cluster", F.coalesce("cluster", "sid"))
-    kept = named.groupBy("cluster").agg(F.sum("copies").alias("all"), F.min("first").alias("kept")).where("all > 1")
-    flags = named.select("sid", "cluster").join(kept.select("cluster", "kept"), "cluster")
-    marked = u.select("doc_id", "rk", "u", "start", "end", "words", "sid").join(flags, "sid")
-    per = marked.groupBy("doc_id", "rk").agg(F.collect_list(F.struct("u", "start", "end", "words", (place != F.col("kept")).alias("removed"), "cluster")).alias("p"))
+    named = materialise(entries.select("sid", "copies", F.struct("first.doc_id", "first.rk", "first.u").alias("first")).join(classes, "sid", "left").withColumn("cluster", F.coalesce("cluster", "sid")), "named")
+    kept = materialise(named.groupBy("cluster").agg(F.sum("copies").alias("all"), F.count("*").alias("sets"), F.min("first").alias("kept")).where("all > 1"), "kept")
+    flags = materialise(join_hot(named, kept, "cluster", "sets").select("sid", "copies", "cluster", "kept"), "flags")
+    marked = join_hot(u.select("doc_id", "rk", "u", "start", "end", "words", "sid"), flags, "sid", "copies")
+    per = marked.groupBy("doc_id", "rk").agg(F.collect_set(F.struct("u", "start", "end", "words", (place != F.col("kept")).alias("removed"), "cluster")).alias("p"))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "end", "words", "removed", "clusters"]

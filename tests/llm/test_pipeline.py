@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as cp
@@ -28,6 +29,7 @@ def test_run_against_brute_force(spark):
     assert set(got) == set(want)
     for k, text in want.items():
         ids, back = want_tokens(text)
+        assert got[k].text == text and got[k].ids == ids
         assert (got[k].n_tokens, got[k].ids_sha256, got[k].decoded_sha256) == (len(ids), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
 
 
@@ -53,6 +55,32 @@ def test_odd_tables(spark, rows, tmp_path):
     assert len(got) == (1 if rows else 0)
 
 
+def test_clashing_columns_repeats_and_a_long_text(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    long = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(60_000))
+    rows = [(1, "some words of text here", "en"), (1, "some words of text here", "en"), (2, long, "en"), (3, long, None), (4, None, "en"), (None, "another text without any key", None), (5, "9 8 7", "en"), (6, "", None)]
+    clash = "n_tokens string, ids string, score string, lang_pred string, n_gone string, rk string, class_id string, item_id string, _k string, text_2 string"
+    docs = spark.createDataFrame([(k, t, c, "s", 1, *["x"] * 10) for k, t, c in rows], f"doc_id long, text string, lang string, source string, n_chars long, {clash}")
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    common.table(spark, SF, "benchmark").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    out = cp.run(spark, f"file://{tmp_path}")
+    got = {r.doc_id: r for r in out.collect()}
+    assert out.columns == [*cp.COLUMNS, "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    assert set(got) == {1, 2, None} and got[2].text == long and got[2].ids == want_tokens(long)[0]
+
+
+def test_scopes_keep_each_other_s_tables(spark):
+    outer = common.materialise(spark.range(3), "kept")
+    with common.scope(spark):
+        mine = common.materialise(spark.range(4), "outer")
+        with common.scope(spark):
+            gone = common.materialise(spark.range(5), "inner")
+        assert mine.count() == 4 and outer.count() == 3
+        with pytest.raises(Exception):  # noqa: B017
+            gone.count()
+    assert outer.count() == 3
+
+
 def test_language_stage_without_labels_keeps_texts_with_a_letter(spark):
     rows = [(1, "some words", None, "s", 10), (2, "日本語", None, "s", 3), (3, "123 !", None, "s", 5), (4, None, None, "s", None), (5, "", None, "s", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
