@@ -83,11 +83,12 @@ FROM best GROUP BY doc_id, item_id HAVING max(score) >= least(12, greatest(8, ce
 
 OP9_SQL = """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS ln, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
-f AS (SELECT doc_id, i, trim(ln) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM l WHERE trim(ln) <> ''),
-w AS (SELECT a.doc_id, a.i AS i1, b.i AS i2, false AS whole, a.t || chr(10) || b.t AS content FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.r = a.r + 1 WHERE length(a.t) + length(b.t) >= 50
-      UNION ALL SELECT doc_id, i, i, true, t FROM f WHERE n = 1),
-o AS (SELECT *, row_number() OVER (PARTITION BY whole, content ORDER BY doc_id, i1) AS nth FROM w),
-g AS (SELECT doc_id, i1 AS i FROM o WHERE nth > 1 UNION SELECT doc_id, i2 FROM o WHERE nth > 1)
+f AS (SELECT doc_id, i, trim(ln) AS t, length(trim(ln)) AS c, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM l WHERE trim(ln) <> ''),
+m AS (SELECT b.doc_id, b.i, b.c, a.doc_id AS of_doc, b.r - a.r AS far, b.r - row_number() OVER (PARTITION BY a.doc_id, b.doc_id, b.r - a.r ORDER BY b.r) AS run
+      FROM f a JOIN f b ON a.t = b.t AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.r < b.r)),
+runs AS (SELECT doc_id, of_doc, far, run FROM m GROUP BY ALL HAVING count(*) >= 2 AND sum(c) >= 50 OR sum(c) >= 200),
+whole AS (SELECT doc_id, row_number() OVER (PARTITION BY string_agg(t, chr(10) ORDER BY r) ORDER BY doc_id) AS nth FROM f GROUP BY doc_id HAVING NOT (count(*) >= 2 AND sum(c) >= 50 OR sum(c) >= 200)),
+g AS (SELECT doc_id, i FROM m JOIN runs USING (doc_id, of_doc, far, run) UNION SELECT f.doc_id, i FROM f JOIN whole USING (doc_id) WHERE nth > 1)
 SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_gone, sha256(coalesce(string_agg(l.ln, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '')) AS kept_sha256
 FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id
 """

@@ -413,26 +413,45 @@ def test_components(spark):
 
 # Lines
 
-def brute_lines(rows, min_chars=50):
-    """Line places that go, one window after the other in corpus order."""
-    seen, gone = set(), {}
-    order = sorted({(d is not None, d or 0, t) for d, t in rows if t})
-    for known, d, t in order:
+def brute_lines(rows, min_chars=50, long_chars=200):
+    """Line places that go, by running along every pair of equal lines of two places."""
+    gone = {}
+    counts = lambda run: len(run) >= 2 and sum(map(len, run)) >= min_chars or sum(map(len, run)) >= long_chars
+    docs = []
+    for known, d, t in sorted({(d is not None, d or 0, t) for d, t in rows if t}):
         full = [(i, x.strip(" ")) for i, x in enumerate(t.split("\n")) if x.strip(" ")]
-        wins = [tuple(full)] if len(full) == 1 else [tuple(full[i : i + 2]) for i in range(len(full) - 1)]
-        for w in wins:
-            key = (len(full) == 1, tuple(x for _, x in w))
-            if len(full) > 1 and sum(len(x) for x in key[1]) < min_chars:
-                continue
-            if key in seen:
-                gone.setdefault((d if known else None, t), set()).update(i for i, _ in w)
-            seen.add(key)
+        docs.append(((d if known else None, t), [i for i, _ in full], [x for _, x in full]))
+    at = {}
+    for n, (name, _, text) in enumerate(docs):
+        for j, x in enumerate(text):
+            at.setdefault(x, []).append((n, j))
+    for name, number, text in docs:
+        m = docs.index((name, number, text))
+        for j, x in enumerate(text):
+            for n, i in at[x]:
+                before = docs[n][2]
+                if (n, i) >= (m, j) or (i and j and before[i - 1] == text[j - 1]):
+                    continue  # not earlier, or not the run's first line
+                k = 0
+                while j + k < len(text) and i + k < len(before) and before[i + k] == text[j + k]:
+                    k += 1
+                if counts(text[j : j + k]):
+                    gone.setdefault(name, set()).update(number[j : j + k])
+        if text and not counts(text) and any(text == before for _, _, before in docs[:m]):
+            gone.setdefault(name, set()).update(number)
     return gone
 
 
 def test_line_dedup(spark, odd_rows):
-    a, b, c, d = (words(s, 6) for s in range(110, 114))
-    rows = [(1, f"{a}\n{b}\n{c}"), (2, f"x\n{a}\n{b}\n{d}"), (3, f"{a}\n\n{b}"), (4, a), (9, a), (10, f"{b}\n{a}"), (11, "Of.\nIt."), (12, "Of.\nIt."), (13, f"{c}\n{d}\n{c}\n{d}\n{c}\n{d}"), *odd_rows[1:]]
+    a, b, c, d, e = (words(s, 6) for s in range(110, 115))
+    short = [w for w in words(115, 12).split()]
+    verse = "\n".join(short)
+    long = words(116, 60)
+    rows = [(1, f"{a}\n{b}\n{c}"), (2, f"x\n{a}\n{b}\n{d}"), (3, f"{a}\n\n{b}"), (4, a), (9, a), (10, f"{b}\n{a}"), (11, "Of.\nIt."), (12, "Of.\nIt."), (13, f"{c}\n{d}\n{c}\n{d}\n{c}\n{d}"),
+            (14, f"{e}\n{verse}"), (15, f"{b}\n{verse}\n{e}"), (16, "\n".join(short[:4])), (17, "y\n" + "\n".join(short[2:7])), (18, "\n".join([*short[:3], "z", *short[3:9]])), (19, f"{d}\n{long}"), (20, f"{long}\n{e}"), *odd_rows[1:]]
+    rng = np.random.default_rng(12)
+    pool = ["ab", "c", "defghij", a[:30], b, "k" * 49, "m" * 210]
+    rows += [(100 + i, "\n".join(pool[k] for k in rng.integers(0, 7, rng.integers(1, 14)))) for i in range(60)]
     docs = frame(spark, [(*r, 5) for r in rows], "doc_id long, text string, n_gone int")
     gone = brute_lines(rows)
     want = Counter()
@@ -443,6 +462,26 @@ def test_line_dedup(spark, odd_rows):
     assert got == want and linededup.dedup_lines(docs.where("false")).count() == 0
 
 
+def test_line_runs_say_what_they_repeat(spark):
+    a, b, c, d = (words(s, 6) for s in range(117, 121))
+    docs = frame(spark, [(1, f"{a}\n{b}\n{c}"), (2, f"x\n{a}\n{b}\n\n{c}\n{d}"), (3, f"{b}\n{c}\n{d}")])
+    assert sorted(tuple(r) for r in linededup.repeated_runs(docs).select("doc_id", "start", "lines", "of_doc", "of_start").collect()) == [(2, 1, 3, 1, 0), (3, 0, 2, 1, 1), (3, 1, 2, 2, 3)]
+
+
+def test_fingerprints_are_few_and_guaranteed(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    lines = linededup.line_hashes(docs)
+    windows = linededup.stretches(lines)
+    total, selected = lines.selectExpr("sum(size(l)) n").first().n, windows.select("doc_id", "at").distinct().count()
+    assert selected < 0.8 * total
+    # Windows of equal lines select the same line, so joined fingerprints lose none; those that stand once are never joined.
+    assert windows.groupBy("wh").agg({"fp": "min", "at": "count"}).count() == windows.select("wh", "fp").distinct().count()
+    joined = linededup.fingerprints(windows)
+    repeated = windows.groupBy("wh").count().where("count > 1")
+    assert windows.join(joined, "fp", "left_anti").join(repeated, "wh").count() == 0
+    assert windows.join(joined, "fp").count() < 0.7 * windows.count()
+
+
 def test_line_dedup_keeps_every_line_once(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     before = {x.strip(" ") for r in docs.collect() for x in r.text.split("\n")}
