@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: MinHash bands of fixed depth propose, exact set comparison decides."""
+"""N-gram Jaccard join: a MinHash LSH forest whose matched prefixes are shortened by measured recall proposes, exact set comparison decides."""
 
 from __future__ import annotations
 
@@ -18,6 +18,8 @@ LEAST = 0.8
 TREES = 16
 DEEPEST = 8
 TARGET = 0.999
+#: Lower ends of the strata of similarity in which recall is measured.
+STRATA = (0.8, 0.85, 0.9, 0.95)
 BLOCK = 1024
 
 
@@ -26,12 +28,17 @@ def recall(similarity: float, depth: int, trees: int = TREES) -> float:
     return 1 - (1 - similarity**depth) ** trees
 
 
-def shortest_prefix(least: float = LEAST, target: float = TARGET, trees: int = TREES, deepest: int = DEEPEST) -> int:
-    """Shorten the matched prefix from the full label until pairs at the threshold are met with the target recall."""
-    depth = deepest
-    while depth > 1 and recall(least, depth, trees) < target:
-        depth -= 1
-    return depth
+def next_depth(found: dict[int, tuple[float, list[float]]], depth: int, target: float = TARGET) -> int:
+    """How long a prefix may be, at most ``depth``, for each stratum of similarity to reach the target recall.
+
+    ``found`` has for a stratum the estimated number of links and, for prefixes of 1, 2, ... values, how many of them are met.
+    A stratum of which nothing was found gives no evidence; there the chance at its lower end counts.
+    """
+    for d in range(depth, 1, -1):
+        reached = [found[k][1][d - 1] / found[k][0] if k in found else recall(low, d) for k, low in enumerate(STRATA)]
+        if min(reached) >= target:
+            return d
+    return 1
 
 
 @lru_cache(1)
@@ -41,65 +48,56 @@ def _permutations() -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """TREES x DEEPEST MinHash values (high 32 bits of affine maps modulo 2^64)."""
+    """TREES x DEEPEST MinHash values (high 16 bits of affine maps modulo 2^64): a label of DEEPEST values for each tree."""
     a, b = _permutations()
     least = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(shingles), 256):
         np.minimum(least, (shingles[k : k + 256, None] * a + b).min(0), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32).reshape(TREES, DEEPEST)
+    return (least >> np.uint64(48)).astype(">u2").reshape(TREES, DEEPEST)
 
 
 def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``doc_id, rk, sid, n, sig, labels`` of every row.
+    """``doc_id, rk, sid, n, sig`` of every row.
 
     rk names a row (its key and text), sid a shingle set (64 bits of a hash of it), null without shingles; n counts
-    shingles; sig has 8 bits of each MinHash value, labels the hash of each tree's shortest matched prefix.
+    shingles; sig holds the labels of all trees, two bytes a value.
     """
-    depth = shortest_prefix()
     row = F.md5(F.concat_ws("\x00", F.col(key).cast("string"), F.length(text).cast("string"), F.col(text)))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), row.alias("rk"), F.col(text).alias("t"))
-    schema = "doc_id long, rk string, sid long, n int, sig binary, labels array<long>"
+    schema = "doc_id long, rk string, sid long, n int, sig binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in text_slices(whole, "t"):
-                sid, n, sig, labels = [], [], [], []
+                sid, n, sig = [], [], []
                 for t in b.column("t").to_pylist():
                     s = word_shingles(t, GRAM)
                     n.append(len(s))
-                    if not len(s):
-                        sid.append(None)
-                        sig.append(None)
-                        labels.append(None)
-                        continue
-                    m = signature(s)
-                    sid.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
-                    sig.append((m & 0xFF).astype(np.uint8).tobytes())
-                    acc = np.arange(TREES, dtype=np.uint64)
-                    for d in range(depth):
-                        acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + m[:, d])
-                    labels.append(acc.view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("rk"), pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(labels, pa.list_(pa.int64()))],
-                    names=["doc_id", "rk", "sid", "n", "sig", "labels"],
-                )
+                    sid.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None)
+                    sig.append(signature(s).tobytes() if len(s) else None)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rk"), pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(sig, pa.binary())], names=["doc_id", "rk", "sid", "n", "sig"])
 
     return rows.mapInArrow(run, schema)
 
 
-def _blocked(df: DataFrame, group: str, size: int = BLOCK) -> DataFrame:
-    """Spread the rows of each group over blocks of about ``size`` and send each row to all pairs of its block.
+def forest(sets: DataFrame) -> DataFrame:
+    """``tree, label, sid``: the tries of all trees, each set's label in each tree in sorted order; a node is a run of labels with one prefix."""
+    labels = F.array(*[F.substring("sig", 2 * DEEPEST * t + 1, 2 * DEEPEST) for t in range(TREES)])
+    rows = sets.select("sid", F.posexplode(labels).alias("tree", "label")).select("tree", "label", "sid")
+    return materialise(rows.repartitionByRange("tree", "label", "sid").sortWithinPartitions("tree", "label", "sid"), "forest")
+
+
+def _blocked(df: DataFrame, group: str, count: str, size: int = BLOCK) -> DataFrame:
+    """Spread the rows of each group, ``count`` of them, over blocks of about ``size`` and send each row to all pairs of its block.
 
     Adds ``task`` (a pair of blocks) and ``side``: 0 all rows meet, 1 and 2 only rows of different sides meet.
     """
-    counts = df.groupBy(group).agg(F.count("*").alias("_c"))
-    parts = F.ceil(F.col("_c") / size).cast("int")
-    df = df.join(counts, group).withColumn("_p", parts).withColumn("_s", F.when(F.col("_p") > 1, F.pmod(F.xxhash64("sid", F.lit(7)), F.col("_p"))).otherwise(F.lit(0)).cast("int"))
+    df = df.withColumn("_p", F.ceil(F.col(count) / size).cast("int")).withColumn("_s", F.when(F.col("_p") > 1, F.pmod(F.xxhash64("sid", F.lit(7)), F.col("_p"))).otherwise(F.lit(0)).cast("int"))
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("_p") - 1),
         lambda x: F.struct(F.xxhash64(F.col(group), F.least(x, F.col("_s")), F.greatest(x, F.col("_s"))).alias("task"), F.when(x == F.col("_s"), 0).when(x > F.col("_s"), 1).otherwise(2).alias("side")),
     )
-    return df.withColumn("_t", F.explode(pairs)).withColumns({"task": F.col("_t.task"), "side": F.col("_t.side")}).drop("_c", "_p", "_s", "_t")
+    return df.withColumn("_t", F.explode(pairs)).withColumns({"task": F.col("_t.task"), "side": F.col("_t.side")}).drop("_p", "_s", "_t")
 
 
 def _met(side: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -108,45 +106,86 @@ def _met(side: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return later & ((side[rows][:, None] == 0) & (side[None, :] == 0) | (side[rows][:, None] != side[None, :]))
 
 
-def candidate_edges(sets: DataFrame) -> DataFrame:
-    """Links ``src, dst`` that connect, within each subtree of a tree, the sets whose signatures leave the threshold open.
+def matched(trees: DataFrame, sets: DataFrame, depth: int) -> DataFrame:
+    """What meets under prefixes of ``depth`` values: links ``src, dst``, and sums ``stratum, prefix, met`` over the pairs.
 
-    Rows: ``sid, n, sig, labels``, one for each distinct set. Sets under one prefix are compared in blocks by signature and by
-    the sizes' ratio; a pair is open down to five standard deviations under the threshold. Only a spanning forest comes out.
+    Sets of one node are compared in blocks by signature and by the sizes' ratio; a pair is open down to five standard
+    deviations under the threshold. Only a spanning forest of the open pairs comes out. Each pair that looks like a link is counted in the
+    first tree in which it meets, by the inverse of its chance to meet at all (prefix 0) and by what other prefixes would have met of it.
     """
     hashes = TREES * DEEPEST
     open_from = int((LEAST - 5 * (LEAST * (1 - LEAST) / hashes) ** 0.5) * hashes)
-    branch = sets.select("sid", F.posexplode("labels").alias("tree", "label")).select("sid", F.xxhash64("tree", "label").alias("branch"))
-    full = branch.groupBy("branch").agg(F.count("*").alias("c")).where("c > 1").select("branch")
-    meeting = materialise(branch.join(full, "branch", "left_semi"), "branches")
-    rows = _blocked(meeting.join(sets.select("sid", "n", "sig"), "sid"), "branch")
+    node = trees.select("sid", "tree", F.xxhash64("tree", F.substring("label", 1, 2 * depth)).alias("node"))
+    full = materialise(node.groupBy("node").agg(F.count("*").alias("c")).where("c > 1"), "nodes")
+    meeting = materialise(join_hot(node, full, "node", "c"), "meeting")
+    rows = _blocked(meeting.join(sets.select("sid", "n", "sig"), "sid"), "node", "c")
+    chance = np.array([[recall(k / hashes, d) for d in range(1, DEEPEST + 1)] for k in range(hashes + 1)])
+    weight = np.concatenate([np.ones((hashes + 1, 1)), chance], 1) / np.maximum(chance[:, depth - 1 : depth], 1e-300)
+    stratum = np.searchsorted(STRATA, np.arange(hashes + 1) / hashes + 1e-9, side="right") - 1
 
     def run(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src, dst = [], []
+        sums = np.zeros((len(STRATA), DEEPEST + 1))
+
+        def links() -> pa.RecordBatch:
+            x, y = np.concatenate(src), np.concatenate(dst)
+            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.float64())], names=["src", "dst", "stratum", "prefix", "met"])
+
         for g in groups:
             m = g.num_rows
             sid, n, side = (g.column(c).to_numpy() for c in ("sid", "n", "side"))
-            sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint8).reshape(m, hashes)
+            tree = g.column("tree")[0].as_py()
+            sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint16).reshape(m, TREES, DEEPEST)
             found_a, found_b = [], []
             for k in range(0, m, 128):
                 some = np.arange(k, min(m, k + 128))
-                like = _met(side, some) & (10 * np.minimum(n[some, None], n) >= 10 * LEAST * np.maximum(n[some, None], n) - 1e-6)
-                a, b = np.nonzero(like)
-                if len(a):
-                    ok = (sig[some[a]] == sig[b]).sum(1) >= open_from if len(a) < 40_000 else np.concatenate([(sig[some[x]] == sig[y]).sum(1) >= open_from for x, y in zip(np.array_split(a, len(a) // 20_000), np.array_split(b, len(a) // 20_000), strict=True)])
-                    found_a.append(some[a[ok]])
-                    found_b.append(b[ok])
+                a, b = np.nonzero(_met(side, some) & (10 * np.minimum(n[some, None], n) >= 10 * LEAST * np.maximum(n[some, None], n) - 1e-6))
+                for at in range(0, len(a), 20_000):
+                    x, y = some[a[at : at + 20_000]], b[at : at + 20_000]
+                    equal = sig[x] == sig[y]
+                    count = equal.sum((1, 2))
+                    found_a.append(x[count >= open_from])
+                    found_b.append(y[count >= open_from])
+                    like = np.flatnonzero(stratum[count] >= 0)
+                    like = like[equal[like, :, :depth].all(2).argmax(1) == tree]
+                    np.add.at(sums, stratum[count[like]], weight[count[like]])
             if found_a:
                 x, y = local_spanning(m, np.concatenate(found_a), np.concatenate(found_b))
                 src.append(sid[x])
                 dst.append(sid[y])
             if sum(map(len, src)) > 50_000:
-                yield pa.RecordBatch.from_pydict({"src": np.concatenate(src), "dst": np.concatenate(dst)})
+                yield links()
                 src, dst = [], []
         if src:
-            yield pa.RecordBatch.from_pydict({"src": np.concatenate(src), "dst": np.concatenate(dst)})
+            yield links()
+        k, d = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.int64()), pa.array(k.astype(np.int32)), pa.array(d.astype(np.int32)), pa.array(sums[k, d])], names=["src", "dst", "stratum", "prefix", "met"])
 
-    return by_group(rows.select("task", "side", "sid", "n", "sig"), "task", run, "src long, dst long").distinct()
+    return by_group(rows.select("task", "side", "tree", "sid", "n", "sig"), "task", run, "src long, dst long, stratum int, prefix int, met double")
+
+
+def candidate_edges(sets: DataFrame, target: float = TARGET) -> tuple[DataFrame, list[tuple[int, dict[int, float]]]]:
+    """Links ``src, dst`` of sets that meet in the forest, and the recall that was measured at each prefix tried.
+
+    Rows: ``sid, n, sig``, one for each distinct set, a durable table. Prefixes begin at full length and are shortened until, in each stratum of
+    similarity, the links that met are at least ``target`` of all, estimated from those that met and their chance to meet.
+    Links found with longer prefixes stay.
+    """
+    trees = forest(sets)
+    depth, seen, edges = DEEPEST, [], None
+    while True:
+        out = materialise(matched(trees, sets, depth), "matched")
+        links = out.where("src is not null").select("src", "dst")
+        edges = links if edges is None else edges.union(links)
+        sums: dict[int, list[float]] = {}
+        for r in out.where("stratum is not null").groupBy("stratum", "prefix").agg(F.sum("met").alias("met")).collect():  # a row for each stratum and prefix
+            sums.setdefault(r["stratum"], [0.0] * (DEEPEST + 1))[r["prefix"]] = r["met"]
+        found = {k: (v[0], v[1:]) for k, v in sums.items()}
+        seen.append((depth, {k: v[1][depth - 1] / v[0] for k, v in found.items()}))
+        shorter = next_depth(found, depth, target)
+        if shorter == depth:
+            return edges.distinct(), seen
+        depth = shorter
 
 
 def common_counts(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
@@ -238,11 +277,15 @@ def join_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     Two documents are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more; equal sets are
     linked. n_links counts all other documents linked to the row, class_id is the least key of its connected component, and
     first marks the row that stays for its component (least key, then rk; of repeated equal rows all are marked). Rows
-    without shingles (null and blank texts) have no links and are a class each, named by their own key.
+    without shingles (null and blank texts) have no links and are a class each, named by their own key. Columns other than key and text play
+    no part, whatever their names; texts are compared whole; an empty table gives an empty result.
+
+    What one class costs: its G different sets are compared in blocks, so that each is sent G / BLOCK times, and exactly, since
+    n_links counts all of them; equal texts are one set. Classes of millions of different near copies need time in proportion to G squared.
     """
     sigs = materialise(signatures(docs, text, key), "signatures")
-    sets = materialise(sigs.where("sid is not null").groupBy("sid").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("labels").alias("labels"), F.min("rk").alias("rk")), "sets")
-    near = components(candidate_edges(sets)).select(F.col("node").alias("sid"), F.col("component").alias("comp"))
+    sets = materialise(sigs.where("sid is not null").groupBy("sid").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("rk").alias("rk"), F.min("doc_id").alias("key"), F.min(F.struct("doc_id", "rk")).alias("f")), "sets")
+    near = components(candidate_edges(sets)[0]).select(F.col("node").alias("sid"), F.col("component").alias("comp"))
     chosen = sets.select("sid", "n", "copies", "rk").join(near, "sid")
     row = F.md5(F.concat_ws("\x00", F.col(key).cast("string"), F.length(text).cast("string"), F.col(text)))
     texts = chosen.join(docs.select(row.alias("rk"), F.col(text).alias("t")), "rk").dropDuplicates(["rk"]).drop("rk")
@@ -257,11 +300,12 @@ def join_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     found = materialise(verified(materialise(shingled, "shingles")), "links")
     classes = components(found.where("other is not null").select(F.col("sid").alias("src"), F.col("other").alias("dst")))
     links = found.groupBy("sid").agg(F.sum("links").alias("links"))
-    rows = sigs.select("doc_id", "rk", "sid").join(classes.toDF("sid", "comp"), "sid", "left").join(links, "sid", "left").join(sets.select("sid", "copies"), "sid", "left")
-    rows = rows.select("doc_id", "rk", F.coalesce("comp", "sid").alias("comp"), (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    least = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "rk")).alias("f"))
-    out = rows.join(least, "comp", "left")
-    return out.select("doc_id", "rk", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "n_links", F.when(F.col("comp").isNull(), F.lit(True)).otherwise(F.struct("doc_id", "rk") == F.col("f")).alias("first"))
+    known = sets.select("sid", "copies", "key", "f").join(classes.toDF("sid", "comp"), "sid", "left").join(links, "sid", "left")
+    known = materialise(known.select("sid", "copies", "key", "f", F.coalesce("comp", "sid").alias("comp"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "known")
+    least = materialise(known.groupBy("comp").agg(F.min("key").alias("class_id"), F.min("f").alias("least"), F.count("*").alias("rows")), "classes")
+    each = materialise(join_hot(known.drop("key", "f"), least, "comp", "rows").select("sid", "copies", "class_id", "n_links", "least"), "each")
+    rows = join_hot(sigs.where("sid is not null").select("doc_id", "rk", "sid"), each, "sid", "copies").select("doc_id", "rk", "class_id", "n_links", (F.struct("doc_id", "rk") == F.col("least")).alias("first"))
+    return rows.unionByName(sigs.where("sid is null").select("doc_id", "rk", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first")))
 
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

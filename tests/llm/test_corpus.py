@@ -373,6 +373,7 @@ def near_copies(seed, n):
 def test_ngram_join(spark, odd_rows, monkeypatch, block):
     monkeypatch.setattr(ngramjoin, "BLOCK", block)
     monkeypatch.setattr(ngramjoin._blocked, "__defaults__", (block,))
+    monkeypatch.setattr(common, "HOT", 1000 if block > 5 else 10)
     rows = [(100 + i, t) for i, t in enumerate(near_copies(80, 23))] + [(200 + i, words(90 + i, 60)) for i in range(5)] + [(300, words(90, 60)), (301, words(90, 60).upper()), *odd_rows]
     docs = frame(spark, [(*r, 7) for r in rows], "doc_id long, text string, class_id int")
     got = [tuple(r) for r in ngramjoin.join_documents(docs).select("doc_id", "class_id", "n_links").collect()]
@@ -401,7 +402,42 @@ def test_ngram_join(spark, odd_rows, monkeypatch, block):
 
 def test_ngram_join_of_nothing(spark):
     assert ngramjoin.join_documents(frame(spark, [])).count() == 0
-    assert ngramjoin.recall(0.8, ngramjoin.shortest_prefix()) >= ngramjoin.TARGET and ngramjoin.shortest_prefix(target=1.1) == 1
+    assert ngramjoin.next_depth({}, 8) == 4 and ngramjoin.next_depth({}, 8, 1.1) == 1
+
+
+def test_forest_shortens_prefixes_to_the_measured_recall(spark):
+    """Pairs of known similarity: what meets under each prefix, the estimate, and the links of the whole join."""
+    rng = np.random.default_rng(14)
+    rows = []
+    for i in range(400):
+        base = words(200 + i, 100).split()
+        new = list(base)
+        for k in rng.choice(20, rng.choice([0, 1, 2, 2, 2, 3]), replace=False):  # each edit takes five shingles
+            new[5 * k + 2] = "edit"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(new))]
+    sets = {k: set(common.word_shingles(t).tolist()) for k, t in rows}
+    near = {k for k in range(0, 800, 2) if len(sets[k] & sets[k + 1]) >= 0.8 * len(sets[k] | sets[k + 1])}
+    exact = {k for k in near if sets[k] == sets[k + 1]}
+    docs = frame(spark, rows)
+    sigs = common.materialise(ngramjoin.signatures(docs), "signatures")
+    table = common.materialise(sigs.dropDuplicates(["sid"]).select("sid", "n", "sig"), "sets")
+    sid = {r.doc_id: r.sid for r in sigs.collect()}
+    trees = ngramjoin.forest(table)
+    assert trees.count() == ngramjoin.TREES * table.count()
+    met = {}
+    for depth in (8, 5, 3):
+        links = {frozenset((r.src, r.dst)) for r in ngramjoin.matched(trees, table, depth).where("src is not null").collect()}
+        met[depth] = {k for k in near - exact if frozenset((sid[k], sid[k + 1])) in links}
+    assert met[8] <= met[5] <= met[3] and len(met[8]) < len(met[3])
+    edges, seen = ngramjoin.candidate_edges(table)
+    depths = [d for d, _ in seen]
+    assert depths[0] == 8 and depths == sorted(set(depths), reverse=True) and 3 <= depths[-1] <= 6 and min(seen[-1][1].values()) >= 0.99
+    links = {frozenset((r.src, r.dst)) for r in edges.collect()}
+    found = {k for k in near - exact if frozenset((sid[k], sid[k + 1])) in links}
+    assert len(found) >= 0.99 * len(near - exact)
+    assert abs(len(met[8]) / len(near - exact) - sum(seen[0][1].values()) / len(seen[0][1])) < 0.06  # the estimate holds
+    got = {r.doc_id for r in ngramjoin.join_documents(docs).where("n_links > 0 and doc_id % 2 = 0").collect()}
+    assert got <= near and len(got) >= 0.99 * len(near)
 
 
 def test_components(spark):
