@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import join_hot, materialise
+
 
 class Rule(NamedTuple):
     name: str
@@ -72,6 +75,16 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
     return blobs.select("blob", F.explode(F.array_compact(F.array(*one))).alias("r")).select("blob", "r.*")
 
 
+def scan_increments(increments: Iterable[DataFrame], ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The ledger after some increments of versions: each is scanned for what the ledger before it lacks, and stored before the next."""
+    for versions in increments:
+        new = materialise(scan_unseen(versions, ledger, rules, text), "ledger")
+        ledger = new if ledger is None else ledger.unionByName(new)
+    if ledger is None:
+        raise ValueError("no increments and no ledger")
+    return ledger
+
+
 def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per blob that has any: counts ``n_<rule>`` and ``spans``, rule:start:end by start and then the rules' order."""
     order = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(r.name), F.lit(k))])
@@ -86,8 +99,15 @@ def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def report(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """Join findings back to all paths: every row of ``versions`` without its text, with counts and spans (0 and '' if none)."""
-    new = [*(f"n_{r.name}" for r in rules), "spans", "blob"]
-    paths = versions.withColumn("blob", address(F.col(text))).drop(text, *(c for c in new if c != "blob"))
-    out = paths.join(findings(ledger, rules), "blob", "left")
+    """Join findings back to all paths: every row of ``versions`` without its text, with ``blob``, counts ``n_<rule>`` and ``spans`` (0 and '' if none).
+
+    Columns of ``versions`` with these names are left out, others stay; repeated rows stay repeated; null is the empty blob and
+    has no findings; an empty table stays empty. A blob with very many paths is joined without a shuffle of its paths.
+    """
+    new = [*(f"n_{r.name}" for r in rules), "spans", "blob", "_copies"]
+    paths = versions.withColumn("_blob", address(F.col(text))).drop(text, *new).withColumnRenamed("_blob", "blob")
+    paths = materialise(paths, "paths")
+    copies = paths.groupBy("blob").agg(F.count("*").alias("_copies")).where("_copies > 1")
+    found = materialise(copies.join(findings(ledger, rules), "blob", "full").withColumn("_copies", F.coalesce("_copies", F.lit(1))), "findings")
+    out = join_hot(paths, found, "blob", "_copies", "left").drop("_copies")
     return out.withColumns({f"n_{r.name}": F.coalesce(f"n_{r.name}", F.lit(0).cast("long")) for r in rules} | {"spans": F.coalesce("spans", F.lit(""))})

@@ -547,6 +547,18 @@ def test_secrets(spark, odd_rows):
     assert got == want and secretscan.scan_unseen(docs.where("false")).count() == 0
 
 
+def test_increments_scan_each_pair_once(spark, monkeypatch):
+    docs = frame(spark, [(i, SECRETS[i % 7]) for i in range(40)] + [(50, None), (51, ""), (52, "clean")])
+    pairs = lambda x: {tuple(r) for r in x.selectExpr("blob", "rule", "to_json(spans)").collect()}
+    whole = pairs(secretscan.scan_unseen(docs))
+    ledger = secretscan.scan_increments([docs.where("doc_id < 3"), docs.where("doc_id < 20"), docs])
+    assert ledger.count() == len(whole) == 27 and pairs(ledger) == whole
+    monkeypatch.setattr(common, "HOT", 10)  # half of the blobs are hot
+    assert Counter((r.doc_id, r.spans) for r in secretscan.report(docs.union(docs), ledger).collect()) == Counter({(r.doc_id, brute_spans(r.text)): 2 for r in docs.collect()})
+    with pytest.raises(ValueError):
+        secretscan.scan_increments([])
+
+
 def test_ledger_scans_only_what_is_new(spark):
     old = frame(spark, [(1, SECRETS[0]), (2, SECRETS[3]), (3, None)])
     ledger = common.materialise(secretscan.scan_unseen(old), "ledger")
