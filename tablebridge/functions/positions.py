@@ -16,6 +16,14 @@ class Position:
     gtid: str = ""
 
 
+def server_id(job: str) -> int:
+    """A stream's number among a source's replicas: FNV-1a of 32 bits of the job's name, above 1000."""
+    h = 0x811C9DC5
+    for b in job.encode():
+        h = (h ^ b) * 0x01000193 & 0xFFFFFFFF
+    return 1000 + h % 4_000_000_000
+
+
 def parse_gtid(text: str) -> dict[str, list[tuple[int, int]]]:
     """``uuid:1-5:7,uuid2:3`` as closed, sorted, joined intervals by lower-case uuid."""
     out: dict[str, list[tuple[int, int]]] = {}
@@ -111,11 +119,20 @@ def reached_column(file: str, pos: str, asked: Position):
     return F.when(F.lit(asked.file == ""), F.lit(True)).when(F.col(file) == asked.file, F.col(pos) >= asked.pos).otherwise(later)
 
 
-def merge_intervals(df: DataFrame) -> DataFrame:
-    """Union of interval rows ``uuid, lo, hi`` as disjoint intervals (gaps and islands), for sets too large for one string."""
-    w = Window.partitionBy("uuid").orderBy("lo", "hi")
+def _islands(df: DataFrame, by: list[str]) -> DataFrame:
+    """Intervals that touch, within each group, as one."""
+    w = Window.partitionBy(*by).orderBy("lo", "hi")
     top = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = (top.isNull() | (F.col("lo") > top + 1)).cast("int")
-    marked = df.select(F.lower("uuid").alias("uuid"), "lo", "hi").withColumn("new", new)
+    marked = df.withColumn("new", (top.isNull() | (F.col("lo") > top + 1)).cast("int"))
     grouped = marked.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy("uuid", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")
+    return grouped.groupBy(*by, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")
+
+
+def merge_intervals(df: DataFrame, width: int = 1_000_000) -> DataFrame:
+    """Union of interval rows ``uuid, lo, hi`` as disjoint intervals (gaps and islands), for sets too large for one string.
+
+    A source has often one uuid alone, so intervals that begin in the same ``width`` numbers are merged first, in as many tasks as
+    there are ranges; only what is left of each range meets by uuid.
+    """
+    rows = df.select(F.lower("uuid").alias("uuid"), "lo", "hi", F.floor(F.col("lo") / width).alias("range"))
+    return _islands(_islands(rows, ["uuid", "range"]).select("uuid", "lo", "hi"), ["uuid"])

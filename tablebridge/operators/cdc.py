@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed value: statements that change a schema.
 DDL = r"(?is)^\s*(CREATE|ALTER|DROP|RENAME|TRUNCATE)\s+"
 
 
@@ -19,6 +20,21 @@ def committed(log: DataFrame, outcomes: DataFrame) -> DataFrame:
     return log.join(outcomes.where(F.lower("outcome") == "commit").select("txn_seq"), "txn_seq", "left_semi")
 
 
+def pair_updates(rows: DataFrame) -> DataFrame:
+    """A change log from rows as a source's log lists them: ``txn_seq, op_seq, kind, n, row``.
+
+    One event is ``op_seq`` with its rows in the order of ``n``. Rows of an insert are images after, of a delete images before; an
+    update's come in pairs, before and after, and a last one without its pair is left out. Result: a change log, op_seq ascending
+    over events and their rows. Rows are paired by their number, not collected, so an event of any size spreads.
+    """
+    one = F.when(F.col("kind") == "update", F.floor(F.col("n") / 2)).otherwise(F.col("n"))
+    first = (F.col("kind") != "update") | (F.col("n") % 2 == 0)
+    paired = rows.groupBy("txn_seq", "op_seq", "kind", one.alias("i")).agg(F.max(F.when(first, F.col("row"))).alias("a"), F.max(F.when(~first, F.col("row"))).alias("b"), F.count("*").alias("c"))
+    whole = paired.where("kind <> 'update' or c = 2")
+    before, after = F.when(F.col("kind") != "insert", F.col("a")), F.when(F.col("kind") == "insert", F.col("a")).when(F.col("kind") == "update", F.col("b"))
+    return whole.select("txn_seq", (F.col("op_seq") * 1_000_000 + F.col("i")).cast("long").alias("op_seq"), F.col("kind").alias("action"), before.alias("before"), after.alias("after"))
+
+
 def after_position(log: DataFrame, applied: int) -> DataFrame:
     """Replay skip: transactions up to the applied position are dropped."""
     return log.where(F.col("txn_seq") > applied)
@@ -82,26 +98,43 @@ def row_key(columns: list[str], row: str | None = None) -> Column:
     return F.sha2(F.to_json(F.struct(*[F.col(f"{row}.{c}" if row else c).alias(c) for c in columns]), {"ignoreNullFields": "false"}), 256)
 
 
+#: Row keys of a log (about 100 bytes each) up to which they are broadcast, so that the table isn't shuffled.
+BROADCAST_KEYS = 500_000
+
+
+def _touched(base: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows of the base (left_semi) or all others (left_anti) by the row keys of a log.
+
+    The keys are counted first; a few are broadcast. More are joined by shuffle with the base on the left, of which adaptive execution
+    splits a key with very many equal rows over several tasks.
+    """
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return base.withColumn("rk", row_key(base.columns)).join(F.broadcast(keys) if few else keys, "rk", how)
+
+
 def conflicts(base: DataFrame, log: DataFrame) -> DataFrame:
     """Changes that meet no row: ``txn_seq, op_seq, action, row_hash``, where the row's balance falls below zero.
 
-    The balance starts at the row's count in the base, which is counted for rows of the log alone.
+    The balance starts at the row's count in the base, which is counted for rows of the log alone; equal rows fall together
+    before the shuffle.
     """
-    cols = base.columns
-    deltas = keyless_deltas(log).withColumn("rk", row_key(cols, "row"))
-    counts = base.withColumn("rk", row_key(cols)).join(deltas.select("rk").distinct(), "rk", "left_semi").groupBy("rk").agg(F.count("*").alias("n"))
+    deltas = keyless_deltas(log).withColumn("rk", row_key(base.columns, "row"))
+    counts = _touched(base, deltas.where("d < 0").select("rk").distinct(), "left_semi").groupBy("rk").agg(F.count("*").alias("n"))
     w = Window.partitionBy("rk").orderBy("txn_seq", "op_seq", "sub").rowsBetween(Window.unboundedPreceding, 0)
     run = deltas.withColumn("sum", F.sum("d").over(w)).join(counts, "rk", "left").withColumn("balance", F.coalesce("n", F.lit(0)) + F.col("sum"))
     return run.where((F.col("d") < 0) & (F.col("balance") < 0)).select("txn_seq", "op_seq", "action", F.col("rk").alias("row_hash"))
 
 
 def apply_keyless(base: DataFrame, log: DataFrame) -> DataFrame:
-    """The multiset after the log, which must have no conflict: only rows of the log are counted, all others pass through."""
+    """The multiset after the log, which must have no conflict: only rows of the log are counted, all others pass through.
+
+    Rows that only come are appended; the base is held against the keys of rows that leave.
+    """
     cols = base.columns
     net = keyless_deltas(log).withColumn("rk", row_key(cols, "row")).groupBy("rk").agg(F.sum("d").alias("d"), F.any_value("row").alias("row")).where("d <> 0")
-    marked = base.withColumn("rk", row_key(cols))
-    still = marked.join(net.select("rk"), "rk", "left_anti").drop("rk")
-    counts = marked.join(net.select("rk"), "rk", "left_semi").groupBy("rk").agg(F.count("*").alias("n"))
+    fewer = net.where("d < 0")
+    still = _touched(base, fewer.select("rk"), "left_anti").drop("rk")
+    counts = _touched(base, fewer.select("rk"), "left_semi").groupBy("rk").agg(F.count("*").alias("n"))
     after = net.join(counts, "rk", "left").withColumn("n", F.coalesce("n", F.lit(0)) + F.col("d")).where("n > 0")
     again = after.select(*[F.col(f"row.{c}").alias(c) for c in cols], F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("_i")).drop("_i")
     return still.unionByName(again)
@@ -116,10 +149,25 @@ def cut(logs: list[DataFrame], stops: list[DataFrame], boundary: int | None = No
     return [x.crossJoin(F.broadcast(least)).where(F.col("stop").isNull() | (F.col("txn_seq") < F.col("stop"))).drop("stop") for x in logs]
 
 
-def change_stats(log: DataFrame) -> DataFrame:
-    """One row of totals: inserts, updates, deletes, transactions, last position."""
+def batch_stats(log: DataFrame) -> DataFrame:
+    """``txn_seq, inserts, updates, deletes, skipped, warnings`` of each transaction; optional columns skipped and warnings mark its changes."""
     of = lambda a: F.count_if(F.col("action") == a)
-    return log.agg(of("insert").alias("inserts"), of("update").alias("updates"), of("delete").alias("deletes"), F.count_distinct("txn_seq").alias("txns"), F.max("txn_seq").alias("last_txn"), F.lit(0).cast("long").alias("skipped"), F.lit(0).cast("long").alias("warnings"))
+    marked = lambda c: F.count_if(F.col(c)) if c in log.columns else F.lit(0).cast("long")
+    return log.groupBy("txn_seq").agg(of("insert").alias("inserts"), of("update").alias("updates"), of("delete").alias("deletes"), marked("skipped").alias("skipped"), marked("warnings").alias("warnings"))
+
+
+def change_stats(batches: DataFrame) -> DataFrame:
+    """One row of totals: all counts add up, the last position stays."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("inserts", "updates", "deletes", "skipped", "warnings")]
+    return batches.agg(*sums, F.count_distinct("txn_seq").alias("txns"), F.max("txn_seq").alias("last_txn"))
+
+
+def lag_peaks(stats: DataFrame) -> DataFrame:
+    """``job, samples, max_lag, last_lag, caught_up_at`` of lag samples ``job, at, lag_seconds``: the peak, the last one, and since when there is none."""
+    late = F.max(F.when(F.col("lag_seconds") > 0, F.col("at")))
+    peaks = stats.groupBy("job").agg(F.count("*").alias("samples"), F.max("lag_seconds").alias("max_lag"), F.max_by("lag_seconds", "at").alias("last_lag"), late.alias("late"), F.min("at").alias("began"))
+    after = stats.join(peaks.select("job", "late"), "job").where("late is null or at > late").groupBy("job").agg(F.min("at").alias("caught_up_at"))
+    return peaks.join(after, "job", "left").select("job", "samples", "max_lag", "last_lag", "caught_up_at")
 
 
 def choose_locators(tables: DataFrame, source_indexes: DataFrame, target_sets: DataFrame) -> DataFrame:
@@ -134,3 +182,21 @@ def choose_locators(tables: DataFrame, source_indexes: DataFrame, target_sets: D
     best = usable.groupBy("table_name").agg(F.min_by(F.struct("is_primary", "index_name", "columns"), rank).alias("x"))
     kind = F.when(F.col("x").isNull(), "full_row").when(F.col("x.is_primary"), "primary_key").otherwise("unique_key")
     return tables.select("table_name").join(best, "table_name", "left").select("table_name", kind.alias("strategy"), F.coalesce("x.index_name", F.lit("")).alias("index_name"), F.coalesce("x.columns", F.array().cast("array<string>")).alias("columns"))
+
+
+#: Version of the rules by which choose_locators() chooses.
+LOCATOR_VERSION = 1
+
+
+def frozen_locators(frozen: DataFrame, chosen: DataFrame, version: int = LOCATOR_VERSION) -> DataFrame:
+    """Locators of a job that goes on: what was frozen with it stays, also where the rules would choose otherwise now.
+
+    frozen: choose_locators() columns and ``version``; tables without a frozen locator take the one chosen, and one that was frozen by other
+    rules is an error. Adds ``version`` and ``problem`` ('', or changed, gone, other_version).
+    """
+    cols = ["strategy", "index_name", "columns"]
+    old = frozen.select("table_name", F.struct(*cols).alias("f"), F.col("version").alias("fv"))
+    both = chosen.select("table_name", F.struct(*cols).alias("c")).join(old, "table_name", "full")
+    problem = F.when(F.col("fv").isNull(), "").when(F.col("fv") != version, "other_version").when(F.col("c").isNull(), "gone").when(F.col("f") != F.col("c"), "changed").otherwise("")
+    use = F.coalesce("f", "c")
+    return both.select("table_name", *[use[c].alias(c) for c in cols], F.coalesce("fv", F.lit(version)).alias("version"), problem.alias("problem"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,11 +22,46 @@ def settings_problems(settings: DataFrame) -> DataFrame:
     return both.where(F.col("value").isNull() | ~F.array_contains("wanted", F.col("value"))).select("name", F.coalesce("value", F.lit("")).alias("value"), F.when(F.col("value").isNull(), "missing").otherwise("wrong").alias("problem"))
 
 
-def missing_grants(grants: DataFrame) -> DataFrame:
-    """Needed privileges that no grant line holds; ALL PRIVILEGES holds all."""
-    need = grants.sparkSession.createDataFrame([(g,) for g in GRANTS], "privilege string")
-    has = grants.select(F.upper("line").alias("line"))
-    return need.join(has, F.col("line").contains(F.col("privilege")) | F.col("line").contains("ALL PRIVILEGES"), "left_anti")
+def privileges(grants: DataFrame) -> DataFrame:
+    """``privilege, scope`` of grant lines ``GRANT a, b (columns) ON scope TO user``; a line of another form holds none."""
+    line = F.regexp_replace(F.upper(F.trim("line")), r"\([^)]*\)|`", "")
+    part = F.regexp_extract(line, r"^GRANT\s+(.+?)\s+ON\s+(?:TABLE\s+)?(\S+)\s+TO\s", 1), F.regexp_extract(line, r"^GRANT\s+(.+?)\s+ON\s+(?:TABLE\s+)?(\S+)\s+TO\s", 2)
+    rows = grants.select(F.explode(F.split(part[0], r"\s*,\s*")).alias("privilege"), part[1].alias("scope")).where("privilege <> ''")
+    return rows.select(F.regexp_replace(F.trim("privilege"), r"\s+", " ").alias("privilege"), "scope").distinct()
+
+
+def missing_grants(grants: DataFrame, needed: tuple[str, ...] = GRANTS) -> DataFrame:
+    """Needed privileges that no line grants on everything; ALL PRIVILEGES holds all, one on a single database or table does not count."""
+    need = grants.sparkSession.createDataFrame([(g,) for g in needed], "privilege string")
+    has = privileges(grants).where("scope = '*.*'").select(F.col("privilege").alias("p"))
+    return need.join(has, (F.col("p") == F.col("privilege")) | F.col("p").isin("ALL", "ALL PRIVILEGES"), "left_anti")
+
+
+def preflight(settings: DataFrame, grants: DataFrame, tables: DataFrame, source_cols: DataFrame, target_cols: DataFrame, retention: int | None, start: str = "", lower: bool = False, reserved: str = "_checkpoint") -> DataFrame:
+    """All that is to be known before a stream starts, as one relation ``severity, kind, name, detail``.
+
+    Errors: settings, grants, an unusable start position (``start``: why, or ''), tables that the target lacks or whose columns do not
+    fit, and names that the target keeps for itself. Warnings: a log kept for less than three days or an unknown time, and tables without key.
+    tables: ``table_name, has_key``; columns as for target_compatibility().
+    """
+    from .jobs import target_compatibility
+
+    spark = settings.sparkSession
+    name = F.lower("table_name") if lower else F.col("table_name")
+    row = lambda df, severity, kind, name, detail: df.select(F.lit(severity).alias("severity"), F.lit(kind).alias("kind"), name.alias("name"), detail.alias("detail"))
+    none = F.lit("")
+    there = target_cols.select(F.col("table_name").alias("t")).distinct()
+    wanted = tables.select("table_name", name.alias("t"), "has_key")
+    cols = source_cols.withColumn("table_name", name).join(there.select(F.col("t").alias("table_name")), "table_name", "left_semi")
+    plain = [("error", "start", "", start)] if start else []
+    if (text := retention_warning(retention)) or retention is None:
+        plain.append(("warning", "retention", "", text or "unknown"))
+    return reduce(DataFrame.unionByName, [
+        row(settings_problems(settings), "error", "setting", F.col("name"), F.col("problem")), row(missing_grants(grants), "error", "grant", F.col("privilege"), none),
+        row(wanted.join(there, "t", "left_anti"), "error", "missing_table", F.col("table_name"), none), row(target_compatibility(cols, target_cols), "error", "column", F.concat_ws(".", "table_name", "column_name"), F.col("problem")),
+        row(wanted.where(F.col("t") == reserved), "error", "reserved_name", F.col("table_name"), none), row(tables.where("not has_key"), "warning", "no_key", F.col("table_name"), none),
+        spark.createDataFrame(plain, "severity string, kind string, name string, detail string"),
+    ])
 
 
 def retention_warning(seconds: int | None) -> str:

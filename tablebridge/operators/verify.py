@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,16 +67,44 @@ def digest_by_range(df: DataFrame, bucket: Column, order: list[str], columns: li
     return rows.groupBy("bucket").agg(F.count("*").alias("row_count"), F.sha2(F.unhex(listed), 256).alias("digest"))
 
 
+def chained_digest(df: DataFrame, bucket: Column, order: list[str], columns: list[str] | None = None) -> DataFrame:
+    """One row ``row_count, digest``: SHA-256 over the buckets' ordered digests in bucket order, for tables of any size.
+
+    Equal tables have equal digests if they are cut by the same function of the key; no value holds more than a bucket or one digest a bucket.
+    """
+    return digest_by_range(df, bucket, order, columns).agg(
+        F.sum("row_count").alias("row_count"), F.sha2(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda x: x["digest"]), "")), 256).alias("digest")
+    )
+
+
+# What orders the rows of a table of each kind.
+ORDER_KEYS = {"composite": ["tenant_id", "id"], "unique": ["code"], "keyless": []}
+
+
+def order_key(kind: str) -> list[str]:
+    """Columns that a digest orders by; [] means that only a multiset digest fits."""
+    return ORDER_KEYS.get(kind, ["id"])
+
+
+def digest_of_kind(df: DataFrame, kind: str, columns: list[str] | None = None) -> DataFrame:
+    key = order_key(kind)
+    return ordered_digest(df, key, columns) if key else multiset_digest(df, columns)
+
+
 def multiset_lanes(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row: count, and sum and xor modulo 2^64 of the four 64-bit lanes of all row hashes. Partial sums before the shuffle."""
-    rows = df.select(row_hash(df, columns).alias("h"))
-    lane = [F.conv(F.substring("h", 16 * i + 1, 16), 16, 10).cast("decimal(20,0)") for i in range(4)]
-    rows = rows.select(*[v.alias(f"l{i}") for i, v in enumerate(lane)])
-    signed = [F.when(F.col(f"l{i}") >= _big(2**63), F.col(f"l{i}") - _big(TWO64)).otherwise(F.col(f"l{i}")).cast("bigint") for i in range(4)]
-    total = [F.coalesce(F.sum(F.col(f"l{i}").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")) % _big(TWO64) for i in range(4)]
-    xor = [F.coalesce(F.expr(f"bit_xor(x{i})"), F.lit(0)) for i in range(4)]
-    rows = rows.select("*", *[s.alias(f"x{i}") for i, s in enumerate(signed)])
-    return rows.agg(F.count("*").alias("row_count"), *[t.cast("decimal(20,0)").alias(f"sum{i}") for i, t in enumerate(total)], *[x.alias(f"xor{i}") for i, x in enumerate(xor)])
+    """One row: count, and sum and xor modulo 2^64 of the four 64-bit lanes of all row hashes.
+
+    Halves of 32 bits are summed as integers within each partition, where they can't overflow, and put together as decimals after that.
+    """
+    halves = [f"h{i}" for i in range(8)]
+    rows = df.select(row_hash(df, columns).alias("h"), F.spark_partition_id().alias("p"))
+    rows = rows.select("p", *[F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("bigint").alias(c) for i, c in enumerate(halves)])
+    parts = rows.groupBy("p").agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{c}") for c in halves], *[F.expr(f"bit_xor({c})").alias(f"x{c}") for c in halves])
+    wide = lambda c: F.coalesce(F.sum(F.col(c).cast("decimal(28,0)")), F.lit(0)).cast("decimal(28,0)")
+    both = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), *[wide(f"s{c}").alias(f"s{c}") for c in halves], *[F.coalesce(F.expr(f"bit_xor(x{c})"), F.lit(0)).alias(f"x{c}") for c in halves])
+    total = [((F.col(f"sh{2 * i}") % _big(2**32)) * _big(2**32) + F.col(f"sh{2 * i + 1}")) % _big(TWO64) for i in range(4)]
+    xor = [F.shiftleft(f"xh{2 * i}", 32).bitwiseOR(F.col(f"xh{2 * i + 1}")) for i in range(4)]
+    return both.select("row_count", *[t.cast("decimal(20,0)").alias(f"sum{i}") for i, t in enumerate(total)], *[x.alias(f"xor{i}") for i, x in enumerate(xor)])
 
 
 def multiset_digest(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -116,11 +144,26 @@ def out_of_scope(target_tables: DataFrame, allowed: DataFrame) -> DataFrame:
     return target_tables.join(allowed, "table_name", "left_anti")
 
 
+def _order_bucket(v: Column) -> Column:
+    """A whole number that never falls as a numeric value grows, sixteen for each doubling: cuts any range of values without looking at them."""
+    return (F.signum(v) * F.floor(F.log2(F.abs(v.cast("double")) + 1) * 16)).cast("int")
+
+
 def floor_percentiles(df: DataFrame, group: list[str], value: str, ps: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Element at place floor((n - 1) p) of the sorted values, exactly, by ranks: no group is collected."""
-    from pyspark.sql import Window
+    """Element at place floor((n - 1) p) of the sorted numeric values, exactly.
 
-    w = Window.partitionBy(*group)
-    ranked = df.where(F.col(value).isNotNull()).select(*group, value, (F.row_number().over(w.orderBy(value)) - 1).alias("_r"), F.count("*").over(w).alias("_n"))
-    cols = [F.max(F.when(F.col("_r") == F.floor((F.col("_n") - 1) * p), F.col(value))).alias(f"p{round(p * 100)}") for p in ps]
+    Equal values are counted before the shuffle; distinct values are ranked within buckets of the value, whose counts before them
+    are summed up over the few buckets of a group. So a group of any size is no single task.
+    """
+    known = df.where(F.col(value).isNotNull())
+    counts = known.groupBy(*group, value).agg(F.count("*").alias("_c")).withColumn("_b", _order_bucket(F.col(value)))
+    buckets = known.groupBy(*group, _order_bucket(F.col(value)).alias("_b")).agg(F.count("*").alias("_in"))
+    every = Window.partitionBy(*group)
+    before = F.sum("_in").over(every.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_in")
+    buckets = buckets.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_b").alias("_bb"), before.alias("_before"), F.sum("_in").over(every).alias("_n"))
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)], F.col("_b") == F.col("_bb"))
+    w = Window.partitionBy(*group, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.join(buckets, same).withColumn("_to", F.col("_before") + F.sum("_c").over(w))
+    place = lambda p: F.floor((F.col("_n") - 1) * p)
+    cols = [F.max(F.when((place(p) < F.col("_to")) & (place(p) >= F.col("_to") - F.col("_c")), F.col(value))).alias(f"p{round(p * 100)}") for p in ps]
     return ranked.groupBy(*group).agg(F.max("_n").alias("n"), *cols)

@@ -52,6 +52,32 @@ def action(seq: Column) -> Column:
     return F.when(m <= 5, "insert").when(m <= 7, "update").when(m == 8, "delete").otherwise("rollback")
 
 
+def pick_tables(seqs: DataFrame, tables: DataFrame, hot: int = 80) -> DataFrame:
+    """``seq, table_name`` of writes: four of five go to the hottest hundredth of the tables, the rest to any; the number alone decides."""
+    ranked = tables.select("table_name", (F.row_number().over(Window.orderBy(F.desc("rows"), "table_name")) - 1).alias("place"), F.count("*").over(Window.partitionBy()).alias("n"))
+    few = F.greatest(F.lit(1), F.floor(F.col("all") / 100))
+    want = seqs.crossJoin(F.broadcast(tables.agg(F.count("*").alias("all")))).withColumn("of", F.when(F.pmod("seq", F.lit(100)) < hot, few).otherwise(F.col("all")))
+    return want.withColumn("place", F.pmod(F.floor(F.col("seq") / 100) + F.col("seq") * 7919, F.col("of"))).join(ranked.select("table_name", "place"), "place").select("seq", "table_name")
+
+
+def boundary_fixtures(tables: DataFrame, first: int) -> DataFrame:
+    """Ledger rows ``seq, txn, table_name, action, row_id, committed`` of transactions that test the bounds.
+
+    One over the first two tables with a plain key, one that is rolled back, and for the first table of each kind with a key one that moves a
+    row's key. Tables: ``i, table_name, kind``.
+    """
+    plain = tables.where("kind in ('primary', 'wide')").orderBy("i").limit(2).select("i", "table_name")
+    if plain.count() < 2:
+        return tables.sparkSession.createDataFrame([], "seq long, txn string, table_name string, action string, row_id long, committed boolean")
+    both = plain.select(F.lit(first).cast("long").alias("seq"), F.lit(f"cross-{first}").alias("txn"), "table_name", F.lit("insert").alias("action"), F.lit(first).cast("long").alias("row_id"), F.lit(True).alias("committed"))
+    back = plain.orderBy("i").limit(1).select(F.lit(first + 1).cast("long").alias("seq"), F.lit(f"rollback-{first + 1}").alias("txn"), "table_name", F.lit("insert").alias("action"), F.lit(first + 1).cast("long").alias("row_id"), F.lit(False).alias("committed"))
+    kinds = F.array_position(F.array(*[F.lit(k) for k in ("primary", "composite", "unique")]), F.col("kind"))
+    firsts = tables.where(kinds > 0).groupBy(kinds.alias("k"), "kind").agg(F.min_by("table_name", "i").alias("table_name"))
+    seq = F.row_number().over(Window.orderBy("k")) + first + 1
+    moved = firsts.withColumn("seq", seq.cast("long")).select("seq", F.concat(F.lit("locator-"), F.col("seq").cast("string")).alias("txn"), "table_name", F.lit("locator_update").alias("action"), (F.col("seq") + F.when(F.col("kind") == "primary", 1_000_000_000).otherwise(0)).alias("row_id"), F.lit(True).alias("committed"))
+    return both.unionByName(back).unionByName(moved)
+
+
 def rows(spark: SparkSession, table: int, n: int, run: str = "run") -> DataFrame:
     """The rows of a generated table."""
     r = F.col("id")

@@ -194,9 +194,55 @@ def cdc_boundary(spark: SparkSession, sf: str) -> DataFrame:
     return cdc.cut([order_log(spark, sf)], [], boundary=250)[0].agg(F.count("*").alias("applied"), F.max("txn_seq").alias("last_txn"))
 
 
-@query("SELECT count_if(o_orderkey % 10 <= 5) AS inserts, count_if(o_orderkey % 10 IN (6, 7, 9)) AS updates, count_if(o_orderkey % 10 = 8) AS deletes, count(*) AS txns, max(o_orderkey) AS last_txn, CAST(0 AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS warnings FROM orders")
+@query("SELECT count_if(o_orderkey % 10 <= 5) AS inserts, count_if(o_orderkey % 10 IN (6, 7, 9)) AS updates, count_if(o_orderkey % 10 = 8) AS deletes, count_if(o_orderkey % 7 = 0) AS skipped, count_if(o_totalprice > 100000) AS warnings, count(*) AS txns, max(o_orderkey) AS last_txn FROM orders")
 def cdc_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return cdc.change_stats(order_log(spark, sf))
+    """Counts of transactions add up; every seventh was applied before, dear orders are warned of."""
+    log = order_log(spark, sf)
+    marked = log.withColumns({"skipped": F.pmod("txn_seq", F.lit(7)) == 0, "warnings": F.coalesce("before.o_totalprice", "after.o_totalprice") > 100000})
+    return cdc.change_stats(cdc.batch_stats(marked))
+
+
+@query("""WITH s AS (SELECT user_id AS job, ts AS seen, greatest(0, event_id % 40 - 20) AS behind FROM events), m AS (SELECT job, max(seen) FILTER (WHERE behind > 0) AS late FROM s GROUP BY job)
+SELECT s.job, count(*) AS samples, max(behind) AS max_lag, arg_max(behind, seen) AS last_lag, min(seen) FILTER (WHERE late IS NULL OR seen > late) AS caught_up_at FROM s JOIN m USING (job) GROUP BY s.job""")
+def lag_peaks(spark: SparkSession, sf: str) -> DataFrame:
+    e = load(spark, sf, "events").select(F.col("user_id").alias("job"), F.col("ts").alias("at"), F.greatest(F.lit(0), F.col("event_id") % 40 - 20).alias("lag_seconds"))
+    return cdc.lag_peaks(e)
+
+
+@query("""WITH x AS (SELECT l_orderkey AS txn_seq, l_linenumber AS n, min(l_partkey) AS p FROM lineitem GROUP BY ALL), y AS (SELECT *, unnest(range(0, CASE n % 3 WHEN 1 THEN 2 ELSE 5 END)) AS i FROM x)
+SELECT txn_seq, CAST(1000000 * n + i AS BIGINT) AS op_seq, CASE n % 3 WHEN 0 THEN 'insert' WHEN 1 THEN 'update' ELSE 'delete' END AS action, CASE n % 3 WHEN 1 THEN p + 2 * i WHEN 2 THEN p + i END AS old_part, CASE n % 3 WHEN 0 THEN p + i WHEN 1 THEN p + 2 * i + 1 END AS new_part FROM y""")
+def cdc_pair_updates(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of five rows each: those of an update are two pairs and one row without its pair."""
+    x = load(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    kind = F.element_at(F.array(F.lit("insert"), F.lit("update"), F.lit("delete")), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    rows = x.select(F.col("l_orderkey").alias("txn_seq"), F.col("l_linenumber").cast("long").alias("op_seq"), kind.alias("kind"), "p", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("n"))
+    log = cdc.pair_updates(rows.select("txn_seq", "op_seq", "kind", "n", F.struct((F.col("p") + F.col("n")).alias("part")).alias("row")))
+    return log.select("txn_seq", "op_seq", "action", F.col("before.part").alias("old_part"), F.col("after.part").alias("new_part"))
+
+
+@query("SELECT * FROM (VALUES ('a', 'unique_key', 'uq', ['x'], 1, ''), ('b', 'primary_key', 'PRIMARY', ['id'], 1, 'changed'), ('c', 'full_row', '', [], 0, 'other_version'), ('d', 'primary_key', 'PRIMARY', ['id'], 1, 'gone'), ('e', 'full_row', '', [], 1, '')) v(table_name, strategy, index_name, columns, version, problem)")
+def locator_freeze(spark: SparkSession, sf: str) -> DataFrame:
+    old = spark.sql("SELECT * FROM VALUES ('a', 'unique_key', 'uq', array('x'), 1), ('b', 'primary_key', 'PRIMARY', array('id'), 1), ('c', 'full_row', '', cast(array() as array<string>), 0), ('d', 'primary_key', 'PRIMARY', array('id'), 1) AS v(table_name, strategy, index_name, columns, version)")
+    new = spark.sql("SELECT * FROM VALUES ('a', 'unique_key', 'uq', array('x')), ('b', 'unique_key', 'uq', array('x')), ('c', 'full_row', '', cast(array() as array<string>)), ('e', 'full_row', '', cast(array() as array<string>)) AS v(table_name, strategy, index_name, columns)")
+    return cdc.frozen_locators(old, new)
+
+
+@query("SELECT max(o_orderkey) AS head, max(o_orderkey) FILTER (WHERE o_orderkey <= 300) AS applied, count_if(o_orderkey <= 300 AND o_orderkey % 10 = 6) AS marked FROM orders")
+def stream_boundary(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream that stops at a boundary; the source's head stays ahead of it."""
+    root = shared(spark)
+    orders, log = load(spark, sf, "orders"), order_log(spark, sf)
+    store = TableStore(spark, f"{root}/store")
+    store.commit(store.latest(), {"orders": store.stage("orders", orders)}, -1)
+    row = T.StructType([T.StructField(f.name, f.dataType) for f in orders.schema])
+    full = log.select("txn_seq", "op_seq", F.lit("orders").alias("table_name"), "action", "before", "after", F.lit("").alias("statement"))
+    empty = F.lit(None).cast(row)
+    ends = log.select("txn_seq", F.lit(99).alias("op_seq"), F.lit("").alias("table_name"), F.lit("commit").alias("action"), empty.alias("before"), empty.alias("after"), F.lit("").alias("statement"))
+    full.unionByName(ends).write.json(f"{root}/log")
+    control = streaming.Control(boundary=300)
+    streaming.stream(spark, store, f"{root}/log", streaming.log_schema(row), {"orders": ["o_orderkey"]}, f"{root}/checkpoint", control=control).awaitTermination()
+    marked = store.read("orders").where(f"o_orderkey < {SHIFT}").agg(F.count_if((F.col("o_orderstatus") == "X") & (F.pmod("o_orderkey", F.lit(10)) == 6)).alias("marked"))
+    return streaming.head_of(spark, f"{root}/log", streaming.log_schema(row)).crossJoin(marked).withColumn("applied", F.lit(control.position).cast("long"))
 
 
 @query("WITH e AS (SELECT max(ts) AS head, max(ts) FILTER (WHERE event_id < 9000) AS applied FROM events) SELECT applied >= head AS caught_up, CASE WHEN applied >= head THEN 0 ELSE epoch(head) - epoch(applied) END::BIGINT AS lag_seconds FROM (SELECT date_trunc('second', head) AS head, date_trunc('second', applied) AS applied FROM e)")
@@ -271,6 +317,18 @@ def digest_by_range(spark: SparkSession, sf: str) -> DataFrame:
     return verify.digest_by_range(o, F.floor(F.col("o_orderkey") / 1000), ["o_orderkey"], ["o_orderkey", "o_orderstatus"])
 
 
+@query(f"SELECT sum(n)::BIGINT AS row_count, sha256(unhex(string_agg(d, '' ORDER BY bucket))) AS digest FROM (SELECT o_orderkey // 1000 AS bucket, count(*) AS n, sha256(unhex(string_agg(h, '' ORDER BY o_orderkey))) AS d FROM (SELECT o_orderkey, {_sql_hash(['CAST(o_orderkey AS VARCHAR)', 'o_orderstatus'])} AS h FROM orders) GROUP BY 1)")
+def digest_chained(spark: SparkSession, sf: str) -> DataFrame:
+    return verify.chained_digest(load(spark, sf, "orders"), F.floor(F.col("o_orderkey") / 1000), ["o_orderkey"], ["o_orderkey", "o_orderstatus"])
+
+
+@query(f"SELECT 'unique' AS kind, count(*) AS row_count, sha256(unhex(string_agg(h, '' ORDER BY code))) AS digest FROM (SELECT n_name AS code, {_sql_hash(['n_name', 'CAST(n_regionkey AS VARCHAR)'])} AS h FROM nation) UNION ALL SELECT 'primary', count(*), sha256(unhex(string_agg(h, '' ORDER BY id))) FROM (SELECT n_nationkey AS id, {_sql_hash(['CAST(n_nationkey AS VARCHAR)', 'n_name'])} AS h FROM nation)")
+def digest_order_by_kind(spark: SparkSession, sf: str) -> DataFrame:
+    n = load(spark, sf, "nation")
+    one = lambda df, kind: verify.digest_of_kind(df, kind).withColumn("kind", F.lit(kind))
+    return one(n.select(F.col("n_name").alias("code"), "n_regionkey"), "unique").unionByName(one(n.select(F.col("n_nationkey").alias("id"), "n_name"), "primary"))
+
+
 _LANES = ", ".join(f"CAST(sum(CAST(('0x' || substr(h, {16 * i + 1}, 16))::UBIGINT AS HUGEINT)) % 18446744073709551616 AS DECIMAL(20,0)) AS sum{i}, CAST(CASE WHEN bit_xor(('0x' || substr(h, {16 * i + 1}, 16))::UBIGINT) >= 9223372036854775808 THEN CAST(bit_xor(('0x' || substr(h, {16 * i + 1}, 16))::UBIGINT) AS HUGEINT) - 18446744073709551616 ELSE CAST(bit_xor(('0x' || substr(h, {16 * i + 1}, 16))::UBIGINT) AS HUGEINT) END AS BIGINT) AS xor{i}" for i in range(4))
 
 
@@ -279,7 +337,12 @@ def digest_multiset_lanes(spark: SparkSession, sf: str) -> DataFrame:
     return verify.multiset_lanes(load(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber", "l_returnflag", "l_shipdate"])
 
 
-@query()
+_ALL_LINE = [f"CAST({c} AS VARCHAR)" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")] + ["l_returnflag", "l_linestatus", "strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S.%f')"]
+_LANE = "('0x' || substr(h, {}, 16))::UBIGINT"
+_DIGEST = ["count(*)", *[f"(sum({_LANE.format(16 * i + 1)}::HUGEINT) % 18446744073709551616)" for i in range(4)], *[f"bit_xor({_LANE.format(16 * i + 1)})" for i in range(4)]]
+
+
+@query(f"SELECT count(*) AS row_count, sha256(unhex({' || '.join(f'lpad(hex({x}::UBIGINT), 16, {chr(39)}0{chr(39)})' for x in _DIGEST)})) AS digest FROM (SELECT {_sql_hash(_ALL_LINE)} AS h FROM lineitem)")
 def digest_multiset(spark: SparkSession, sf: str) -> DataFrame:
     return verify.multiset_digest(load(spark, sf, "lineitem"))
 
@@ -303,10 +366,11 @@ def latency_percentiles_floor(spark: SparkSession, sf: str) -> DataFrame:
     return verify.floor_percentiles(load(spark, sf, "events"), ["event_type"], "value")
 
 
-@query("SELECT count(*) AS committed, count(*) / (epoch(max(ts)) - epoch(min(ts))) > 0 AS positive FROM events")
+@query("SELECT count(*) AS committed, CAST(round(1000000 * count(*) / (epoch(date_trunc('second', max(ts))) - epoch(date_trunc('second', min(ts))))) AS BIGINT) AS per_million_seconds FROM events")
 def throughput(spark: SparkSession, sf: str) -> DataFrame:
     e = load(spark, sf, "events").agg(F.count("*").alias("committed"), F.min("ts").alias("a"), F.max("ts").alias("b"))
-    return e.select("committed", (F.col("committed") / (F.unix_timestamp(F.col("b").cast("timestamp")) - F.unix_timestamp(F.col("a").cast("timestamp"))) > 0).alias("positive"))
+    seconds = F.unix_timestamp(F.col("b").cast("timestamp")) - F.unix_timestamp(F.col("a").cast("timestamp"))
+    return e.select("committed", F.round(1_000_000 * F.col("committed") / seconds).cast("long").alias("per_million_seconds"))
 
 
 # Positions

@@ -43,9 +43,22 @@ def preflight_settings(spark: SparkSession, sf: str) -> DataFrame:
     return checks.settings_problems(spark.sql("SELECT * FROM VALUES ('LOG_BIN', 'on'), ('binlog_format', 'mixed') AS v(name, value)"))
 
 
-@query("SELECT 'REPLICATION CLIENT' AS privilege")
+@query("SELECT * FROM (VALUES ('REPLICATION CLIENT'), ('SELECT')) v(privilege)")
 def preflight_grants(spark: SparkSession, sf: str) -> DataFrame:
-    return checks.missing_grants(spark.sql("SELECT * FROM VALUES ('GRANT SELECT, REPLICATION SLAVE ON *.* TO u') AS v(line)"))
+    """A privilege on one table is none on all."""
+    return checks.missing_grants(spark.sql("SELECT * FROM VALUES ('GRANT USAGE, Replication  Slave ON *.* TO `u`@`%`'), ('GRANT SELECT, INSERT (a, b) ON `other`.`t` TO `u`@`%`'), ('GRANT ALL PRIVILEGES ON `app`.* TO u'), ('REVOKE REPLICATION CLIENT ON *.* FROM u') AS v(line)"))
+
+
+@query("""SELECT * FROM (VALUES ('error', 'setting', 'binlog_row_image', 'missing'), ('error', 'grant', 'REPLICATION CLIENT', ''), ('error', 'missing_table', 'Gone', ''), ('error', 'column', 't.b', 'missing'), ('error', 'column', 't.z', 'required'),
+('error', 'start', '', 'log file is gone'), ('warning', 'retention', '', 'log kept for 10.0 hours only'), ('warning', 'no_key', 'Gone', ''), ('error', 'reserved_name', '_Checkpoint', '')) v(severity, kind, name, detail)""")
+def preflight_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Everything that is wrong before a stream, in one relation."""
+    settings = spark.sql("SELECT * FROM VALUES ('log_bin', 'ON'), ('binlog_format', 'row') AS v(name, value)")
+    grants = spark.sql("SELECT * FROM VALUES ('GRANT SELECT, REPLICATION SLAVE ON *.* TO u') AS v(line)")
+    tables = spark.sql("SELECT * FROM VALUES ('T', true), ('Gone', false), ('_Checkpoint', true) AS v(table_name, has_key)")
+    src = spark.sql("SELECT * FROM VALUES ('T', 'a'), ('T', 'b'), ('Gone', 'a'), ('_Checkpoint', 'a') AS v(table_name, column_name)")
+    dst = spark.sql("SELECT * FROM VALUES ('t', 'a', false, false, false), ('t', 'z', false, false, false), ('_checkpoint', 'a', true, false, false) AS v(table_name, column_name, nullable, has_default, is_identity)")
+    return checks.preflight(settings, grants, tables, src, dst, 36_000, "log file is gone", lower=True)
 
 
 @query("SELECT * FROM (VALUES ('drop_foreign_key', 'fk1'), ('drop_table', 'b')) v(action, name)")

@@ -1,4 +1,4 @@
-"""Console, job lists, log pages, reviews, view rewriting and workload."""
+"""Console, job lists, log pages, reviews and view rewriting."""
 
 from __future__ import annotations
 
@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import console, values, views
-from ..functions.ddl import DIALECTS, Table
-from ..functions.typemap import Column
-from ..operators import jobs, workload
+from ..operators import jobs
 from .registry import load, query
 
 
-@query()
+_CLASSES = """SELECT * FROM (VALUES ('select 1', 'select', 'readonly', true, ''), ('with x as (select 1) delete from t', 'delete', 'write', false, ''), ('insert into t values (1) returning id', 'insert', 'write', true, ''),
+('drop table t', 'drop', 'dangerous', false, ''), ('select 1; select 2', '', 'rejected', false, 'not one statement'), ('begin', '', 'rejected', false, 'transaction control is not supported'),
+('select * from t into outfile ''/tmp/x''', 'select', 'dangerous', true, ''), ('select ''a;b'' -- c', 'select', 'readonly', true, ''), ('/* open', '', 'rejected', false, 'comment is not closed')) v(sql, statement, level, returns_rows, error)"""
+
+
+@query(_CLASSES)
 def console_classify(spark: SparkSession, sf: str) -> DataFrame:
     texts = ["select 1", "with x as (select 1) delete from t", "insert into t values (1) returning id", "drop table t", "select 1; select 2", "begin", "select * from t into outfile '/tmp/x'", "select 'a;b' -- c", "/* open"]
 
@@ -92,23 +95,38 @@ def log_cursor_before(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.cursor_page(load(spark, sf, "events").select("event_id", "event_type"), "event_id", 40, before=30)
 
 
+@query("""WITH e AS (SELECT event_id AS id, user_id, CASE WHEN event_id % 3 = 0 THEN 'b' || CAST(event_id % 5 AS VARCHAR) WHEN event_id % 3 = 1 THEN '' END AS batch_id FROM events)
+SELECT id, batch_id, 'single' AS origin FROM e WHERE user_id = 7 AND id % 3 <> 0 UNION ALL SELECT id, batch_id, 'batch' FROM e WHERE id % 3 = 0""")
+def job_origin(spark: SparkSession, sf: str) -> DataFrame:
+    """A user's own jobs, and for an administrator those that came of batches."""
+    batch = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("b"), (F.col("event_id") % 5).cast("string"))).when(F.col("event_id") % 3 == 1, "")
+    e = load(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("owner_id"), batch.alias("batch_id"))
+    own, all_ = jobs.of_origin(jobs.visible_to(e, 7), "single"), jobs.of_origin(jobs.visible_to(e, 7, admin=True), "batch")
+    return own.select("id", "batch_id", F.lit("single").alias("origin")).unionByName(all_.select("id", "batch_id", F.lit("batch").alias("origin")))
+
+
 @query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 10 DAY")
 def retention_cleanup(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.retained(load(spark, sf, "events"), "ts", "2024-01-30 00:00:00", 10).select("event_id")
 
 
-@query("""WITH l AS (SELECT event_id AS seq, user_id AS job, CASE WHEN event_id % 50 = 0 THEN '=== Phase ' || CAST(event_id % 4 + 1 AS VARCHAR) || ': x' WHEN event_type = 'error' THEN '[ERROR] boom' ELSE '[INFO] ok' END AS line FROM events)
-SELECT seq, job, CASE WHEN line LIKE '[ERROR]%' THEN 'error' ELSE 'info' END AS level, last_value(CASE WHEN line LIKE '=== Phase%' THEN substr(line, 11, 1) END IGNORE NULLS) OVER (PARTITION BY job ORDER BY seq ROWS UNBOUNDED PRECEDING) AS phase FROM l""")
+_TAGS = ("INFO", "DDL", "DATA", "INDEX", "WARN", "ERROR", "DONE", "OTHER")
+
+
+@query("""WITH l AS (SELECT event_id AS seq, user_id AS job, CASE WHEN event_id % 50 = 0 THEN '=== Phase ' || CAST(event_id % 4 + 1 AS VARCHAR) || ': x' ELSE '[' || ['INFO', 'DDL', 'DATA', 'INDEX', 'WARN', 'ERROR', 'DONE', 'OTHER'][event_id % 8 + 1] || '] text' END AS line FROM events)
+SELECT seq, job, CASE WHEN line LIKE '[%' AND line NOT LIKE '[OTHER]%' THEN lower(substr(line, 2, position(']' IN line) - 2)) ELSE 'info' END AS level, last_value(CASE WHEN line LIKE '=== Phase%' THEN substr(line, 11, 1) END IGNORE NULLS) OVER (PARTITION BY job ORDER BY seq ROWS UNBOUNDED PRECEDING) AS phase FROM l""")
 def log_journal(spark: SparkSession, sf: str) -> DataFrame:
     head = F.concat(F.lit("=== Phase "), (F.col("event_id") % 4 + 1).cast("string"), F.lit(": x"))
-    line = F.when(F.col("event_id") % 50 == 0, head).when(F.col("event_type") == "error", "[ERROR] boom").otherwise("[INFO] ok")
+    tag = F.element_at(F.array(*[F.lit(t) for t in _TAGS]), (F.col("event_id") % 8 + 1).cast("int"))
+    line = F.when(F.col("event_id") % 50 == 0, head).otherwise(F.concat(F.lit("["), tag, F.lit("] text")))
     return jobs.journal(load(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("job"), line.alias("line"))).drop("line")
 
 
-@query("""SELECT * FROM (VALUES ('invalid input syntax for type integer: "<redacted>"'), ('Key (a)=(<redacted>) exists'), ('plain text')) v(line)""")
+@query("""SELECT * FROM (VALUES ('invalid input syntax for type integer: "<redacted>"'), ('Key (a)=(<redacted>) exists'), ('plain text'), ('date/time field value out of range: "<redacted>"'), ('Incorrect integer value: "<redacted>" for column x'),
+('COPY t, line 3, column a: "<redacted>"'), ('invalid input value for enum e: "<redacted>"'), ('DETAIL: Key (a, b)=(<redacted>) already exists.'), ('name "x" stays')) v(line)""")
 def log_redaction(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([('invalid input syntax for type integer: "4711"',), ("Key (a)=(secret) exists",), ("plain text",)], "line string")
-    return rows.select(jobs.redact(F.col("line")).alias("line"))
+    texts = ['invalid input syntax for type integer: "4711"', "Key (a)=(secret) exists", "plain text", 'date/time field value out of range: "2024-13-01"', "Incorrect integer value: 'abc' for column x", 'COPY t, line 3, column a: "secret"', 'invalid input value for enum e: "z"', "DETAIL: Key (a, b)=(1, x (y)) already exists.", 'name "x" stays']
+    return spark.createDataFrame([(t,) for t in texts], "line string").select(jobs.redact(F.col("line")).alias("line"))
 
 
 @query("SELECT * FROM (VALUES ('good', NULL, NULL), ('bad_schema', 'schema', 'e1'), ('bad_data', 'data', 'e2'), ('bad_pk', 'cdc_compatibility', 'e3'), ('bad_count', 'row_count', 'e4'), ('bad_both', 'schema', 'e5')) v(table_name, stage, error)")
@@ -118,11 +136,6 @@ def bootstrap_review(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.review(exp, iss)
 
 
-@query("SELECT * FROM (VALUES ('index', 'i1', 'e', 'd', 'objects'), ('view', 'v1', 'e', NULL, 'objects')) v(category, name, error, ddl, stage)")
-def failed_objects_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.failed_objects(spark.sql("SELECT * FROM VALUES ('index', 'i1', 'e', 'd', 'objects'), ('index', 'i1', 'e', 'd', 'objects'), ('view', 'v1', 'e', null, 'objects') AS v(category, name, error, ddl, stage)"))
-
-
 @query("SELECT * FROM (VALUES ('present', 'effective'), ('missing_a', 'excluded'), ('missing_b', 'unresolved'), ('other', 'out_of_scope')) v(table_name, outcome)")
 def preflight_exclusions(spark: SparkSession, sf: str) -> DataFrame:
     v = lambda *x: spark.createDataFrame([(y,) for y in x], "table_name string")
@@ -136,22 +149,6 @@ def target_compatibility(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.target_compatibility(s, d)
 
 
-@query("""SELECT * FROM (VALUES (1, 'table', 't', '-- boom' || chr(10) || 'CREATE TABLE t (a int);'), (2, 'index', 'i', '-- x' || chr(10) || '-- disabled: destructive' || chr(10) || '-- drop index i;'), (3, 'data', 'd', '-- y')) v(seq, category, name, script)""")
-def failed_ddl_export(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.failed_ddl(spark.sql("SELECT * FROM VALUES ('data', 'd', 'y', null), ('index', 'i', 'x', 'drop index i'), ('table', 't', 'boom', 'CREATE TABLE t (a int)') AS v(category, name, error, ddl)"))
-
-
-@query()
-def manifest_hash(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.manifest_hash(load(spark, sf, "nation").select(F.col("n_name").alias("table_name")), spark.sql("SELECT 't' AS table_name, 'data' AS stage, 'e' AS error"), "binlog.000001:4")
-
-
-@query()
-def ddl_dialects(spark: SparkSession, sf: str) -> DataFrame:
-    t = Table("users", [Column("id", "bigint", nullable=False, extra="auto_increment"), Column("name", "varchar", 100), Column("age", "int", default="0"), Column("created", "datetime", default="CURRENT_TIMESTAMP"), Column("flag", "bit", 1, default="b'0'")])
-    return spark.createDataFrame([(n, i, s) for n, d in DIALECTS.items() for i, s in enumerate(d.create_table("app", t, "mysql"))], "dialect string, seq int, ddl string")
-
-
 def _view(spark: SparkSession, sf: str, dialect: str, body: str, *tables: str, **kw: bool) -> DataFrame:
     for t in tables:
         load(spark, sf, t).createOrReplaceTempView(t)
@@ -189,32 +186,17 @@ def view_sqlserver_top(spark: SparkSession, sf: str) -> DataFrame:
     return _view(spark, sf, "sqlserver", body, "customer", keep_top=True)
 
 
-@query("SELECT p_partkey, coalesce(p_name, 'x') AS p FROM part")
-def view_dameng(spark: SparkSession, sf: str) -> DataFrame:
-    return _view(spark, sf, "dameng", 'CREATE OR REPLACE VIEW "A"."V" AS select p_partkey, ifnull(p_name, \'x\') as p from part;', "part")
-
-
-@query()
-def workload_zipf_alloc(spark: SparkSession, sf: str) -> DataFrame:
-    return workload.allocate(spark, 200, 1_000_000, 100_000)
-
+@query("SELECT c_custkey, c_custkey + c_nationkey AS total, c_name || 'a + b' AS label, c_custkey + 1 AS next FROM customer WHERE c_nationkey + 1 > 3")
+def view_sqlserver_plus(spark: SparkSession, sf: str) -> DataFrame:
+    """A sum of numbers stays one; with a string it is a concatenation."""
+    return _view(spark, sf, "sqlserver", "select c_custkey, c_custkey + c_nationkey as total, c_name + 'a + b' as label, (c_custkey + 1) as next from customer where c_nationkey + 1 > 3", "customer")
 
-@query()
-def hot_tables_top1pct(spark: SparkSession, sf: str) -> DataFrame:
-    return workload.hottest(workload.allocate(spark, 200, 1_000_000, 100_000))
 
+@query("SELECT n_nationkey, 'it''s ' || n_name AS label FROM nation WHERE n_name <> 'FRANCE'")
+def view_mysql_strings(spark: SparkSession, sf: str) -> DataFrame:
+    return _view(spark, sf, "mysql", "select `n_nationkey`, concat(\"it's \", `n_name`) as `label` from `nation` where `n_name` <> \"FRANCE\"", "nation")
 
-@query("SELECT event_id, CASE WHEN event_id % 10 <= 5 THEN 'insert' WHEN event_id % 10 <= 7 THEN 'update' WHEN event_id % 10 = 8 THEN 'delete' ELSE 'rollback' END AS action FROM events")
-def workload_action_mix(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "events").select("event_id", workload.action(F.col("event_id")).alias("action"))
 
-
-@query("""SELECT id, (id % 31 + 1)::INTEGER AS tenant_id, printf('t%06d-r%012d', 3, id) AS code, CAST((id % 1000000) + (id % 10000) / 10000.0 AS DECIMAL(18,4)) AS amount,
-CASE WHEN id % 1000 = 0 THEN repeat('long-note-', 500) WHEN id % 7 = 0 THEN NULL ELSE 'note-' || CAST(id % 1000 AS VARCHAR) END AS note, make_timestamp((1700000000 + id % 10000000) * 1000000 + id % 1000000) AS created_at FROM (SELECT unnest(range(0, 5000)) AS id)""")
-def workload_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return workload.rows(spark, 3, 5000).select("id", "tenant_id", "code", "amount", "note", "created_at")
-
-
-@query("SELECT * FROM (VALUES (1205, 'x', 'capacity'), (1040, 'environment', 'environment'), (1, 'correctness', 'correctness'), (2, NULL, 'correctness')) v(code, kind, cls)")
-def error_class(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql("SELECT * FROM VALUES (1205, 'x'), (1040, 'environment'), (1, 'correctness'), (2, null) AS v(code, kind)").select("code", "kind", workload.error_class(F.col("code"), F.col("kind")).alias("cls"))
+@query("SELECT p_partkey, coalesce(p_name, 'x') AS p FROM part")
+def view_dameng(spark: SparkSession, sf: str) -> DataFrame:
+    return _view(spark, sf, "dameng", 'CREATE OR REPLACE VIEW "A"."V" AS select p_partkey, ifnull(p_name, \'x\') as p from part;', "part")

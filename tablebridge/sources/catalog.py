@@ -109,6 +109,60 @@ def eligible_unique(parts: DataFrame) -> DataFrame:
     return parts.where("is_unique").groupBy("table_name", "index_name").agg(fine.alias("ok"), cols.alias("columns")).where("ok").drop("ok").orderBy("table_name", F.size("columns"), "index_name")
 
 
+# Schemas that belong to the database itself.
+SYSTEM_SCHEMAS = {
+    "mysql": ("information_schema", "mysql", "performance_schema", "sys"), "postgres": ("information_schema", "pg_catalog", "pg_toast"),
+    "oracle": ("sys", "system", "outln", "dbsnmp", "xdb"), "sqlserver": ("information_schema", "sys", "guest"), "dameng": ("sys", "sysdba", "sysauditor", "syssso", "ctisys"),
+}
+
+
+def namespaces(tables: DataFrame, kind: str) -> DataFrame:
+    """``schema_name, tables`` of a catalog's ``schema_name, table_name`` (null for an empty schema), without those of the database itself."""
+    own = ~F.lower("schema_name").isin(*SYSTEM_SCHEMAS.get(kind, ())) & ~F.lower("schema_name").startswith("pg_temp")
+    return tables.where(own).groupBy("schema_name").agg(F.count("table_name").alias("tables"))
+
+
+def schema_exists(tables: DataFrame, name: str, exact: bool = True) -> DataFrame:
+    """One row ``exists``; other databases than case-sensitive ones compare without case."""
+    same = F.col("schema_name") == name if exact else F.lower("schema_name") == name.lower()
+    return tables.agg(F.coalesce(F.bool_or(same), F.lit(False)).alias("exists"))
+
+
+def views_of(views: DataFrame, schema: str) -> DataFrame:
+    """``view_name, body`` of a schema's views: the schema's name before its own objects goes, with or without quotes."""
+    quoted = rf"(?i)(?:`{re.escape(schema)}`|\"{re.escape(schema)}\"|\b{re.escape(schema)})\."
+    return views.where(F.col("schema_name") == schema).select("view_name", F.regexp_replace(F.trim("body"), quoted, "").alias("body"))
+
+
+def trigger_counts(tables: DataFrame, triggers: DataFrame) -> DataFrame:
+    """``table_name, triggers`` for each table, 0 for none."""
+    return merge_default(tables.select("table_name"), triggers.groupBy("table_name").agg(F.count("*").alias("triggers")), ["table_name"], "triggers", 0)
+
+
+def stream_tables(columns: DataFrame, keys: DataFrame) -> DataFrame:
+    """What a stream must know of each table: ``table_name, columns, key_places, auto_places, generated``; places count from 0.
+
+    columns: ``table_name, position, column_name, auto, generated``; keys: ``table_name, position, column_name``.
+    """
+    names = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("position", c))), lambda x: x[c])
+    t = columns.groupBy("table_name").agg(names("column_name").alias("columns"), names("auto").alias("a"), names("generated").alias("g"))
+    t = t.join(keys.groupBy("table_name").agg(names("column_name").alias("k")), "table_name", "left")
+    places = lambda flags: F.filter(F.transform(flags, lambda f, i: F.when(f, i)), lambda i: i.isNotNull())
+    at = F.transform(F.coalesce("k", F.array().cast("array<string>")), lambda k: (F.array_position("columns", k) - 1).cast("int"))
+    return t.select("table_name", "columns", at.alias("key_places"), places(F.col("a")).alias("auto_places"), places(F.col("g")).alias("generated"))
+
+
+def unique_sets(parts: DataFrame) -> DataFrame:
+    """``table_name, columns`` (sorted) of unique indexes that hold for every row at once: valid, immediate, whole, of columns alone."""
+    fine = parts.where("is_unique and is_valid and is_immediate and not is_partial and not is_expression")
+    return fine.groupBy("table_name", "index_name").agg(F.array_sort(F.collect_set("column_name")).alias("columns")).select("table_name", "columns").distinct()
+
+
+def index_columns(parts: DataFrame) -> DataFrame:
+    """``table_name, index_name, is_unique, columns`` of all indexes but those that the primary key brings along."""
+    return ordered_group(parts.where("not is_primary"), ["table_name", "index_name", "is_unique"], "position", "column_name", "columns")
+
+
 def matches(name: str, globs: list[str]) -> bool:
     """filter_tables() for one name on the driver."""
     return any(re.match(p, name) for g in globs if (p := glob_pattern(g)) is not None) or any(fnmatch.fnmatchcase(name, g) for g in globs if g == name)

@@ -76,8 +76,14 @@ def pair_supported(src: str, dst: str) -> bool:
 
 
 def page(df: DataFrame, keys: list[str], offset: int, size: int = PAGE) -> DataFrame:
-    """One page in key order. For parity only: a copy scans a table once instead."""
-    return df.orderBy(*keys).offset(offset).limit(size)
+    """One page in key order, without keys in the order of all columns, so that pages don't overlap. For parity only: a copy scans a table once instead."""
+    return df.orderBy(*(keys or df.columns)).offset(offset).limit(size)
+
+
+def page_after(df: DataFrame, keys: list[str], last: list | None = None, size: int = PAGE) -> DataFrame:
+    """The page after a row of these key values (none for the first), as a cursor over a snapshot goes: no row before it is read again."""
+    rows = df if last is None else df.where(F.struct(*keys) > F.struct(*[F.lit(v).cast(df.schema[k].dataType).alias(k) for k, v in zip(keys, last, strict=True)]))
+    return rows.orderBy(*keys).limit(size)
 
 
 def page_by_rank(df: DataFrame, order: list[str | Column], first: int, last: int) -> DataFrame:

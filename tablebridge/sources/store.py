@@ -15,8 +15,9 @@ class Conflict(RuntimeError):
 class TableStore:
     """Tables as Parquet folders, and ``_manifest/NNN.json`` with their paths, the applied position and job state.
 
-    Data is written to fresh folders first; a version becomes visible by the rename of its manifest. A failure before that
-    leaves the version before untouched. Works on any file system that Spark reaches.
+    Data is written to fresh folders first; a version becomes visible by the rename of its manifest, to which the creation of its claim
+    gives the right. A failure before that leaves the version before untouched. Two writers are told apart where the file system creates a file
+    only once (HDFS, local, object stores with conditional writes); after a crash between the two steps abandon() gives the version back.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -28,6 +29,15 @@ class TableStore:
     def _manifest_path(self, version: int) -> str:
         return f"{self.root}/_manifest/{version:012d}.json"
 
+    def _claim_path(self, version: int):
+        return self._path(f"{self.root}/_manifest/{version:012d}.claim")
+
+    def abandon(self, version: int) -> None:
+        """Drop the claim of a version whose writer died before it published."""
+        if self.fs.exists(self._path(self._manifest_path(version))):
+            raise Conflict(f"version {version} exists")
+        self.fs.delete(self._claim_path(version), False)
+
     def latest(self) -> dict:
         folder = self._path(f"{self.root}/_manifest")
         names = [s.getPath().getName() for s in self.fs.listStatus(folder)] if self.fs.exists(folder) else []
@@ -52,11 +62,13 @@ class TableStore:
         """Publish a version after ``before``; Conflict if it exists already."""
         new = {"version": before["version"] + 1, "tables": before["tables"] | tables, "position": position, "state": before["state"] | state}
         target, temp = self._path(self._manifest_path(new["version"])), self._path(f"{self.root}/_manifest/.{uuid.uuid4().hex}")
-        if self.fs.exists(target):
-            raise Conflict(f"version {new['version']} exists")
         out = self.fs.create(temp, False)
         out.write(json.dumps(new, sort_keys=True).encode())
         out.close()
+        try:
+            self.fs.create(self._claim_path(new["version"]), False).close()
+        except Exception as e:
+            raise Conflict(f"version {new['version']} is another writer's") from e
         if self.fs.exists(target) or not self.fs.rename(temp, target):
             raise Conflict(f"version {new['version']} exists")
         return new

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -74,12 +76,49 @@ def apply_batch(store: TableStore, log: DataFrame, keys: dict[str, list[str]], b
     return now
 
 
-def stream(spark: SparkSession, store: TableStore, path: str, schema: StructType, keys: dict[str, list[str]], checkpoint: str, on_batch: Callable[[dict], None] | None = None) -> StreamingQuery:
-    """Follow a folder of change files and apply what has come; the manifest, not the stream's checkpoint, says what is applied."""
+def stream(spark: SparkSession, store: TableStore, path: str, schema: StructType, keys: dict[str, list[str]], checkpoint: str, on_batch: Callable[[dict], None] | None = None, every: str | None = None, control: Control | None = None) -> StreamingQuery:
+    """Follow a folder of change files and apply what has come; the manifest, not the stream's checkpoint, says what is applied.
+
+    Without ``every`` the stream ends with what is there, with it (``5 seconds``) it looks again until ``control`` asks for a pause. A micro-batch
+    is read once, whatever the number of its tables, and kept on the executors for the time of its apply.
+    """
 
     def each(batch: DataFrame, _: int) -> None:
-        done = apply_batch(store, batch, keys)
+        if control and control.asked.is_set():
+            raise Paused("manual", store.latest()["position"])
+        batch = batch.persist()
+        try:
+            done = apply_batch(store, batch, keys, control.boundary if control else None)
+        finally:
+            batch.unpersist()
+        if control:
+            control.position = done["position"]
         if on_batch:
             on_batch(done)
 
-    return spark.readStream.schema(schema).json(path).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = spark.readStream.schema(schema).json(path).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+@dataclass
+class Control:
+    """Asks a running stream to pause between batches, so that no transaction is cut, and says how far it has come."""
+
+    boundary: int | None = None
+    position: int = -1
+    asked: threading.Event = field(default_factory=threading.Event)
+
+    def pause(self, query: StreamingQuery, seconds: float = 300.0) -> bool:
+        """Let the batch at hand end, then stop; False if it took longer, and the version before stays the last."""
+        self.asked.set()
+        end = time.monotonic() + seconds
+        while query.isActive and query.status["isTriggerActive"] and time.monotonic() < end:
+            time.sleep(0.1)
+        calm = not (query.isActive and query.status["isTriggerActive"])
+        query.stop()
+        return calm
+
+
+def head_of(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """One row ``head``: the last transaction that has ended in the folder, which the applied position is held against."""
+    return spark.read.schema(schema).json(path).where("action in ('commit', 'rollback')").agg(F.max("txn_seq").alias("head"))

@@ -5,10 +5,10 @@ import pytest
 from tablebridge.functions import console, views
 from tablebridge.functions.ddl import DIALECTS, ForeignKey, Index, Table, distribute
 from tablebridge.functions.defaults import clean_default
-from tablebridge.functions.positions import Position, available, equivalent, gtid_contains, gtid_merge, reached
+from tablebridge.functions.positions import Position, available, equivalent, gtid_contains, gtid_merge, reached, server_id
 from tablebridge.functions.typemap import Column, lossy, map_type, spark_type, supported
 from tablebridge.operators.jobs import may_move, retention_seconds
-from tablebridge.sources import readers
+from tablebridge.sources import readers, sinks
 from tablebridge.sources.catalog import matches
 
 A = "3e11fa47-71ca-11e1-9e33-c80aa9429562"
@@ -109,7 +109,7 @@ def test_views():
     assert views.from_mysql("select if(a > 1, 'x, y', if(b, 1, 2)) from t", to="postgres") == "select CASE WHEN a > 1 THEN 'x, y' ELSE CASE WHEN b THEN 1 ELSE 2 END END from t"
     assert views.from_mysql("select group_concat(x separator '|') from t") == "select string_agg(x, '|') from t"
     assert "CROSS join" in views.from_mysql("select 1 from a join b where x = 1") and "CROSS" not in views.from_mysql("select 1 from a join b on x = y left join c using (z)")
-    assert views.from_sqlserver("create view v as select top 100 percent a + b as 'c d' from t order by a", to="postgres") == 'select a || b AS "c d" from t'
+    assert views.from_sqlserver("create view v as select top 100 percent a + '-' + b as 'c d', n + m as k from t order by a", to="postgres") == 'select a || \'-\' || b AS "c d", n + m as k from t'
     assert views.from_oracle('select "A"."X", nvl(b, 1) from dual', to="postgres") == 'select A."X", coalesce(b, 1)'
     assert views.strip_schemas("select * from DB1.t join db1.u", ["db1"]) == "select * from t join u"
 
@@ -123,3 +123,28 @@ def test_small_rules():
     assert readers.dsn(con) == "u:p@tcp(h:3306)/d?parseTime=true&charset=utf8mb4" and readers.jdbc_options(con, "t", "id", (1, 9))["numPartitions"] == "10"
     assert all(readers.dsn(readers.Connection(k, "h", 1)) and readers.jdbc_url(readers.Connection(k, "h", 1)) for k in readers.SOURCES)
     assert readers.pair_supported("highgo", "dameng") and readers.pages(20001) == 2
+
+
+def test_sums_and_concatenations():
+    got = views.concatenated("a + 1, isnull(b, '') + '-' + c, (d + e) * 2, 'p + q' + f, len(g) + len(h), cast(i as varchar) + j where k + 1 > 2 and l + 'x' = m")
+    assert got == "a + 1, isnull(b, '') || '-' || c, (d + e) * 2, 'p + q' || f, len(g) + len(h), cast(i as varchar) || j where k + 1 > 2 and l || 'x' = m"
+
+
+def test_mysql_strings_and_nested_joins():
+    assert views.plain_strings("""select "it's" as `a"b`, 'q"r' where x = "a""b" """) == """select 'it''s' as `a"b`, 'q"r' where x = 'a"b' """
+    assert views.flat_from("select * from ((a join b on((a.x = b.x))) join (c join d on(c.i = d.i)) on((a.y = c.y))) where (a.x > 1)") == "select * from a join b on((a.x = b.x)) join (c join d on(c.i = d.i)) on((a.y = c.y)) where (a.x > 1)"
+    assert views.flat_from("select '(from (x' from (select 1) t") == "select '(from (x' from (select 1) t"
+
+
+def test_statements_of_sinks():
+    assert sinks.promote("dameng", "app", "t", "t__stage", ["id", 'a"b'], identity=True) == ['SET IDENTITY_INSERT "app"."t" ON', 'INSERT INTO "app"."t" ("id", "a""b") SELECT "id", "a""b" FROM "app"."t__stage"', 'SET IDENTITY_INSERT "app"."t" OFF', 'DROP TABLE "app"."t__stage"']
+    assert sinks.promote("mysql", "app", "t", "s", ["id"], identity=True) == ["INSERT INTO `app`.`t` (`id`) SELECT `id` FROM `app`.`s`", "DROP TABLE `app`.`s`"]
+    assert sinks.create_view("gaussdb", "app", "v", "select 1;") == ['SET LOCAL search_path TO "app"', 'CREATE OR REPLACE VIEW "app"."v" AS select 1'] and len(sinks.create_view("mysql", "app", "v", "select 1")) == 1
+    assert sinks.change_owner("postgres", "app", "t", "joe") == ['ALTER TABLE "app"."t" OWNER TO "joe"'] and sinks.change_owner("mysql", "app", "t", "joe") == []
+    with pytest.raises(ValueError):
+        sinks.sink_for(None, "oracle")
+
+
+def test_server_id():
+    # FNV-1a of "a" is 0xe40c292c
+    assert server_id("") == 1000 + 0x811C9DC5 and server_id("a") == 1000 + 0xE40C292C

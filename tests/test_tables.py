@@ -1,13 +1,17 @@
 """Operators on tables: change apply against a sequential interpreter, digests, store, stream, copy, allocation."""
 
 import hashlib
+import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from tablebridge.functions.positions import merge_intervals
 from tablebridge.operators import cdc, copy, jobs, verify, workload
+from tablebridge.sources import readers, sinks
 from tablebridge.sources.store import Conflict, TableStore
 from tablebridge.streaming import apply as streaming
 
@@ -165,3 +169,65 @@ def test_reports_and_settings(spark):
     assert files.configuration({"rows": 5, "on": False}, '{"rows": 7}', {"TABLEBRIDGE_ON": "true", "TABLEBRIDGE_ROWS": "9"}) == {"rows": 9, "on": True}
     with pytest.raises(ValueError):
         files.configuration({}, '{"x": 1}', {})
+
+
+def test_claims_of_versions(spark, tmp_path):
+    store = TableStore(spark, f"file://{tmp_path}/store")
+    first = store.commit(store.latest(), {}, 1)
+    with pytest.raises(Conflict):
+        store.commit({**first, "version": 0}, {}, 2)
+    store.fs.create(store._claim_path(2), False).close()  # a writer that died before it published
+    with pytest.raises(Conflict):
+        store.commit(first, {}, 3)
+    store.abandon(2)
+    assert store.commit(first, {}, 3)["version"] == 2 and store.latest()["position"] == 3
+    with pytest.raises(Conflict):
+        store.abandon(2)
+
+
+def test_pause_between_batches(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    base = spark.createDataFrame([(i, "a") for i in range(5)], "k long, v string")
+    store = TableStore(spark, f"{root}/store")
+    store.commit(store.latest(), {"t": store.stage("t", base)}, -1)
+    schema = streaming.log_schema(base.schema)
+    rows = [(i, 0, "t", "update", (i, "a"), (i, "b"), "") for i in range(3)] + [(i, 1, "", "commit", None, None, "") for i in range(3)]
+    spark.createDataFrame(rows, schema).write.json(f"{root}/log")
+    control = streaming.Control()
+    query = streaming.stream(spark, store, f"{root}/log", schema, {"t": ["k"]}, f"{root}/check", every="1 second", control=control)
+    while control.position < 2:
+        assert query.isActive
+        time.sleep(0.2)
+    assert control.pause(query) and not query.isActive
+    assert {tuple(r) for r in store.read("t").collect()} == {(0, "b"), (1, "b"), (2, "b"), (3, "a"), (4, "a")}
+    assert streaming.head_of(spark, f"{root}/log", schema).first().head == 2
+
+
+def test_percentiles_of_wide_values(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, float(v)) for g in ("a", "b") for v in np.concatenate([rng.normal(scale=1e6, size=300), rng.normal(scale=1e-6, size=200), np.zeros(50), -rng.exponential(size=100)])] + [("c", -3.0), ("c", None), (None, 2.0)]
+    got = {r.g: r for r in verify.floor_percentiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").collect()}
+    for g in ("a", "b", "c", None):
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        assert (got[g].n, got[g].p50, got[g].p95, got[g].p99) == (len(v), *[v[int((len(v) - 1) * p)] for p in (0.5, 0.95, 0.99)])
+
+
+def test_intervals_across_ranges(spark):
+    rows = [("U", 1, 4), ("u", 5, 9), ("u", 8, 31), ("u", 11, 12), ("u", 33, 40), ("u", 40, 55), ("v", 2, 2)]
+    got = {tuple(r) for r in merge_intervals(spark.createDataFrame(rows, "uuid string, lo long, hi long"), width=10).collect()}
+    assert got == {("u", 1, 31), ("u", 33, 55), ("v", 2, 2)}
+
+
+def test_keyless_by_shuffle(spark, monkeypatch):
+    base = spark.createDataFrame([(i % 3, "x") for i in range(30)], "a long, b string")
+    log = spark.createDataFrame([(1, 0, "delete", (0, "x"), None), (2, 0, "update", (1, "x"), (1, "y")), (3, 0, "insert", None, (7, "z")), (4, 0, "delete", (9, "q"), None)], "txn_seq long, op_seq int, action string, before struct<a:long,b:string>, after struct<a:long,b:string>")
+    want = [Counter(map(tuple, cdc.apply_keyless(base, log.where("txn_seq < 4")).collect())), cdc.conflicts(base, log).select("txn_seq").collect()]
+    monkeypatch.setattr(cdc, "BROADCAST_KEYS", 0)
+    assert want == [Counter(map(tuple, cdc.apply_keyless(base, log.where("txn_seq < 4")).collect())), cdc.conflicts(base, log).select("txn_seq").collect()]
+    assert want[0] == Counter({(0, "x"): 9, (1, "x"): 9, (2, "x"): 10, (1, "y"): 1, (7, "z"): 1}) and [r.txn_seq for r in want[1]] == [4]
+
+
+def test_answers(spark, tmp_path):
+    assert sinks.answers(spark, f"file://{tmp_path}") == (True, "") and not sinks.answers(spark, f"file://{tmp_path}/none")[0]
+    c = readers.Connection("oracle", "h", 1)
+    assert sinks.answers(spark, c, lambda q: spark.sql("select 1"))[0] and not sinks.answers(spark, c)[0]
