@@ -6,18 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_group, materialise
+from .common import by_group, join_hot, materialise
 
 SAMPLE = 8000  # vectors that the codebooks are fitted on, at most in expectation
-INDEX_BLOCK = 16384
+INDEX_BLOCK = 65536
 QUERY_BLOCK = 4096
+RERANK = 200
 
 
 class Quantiser:
-    """Product codebooks of 16 centroids for pairs of dimensions.
+    """Product codebooks of 16 centroids for each dimension, or ``width`` dimensions together.
 
     The loss of a vector x with residual r is |r|^2 + (eta - 1) (r . x)^2 / |x|^2: error parallel to x, which shifts the
     greatest inner products, counts eta times. Codes and centroids descend on it in turn, one subspace at a time.
@@ -27,7 +29,7 @@ class Quantiser:
         self.books, self.eta = books, eta  # [subspaces, 16, width]
 
     @classmethod
-    def fit(cls, x: np.ndarray, width: int = 2, threshold: float = 0.2, rounds: int = 8, seed: int = 1) -> Quantiser:
+    def fit(cls, x: np.ndarray, width: int = 1, threshold: float = 0.2, rounds: int = 8, seed: int = 1) -> Quantiser:
         dims = x.shape[1]
         parts = -(-dims // width)
         parts += parts % 2
@@ -101,33 +103,66 @@ def usable(col: str) -> object:
     return (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, rerank: int = 400, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, rerank: int = RERANK, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row whose key is divisible by ``every`` the k greatest inner products.
 
     Equal vectors are one index entry with their k + 1 least keys, which is all that a result can show of them; that bounds
     groups of copies without loss. Codebooks come from at most SAMPLE vectors; every vector is indexed. Blocks of queries meet
-    blocks of the index: a table scan over 4-bit codes proposes ``rerank`` entries of each block for each query, their inner
-    products are computed in double precision from the original vectors, and the best of all blocks are merged.
+    blocks of the index, of which only the codes travel: a table scan over 4-bit codes proposes entries for each query, the ``rerank`` best
+    of all blocks stay, and only for these the vectors are fetched and their inner products computed in double precision.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without key, take no part; vectors of
-    different length never meet. Equal rows count once. Ties go to the smaller key. No usable vector: an empty result.
+    different length never meet. Equal rows count once. Ties go to the smaller key. Columns other than key and vector play no part. No
+    usable vector: an empty result.
     """
     spark = vectors.sparkSession
-    rows = vectors.where(F.col(key).isNotNull() & F.col(vec).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")).where(usable("v"))
+    plain = F.col(vec) if vectors.schema[vec].dataType.elementType.typeName() == "float" else F.col(vec).cast("array<double>")
+    rows = vectors.where(F.col(key).isNotNull() & F.col(vec).isNotNull()).select(F.col(key).cast("long").alias("id"), plain.alias("v")).where(usable("v"))
     rows = materialise(rows.dropDuplicates(["id", "v"]), "vectors")
     least = Window.partitionBy("v").orderBy("id")
     groups = rows.withColumn("_r", F.row_number().over(least)).where(F.col("_r") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    groups = materialise(groups.withColumn("rep", F.element_at("ids", 1)), "entries").withColumn("h", F.xxhash64("v"))
-    asked = materialise(rows.where(F.col("id") % every == 0).join(groups.select("v", "h", "rep"), "v").select(F.col("id").alias("query_id"), "v", "h"), "queries")
+    groups = materialise(groups, "entries").withColumn("h", F.xxhash64("v"))
+    asked = materialise(rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "v", F.xxhash64("v").alias("h")), "queries")
     out = None
     for r in groups.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect():
-        part = _search(groups.where(F.size("v") == r["d"]), asked.where(F.size("v") == r["d"]), r["n"], k, rerank)
+        part = _search(groups.where(F.size("v") == r["d"]), asked.where(F.size("v") == r["d"]), r["n"], k, max(rerank, k + 1))
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     return out
 
 
+def proposals(index: DataFrame, asked: DataFrame, n: int, model: Broadcast, rerank: int) -> DataFrame:
+    """``q, h, near``: for each query (``h``, ``v``) the entries (``h``, ``codes``) with the greatest inner products by their codes."""
+    blocks, sets = max(1, -(-n // INDEX_BLOCK)), max(1, -(-asked.count() // QUERY_BLOCK))
+    one = lambda col, m: F.pmod(F.xxhash64(F.lit(col), "h"), F.lit(m)).cast("int")
+    none = F.lit(None)
+    left = index.select("h", "codes", none.cast(asked.schema["v"].dataType).alias("v"), one("i", blocks).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("s"))
+    right = asked.select("h", none.cast("binary").alias("codes"), "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"), one("s", sets).alias("s"))
+    tasks = left.unionByName(right).withColumn("task", F.xxhash64("i", "s")).drop("i", "s")
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in found:
+            entry = g.column("codes").is_valid().to_numpy(zero_copy_only=False)
+            if entry.all() or not entry.any():
+                continue
+            h = g.column("h").to_numpy()
+            q = np.array(g.column("v").filter(pa.array(~entry)).to_pylist(), np.float64)
+            qh, h = h[~entry], h[entry]
+            packed = np.frombuffer(b"".join(g.column("codes").filter(pa.array(entry)).to_pylist()), np.uint8).reshape(len(h), -1)
+            m = min(rerank, len(h))
+            for lo in range(0, len(q), 64):
+                near = model.value.scan(q[lo : lo + 64], packed)
+                top = np.argpartition(-near, m - 1, axis=1)[:, :m]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qh[lo : lo + 64], m)), pa.array(h[top].ravel()), pa.array(np.take_along_axis(near, top, 1).ravel())], names=["q", "h", "near"])
+
+    met = by_group(tasks, "task", run, "q long, h long, near float")
+    if blocks == 1:
+        return met
+    best = Window.partitionBy("q").orderBy(F.desc("near"), "h")
+    return met.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= rerank).drop("_r")
+
+
 def _search(groups: DataFrame, asked: DataFrame, n: int, k: int, rerank: int) -> DataFrame:
     """``h`` names a vector within its length; two that shared one would only be asked together."""
     spark = groups.sparkSession
@@ -136,46 +171,34 @@ def _search(groups: DataFrame, asked: DataFrame, n: int, k: int, rerank: int) ->
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array(b.column("v").to_pylist())
-            if len(x):
-                yield b.append_column("codes", pa.array([c.tobytes() for c in model.value.pack(x)], pa.binary()))
+            if b.num_rows:
+                x = np.array(b.column("v").to_pylist(), np.float64)
+                yield pa.RecordBatch.from_arrays([b.column("h"), pa.array([c.tobytes() for c in model.value.pack(x)], pa.binary())], names=["h", "codes"])
 
-    index = materialise(groups.select("ids", "v", "h").mapInArrow(encode, "ids array<long>, v array<double>, h long, codes binary"), "index")
+    index = materialise(groups.select("v", "h").mapInArrow(encode, "h long, codes binary"), "index")
     distinct = asked.dropDuplicates(["v"]).select("v", "h")
-    blocks, sets = max(1, -(-n // INDEX_BLOCK)), max(1, -(-distinct.count() // QUERY_BLOCK))
-    one = lambda col, m: F.pmod(F.xxhash64(F.lit(col), "h"), F.lit(m)).cast("int")
-    left = index.select("*", one("i", blocks).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("s"), F.lit(False).alias("asks"))
-    right = distinct.select(F.lit(None).cast("array<long>").alias("ids"), "v", "h", F.lit(None).cast("binary").alias("codes"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"), one("s", sets).alias("s"), F.lit(True).alias("asks"))
-    tasks = left.unionByName(right).withColumn("task", F.xxhash64("i", "s")).drop("i", "s")
-
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in found:
-            asks = g.column("asks").to_numpy(zero_copy_only=False)
-            if asks.all() or not asks.any():
+    found = materialise(proposals(index, distinct, n, model, rerank), "proposals")
+    # An entry that very many queries propose is fetched by broadcast.
+    counted = found.groupBy("h").agg(F.count("*").alias("asks"))
+    entries = materialise(groups.select("h", "v", "ids").join(counted, "h"), "proposed")
+    pairs = join_hot(found.select("q", "h"), entries, "h", "asks").select("q", "v", "ids")
+    both = pairs.unionByName(distinct.select(F.col("h").alias("q"), "v", F.lit(None).cast("array<long>").alias("ids")))
+
+    def exact(groups_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups_:
+            entry = g.column("ids").is_valid().to_numpy(zero_copy_only=False)
+            if entry.all() or not entry.any():
                 continue
-            x = np.array(g.column("v").to_pylist())
-            h = g.column("h").to_numpy()
-            q, x, qh = x[asks], x[~asks], h[asks]
-            ids = g.column("ids").filter(pa.array(~asks)).to_pylist()
-            first = np.array([i[0] for i in ids])
-            packed = np.frombuffer(b"".join(g.column("codes").filter(pa.array(~asks)).to_pylist()), np.uint8).reshape(len(x), -1)
-            for lo in range(0, len(q), 128):
-                some = q[lo : lo + 128]
-                near = model.value.scan(some, packed)
-                top = np.argpartition(-near, rerank - 1, axis=1)[:, :rerank] if len(x) > rerank else np.broadcast_to(np.arange(len(x)), near.shape)
-                exact = np.einsum("qrd,qd->qr", x[top], some)
-                best = np.lexsort((first[top], -exact))[:, : k + 1]
-                place, score = np.take_along_axis(top, best, 1), np.take_along_axis(exact, best, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(qh[lo : lo + 128]), pa.array([[{"score": s, "ids": ids[p]} for s, p in zip(a, b, strict=True)] for a, b in zip(score.tolist(), place.tolist(), strict=True)], pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int64()))])))],
-                    names=["h", "found"],
-                )
-
-    # Blocks' lists are short; each query has one from every block of the index.
-    lists = by_group(tasks, "task", run, "h long, found array<struct<score:double,ids:array<long>>>")
-    flat = lists.select("h", F.explode("found").alias("f")).select("h", "f.score", "f.ids")
-    better = Window.partitionBy("h").orderBy(F.desc("score"), F.element_at("ids", 1))
-    top = flat.withColumn("_r", F.row_number().over(better)).where(F.col("_r") <= k + 1).groupBy("h").agg(F.collect_list(F.struct("score", "ids")).alias("found"))
+            x = np.array(g.column("v").to_pylist(), np.float64)
+            ids = g.column("ids").filter(pa.array(entry)).to_pylist()
+            score = np.einsum("rd,d->r", x[entry], x[~entry][0])
+            best = np.lexsort((np.array([i[0] for i in ids]), -score))[: k + 1]
+            yield pa.RecordBatch.from_arrays(
+                [g.column("q").slice(0, 1), pa.array([[{"score": float(score[p]), "ids": ids[p]} for p in best.tolist()]], pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int64()))])))],
+                names=["h", "found"],
+            )
+
+    top = by_group(both, "q", exact, "h long, found array<struct<score:double,ids:array<long>>>")
     each = F.flatten(F.transform("found", lambda f: F.transform(F.filter(f["ids"], lambda i: i != F.col("query_id")), lambda i: F.struct((-f["score"]).alias("s"), i.alias("id")))))
     best = asked.select("query_id", "h").join(top, "h").select("query_id", F.posexplode(F.slice(F.array_sort(each), 1, k)).alias("p", "x"))
     return best.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.s")).alias("score"))
