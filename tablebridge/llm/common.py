@@ -214,19 +214,23 @@ def sorted_groups(batches, key: str):
     """Slices of record batches with equal values in the long column ``key``, by which the rows are sorted."""
     import pyarrow as pa
 
-    held = None
+    def joined(parts):
+        return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+    held, value = [], None
     for b in batches:
         if not b.num_rows:
             continue
-        if held is not None:
-            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
         k = b.column(key).to_numpy()
-        cut = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist()]
+        cut = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), b.num_rows]
         for x, y in zip(cut[:-1], cut[1:], strict=True):
-            yield b.slice(x, y - x)
-        held = b.slice(cut[-1])
-    if held is not None:
-        yield held
+            if held and k[x] != value:
+                yield joined(held)
+                held = []
+            held.append(b.slice(x, y - x))
+            value = k[x]
+    if held:
+        yield joined(held)
 
 
 def text_slices(batch, column: str, most: int = 2_000_000):

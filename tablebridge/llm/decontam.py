@@ -60,25 +60,30 @@ def overlaps(docs: DataFrame, bench: DataFrame, text: str = "text", key: str = "
     """Pairs of a document and a benchmark text that it holds: ``doc_id, item_id, score, item_tokens``, one row a pair.
 
     Every position of every text is hashed with every mask and joined with the benchmark's seeds; a hit is verified along
-    its diagonal, where a substituted token costs what an equal one adds. Texts of fewer than eight tokens (null and empty
-    ones among them) overlap with nothing. Equal rows and equal keys share one result row.
+    its diagonal, where a substituted token costs what an equal one adds. A benchmark text of fewer than eight tokens, in which no seed fits,
+    is held by a document of the same tokens and no others. Texts without tokens (null and empty ones among them) overlap with nothing.
+    Equal rows and equal keys share one result row; other columns play no part, whatever their names; empty tables give an empty result;
+    a text of any length is read whole.
 
     The benchmark is broadcast only if its counted seeds stay under BROADCAST_ROWS; a larger one is joined by shuffle, where
     positions travel without texts and only distinct diagonals meet their documents again.
     """
-    items = bench.select(F.col(item).alias("item_id"), token_hashes(F.col(text)).alias("bh")).where(F.size("bh") >= SPAN).distinct()
-    size = items.agg(F.coalesce(F.sum(F.size("bh")), F.lit(0)).alias("n")).first()["n"] * len(MASKS)
-    seeds = _seeded(items.select("item_id", F.col("bh").alias("h")), "item_id").groupBy("seed").agg(F.collect_set(F.struct("item_id", F.col("at").alias("item_at"))).alias("places"))
+    items = bench.select(F.col(item).alias("item_id"), token_hashes(F.col(text)).alias("bh")).where(F.size("bh") > 0).distinct()
+    short, items = items.where(F.size("bh") < SPAN), items.where(F.size("bh") >= SPAN)
+    size = items.unionByName(short).agg(F.coalesce(F.sum(F.size("bh")), F.lit(0)).alias("n")).first()["n"] * len(MASKS)
+    few = size <= BROADCAST_ROWS
+    near = F.broadcast if few else lambda df: df
+    seeds = _seeded(items.select("item_id", F.col("bh").alias("h")), "item_id").select("seed", "item_id", F.col("at").alias("item_at")).distinct()
     rows = docs.select(F.col(key).alias("doc_id"), token_hashes(F.col(text)).alias("h"))
-    if size <= BROADCAST_ROWS:
-        hits = _seeded(rows, "doc_id").join(F.broadcast(seeds), "seed").select("doc_id", "h", "at", F.explode("places").alias("p"))
-        hits = hits.select("doc_id", "h", F.col("p.item_id").alias("item_id"), (F.col("at") - F.col("p.item_at")).alias("diag"))
-        return _verified(hits.join(F.broadcast(items), "item_id"), "doc_id")
+    same = rows.where((F.size("h") < SPAN) & (F.size("h") > 0)).withColumn("th", F.xxhash64("h")).join(near(short.withColumn("th", F.xxhash64("bh"))), "th").where("h = bh")
+    same = same.select("doc_id", "item_id", F.size("bh").cast("long").alias("score"), F.size("bh").cast("long").alias("item_tokens")).distinct()
+    if few:
+        hits = _seeded(rows, "doc_id").join(F.broadcast(seeds), "seed").select("doc_id", "h", "item_id", (F.col("at") - F.col("item_at")).alias("diag"))
+        return _verified(hits.join(F.broadcast(items), "item_id"), "doc_id").unionByName(same)
     rows = rows.withColumn("th", F.xxhash64("h"))
-    hits = _seeded(rows, "doc_id", "th").drop("h").join(seeds, "seed").select("doc_id", "th", "at", F.explode("places").alias("p"))
-    hits = hits.select("doc_id", "th", F.col("p.item_id").alias("item_id"), (F.col("at") - F.col("p.item_at")).alias("diag")).distinct()
+    hits = _seeded(rows, "doc_id", "th").drop("h").join(seeds, "seed").select("doc_id", "th", "item_id", (F.col("at") - F.col("item_at")).alias("diag")).distinct()
     hits = hits.alias("a").join(rows.dropDuplicates(["doc_id", "th"]).alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")))
-    return _verified(hits.select("a.doc_id", "item_id", "diag", "h").join(items, "item_id"), "doc_id")
+    return _verified(hits.select("a.doc_id", "item_id", "diag", "h").join(items, "item_id"), "doc_id").unionByName(same)
 
 
 def remove(docs: DataFrame, bench: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import crc_fold
+from .common import crc_fold, text_slices
 
 UND = "und"
 PROFILE = 400
@@ -79,17 +79,18 @@ class Profiles:
         return self.langs[j], float(min(1.0, max(0.0, 1.0 - far[j] / (self.size * len(top)))))
 
 
-def learn_profiles(docs: DataFrame, per_lang: int = 3000, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Profiles:
+def learn_profiles(docs: DataFrame, per_lang: int = 3000, max_langs: int = 1000, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Profiles:
     """Count n-grams of about ``per_lang`` whole labelled texts of each language and rank them.
 
     The sample is a hash threshold on the key, at most ``per_lang`` texts of a language in expectation. Only grams
     of a share over 1 / SHARE in their language come to the driver: at most SHARE for each language by arithmetic.
-    Rows with null text, null language or null key teach nothing; no labelled rows give no profiles.
+    Rows with null text, null language or null key teach nothing; no labelled rows give no profiles. Of a column with more than
+    ``max_langs`` different labels the most frequent ones are learned (ties by name), which bounds the model.
     """
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull()).select(
         F.col(text).alias("t"), F.col(lang).cast("string").alias("l"), F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)).alias("h")
     )
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_langs).collect()}
     if not sizes:
         return Profiles({})
     limit = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int((1 << 30) * min(1.0, per_lang / n))))])
@@ -113,7 +114,7 @@ def learn_profiles(docs: DataFrame, per_lang: int = 3000, text: str = "text", la
                     size = 0
         yield from flush()
 
-    counts = rows.where(F.col("h") < limit[F.col("l")]).select("t", "l").mapInArrow(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
+    counts = rows.where(F.col("h") < F.coalesce(limit[F.col("l")], F.lit(0))).select("t", "l").mapInArrow(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
     totals = {r["l"]: r["n"] for r in counts.groupBy("l").agg(F.sum("n").alias("n")).collect()}
     if not totals:
         return Profiles({})
@@ -127,7 +128,9 @@ def learn_profiles(docs: DataFrame, per_lang: int = 3000, text: str = "text", la
 def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
     """Append ``lang_pred, score`` to every row from its whole text: a map, without shuffle.
 
-    Null texts, empty texts and texts without a letter are ``und`` with score 0. Other columns pass unchanged.
+    Null texts, empty texts and texts without a letter are ``und`` with score 0; so is every text if nothing was learned. Of languages
+    equally near the first by name is taken. Columns of the two names are replaced, others pass unchanged; repeated rows stay repeated and
+    get equal results; an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
     docs = docs.drop("lang_pred", "score")
@@ -135,9 +138,10 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
-        for b in batches:
-            found = [p.predict(t) for t in b.column(text).to_pylist()]
-            yield b.append_column("lang_pred", pa.array([x for x, _ in found], pa.string())).append_column("score", pa.array([y for _, y in found], pa.float64()))
+        for whole in batches:
+            for b in text_slices(whole, text):
+                found = [p.predict(t) for t in b.column(text).to_pylist()]
+                yield b.append_column("lang_pred", pa.array([x for x, _ in found], pa.string())).append_column("score", pa.array([y for _, y in found], pa.float64()))
 
     return docs.mapInArrow(run, schema)
 
@@ -145,7 +149,8 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFram
 def identify(docs: DataFrame, folds: int = 5, **kw: int) -> DataFrame:
     """Learn from rows outside the held-out fold and predict every row: adds ``held_out, lang_pred, score``.
 
-    held_out: crc32 of the key as text is divisible by ``folds``; false where the key is null.
+    held_out: crc32 of the key as text is divisible by ``folds``; false where the key is null. Columns of the three names are replaced, others
+    pass unchanged; nulls, repeated rows, long texts and empty tables as in predict().
     """
     held = F.coalesce(crc_fold(F.col("doc_id"), folds) == 0, F.lit(False))
     profiles = learn_profiles(docs.where(~held), **kw)

@@ -217,6 +217,23 @@ def common_counts(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray)
     return out
 
 
+def few_counts(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """common_counts() of a few sets but for those of a set with itself: equal neighbours of two sets sorted together are common."""
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    known: dict[tuple[int, int], int] = {}
+    for i, r in enumerate(rows.tolist()):
+        for j, c in enumerate(columns.tolist()):
+            if r == c:
+                continue
+            pair = (r, c) if r < c else (c, r)
+            if pair not in known:
+                both = np.concatenate((sets[r], sets[c]))
+                both.sort()
+                known[pair] = np.count_nonzero(both[1:] == both[:-1])
+            out[i, j] = known[pair]
+    return out
+
+
 def verified(sets: DataFrame, least: float = LEAST) -> DataFrame:
     """Exact links among the sets of each ``comp``: rows ``sid, other, links``.
 
@@ -251,7 +268,7 @@ def verified(sets: DataFrame, least: float = LEAST) -> DataFrame:
             rows, cols = np.flatnonzero(side < 2), np.flatnonzero(side != 1)
             if not len(rows) or not len(cols):
                 continue
-            same = common_counts(s, rows, cols)
+            same = (few_counts if g.num_rows <= 6 else common_counts)(s, rows, cols)
             hit = (1 + least) * same >= least * (n[rows, None] + n[None, cols]) - 1e-6
             hit &= rows[:, None] != cols[None, :]
             if not hit.any():

@@ -81,6 +81,7 @@ sums AS (SELECT *, sum(v) OVER (PARTITION BY doc_id, item_id, diag ORDER BY k) A
 best AS (SELECT doc_id, item_id, n, p - least(0, coalesce(min(p) OVER (PARTITION BY doc_id, item_id, diag ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS score FROM sums)
 SELECT doc_id, item_id, CAST(max(score) AS BIGINT) AS score, CAST(max(n) AS BIGINT) AS item_tokens
 FROM best GROUP BY doc_id, item_id HAVING max(score) >= least(12, greatest(8, ceil(max(n) * 0.6)))
+UNION ALL SELECT DISTINCT doc_id, item_id, CAST(len(b.h) AS BIGINT), CAST(len(b.h) AS BIGINT) FROM d JOIN b ON d.h = b.h WHERE len(b.h) BETWEEN 1 AND 7
 """
 
 OP9_SQL = """
