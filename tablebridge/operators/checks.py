@@ -96,6 +96,12 @@ def cutover(applied: int, head: int, boundary: int, counts: DataFrame) -> DataFr
     return counts.agg(state.alias("state"))
 
 
+def count_errors(counts: DataFrame) -> DataFrame:
+    """``table_name, error`` of tables whose counts differ or could not be had; a count that failed is null and its reason is in ``failure``."""
+    why = F.when(F.col("src_rows").isNull() | F.col("dst_rows").isNull(), F.coalesce("failure", F.lit("not counted"))).when(F.col("src_rows") != F.col("dst_rows"), F.format_string("source=%d target=%d", "src_rows", "dst_rows"))
+    return counts.withColumn("error", why).where("error is not null").select("table_name", "error")
+
+
 def report_json(report: DataFrame, counts: DataFrame) -> str:
     """A job's report; both frames have a row for each category or table of the job."""
     return json.dumps({"categories": [r.asDict() for r in report.orderBy("category").collect()], "row_counts": [r.asDict() for r in counts.orderBy("table_name").collect()]}, ensure_ascii=False, sort_keys=True)

@@ -84,6 +84,15 @@ def retained(df: DataFrame, at: str, now: str, days: int) -> DataFrame:
     return df.where(F.col(at) >= F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days)))
 
 
+def retained_logs(logs: DataFrame, jobs: DataFrame, now: str, days: int) -> DataFrame:
+    """Log lines without those of jobs that were stopped or aborted so many days ago; failed and paused jobs may go on and keep theirs.
+
+    jobs: ``job, status, finished_at``.
+    """
+    old = jobs.where(F.col("status").isin("stopped", "aborted") & (F.col("finished_at") < F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days))))
+    return logs.join(old.select("job"), "job", "left_anti")
+
+
 def journal(log: DataFrame, seq: str = "seq", text: str = "line", job: str = "job") -> DataFrame:
     """Level of each line by its tag, and the phase that the last heading of its job set."""
     # Tags.

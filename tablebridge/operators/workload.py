@@ -40,6 +40,18 @@ def allocate(spark: SparkSession, tables: int, total: int, most: int | None = No
     return t.select("i", kind.alias("kind"), rows.cast("long").alias("rows"))
 
 
+def token(run: str) -> str:
+    """A run's name as part of a table's: at most twelve of its ASCII letters and digits, in lower case."""
+    return "".join(c for c in run.lower() if c.isascii() and c.isalnum())[:12] or "run"
+
+
+def profile(spark: SparkSession, run: str, tables: int, total: int, most: int | None = None, prefix: str = "load_") -> DataFrame:
+    """``i, table_name, kind, rows``: tables numbered from 1; those of mixed case have a capital in their name."""
+    number = F.format_string("%06d", F.col("i") + 1)
+    name = F.concat(F.lit(f"{prefix}{token(run)}_"), F.when(F.col("kind") == "mixed_case", "Mixed_").otherwise(""), number)
+    return allocate(spark, tables, total, most).select((F.col("i") + 1).alias("i"), name.alias("table_name"), "kind", "rows")
+
+
 def hottest(tables: DataFrame, share: float = 0.01) -> DataFrame:
     """The first hundredth of the tables by rows (one at least), ties by number."""
     ranked = tables.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("rows"), "i"))).withColumn("_n", F.count("*").over(Window.partitionBy()))

@@ -84,3 +84,11 @@ UNION ALL SELECT 'none', 'id', 'SELECT setval(pg_get_serial_sequence(''"app"."no
 def sink_reseed(spark: SparkSession, sf: str) -> DataFrame:
     o = load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
     return sinks.reseed(catalog.next_values({("o", "id"): o, ("none", "id"): o.where("false")}), "postgres", "app")
+
+
+@query("""SELECT * FROM (VALUES (1, 'FUNCTION', 'f', '-- FUNCTION: f' || chr(10) || 'create function f' || chr(10) || 'return 1'), (1, 'PROCEDURE', 'p', '-- PROCEDURE: p' || chr(10) || 'create procedure p'), (2, 'TRIGGER', 't', '-- TRIGGER: t' || chr(10) || 'create trigger t')) v(part, type, name, script)""")
+def catalog_routine_export(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbered lines put together; an object seen twice is exported once, one without source not at all."""
+    lines = spark.sql(r"SELECT * FROM VALUES ('o', 'f', 'FUNCTION', 2, 'return 1'), ('o', 'f', 'FUNCTION', 1, 'create function f\n'), ('o2', 'f', 'FUNCTION', 1, 'create function f\nreturn 1'), ('o', 'p', 'PROCEDURE', 1, 'create procedure p'), ('o', 'e', 'PROCEDURE', 1, ' ') AS v(owner, name, type, line, text)")
+    triggers = spark.sql("SELECT * FROM VALUES ('o', 't', 'TRIGGER', 'create trigger t'), ('o', 't', 'TRIGGER', 'create trigger t') AS v(owner, name, type, body)")
+    return catalog.routine_export(catalog.routine_source(lines), triggers)

@@ -73,6 +73,14 @@ def cutover_state(spark: SparkSession, sf: str) -> DataFrame:
     return checks.cutover(9, 9, 9, verify.compare_counts({"orders": o}, {"orders": o.where("o_orderkey > 0")}))
 
 
+@query("SELECT 'c' || CAST(c_custkey AS VARCHAR) AS table_name, CASE WHEN c_custkey % 5 = 0 THEN 'timeout' ELSE 'source=' || CAST(c_custkey AS VARCHAR) || ' target=' || CAST(c_custkey - 1 AS VARCHAR) END AS error FROM customer WHERE c_custkey % 5 = 0 OR c_custkey % 7 = 0")
+def cutover_count_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as tables: the counts of every fifth failed, those of every seventh differ."""
+    c = load(spark, sf, "customer")
+    dst = F.when(F.col("c_custkey") % 5 != 0, F.col("c_custkey") - F.when(F.col("c_custkey") % 7 == 0, 1).otherwise(0))
+    return checks.count_errors(c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("table_name"), F.col("c_custkey").alias("src_rows"), dst.alias("dst_rows"), F.lit("timeout").alias("failure")))
+
+
 @query("SELECT 'data' AS category, CAST(2 AS BIGINT) AS total, CAST(1 AS BIGINT) AS success, CAST(1 AS BIGINT) AS failed, ['b'] AS failed_items UNION ALL SELECT 'views', 1, 1, 0, []")
 def report_totals(spark: SparkSession, sf: str) -> DataFrame:
     return copy.report(spark.sql("SELECT * FROM VALUES ('data', 'a', true, ''), ('data', 'b', false, 'e'), ('views', 'v', true, '') AS v(category, name, ok, error)"))

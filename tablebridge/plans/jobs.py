@@ -110,6 +110,15 @@ def retention_cleanup(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.retained(load(spark, sf, "events"), "ts", "2024-01-30 00:00:00", 10).select("event_id")
 
 
+@query("SELECT event_id, user_id AS job FROM events WHERE NOT (user_id % 4 IN (0, 1) AND user_id % 3 <> 0)")
+def log_retention(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fourth job was stopped, every fourth aborted, the others failed or paused; a third of all has not ended long ago."""
+    status = F.element_at(F.array(F.lit("stopped"), F.lit("aborted"), F.lit("failed"), F.lit("paused_manual")), (F.col("job") % 4 + 1).cast("int"))
+    e = load(spark, sf, "events").select("event_id", F.col("user_id").alias("job"))
+    ended = F.when(F.col("job") % 3 == 0, "2024-01-25 00:00:00").otherwise("2023-11-01 00:00:00").cast("timestamp_ntz")
+    return jobs.retained_logs(e, e.select("job").distinct().select("job", status.alias("status"), ended.alias("finished_at")), "2024-01-30 00:00:00", 30)
+
+
 _TAGS = ("INFO", "DDL", "DATA", "INDEX", "WARN", "ERROR", "DONE", "OTHER")
 
 

@@ -26,6 +26,11 @@ def hot_tables_top1pct(spark: SparkSession, sf: str) -> DataFrame:
     return workload.hottest(workload.allocate(spark, 200, 1_000_000, 100_000))
 
 
+@query(f"{_ALLOCATION} SELECT i + 1 AS i, 'load_run2024x_' || CASE WHEN kind = 'mixed_case' THEN 'Mixed_' ELSE '' END || printf('%06d', i + 1) AS table_name, kind, rows FROM a")
+def workload_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return workload.profile(spark, "Run-2024/x", 200, 1_000_000, 100_000)
+
+
 @query("SELECT event_id AS seq, 't' || printf('%03d', CASE WHEN event_id % 100 < 80 THEN (event_id // 100 + event_id * 7919) % 2 ELSE (event_id // 100 + event_id * 7919) % 200 END) AS table_name FROM events")
 def workload_hot_skew(spark: SparkSession, sf: str) -> DataFrame:
     """Two hundred tables, of which the two largest take four fifths of the writes."""

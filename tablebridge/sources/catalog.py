@@ -102,6 +102,16 @@ def routine_source(lines: DataFrame) -> DataFrame:
     return lines.groupBy("owner", "name", "type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "").alias("body"))
 
 
+def routine_export(routines: DataFrame, triggers: DataFrame) -> DataFrame:
+    """``part, type, name, script`` of routines and then triggers, each once, with a heading; sources stay as they are.
+
+    Both: ``owner, name, type, body`` as routine_source() gives them; one that is listed under several owners or times with one body is one.
+    """
+    rows = routines.withColumn("part", F.lit(1)).unionByName(triggers.withColumn("part", F.lit(2))).where(F.trim(F.coalesce("body", F.lit(""))) != "")
+    one = rows.dropDuplicates(["part", "type", "name", "body"])
+    return one.select("part", "type", "name", F.concat(F.lit("-- "), "type", F.lit(": "), "name", F.lit("\n"), "body").alias("script"))
+
+
 def eligible_unique(parts: DataFrame) -> DataFrame:
     """Unique indexes whose every part is a whole, not nullable, plain column in a B-tree, smallest first."""
     fine = F.every(F.col("column_name").isNotNull() & F.col("prefix_length").isNull() & ~F.col("nullable") & (F.upper("index_type") == "BTREE"))
