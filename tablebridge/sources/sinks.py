@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ddl import distribute
 from ..functions.typemap import PG_FAMILY
+from ..protocols import plugged
 from .readers import PAGE, Connection, jdbc_url
 from .store import TableStore
 
@@ -132,7 +133,9 @@ class JdbcSink:
 
 
 def sink_for(spark: SparkSession, kind: str, root: str = "", target: Connection | None = None, schema: str = "") -> Sink:
-    """The sink of a target's kind; ValueError for a database that can't be written."""
+    """The sink of a target's kind, a registered one first; ValueError for a database that can't be written."""
+    if plug := plugged("sink", kind):
+        return plug(spark, root=root, target=target, schema=schema)
     if kind == "store":
         return StoreSink(TableStore(spark, root))
     if kind not in KINDS or target is None:

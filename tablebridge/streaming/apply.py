@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators import cdc
+from ..protocols import Hooks
 from ..sources.store import TableStore
 
 
@@ -76,7 +77,7 @@ def apply_batch(store: TableStore, log: DataFrame, keys: dict[str, list[str]], b
     return now
 
 
-def stream(spark: SparkSession, store: TableStore, path: str, schema: StructType, keys: dict[str, list[str]], checkpoint: str, on_batch: Callable[[dict], None] | None = None, every: str | None = None, control: Control | None = None) -> StreamingQuery:
+def stream(spark: SparkSession, store: TableStore, path: str, schema: StructType, keys: dict[str, list[str]], checkpoint: str, on_batch: Callable[[dict], None] | None = None, every: str | None = None, control: Control | None = None, hooks: Hooks | None = None) -> StreamingQuery:
     """Follow a folder of change files and apply what has come; the manifest, not the stream's checkpoint, says what is applied.
 
     Without ``every`` the stream ends with what is there, with it (``5 seconds``) it looks again until ``control`` asks for a pause. A micro-batch
@@ -89,12 +90,18 @@ def stream(spark: SparkSession, store: TableStore, path: str, schema: StructType
         batch = batch.persist()
         try:
             done = apply_batch(store, batch, keys, control.boundary if control else None)
+        except Paused as e:
+            if hooks:
+                hooks.paused(e.reason, e.position, e.details)
+            raise
         finally:
             batch.unpersist()
         if control:
             control.position = done["position"]
         if on_batch:
             on_batch(done)
+        if hooks:
+            hooks.applied(done)
 
     writer = spark.readStream.schema(schema).json(path).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -9,6 +9,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from tablebridge import protocols
 from tablebridge.functions.positions import merge_intervals
 from tablebridge.operators import cdc, copy, jobs, verify, workload
 from tablebridge.sources import readers, sinks
@@ -231,3 +232,40 @@ def test_answers(spark, tmp_path):
     assert sinks.answers(spark, f"file://{tmp_path}") == (True, "") and not sinks.answers(spark, f"file://{tmp_path}/none")[0]
     c = readers.Connection("oracle", "h", 1)
     assert sinks.answers(spark, c, lambda q: spark.sql("select 1"))[0] and not sinks.answers(spark, c)[0]
+
+
+def test_plugs(spark, tmp_path):
+    made = []
+    protocols.register("sink", "memory", lambda spark, **kw: made.append(kw) or "sink")
+    assert sinks.sink_for(spark, "memory", root="r", schema="s") == "sink" and made == [{"root": "r", "target": None, "schema": "s"}]
+    for role, kind in (("sink", "memory"), ("engine", "x")):
+        with pytest.raises(ValueError):
+            protocols.register(role, kind, print)
+    spark.range(3).write.parquet(f"file://{tmp_path}/t.parquet")
+    reader = protocols.plugged("reader", "folder")(spark, f"file://{tmp_path}")
+    assert [r.table_name for r in reader.tables().collect()] == ["t"] and reader.open("t").count() == 3 and protocols.plugged("mapper", "none") is None
+
+
+def test_hooks_hear_of_batches_and_pauses(spark, tmp_path):
+    heard = []
+
+    class Ears(protocols.Hooks):
+        def applied(self, manifest):
+            heard.append(("applied", manifest["position"]))
+
+        def paused(self, reason, position, details):
+            heard.append((reason, position, details["txn_seq"]))
+
+    root = f"file://{tmp_path}"
+    base = spark.createDataFrame([(1, "a")], "k long, v string")
+    store = TableStore(spark, f"{root}/store")
+    store.commit(store.latest(), {"t": store.stage("t", base)}, -1)
+    schema = streaming.log_schema(base.schema)
+    rows = [(1, 0, "t", "update", (1, "a"), (1, "b"), ""), (1, 1, "", "commit", None, None, "")]
+    spark.createDataFrame(rows, schema).coalesce(1).write.json(f"{root}/log")
+    run = lambda: streaming.stream(spark, store, f"{root}/log", schema, {"t": ["k"]}, f"{root}/check", hooks=Ears()).awaitTermination()
+    run()
+    spark.createDataFrame([(2, 0, "", "ddl", None, None, "alter table t add x int"), (2, 1, "", "commit", None, None, "")], schema).coalesce(1).write.mode("append").json(f"{root}/log")
+    with pytest.raises(Exception, match="Paused"):
+        run()
+    assert heard == [("applied", 1), ("ddl", 1, 2)]
