@@ -415,7 +415,7 @@ def test_license_whole_texts_and_siblings():
         assert licenses.most_matched(a, b, 5, 8) >= licenses.align(a, b, 5, 8)[0]
     index = licenses.Index(licenses.all_templates())
     whole = licenses.whole_texts()
-    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "CC0-1.0", "Unlicense"} <= set(whole)
+    assert {"Apache-2.0", "AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "CC0-1.0", "Unlicense"} <= set(whole)
     for name, texts in whole.items():
         for t in texts:
             assert index.candidates(pa.array([words(79, 3), t])).tolist() == [1]
@@ -427,6 +427,7 @@ def test_license_whole_texts_and_siblings():
     assert [x[0] for x in index.scan(licenses.TEMPLATES["BSD"][0])] == ["BSD"]
     agpl = whole["GPL-3.0"][0].replace("Use with the GNU Affero", "Remote Network Interaction; Use with the GNU")
     assert "GPL-3.0" not in [x[0] for x in index.scan(agpl)]
+    assert [x[0] for x in index.scan(whole["AGPL-3.0"][0])] == ["AGPL-3.0"] and [x[0] for x in index.scan(whole["GPL-3.0"][0])] == ["GPL-3.0"]
 
 
 def test_edited_license_notice_keeps_its_whole_span():
