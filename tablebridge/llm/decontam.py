@@ -87,6 +87,9 @@ def overlaps(docs: DataFrame, bench: DataFrame, text: str = "text", key: str = "
 
 
 def remove(docs: DataFrame, bench: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Documents that hold no benchmark text; all columns stay. A null key with an overlap takes all null keys along."""
+    """Documents that hold no benchmark text, as often as they are there; all columns stay, whatever their names.
+
+    Keys decide: a key with an overlap takes all rows of the key along, a null key all null keys. Null and empty texts stay; an empty benchmark takes none.
+    """
     bad = overlaps(docs, bench, text, key).select(F.col("doc_id").alias("bad")).distinct()
     return docs.join(bad, docs[key].eqNullSafe(bad["bad"]), "left_anti")

@@ -59,7 +59,8 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
 
     ``versions`` holds every historical text, one a row; equal texts are one blob and are scanned once, however many
     copies there are (copies fall together before the shuffle). Null is the empty blob. A pair without findings is a
-    row as well, so that the next run skips it.
+    row as well, so that the next run skips it. Only the text is read, so other columns may have any name; a text of any length is scanned whole; no
+    versions give no rows.
     """
     blobs = versions.select(address(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("t")).dropDuplicates(["blob"])
     every = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
