@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_hot, materialise
+from .common import free_name, join_hot, materialise
 
 WINDOW = 2
 MIN_CHARS = 50
@@ -98,13 +98,15 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", window
     document and all get the same result; a null key is a key of its own. Columns of the new names are replaced, others stay. Texts of any
     length are read whole; an empty table stays empty.
     """
+    docs = docs.drop("n_lines", "n_gone")
+    k, th, lost, h = (free_name(docs, c) for c in ("_k", "_th", "_gone", "_h"))
     runs = repeated_runs(docs, text, key, window, min_chars, long_chars)
-    gone = runs.groupBy(F.col("doc_id").alias("_k"), F.col("th").alias("_th")).agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", F.col("start") + F.col("lines") - 1)))).alias("_gone"))
-    rows = docs.drop("n_lines", "n_gone").withColumn("_h", F.xxhash64(F.coalesce(text, F.lit(""))))
-    out = rows.join(gone, rows[key].eqNullSafe(gone["_k"]) & (rows["_h"] == gone["_th"]), "left")
+    gone = runs.groupBy(F.col("doc_id").alias(k), F.col("th").alias(th)).agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", F.col("start") + F.col("lines") - 1)))).alias(lost))
+    rows = docs.withColumn(h, F.xxhash64(F.coalesce(text, F.lit(""))))
+    out = rows.join(gone, rows[key].eqNullSafe(gone[k]) & (rows[h] == gone[th]), "left")
     parts = F.split(F.col(text), "\n", -1)
     number = F.transform(_content(F.col(text)), lambda x: x["i"])
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.transform("_gone", lambda i: F.get(number, i)))
-    new = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
-    out = out.withColumns({"n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long"), "n_gone": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), text: new})
-    return out.drop("_k", "_th", "_gone", "_h")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.transform(lost, lambda i: F.get(number, i)))
+    new = F.when(F.col(lost).isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+    out = out.withColumns({"n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long"), "n_gone": F.coalesce(F.size(lost), F.lit(0)).cast("long"), text: new})
+    return out.drop(k, th, lost, h)

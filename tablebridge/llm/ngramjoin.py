@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, components, join_hot, local_spanning, materialise, mix64, spanning_pairs, text_slices, word_shingles
+from .common import by_group, components, free_name, join_hot, local_spanning, materialise, mix64, spanning_pairs, text_slices, word_shingles
 
 GRAM = 5
 LEAST = 0.8
@@ -326,11 +326,12 @@ def join_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One document of each class, that with the least key; all columns stay (a column ``rk`` does not), rows of equal key and text fall together.
+    """One document of each class, that with the least key; all columns stay, rows of equal key and text fall together.
 
     Null and blank texts are classes of their own and stay; of equal keys with different texts of one class one stays; a null key counts
     as the least; an empty table stays empty.
     """
     stay = join_documents(docs, text, key).where("first").select("rk").distinct()
     row = F.md5(F.concat_ws("\x00", F.col(key).cast("string"), F.length(text).cast("string"), F.col(text)))
-    return docs.withColumn("rk", row).join(stay, "rk", "left_semi").dropDuplicates(["rk"]).drop("rk")
+    rk = free_name(docs, "rk")
+    return docs.withColumn(rk, row).join(stay.toDF(rk), rk, "left_semi").dropDuplicates([rk]).drop(rk)

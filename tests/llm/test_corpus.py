@@ -528,7 +528,7 @@ def test_ngram_join(spark, odd_rows, monkeypatch, block):
     monkeypatch.setattr(ngramjoin._blocked, "__defaults__", (block,))
     monkeypatch.setattr(common, "HOT", 1000 if block > 5 else 10)
     rows = [(100 + i, t) for i, t in enumerate(near_copies(80, 23))] + [(200 + i, words(90 + i, 60)) for i in range(5)] + [(300, words(90, 60)), (301, words(90, 60).upper()), *odd_rows]
-    docs = frame(spark, [(*r, 7) for r in rows], "doc_id long, text string, class_id int")
+    docs = frame(spark, [(*r, 7, "r") for r in rows], "doc_id long, text string, class_id int, rk string")
     got = [tuple(r) for r in ngramjoin.join_documents(docs).select("doc_id", "class_id", "n_links").collect()]
     sets = [set(common.word_shingles(t).tolist()) for _, t in rows]
     root = list(range(len(rows)))
@@ -550,7 +550,7 @@ def test_ngram_join(spark, odd_rows, monkeypatch, block):
     least = {g: min((k for k in ks if k is not None), default=None) for g, ks in groups.items()}
     assert Counter(got) == Counter((k, least[find(i)], links[i]) for i, (k, _) in enumerate(rows))
     kept = ngramjoin.keep_first(docs).collect()
-    assert len(kept) == len(groups) and all(len(r) == 3 for r in kept)
+    assert len(kept) == len(groups) and all(len(r) == 4 and r.rk == "r" for r in kept)
 
 
 def test_ngram_join_of_nothing(spark):
@@ -641,13 +641,13 @@ def test_line_dedup(spark, odd_rows):
     rng = np.random.default_rng(12)
     pool = ["ab", "c", "defghij", a[:30], b, "k" * 49, "m" * 210]
     rows += [(100 + i, "\n".join(pool[k] for k in rng.integers(0, 7, rng.integers(1, 14)))) for i in range(60)]
-    docs = frame(spark, [(*r, 5) for r in rows], "doc_id long, text string, n_gone int")
+    docs = frame(spark, [(*r, 5, "a", "b") for r in rows], "doc_id long, text string, n_gone int, _k string, _gone string")
     gone = brute_lines(rows)
     want = Counter()
     for k, t in rows:
         lines, g = (t or "").split("\n"), gone.get((k, t), set())
         want[k, "\n".join(x for i, x in enumerate(lines) if i not in g) if t is not None else None, 0 if t is None else len(lines), len(g)] += 1
-    got = Counter(tuple(r) for r in linededup.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_gone").collect())
+    got = Counter(tuple(r) for r in linededup.dedup_lines(docs).where("_k = 'a' and _gone = 'b'").select("doc_id", "text", "n_lines", "n_gone").collect())
     assert got == want and linededup.dedup_lines(docs.where("false")).count() == 0
 
 
