@@ -142,34 +142,33 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encode_decode(docs: DataFrame, path: str, text: str = "text", texts: bool = False) -> DataFrame:
-    """Append ``n_tokens, ids_sha256, decoded_sha256`` (and with ``texts`` also ``ids, decoded``) to every row.
+def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: bool = False, texts: bool = False) -> DataFrame:
+    """Append ``n_tokens, ids_sha256, decoded_sha256`` (with ``ids`` also ``ids``, with ``texts`` also ``decoded``) to every row.
 
-    A map, without shuffle; each worker keeps bounded caches of encoded words. Null and empty texts have no ids and
-    an empty decoded text. Other columns pass unchanged, except those of the new names, which are replaced.
+    A map, without shuffle; each worker keeps a cache of encoded words that is bounded in bytes. Null and empty texts have no ids and
+    an empty decoded text. Columns of the new names are replaced, others pass unchanged; repeated rows stay repeated; an empty table
+    stays empty; a text of any length is encoded whole.
     """
-    new = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if texts else [])]
-    docs = docs.drop(*new)
+    more = [*(["ids"] if ids else []), *(["decoded"] if texts else [])]
+    docs = docs.drop("n_tokens", "ids_sha256", "decoded_sha256", *more)
     schema = StructType(docs.schema.fields[:]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    if texts:
-        schema = schema.add("ids", ArrayType(IntegerType())).add("decoded", "string")
+    for name in more:
+        schema = schema.add(name, ArrayType(IntegerType()) if name == "ids" else "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for whole in batches:
-            for b in text_slices(whole, text):
-                ids, ends = bpe.texts.encode(b.column(text))
-                raw, cut = ids.astype("<u4").tobytes(), (4 * ends).tolist()
-                back = bpe.decode_many(ids, ends)
-                cols = [
-                    pa.array(np.diff(ends)),
-                    pa.array([hashlib.sha256(raw[x:y]).hexdigest() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.string()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string()),
-                ]
+            for b in text_slices(whole, text, 1_000_000):
+                flat, ends = bpe.texts.encode(b.column(text))
+                raw, cut = flat.astype("<u4").tobytes(), (4 * ends).tolist()
+                back = bpe.decode_many(flat, ends)
+                b = b.append_column("n_tokens", pa.array(np.diff(ends)))
+                b = b.append_column("ids_sha256", pa.array([hashlib.sha256(raw[x:y]).hexdigest() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.string()))
+                b = b.append_column("decoded_sha256", pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string()))
+                if ids:
+                    b = b.append_column("ids", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32))))
                 if texts:
-                    cols += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32))), pa.array([x.decode() for x in back], pa.string())]
-                for name, col in zip(new, cols, strict=True):
-                    b = b.append_column(name, col)
+                    b = b.append_column("decoded", pa.array([x.decode() for x in back], pa.string()))
                 yield b
 
     return docs.mapInArrow(run, schema)

@@ -52,7 +52,7 @@ class TextIds:
     of up to LONG_RUN characters are cached until the cache holds about ``size`` bytes, then it is emptied; each worker has its own.
     """
 
-    def __init__(self, plain: Callable[[list[str]], tuple[np.ndarray, list[int]]], odd: Callable[[list[str]], tuple[np.ndarray, list[int]]], size: int = 100_000_000) -> None:
+    def __init__(self, plain: Callable[[list[str]], tuple[np.ndarray, list[int]]], odd: Callable[[list[str]], tuple[np.ndarray, list[int]]], size: int = 60_000_000) -> None:
         self.plain, self.odd, self.size = plain, odd, size
         self.clear()
 
@@ -69,7 +69,7 @@ class TextIds:
             self.index.update((w, at + i) for i, w in enumerate(some))
             self.flat = np.concatenate([self.flat, ids])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-            self.held += sum(map(len, some)) + 4 * len(ids) + 150 * len(some)
+            self.held += sum(map(len, some)) + 4 * len(ids) + 250 * len(some)
 
     def _forget(self, since: tuple[int, int]) -> None:
         """Drop what was learned since a state (entries, bytes)."""

@@ -255,7 +255,7 @@ def test_token_files(spark, odd_rows, tokenizer):
 def test_bpe(spark, odd_rows, tokenizer):
     rows = [*odd_rows, *[(100 + i, t) for i, t in enumerate(ODD)]]
     docs = frame(spark, [(*r, "clash") for r in rows], "doc_id long, text string, decoded string")
-    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256, tuple(r.ids), r.decoded) for r in bpe.encode_decode(docs, VOCAB, texts=True).collect())
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256, tuple(r.ids), r.decoded) for r in bpe.encode_decode(docs, VOCAB, ids=True, texts=True).collect())
     want = Counter()
     for k, t in rows:
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids
