@@ -54,7 +54,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents and ``n_tokens, ids_sha256, decoded_sha256, ids``."""
-    return bpe.encode_decode(docs.select(COLUMNS), vocabulary(), texts=True).drop("decoded")
+    return bpe.encode_decode(docs.select(COLUMNS), vocabulary(), ids=True)
 
 
 STAGES = [("language ID", language), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", benchmark), ("BPE encoding and decoding", tokens)]
