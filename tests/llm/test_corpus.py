@@ -651,6 +651,13 @@ def test_line_dedup(spark, odd_rows):
     assert got == want and linededup.dedup_lines(docs.where("false")).count() == 0
 
 
+def test_line_dedup_without_thresholds(spark):
+    """Every later line that stood before goes, however short and whatever is around it."""
+    rows = [(1, "a\nb\n\na"), (2, "b"), (3, "c\nb\nd\na"), (4, None), (5, "d")]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(frame(spark, rows), window=1, min_chars=0).collect()}
+    assert got == {1: "a\nb\n", 2: "", 3: "c\nd", 4: None, 5: ""}
+
+
 def test_line_runs_say_what_they_repeat(spark):
     a, b, c, d = (words(s, 6) for s in range(117, 121))
     docs = frame(spark, [(1, f"{a}\n{b}\n{c}"), (2, f"x\n{a}\n{b}\n\n{c}\n{d}"), (3, f"{b}\n{c}\n{d}")])
