@@ -52,14 +52,14 @@ def keyset_page(df: DataFrame, key: str, before: int | None = None, size: int =
 
 
 def cursor_page(df: DataFrame, key: str, size: int, after: int | None = None, before: int | None = None) -> DataFrame:
-    """A page of a log in ascending order with ``has_older, has_newer``: the tail, or next to a key."""
+    """A page of a log in ascending order with ``has_older, has_newer``: the tail, or next to a key. Whether there is more is asked of one row each, by the key."""
     if after is not None:
         rows = df.where(F.col(key) > after).orderBy(key).limit(size)
     else:
         rows = (df if before is None else df.where(F.col(key) < before)).orderBy(F.desc(key)).limit(size)
-    ends = rows.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-    all_ = df.agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
-    return rows.crossJoin(F.broadcast(ends)).crossJoin(F.broadcast(all_)).withColumns({"has_older": F.col("_first") < F.col("_lo"), "has_newer": F.col("_last") > F.col("_hi")}).drop("_lo", "_hi", "_first", "_last").orderBy(key)
+    lo, hi = rows.agg(F.min(key), F.max(key)).first()  # of one page
+    beyond = lambda c: F.lit(lo is not None and not df.where(c).limit(1).isEmpty())
+    return rows.withColumns({"has_older": beyond(F.col(key) < lo), "has_newer": beyond(F.col(key) > hi)}).orderBy(key)
 
 
 def bounded(df: DataFrame, order: list[str], most: int = 1000) -> DataFrame:
@@ -141,6 +141,12 @@ def failures_of(expected: DataFrame, items: DataFrame, counts: DataFrame, compat
     return reported.unionByName(off.unionByName(odd).withColumns({"ddl": F.lit(None).cast("string"), "stage": F.lit("validation")}))
 
 
+def object_warnings(items: DataFrame) -> DataFrame:
+    """``message`` for each failed object that does not keep its table from being followed."""
+    late = items.where(F.col("category").isin("index", "foreign_key", "sequence", "comment", "view"))
+    return late.select(F.format_string("%s failed [%s]: %s", F.replace("category", F.lit("_"), F.lit(" ")), "name", redact(F.col("error"))).alias("message"))
+
+
 def manifest_hash(effective: DataFrame, excluded: DataFrame, position: str) -> DataFrame:
     """One row: a SHA-256 of scope and position that no order of rows changes; excluded: ``table_name, stage, error, ddl``."""
     a = effective.agg(F.array_sort(F.collect_list("table_name")).alias("effective"))
@@ -169,6 +175,16 @@ def target_compatibility(source_cols: DataFrame, target_cols: DataFrame) -> Data
     return absent.unionByName(extra)
 
 
+def key_compatibility(locators: DataFrame, target_sets: DataFrame) -> DataFrame:
+    """``table_name, problem`` of tables whose rows are found by columns that no unique constraint of the target holds; whole rows need none.
+
+    locators: ``table_name, strategy, columns``; target_sets: ``table_name, columns``; sets compare without order.
+    """
+    have = target_sets.select("table_name", F.array_sort("columns").alias("c")).distinct()
+    need = locators.where("strategy <> 'full_row'").select("table_name", F.array_sort("columns").alias("c"))
+    return need.join(have, ["table_name", "c"], "left_anti").select("table_name", F.concat(F.lit("not unique: "), F.array_join("c", ", ")).alias("problem"))
+
+
 def retention_seconds(auto_purge: str | None, seconds: str | None, days: str | None) -> int | None:
     """How long the source keeps its log: 0 for ever, None unknown."""
 

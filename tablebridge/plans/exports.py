@@ -91,3 +91,14 @@ SELECT * FROM (VALUES ('mysql', 0, '{_DROP}'), ('mysql', 1, '{_MY}'), ('dameng',
 def ddl_dialects(spark: SparkSession, sf: str) -> DataFrame:
     t = Table("users", [Column("id", "bigint", nullable=False, extra="auto_increment"), Column("name", "varchar", 100), Column("age", "int", default="0"), Column("created", "datetime", default="CURRENT_TIMESTAMP"), Column("flag", "bit", 1, default="b'0'")])
     return spark.createDataFrame([(n, i, s) for n, d in DIALECTS.items() for i, s in enumerate(d.create_table("app", t, "mysql"))], "dialect string, seq int, ddl string")
+
+
+@query("SELECT * FROM (VALUES ('index failed [i]: e'), ('foreign key failed [f]: Key (a)=(<redacted>) is missing')) v(message)")
+def review_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.object_warnings(spark.sql("SELECT * FROM VALUES ('index', 'i', 'e'), ('foreign_key', 'f', 'Key (a)=(4711) is missing'), ('table', 't', 'e'), ('data', 'd', 'e') AS v(category, name, error)"))
+
+
+@query("SELECT * FROM (VALUES ('b', 'not unique: code'), ('d', 'not unique: id, tenant_id')) v(table_name, problem)")
+def target_key_compatibility(spark: SparkSession, sf: str) -> DataFrame:
+    loc = spark.sql("SELECT * FROM VALUES ('a', 'primary_key', array('tenant_id', 'id')), ('b', 'unique_key', array('code')), ('c', 'full_row', cast(array() as array<string>)), ('d', 'primary_key', array('tenant_id', 'id')) AS v(table_name, strategy, columns)")
+    return jobs.key_compatibility(loc, spark.sql("SELECT * FROM VALUES ('a', array('id', 'tenant_id')), ('b', array('code', 'x')), ('d', array('id')) AS v(table_name, columns)"))
