@@ -21,6 +21,8 @@ TARGET = 0.999
 #: Lower ends of the strata of similarity in which recall is measured.
 STRATA = (0.8, 0.85, 0.9, 0.95)
 BLOCK = 1024
+#: Shingles of a block in the exact comparison (eight bytes each), so that blocks of long texts hold fewer sets.
+BLOCK_SHINGLES = 2_000_000
 
 
 def recall(similarity: float, depth: int, trees: int = TREES) -> float:
@@ -238,15 +240,16 @@ def verified(sets: DataFrame, least: float = LEAST) -> DataFrame:
     """Exact links among the sets of each ``comp``: rows ``sid, other, links``.
 
     Rows: ``comp, sid, n, copies, s`` (the shingles as bytes), a durable table. A row with null other adds to the number of documents linked
-    to one of sid; the rest are a spanning forest of the links. Components of more than BLOCK sets are cut by size bands,
+    to one of sid; the rest are a spanning forest of the links. Components of more than BLOCK sets or BLOCK_SHINGLES shingles are cut by size bands,
     of which only equal and neighbouring ones can hold a link, and by blocks.
     """
     band = F.floor(F.log("n") / F.log(F.lit(1 / least)) + 1e-9).cast("int")
-    counts = materialise(sets.groupBy("comp").agg(F.count("*").alias("c")).where("c > 1"), "counts")
+    counts = materialise(sets.groupBy("comp").agg(F.count("*").alias("c"), F.sum("n").alias("t")).where("c > 1"), "counts")
     sets = join_hot(sets, counts, "comp", "c")
-    small = sets.where(F.col("c") <= BLOCK).select(F.xxhash64("comp").alias("task"), F.lit(0).alias("side"), "sid", "n", "copies", "s")
-    big = sets.where(F.col("c") > BLOCK).withColumn("band", band)
-    sizes = big.groupBy("comp", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("p"))
+    fits = (F.col("c") <= BLOCK) & (F.col("t") <= BLOCK_SHINGLES)
+    small = sets.where(fits).select(F.xxhash64("comp").alias("task"), F.lit(0).alias("side"), "sid", "n", "copies", "s")
+    big = sets.where(~fits).withColumn("band", band)
+    sizes = big.groupBy("comp", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("p"))
     up, down = sizes.select("comp", (F.col("band") - 1).alias("band"), F.col("p").alias("up")), sizes.select("comp", (F.col("band") + 1).alias("band"), F.col("p").alias("down"))
     plan = sizes.join(up, ["comp", "band"], "left").join(down, ["comp", "band"], "left").fillna(0, ["up", "down"])
     big = big.join(plan, ["comp", "band"]).withColumn("own", F.pmod(F.xxhash64("sid", F.lit(11)), F.col("p")).cast("int"))

@@ -525,6 +525,7 @@ def near_copies(seed, n):
 @pytest.mark.parametrize("block", [2048, 5])
 def test_ngram_join(spark, odd_rows, monkeypatch, block):
     monkeypatch.setattr(ngramjoin, "BLOCK", block)
+    monkeypatch.setattr(ngramjoin, "BLOCK_SHINGLES", 10**6 if block > 5 else 700)
     monkeypatch.setattr(ngramjoin._blocked, "__defaults__", (block,))
     monkeypatch.setattr(common, "HOT", 1000 if block > 5 else 10)
     rows = [(100 + i, t) for i, t in enumerate(near_copies(80, 23))] + [(200 + i, words(90 + i, 60)) for i in range(5)] + [(300, words(90, 60)), (301, words(90, 60).upper()), *odd_rows]
