@@ -98,18 +98,13 @@ def row_key(columns: list[str], row: str | None = None) -> Column:
     return F.sha2(F.to_json(F.struct(*[F.col(f"{row}.{c}" if row else c).alias(c) for c in columns]), {"ignoreNullFields": "false"}), 256)
 
 
-#: Row keys of a log (about 100 bytes each) up to which they are broadcast, so that the table isn't shuffled.
-BROADCAST_KEYS = 500_000
-
-
 def _touched(base: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """Rows of the base (left_semi) or all others (left_anti) by the row keys of a log.
 
-    The keys are counted first; a few are broadcast. More are joined by shuffle with the base on the left, of which adaptive execution
-    splits a key with very many equal rows over several tasks.
+    Adaptive execution broadcasts the keys if their measured size allows it; else it splits a key with very many equal rows
+    over several tasks, which it can for the left side of these joins.
     """
-    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return base.withColumn("rk", row_key(base.columns)).join(F.broadcast(keys) if few else keys, "rk", how)
+    return base.withColumn("rk", row_key(base.columns)).join(keys, "rk", how)
 
 
 def conflicts(base: DataFrame, log: DataFrame) -> DataFrame:
