@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 # Fixed values.
@@ -21,6 +22,9 @@ _LEX = re.compile(
 )
 
 
+_BRACKETED = re.compile(r"'(?:''|[^'])*'|\[[^\]]*\]")
+
+
 @dataclass(frozen=True)
 class Risk:
     statement: str
@@ -49,6 +53,15 @@ def scan(sql: str) -> tuple[list[str], int]:
     return words, statements + content
 
 
+def outer_words(sql: str) -> Iterator[tuple[str, int]]:
+    """Upper-case words outside of parentheses, quotes, [names] and comments, and where each begins."""
+    depth = 0
+    for m in _LEX.finditer(_BRACKETED.sub(lambda t: "." * len(t[0]), sql)):
+        depth += {"left": 1, "right": -1}.get(m.lastgroup, 0)
+        if m.lastgroup == "word" and depth <= 0:
+            yield m.group().upper(), m.start()
+
+
 def analyse(sql: str) -> Risk:
     """Exactly one statement of at most 1 MiB, no transaction control and no DELIMITER; else ValueError."""
     sql = sql.strip()

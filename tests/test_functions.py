@@ -111,6 +111,8 @@ def test_views():
     assert "CROSS join" in views.from_mysql("select 1 from a join b where x = 1") and "CROSS" not in views.from_mysql("select 1 from a join b on x = y left join c using (z)")
     assert views.from_sqlserver("create view v as select top 100 percent a + '-' + b as 'c d', n + m as k from t order by a", to="postgres") == 'select a || \'-\' || b AS "c d", n + m as k from t'
     assert views.from_oracle('select "A"."X", nvl(b, 1) from dual', to="postgres") == 'select A."X", coalesce(b, 1)'
+    assert views.strip_order("select a, row_number() over (order by a) as r from (select top 5 a from t order by a) x\nORDER   BY a desc") == "select a, row_number() over (order by a) as r from (select top 5 a from t order by a) x"
+    assert views.strip_order("select [order by], 'order by x' as s from t -- order by a") == "select [order by], 'order by x' as s from t -- order by a"
     assert views.strip_schemas("select * from DB1.t join db1.u", ["db1"]) == "select * from t join u"
 
 
