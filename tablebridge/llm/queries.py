@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, langid, licenses, linededup, ngramjoin, paradedup, secretscan, tokenstore
+from . import ann, bpe, convtrie, decontam, langid, licenses, linededup, ngramjoin, paradedup, secretscan, tokenstore
 from .common import crc_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convtrie.trie(table(spark, sf_dir, "conversations"))
+
+
 OP4_SQL = r"""
 WITH d AS (SELECT DISTINCT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS h FROM documents),
 b AS (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS h FROM benchmark),
@@ -115,11 +119,31 @@ SELECT documents.doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST
 """
 
 
+#: A crc32 step takes a byte and then eight bits; DuckDB has no function for it.
+OP11_SQL = """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, (xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda y: CAST(ascii(y) AS BIGINT))),
+    lambda a, y: list_reduce([xor(a, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda u, v: xor(u >> 1, 3988292384 * (u & 1)))), 4294967295)) % 6 AS h, max(p) AS own FROM t GROUP BY conv_id),
+k AS (SELECT c.conv_id, c.base, c.h, c.own, count(t.p) AS k FROM c LEFT JOIN t ON t.conv_id = c.base AND t.p <= c.h GROUP BY ALL),
+w AS (SELECT k.conv_id, t.p AS d, t.r, t.x FROM k JOIN t ON t.conv_id = k.base AND t.p <= k.h
+      UNION ALL SELECT k.conv_id, t.p - k.h + k.k, t.r, t.x FROM k JOIN t ON t.conv_id = k.conv_id AND t.p > k.h),
+s AS (SELECT k.conv_id, coalesce(list(md5(w.r || chr(1) || w.x) ORDER BY w.d) FILTER (WHERE w.d IS NOT NULL), []) AS ids, coalesce(list(length(w.x) ORDER BY w.d) FILTER (WHERE w.d IS NOT NULL), []) AS ns FROM k LEFT JOIN w USING (conv_id) GROUP BY k.conv_id),
+m AS (SELECT conv_id, len(ids) AS l, unnest(range(0, len(ids) + 1)) AS d, ids, ns FROM s),
+g AS (SELECT conv_id, l, d, CASE WHEN d = 0 THEN '' ELSE array_to_string(ids[1:d], '') END AS key, CASE WHEN d > 0 THEN ns[d] ELSE 0 END AS n FROM m),
+nodes AS (SELECT key, any_value(d) AS depth, any_value(n) AS n, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE l = d), '')) AS ends_sha256 FROM g GROUP BY key),
+kids AS (SELECT left(key, 32 * (depth - 1)) AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+each AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (key)),
+up AS (SELECT left(key, 32 * a) AS key, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * n) AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM each) GROUP BY 1)
+SELECT e.conv_id, CAST(e.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, e.n_convs, e.n_children, up.n_leaves, CAST(up.saved_tokens AS BIGINT) AS saved_tokens, e.ends_sha256
+FROM each e JOIN up USING (key) LEFT JOIN nodes p ON e.depth > 0 AND p.key = left(e.key, 32 * (e.depth - 1))
+"""
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_language_id, op2_paragraph_dedup, op3_token_files, op4_decontamination, op5_bpe, op6_license_scan, op7_nearest, op8_ngram_join, op9_line_dedup, op10_secret_scan,
+        op1_language_id, op2_paragraph_dedup, op3_token_files, op4_decontamination, op5_bpe, op6_license_scan, op7_nearest, op8_ngram_join, op9_line_dedup, op10_secret_scan, op11_prefix_trie,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL, "op9_line_dedup": OP9_SQL, "op10_secret_scan": OP10_SQL}
+    return {"op4_decontamination": OP4_SQL, "op9_line_dedup": OP9_SQL, "op10_secret_scan": OP10_SQL, "op11_prefix_trie": OP11_SQL}
