@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, convtrie, decontam, langid, licenses, linededup, ngramjoin, paradedup, secretscan, tokenstore
+from . import ann, bpe, convtrie, decontam, divergence, langid, licenses, linededup, mixing, ngramjoin, paradedup, secretscan, tokenstore
 from .common import crc_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,14 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convtrie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 OP4_SQL = r"""
 WITH d AS (SELECT DISTINCT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS h FROM documents),
 b AS (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS h FROM benchmark),
@@ -139,11 +147,31 @@ FROM each e JOIN up USING (key) LEFT JOIN nodes p ON e.depth > 0 AND p.key = lef
 """
 
 
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+o AS (SELECT doc, lang, source, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT doc) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN kept USING (lang, term) GROUP BY ALL),
+tot AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+cells AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(total, 0) + 5 * v) AS p
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term) LEFT JOIN tot ON tot.lang = g.lang AND tot.source = g.source),
+lc AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL),
+lt AS (SELECT lang, sum(n) AS total FROM lc GROUP BY lang),
+lq AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v) AS q FROM lc JOIN lt USING (lang) JOIN v USING (lang)),
+pr AS (SELECT a.lang, a.source, b.source AS item, coalesce((SELECT sum(abs(x.p - y.p)) FROM cells x JOIN cells y ON x.lang = y.lang AND x.term = y.term WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+tm AS (SELECT lang, source, term AS item, p - q AS value, row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term) AS rank FROM cells JOIN lq USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT) AS rank FROM pr
+UNION ALL SELECT lang, source, 'term', item, CAST(value AS BIGINT), CAST(rank AS INT) FROM tm WHERE rank <= 50
+"""
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_language_id, op2_paragraph_dedup, op3_token_files, op4_decontamination, op5_bpe, op6_license_scan, op7_nearest, op8_ngram_join, op9_line_dedup, op10_secret_scan, op11_prefix_trie,
+        op1_language_id, op2_paragraph_dedup, op3_token_files, op4_decontamination, op5_bpe, op6_license_scan, op7_nearest, op8_ngram_join, op9_line_dedup, op10_secret_scan, op11_prefix_trie, op12_source_mix, op13_divergence_audit,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL, "op9_line_dedup": OP9_SQL, "op10_secret_scan": OP10_SQL, "op11_prefix_trie": OP11_SQL}
+    return {"op4_decontamination": OP4_SQL, "op9_line_dedup": OP9_SQL, "op10_secret_scan": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op13_divergence_audit": OP13_SQL}
