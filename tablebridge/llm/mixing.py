@@ -3,7 +3,8 @@
 Each source aims at a share of all words by its weight, at most ``MOST`` times its own words; what a full source can't take is shared again by
 weight. A document of a source whose target is f times its words is taken floor(f) times, and once more with probability f - floor(f). These
 fractions are rounded by the pivotal method: of two documents one gives its fraction to the other until one of them is 0 or 1, in which
-direction is drawn so that each document keeps its probability. What moves is words, so the sum of words stays as it is in every step.
+direction is drawn so that each document keeps its probability. What moves is words, so the sum of words stays as it is in every step. A document
+much larger than its neighbours is paired with those behind it together.
 
 Documents of a source are ordered by size and dealt to blocks of ``BLOCK``; within a block neighbours are paired, so that words move between documents of like
 size. A block leaves at most one fraction, and the fractions of ``BLOCK`` blocks are a block of the next level: a tree with as many levels as the
@@ -74,25 +75,29 @@ def round_pairs(fraction: np.ndarray, size: np.ndarray, draw: np.ndarray) -> tup
     """Round one block in its order: the fractions, all 0 or 1 but for one at most, and the place of that one (-1 if none).
 
     The open document meets the next one. Moved words keep the sum; up with the chance of down's length and the other way round, so that
-    the mean of each fraction stays. Fractions within rounding errors of 0 or 1 are these.
+    the mean of each fraction stays. A document over twice as large as the next one would use up one after the other and stay open at the end, with
+    all its words uncertain: its partner is all that follow, taken together, each by p * (1 - p). Each step settles one document at least.
     """
-    p, open_ = fraction.copy(), -1
-    for i in range(len(p)):
-        if p[i] <= EPS or p[i] >= 1 - EPS:
-            p[i] = round(p[i])
+    p, open_, i, steps = fraction.copy(), -1, 0, 0
+    p[p <= EPS], p[p >= 1 - EPS] = 0, 1
+    while i < len(p):
+        if p[i] in (0, 1):
+            i += 1
             continue
         if open_ < 0:
-            open_ = i
+            open_, i = i, i + 1
             continue
-        j, a, b = open_, size[open_], size[i]
-        up, down = min((1 - p[j]) * a, p[i] * b), min(p[j] * a, (1 - p[i]) * b)
-        move = up if draw[i] * (up + down) < down else -down
-        p[j] += move / a
-        p[i] -= move / b
-        left = [k for k in (j, i) if EPS < p[k] < 1 - EPS]
-        for k in {j, i} - set(left):
-            p[k] = round(p[k])
-        open_ = left[0] if left else -1
+        with_ = np.array([i]) if size[open_] <= 2 * size[i] else i + np.flatnonzero((p[i:] > 0) & (p[i:] < 1))
+        part = p[with_] * (1 - p[with_])
+        part *= size[open_] / (part * size[with_]).sum()
+        up, down = min(1 - p[open_], (p[with_] / part).min()), min(p[open_], ((1 - p[with_]) / part).min())
+        step = up if draw[steps] * (up + down) < down else -down
+        steps += 1
+        p[open_] += step
+        p[with_] -= step * part
+        p[p <= EPS], p[p >= 1 - EPS] = 0, 1
+        if p[open_] in (0, 1):
+            open_ = -1
     return p, open_
 
 
