@@ -26,7 +26,7 @@ from tablebridge.operators.scan import running
 from .common import by_group, join_hot, materialise
 
 #: Most turns in a container, counted with all that follow in its suffixes.
-CAP = 1024
+CAP = 256
 #: Levels that the first round of bursting looks at; each further round looks at twice as many.
 LEVELS = 8
 #: Most original turns of the hundred's first conversation that a rebuilt one begins with.
