@@ -6,11 +6,15 @@ update and delete, before and after have the table's columns.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
+from .scan import running
+
 # Fixed value: statements that change a schema.
 DDL = r"(?is)^\s*(CREATE|ALTER|DROP|RENAME|TRUNCATE)\s+"
 
@@ -24,15 +28,15 @@ def pair_updates(rows: DataFrame) -> DataFrame:
     """A change log from rows as a source's log lists them: ``txn_seq, op_seq, kind, n, row``.
 
     One event is ``op_seq`` with its rows in the order of ``n``. Rows of an insert are images after, of a delete images before; an
-    update's come in pairs, before and after, and a last one without its pair is left out. Result: a change log, op_seq ascending
-    over events and their rows. Rows are paired by their number, not collected, so an event of any size spreads.
+    update's come in pairs, before and after, and a last one without its pair is left out. Result: a change log whose op_seq is
+    (event, row), so that events of any number and size stay in order. Rows are paired by their number, not collected, so an event of any size spreads.
     """
     one = F.when(F.col("kind") == "update", F.floor(F.col("n") / 2)).otherwise(F.col("n"))
     first = (F.col("kind") != "update") | (F.col("n") % 2 == 0)
     paired = rows.groupBy("txn_seq", "op_seq", "kind", one.alias("i")).agg(F.max(F.when(first, F.col("row"))).alias("a"), F.max(F.when(~first, F.col("row"))).alias("b"), F.count("*").alias("c"))
     whole = paired.where("kind <> 'update' or c = 2")
     before, after = F.when(F.col("kind") != "insert", F.col("a")), F.when(F.col("kind") == "insert", F.col("a")).when(F.col("kind") == "update", F.col("b"))
-    return whole.select("txn_seq", (F.col("op_seq") * 1_000_000 + F.col("i")).cast("long").alias("op_seq"), F.col("kind").alias("action"), before.alias("before"), after.alias("after"))
+    return whole.select("txn_seq", F.struct(F.col("op_seq").cast("long").alias("event"), F.col("i").cast("long").alias("row")).alias("op_seq"), F.col("kind").alias("action"), before.alias("before"), after.alias("after"))
 
 
 def after_position(log: DataFrame, applied: int) -> DataFrame:
@@ -63,16 +67,26 @@ def expand_keyed(log: DataFrame, keys: list[str]) -> DataFrame:
     return log.select("txn_seq", "op_seq", "after", F.explode(events).alias("e")).select("txn_seq", "op_seq", F.col("e.sub").alias("sub"), F.col("e.key").alias("key"), F.col("e.live").alias("live"), F.col("after").alias("row"))
 
 
+def last_events(log: DataFrame, keys: list[str]) -> DataFrame:
+    """``key, live, row, reset``: the last event of each key, and whether it was ever deleted; one event of a key and task before the shuffle."""
+    order = F.struct("txn_seq", "op_seq", "sub")
+    return expand_keyed(log, keys).groupBy("key").agg(F.max_by("live", order).alias("live"), F.max_by("row", order).alias("row"), F.max(~F.col("live")).alias("reset"))
+
+
+def last_rows(log: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """The last event of each key as a row: ``live`` and the table's columns, of which a dead one has its key alone."""
+    value = lambda c: F.col(f"key.{c}") if c in keys else F.when(F.col("live"), F.col(f"row.{c}"))
+    return last_events(log, keys).select("live", *[value(c).alias(c) for c in columns])
+
+
 def apply_keyed(base: DataFrame, log: DataFrame, keys: list[str], carried: list[str] | None = None) -> DataFrame:
     """The table after the log: the last event of each key decides.
 
-    max_by keeps one event of a key before the shuffle, so a key with many changes is no hot spot; the base is scanned once
-    and joined with the touched keys only. ``carried`` columns exist in the target alone: an update leaves them, a
+    A key with many changes is no hot spot; the base is scanned once and joined with the touched keys only. ``carried`` columns exist in the target alone: an update leaves them, a
     delete resets them.
     """
     carried = carried or []
-    order = F.struct("txn_seq", "op_seq", "sub")
-    last = expand_keyed(log, keys).groupBy("key").agg(F.max_by("live", order).alias("live"), F.max_by("row", order).alias("row"), F.max(~F.col("live")).alias("reset"))
+    last = last_events(log, keys)
     touched = last.select(*[F.col(f"key.{k}").alias(f"_k{i}") for i, k in enumerate(keys)], "live", "row", "reset")
     same = reduce(lambda a, b: a & b, [base[k] == touched[f"_k{i}"] for i, k in enumerate(keys)])
     kept = base.join(touched, same, "left_anti")
@@ -107,32 +121,43 @@ def _touched(base: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     return base.withColumn("rk", row_key(base.columns)).join(keys, "rk", how)
 
 
-def conflicts(base: DataFrame, log: DataFrame) -> DataFrame:
+def conflicts(base: DataFrame, log: DataFrame, keep: Callable[[DataFrame], DataFrame] = durable) -> DataFrame:
     """Changes that meet no row: ``txn_seq, op_seq, action, row_hash``, where the row's balance falls below zero.
 
-    The balance starts at the row's count in the base, which is counted for rows of the log alone; equal rows fall together
-    before the shuffle.
+    The balance starts at the row's count in the base, which is counted for rows of the log alone. The running sum goes by blocks, so one row
+    that takes all changes is spread like others.
     """
-    deltas = keyless_deltas(log).withColumn("rk", row_key(base.columns, "row"))
-    counts = _touched(base, deltas.where("d < 0").select("rk").distinct(), "left_semi").groupBy("rk").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("rk").orderBy("txn_seq", "op_seq", "sub").rowsBetween(Window.unboundedPreceding, 0)
-    run = deltas.withColumn("sum", F.sum("d").over(w)).join(counts, "rk", "left").withColumn("balance", F.coalesce("n", F.lit(0)) + F.col("sum"))
-    return run.where((F.col("d") < 0) & (F.col("balance") < 0)).select("txn_seq", "op_seq", "action", F.col("rk").alias("row_hash"))
+    deltas = keyless_deltas(log).withColumn("rk", row_key(base.columns, "row")).drop("row")
+    run = running(deltas, ["rk"], ["txn_seq", "op_seq", "sub"], {"sum": ("sum", F.col("d"))}, keep).where("d < 0")
+    counts = _touched(base, run.select("rk").distinct(), "left_semi").groupBy("rk").agg(F.count("*").alias("n"))
+    balance = run.where("sum < 0").join(counts, "rk", "left").withColumn("balance", F.coalesce("n", F.lit(0)) + F.col("sum"))
+    return balance.where("balance < 0").select("txn_seq", "op_seq", "action", F.col("rk").alias("row_hash"))
 
 
-def apply_keyless(base: DataFrame, log: DataFrame) -> DataFrame:
-    """The multiset after the log, which must have no conflict: only rows of the log are counted, all others pass through.
+def keyless_net(log: DataFrame, columns: list[str]) -> DataFrame:
+    """``rk, d, row``: how many of each row come or go over the whole log."""
+    deltas = keyless_deltas(log).withColumn("rk", row_key(columns, "row"))
+    return deltas.groupBy("rk").agg(F.sum("d").alias("d"), F.any_value("row").alias("row")).where("d <> 0")
 
-    Rows that only come are appended; the base is held against the keys of rows that leave.
-    """
-    cols = base.columns
-    net = keyless_deltas(log).withColumn("rk", row_key(cols, "row")).groupBy("rk").agg(F.sum("d").alias("d"), F.any_value("row").alias("row")).where("d <> 0")
+
+def repeated(net: DataFrame, columns: list[str], *more: str) -> DataFrame:
+    """Each row of ``net`` d times, with its columns and ``more``."""
+    each = net.where("d > 0").select(*[F.col(f"row.{c}").alias(c) for c in columns], *more, F.explode(F.sequence(F.lit(1), F.col("d").cast("int"))).alias("_i"))
+    return each.drop("_i")
+
+
+def apply_net(base: DataFrame, net: DataFrame) -> DataFrame:
+    """The multiset after net changes: only rows that leave are counted, all others pass through."""
     fewer = net.where("d < 0")
     still = _touched(base, fewer.select("rk"), "left_anti").drop("rk")
     counts = _touched(base, fewer.select("rk"), "left_semi").groupBy("rk").agg(F.count("*").alias("n"))
-    after = net.join(counts, "rk", "left").withColumn("n", F.coalesce("n", F.lit(0)) + F.col("d")).where("n > 0")
-    again = after.select(*[F.col(f"row.{c}").alias(c) for c in cols], F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("_i")).drop("_i")
-    return still.unionByName(again)
+    after = net.join(counts, "rk", "left").withColumn("d", F.coalesce("n", F.lit(0)) + F.col("d"))
+    return still.unionByName(repeated(after, base.columns))
+
+
+def apply_keyless(base: DataFrame, log: DataFrame) -> DataFrame:
+    """The multiset after the log, which must have no conflict: rows that only come are appended; the base is held against the keys of rows that leave."""
+    return apply_net(base, keyless_net(log, base.columns))
 
 
 def cut(logs: list[DataFrame], stops: list[DataFrame], boundary: int | None = None) -> list[DataFrame]:

@@ -217,7 +217,7 @@ def cdc_pair_updates(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.element_at(F.array(F.lit("insert"), F.lit("update"), F.lit("delete")), (F.col("l_linenumber") % 3 + 1).cast("int"))
     rows = x.select(F.col("l_orderkey").alias("txn_seq"), F.col("l_linenumber").cast("long").alias("op_seq"), kind.alias("kind"), "p", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("n"))
     log = cdc.pair_updates(rows.select("txn_seq", "op_seq", "kind", "n", F.struct((F.col("p") + F.col("n")).alias("part")).alias("row")))
-    return log.select("txn_seq", "op_seq", "action", F.col("before.part").alias("old_part"), F.col("after.part").alias("new_part"))
+    return log.select("txn_seq", (F.col("op_seq.event") * 1_000_000 + F.col("op_seq.row")).alias("op_seq"), "action", F.col("before.part").alias("old_part"), F.col("after.part").alias("new_part"))
 
 
 @query("SELECT * FROM (VALUES ('a', 'unique_key', 'uq', ['x'], 1, ''), ('b', 'primary_key', 'PRIMARY', ['id'], 1, 'changed'), ('c', 'full_row', '', [], 0, 'other_version'), ('d', 'primary_key', 'PRIMARY', ['id'], 1, 'gone'), ('e', 'full_row', '', [], 1, '')) v(table_name, strategy, index_name, columns, version, problem)")

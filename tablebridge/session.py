@@ -1,8 +1,10 @@
-"""Session defaults."""
+"""Session defaults and the folder that driver and executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -19,3 +21,16 @@ def session(name: str = "tablebridge", master: str | None = None, **conf: str) -
     if master:
         b = b.master(master)
     return b.config(map=DEFAULTS | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
+
+
+def shared_folder(spark: SparkSession, name: str = "table") -> str:
+    """A fresh path in the folder of ``spark.checkpoint.dir``; where the session names none (tests), under the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` as a table written to the shared folder: its lineage ends there, and a lost executor costs nothing."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
