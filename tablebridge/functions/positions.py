@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.scan import running
+from ..session import durable
+
 
 @dataclass(frozen=True)
 class Position:
@@ -128,11 +132,43 @@ def _islands(df: DataFrame, by: list[str]) -> DataFrame:
     return grouped.groupBy(*by, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")
 
 
-def merge_intervals(df: DataFrame, width: int = 1_000_000) -> DataFrame:
+def merge_intervals(df: DataFrame, width: int = 1_000_000, keep: Callable[[DataFrame], DataFrame] = durable) -> DataFrame:
     """Union of interval rows ``uuid, lo, hi`` as disjoint intervals (gaps and islands), for sets too large for one string.
 
-    A source has often one uuid alone, so intervals that begin in the same ``width`` numbers are merged first, in as many tasks as
-    there are ranges; only what is left of each range meets by uuid.
+    A source has often one uuid alone. Intervals that begin in the same ``width`` numbers are merged first; what is left is swept in order by blocks
+    (running()): the greatest end before each interval tells whether it begins an island, and a running count names that.
     """
     rows = df.select(F.lower("uuid").alias("uuid"), "lo", "hi", F.floor(F.col("lo") / width).alias("range"))
-    return _islands(_islands(rows, ["uuid", "range"]).select("uuid", "lo", "hi"), ["uuid"])
+    some = _islands(rows, ["uuid", "range"]).select("uuid", "lo", "hi")
+    upto = running(some, ["uuid"], ["lo", "hi"], {"top": ("max", F.col("hi"))}, keep, before=True)
+    new = (F.col("top").isNull() | (F.col("lo") > F.col("top") + 1)).cast("long")
+    island = running(upto, ["uuid"], ["lo", "hi"], {"island": ("sum", new)}, keep)
+    return island.groupBy("uuid", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")
+
+
+def _cover(a: DataFrame, b: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Stretches ``uuid, lo, hi, in_a, in_b`` between neighbouring ends of two sets' intervals: how many of each hold the stretch.
+
+    A sweep over all ends, by blocks: the running sums of what begins and ends, and the next end from the other side.
+    """
+    ends = lambda df, x, y: df.select(F.lower("uuid").alias("uuid"), F.explode(F.array(F.struct(F.col("lo").alias("lo"), F.lit(x).alias("a"), F.lit(y).alias("b")), F.struct((F.col("hi") + 1).alias("lo"), F.lit(-x).alias("a"), F.lit(-y).alias("b")))).alias("e")).select("uuid", "e.*")
+    steps = ends(a, 1, 0).unionByName(ends(b, 0, 1)).groupBy("uuid", "lo").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    held = running(steps, ["uuid"], ["lo"], {"in_a": ("sum", F.col("a")), "in_b": ("sum", F.col("b"))}, keep)
+    after = running(held, ["uuid"], [F.desc("lo")], {"next": ("min", F.col("lo"))}, keep, before=True)
+    return after.where("next is not null").select("uuid", "lo", (F.col("next") - 1).alias("hi"), "in_a", "in_b")
+
+
+def intersect_intervals(a: DataFrame, b: DataFrame, keep: Callable[[DataFrame], DataFrame] = durable) -> DataFrame:
+    """Numbers that both sets hold, as disjoint intervals ``uuid, lo, hi``; intervals of a set may overlap."""
+    return merge_intervals(_cover(a, b, keep).where("in_a > 0 and in_b > 0").select("uuid", "lo", "hi"), keep=keep)
+
+
+def subtract_intervals(a: DataFrame, b: DataFrame, keep: Callable[[DataFrame], DataFrame] = durable) -> DataFrame:
+    """Numbers of ``a`` that ``b`` lacks, as disjoint intervals: for instance what a source has executed and a target has not."""
+    return merge_intervals(_cover(a, b, keep).where("in_a > 0 and in_b = 0").select("uuid", "lo", "hi"), keep=keep)
+
+
+def contains_intervals(whole: DataFrame, part: DataFrame, keep: Callable[[DataFrame], DataFrame] = durable) -> DataFrame:
+    """One row ``contains``: whether ``whole`` holds every number of ``part``."""
+    lacking = _cover(part, whole, keep).where("in_a > 0 and in_b = 0")
+    return lacking.agg((F.count("*") == 0).alias("contains"))

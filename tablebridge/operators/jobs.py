@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..session import durable
+from ..sources.store import Conflict, TableStore
+from .scan import running
 
 # States of a job by group, and the order of failed objects in an export.
 STATUS_GROUPS = {
@@ -16,8 +22,13 @@ STATUS_GROUPS = {
 FAILED_ORDER = ["table", "primary_key", "sequence", "index", "foreign_key", "view", "comment", "data", "row_count", "cdc_compatibility"]
 STAGES = ["schema", "data", "primary_key", "row_count", "cdc_compatibility"]
 STAGE_OF = {"table": "schema", "data": "data"}  # all others fail with the objects
-#: Heads of the errors in which a database quotes a value of a row after a colon, and what a failed key check shows.
-QUOTING = ("invalid input", "out of range", "incorrect", r"line \d+, column")
+# Heads of the errors in which a database quotes a value of a row after a colon.
+QUOTING = (
+    "invalid input",
+    "out of range",
+    "incorrect",
+    r"line \d+, column",
+)
 HIDDEN = "<redacted>"
 #: A statement up to its semicolon; quoted text, dollar quotes and comments hide semicolons, an opening without end hides none.
 STATEMENT = r"""(?s)(?>'(?:''|[^'])*'|"(?:""|[^"])*"|(\$\w*\$).*?\1|--[^\n]*|/\*.*?\*/|[^;])+;?"""
@@ -93,13 +104,14 @@ def retained_logs(logs: DataFrame, jobs: DataFrame, now: str, days: int) -> Data
     return logs.join(old.select("job"), "job", "left_anti")
 
 
-def journal(log: DataFrame, seq: str = "seq", text: str = "line", job: str = "job") -> DataFrame:
-    """Level of each line by its tag, and the phase that the last heading of its job set."""
+def journal(log: DataFrame, seq: str = "seq", text: str = "line", job: str = "job", keep: Callable[[DataFrame], DataFrame] = durable) -> DataFrame:
+    """Level of each line by its tag, and the phase that the last heading of its job set, whatever part of all lines one job has written."""
     # Tags.
     tag = F.lower(F.regexp_extract(text, r"\[(INFO|DDL|DATA|INDEX|WARN|ERROR|DONE)\]", 1))
     phase = F.nullif(F.regexp_extract(text, r"=== Phase (\d+):", 1), F.lit(""))
-    w = Window.partitionBy(job).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    return log.withColumn("level", F.when(tag == "", "info").otherwise(tag)).withColumn("phase", F.last(phase, ignorenulls=True).over(w))
+    heading = F.when(phase.isNotNull(), F.struct(F.col(seq).alias("seq"), phase.alias("phase")))
+    found = running(log, [job], [seq], {"_heading": ("max", heading)}, keep)
+    return found.withColumn("level", F.when(tag == "", "info").otherwise(tag)).withColumn("phase", F.col("_heading.phase")).drop("_heading")
 
 
 def redact(c: Column) -> Column:
@@ -234,3 +246,47 @@ MOVES = {
 
 def may_move(old: str, new: str) -> bool:
     return new in MOVES.get(old, ())
+
+
+def move_job(store: TableStore, new: str) -> dict:
+    """Set the state of a store's job, if it may go there from the one it has; Conflict if another writer changed anything in between.
+
+    The state is part of the manifest, and a version is published once: of two that read one state, the second fails.
+    """
+    now = store.latest()
+    old = now["state"].get("status", "initializing")
+    if not may_move(old, new):
+        raise Conflict(f"{old} does not become {new}")
+    return store.commit(now, {}, now["position"], status=new)
+
+
+def line_counts(lines: DataFrame, job: str = "job", seq: str = "seq") -> DataFrame:
+    """``job, first_seq, last_seq, lines, lost`` of numbered log lines, batch or streamed: numbers that are missing between the first and last of a job.
+
+    Three counters a job, added up within each task first, so that one job may have all lines. A number that comes twice counts twice.
+    """
+    per = lines.groupBy(job).agg(F.min(seq).alias("first_seq"), F.max(seq).alias("last_seq"), F.count("*").alias("lines"))
+    return per.withColumn("lost", F.col("last_seq") - F.col("first_seq") + 1 - F.col("lines"))
+
+
+def follow_lines(lines: DataFrame, root: str, checkpoint: str, every: str | None = None, job: str = "job", seq: str = "seq") -> tuple[StreamingQuery, StreamingQuery]:
+    """Two streams of numbered log lines: lines go to ``root/lines`` in batches, counts of losses to ``root/counts``, a version of them a batch.
+
+    Lines of a micro-batch are one append of Spark's file sink, which knows what it has written; a batch's counts replace the folder of its number, so
+    that a batch that comes again is no second version. last_counts() reads the latest.
+    """
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    kept = lines.writeStream.format("parquet").option("path", f"{root}/lines").option("checkpointLocation", f"{checkpoint}/lines").trigger(**trigger).start()
+
+    def each(counts: DataFrame, number: int) -> None:
+        counts.write.mode("overwrite").parquet(f"{root}/counts/batch={number}")
+
+    told = line_counts(lines, job, seq).writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", f"{checkpoint}/counts").trigger(**trigger).start()
+    return kept, told
+
+
+def last_counts(spark: SparkSession, root: str, job: str = "job") -> DataFrame:
+    """The latest counts of each job."""
+    every = spark.read.parquet(f"{root}/counts")
+    cols = [c for c in every.columns if c not in (job, "batch")]
+    return every.groupBy(job).agg(F.max_by(F.struct(*cols), "batch").alias("x")).select(job, "x.*")

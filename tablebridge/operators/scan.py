@@ -17,8 +17,8 @@ KINDS: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column], Co
 }
 
 
-def running(df: DataFrame, key: list[str], order: list[str | Column], values: dict[str, tuple[str, Column]], keep: Callable[[DataFrame], DataFrame], parts: int | None = None) -> DataFrame:
-    """``df`` and, for each of ``values`` (name: kind and column), its aggregate over the rows of the key up to this one.
+def running(df: DataFrame, key: list[str], order: list[str | Column], values: dict[str, tuple[str, Column]], keep: Callable[[DataFrame], DataFrame], parts: int | None = None, before: bool = False) -> DataFrame:
+    """``df`` and, for each of ``values`` (name: kind and column), its aggregate over the rows of the key up to this one, or ``before`` it (null if none).
 
     The rows are dealt by ranges of (key, order) and written by ``keep``, which returns the table it wrote. A window then runs within
     the part of a key that lies in one range; only a key that crosses ranges needs the totals of its parts before, and at most one key crosses
@@ -30,17 +30,17 @@ def running(df: DataFrame, key: list[str], order: list[str | Column], values: di
     block, held = _free(df, "_block"), {name: _free(df, f"_of_{name}") for name in values}
     dealt = df.withColumns({held[name]: column for name, (_, column) in values.items()})
     spread = keep(dealt.repartitionByRange(n, *key, *order).withColumn(block, F.spark_partition_id()))
-    w = Window.partitionBy(*key, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*key, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     local = spread.withColumns({name: KINDS[kind][0](held[name]).over(w) for name, (kind, _) in values.items()})
 
     whole = F.struct(*[F.col(k) for k in key]) if key else F.struct(F.lit(0).alias("_all"))
     edges = spread.groupBy(block).agg(F.min(whole).alias("_lo"), F.max(whole).alias("_hi"))
     at_edge = spread.join(F.broadcast(edges), block).where(whole.eqNullSafe(F.col("_lo")) | whole.eqNullSafe(F.col("_hi")))
     totals = at_edge.groupBy(*key, block).agg(*[KINDS[kind][0](held[name]).alias(f"_t_{name}") for name, (kind, _) in values.items()])
-    before = Window.partitionBy(*[F.col(k) for k in key] or [F.lit(0)]).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*[F.col(k) for k in key] or [F.lit(0)]).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     carries = totals.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col(block).alias("_b"), F.count("*").over(before).alias("_earlier"),
-        *[KINDS[kind][0](f"_t_{name}").over(before).alias(f"_c_{name}") for name, (kind, _) in values.items()],
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col(block).alias("_b"), F.count("*").over(earlier).alias("_earlier"),
+        *[KINDS[kind][0](f"_t_{name}").over(earlier).alias(f"_c_{name}") for name, (kind, _) in values.items()],
     ).where("_earlier > 0")
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)], F.col(block) == F.col("_b"))
     both = local.join(F.broadcast(carries), on, "left")

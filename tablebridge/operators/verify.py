@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import durable
+from .scan import running
+
 TWO64 = 18446744073709551616
 NULL_TEXT = "<NULL>"
 
@@ -144,26 +148,17 @@ def out_of_scope(target_tables: DataFrame, allowed: DataFrame) -> DataFrame:
     return target_tables.join(allowed, "table_name", "left_anti")
 
 
-def _order_bucket(v: Column) -> Column:
-    """A whole number that never falls as a numeric value grows, sixteen for each doubling: cuts any range of values without looking at them."""
-    return (F.signum(v) * F.floor(F.log2(F.abs(v.cast("double")) + 1) * 16)).cast("int")
-
-
-def floor_percentiles(df: DataFrame, group: list[str], value: str, ps: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Element at place floor((n - 1) p) of the sorted numeric values, exactly.
+def floor_percentiles(df: DataFrame, group: list[str], value: str, ps: tuple[float, ...] = (0.5, 0.95, 0.99), keep: Callable[[DataFrame], DataFrame] = durable, parts: int | None = None) -> DataFrame:
+    """Element at place floor((n - 1) p) of the sorted values, exactly; nulls don't count.
 
-    Equal values are counted before the shuffle; distinct values are ranked within buckets of the value, whose counts before them
-    are summed up over the few buckets of a group. So a group of any size is no single task.
+    Equal values are counted before the shuffle. The distinct ones are dealt to ranges between sampled splitters, whose exact counts add up to where
+    each range begins (running()), so that a group of any size, and values of any spread, are no single task.
     """
-    known = df.where(F.col(value).isNotNull())
-    counts = known.groupBy(*group, value).agg(F.count("*").alias("_c")).withColumn("_b", _order_bucket(F.col(value)))
-    buckets = known.groupBy(*group, _order_bucket(F.col(value)).alias("_b")).agg(F.count("*").alias("_in"))
-    every = Window.partitionBy(*group)
-    before = F.sum("_in").over(every.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_in")
-    buckets = buckets.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_b").alias("_bb"), before.alias("_before"), F.sum("_in").over(every).alias("_n"))
-    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)], F.col("_b") == F.col("_bb"))
-    w = Window.partitionBy(*group, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.join(buckets, same).withColumn("_to", F.col("_before") + F.sum("_c").over(w))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_c"))
+    ranked = running(counts, group, [value], {"_to": ("sum", F.col("_c"))}, keep, parts)
+    totals = ranked.groupBy(*group).agg(F.max("_to").alias("_n")).select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], "_n")
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)], F.lit(True))
+    at = ranked.join(totals, same)
     place = lambda p: F.floor((F.col("_n") - 1) * p)
     cols = [F.max(F.when((place(p) < F.col("_to")) & (place(p) >= F.col("_to") - F.col("_c")), F.col(value))).alias(f"p{round(p * 100)}") for p in ps]
-    return ranked.groupBy(*group).agg(F.max("_n").alias("n"), *cols)
+    return at.groupBy(*group).agg(F.max("_n").alias("n"), *cols)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KINDS = ("primary", "composite", "unique", "keyless", "wide", "mixed_case")
+# Too many connections, lock wait timeout, deadlock.
 CAPACITY = (1040, 1205, 1213)
 
 
@@ -101,6 +102,20 @@ def rows(spark: SparkSession, table: int, n: int, run: str = "run") -> DataFrame
     )
 
 
-def error_class(code: Column, kind: Column) -> Column:
-    """environment before correctness before capacity; known codes of a full server are capacity."""
-    return F.when(kind == "environment", "environment").when(code.isin(*CAPACITY), "capacity").when(kind == "correctness", "correctness").otherwise(F.coalesce(kind, F.lit("correctness")))
+# Texts of errors of the network or the machine, not of the database.
+ENVIRONMENT = (
+    "can't assign requested address",
+    "too many open files",
+    "connection refused",
+    "network is unreachable",
+    "no route to host",
+)
+
+
+def error_class(number: Column, text: Column) -> Column:
+    """Class of a failed statement by the database's error number, or its text where there is none; '' without an error.
+
+    Numbers of a full or locked server are capacity, all others correctness; a text of the network or the machine is environment.
+    """
+    outside = F.lower(text).rlike("|".join(ENVIRONMENT))
+    return F.when(number.isNull() & text.isNull(), "").when(number.isin(*CAPACITY), "capacity").when(number.isNull() & outside, "environment").otherwise("correctness")

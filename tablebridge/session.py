@@ -29,6 +29,13 @@ def shared_folder(spark: SparkSession, name: str = "table") -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as a URI that tasks can open: without a scheme it lies where Spark would put it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    uri = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file:///") else uri
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` as a table written to the shared folder: its lineage ends there, and a lost executor costs nothing."""
     path = shared_folder(df.sparkSession)

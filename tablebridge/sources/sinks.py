@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ddl import distribute
@@ -55,13 +55,19 @@ def quoted(kind: str, *names: str) -> str:
 def promote(kind: str, schema: str, table: str, stage: str, columns: Sequence[str], identity: bool = False) -> list[str]:
     """Statements of one transaction that move a staging table's rows into the table: all of them or none.
 
+    The staging table stays: a DROP would commit by itself in some databases (MySQL, DaMeng), with what came before it. drop_stage() has it.
     A table whose own numbers are to be kept (``identity``) is opened for explicit ones around the insert, in the same session.
     """
     to, of, cols = quoted(kind, schema, table), quoted(kind, schema, stage), ", ".join(quoted(kind, c) for c in columns)
     insert = [f"INSERT INTO {to} ({cols}) SELECT {cols} FROM {of}"]
     if identity and kind == "dameng":
         insert = [f"SET IDENTITY_INSERT {to} ON", *insert, f"SET IDENTITY_INSERT {to} OFF"]
-    return [*insert, f"DROP TABLE {of}"]
+    return insert
+
+
+def drop_stage(kind: str, schema: str, stage: str) -> str:
+    """Statement after the transaction that moved a staging table's rows; one that is left over is overwritten by the next copy."""
+    return f"DROP TABLE {quoted(kind, schema, stage)}"
 
 
 def create_view(kind: str, schema: str, name: str, body: str) -> list[str]:
@@ -92,11 +98,14 @@ class JdbcSink:
     """A database: pages go by batched inserts to a staging table, which one transaction moves into its table.
 
     A task that runs again would insert its rows twice; so a job of several tasks writes to the staging table only, whose count is held against
-    the source's before it is moved. ``connect`` gives a JDBC connection (of the JVM's DriverManager unless told otherwise).
+    the rows that were sent before it is moved (a task that ran twice shows). Tables then go to ``owner``, where the database gives them away. ``connect`` gives a JDBC connection (of the JVM's DriverManager unless told otherwise).
     """
 
-    def __init__(self, spark: SparkSession, target: Connection, schema: str, connect: Callable[[], object] | None = None) -> None:
-        self.spark, self.target, self.schema, self.todo = spark, target, schema, []
+    def __init__(self, spark: SparkSession, target: Connection, schema: str, connect: Callable[[], object] | None = None, owner: str = "") -> None:
+        self.spark, self.target, self.schema, self.owner = spark, target, schema, owner
+        self.todo: list[str] = []
+        self.stages: list[str] = []
+        self.moved: list[str] = []
         self.connect = connect or (lambda: spark._jvm.java.sql.DriverManager.getConnection(jdbc_url(target), target.user, target.password))
 
     def options(self, table: str) -> dict[str, str]:
@@ -119,17 +128,22 @@ class JdbcSink:
             connection.close()
 
     def write(self, table: str, df: DataFrame, keys: Sequence[str] = (), identity: bool = False) -> None:
-        stage = f"{table}__stage"
-        df.write.format("jdbc").options(**self.options(stage)).mode("overwrite").save()
+        stage, seen = f"{table}__stage", Observation()
+        df.observe(seen, F.count("*").alias("n")).write.format("jdbc").options(**self.options(stage)).mode("overwrite").save()
         found = self.spark.read.format("jdbc").options(**self.options(stage)).load().count()
-        if found != df.count():
-            raise RuntimeError(f"{table}: {found} rows staged")
+        if found != seen.get["n"]:
+            raise RuntimeError(f"{table}: {found} of {seen.get['n']} rows staged")
+        self.stages.append(stage)
         spread = [distribute(self.target.kind, self.schema, table, list(keys))] if keys else []
+        self.moved.append(table)
         self.todo += [s for s in spread if s] + promote(self.target.kind, self.schema, table, stage, df.columns, identity)
 
     def publish(self) -> None:
-        self.execute(self.todo)
-        self.todo = []
+        """All tables in one transaction; only then do their staging tables go, each by itself."""
+        self.execute([*self.todo, *[s for t in self.moved for s in change_owner(self.target.kind, self.schema, t, self.owner)]])
+        for stage in self.stages:
+            self.execute([drop_stage(self.target.kind, self.schema, stage)])
+        self.todo, self.stages, self.moved = [], [], []
 
 
 def sink_for(spark: SparkSession, kind: str, root: str = "", target: Connection | None = None, schema: str = "") -> Sink:

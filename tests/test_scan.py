@@ -46,3 +46,9 @@ def test_no_key_and_no_rows(spark, keep):
     got = running(spark.range(100), [], ["id"], {"n": ("sum", F.lit(1))}, keep, 4)
     assert sorted((r.id, r.n) for r in got.collect()) == [(i, i + 1) for i in range(100)]
     assert running(spark.range(0), [], ["id"], {"n": ("sum", F.lit(1))}, keep, 4).collect() == []
+
+
+def test_before_each_row(spark, keep):
+    df = spark.range(500).select((F.col("id") % 3).alias("k"), "id")
+    got = running(df, ["k"], [F.desc("id")], {"next": ("min", F.col("id")), "n": ("sum", F.lit(1))}, keep, 7, before=True)
+    assert {(r.id, r.next, r.n) for r in got.collect()} == {(i, i + 3 if i + 3 < 500 else None, (499 - i) // 3 or None) for i in range(500)}
