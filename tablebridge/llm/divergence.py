@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 
 from tablebridge.operators.scan import running
 
-from .common import join_hot, materialise
+from .common import join_hot, materialise, text_slices
 
-#: Runs of ASCII letters and of what is beyond ASCII, in UTF-8; lower() of bytes changes A to Z alone.
-TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+#: Terms are runs of ASCII letters and of what is beyond ASCII, in UTF-8: bytes between them become blanks, A to Z lower case.
+PLAIN = bytes(b if b >= 0x80 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 BREAK = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
 MIN_DOCS = 30
 SMOOTH = 5
@@ -39,7 +39,7 @@ TOP = 50
 #: Terms of one transducer, bytes of the transducers that are broadcast at a time, entries that a task counts before it passes them on.
 SHARD = 200_000
 PASS_BYTES = 64_000_000
-HELD = 500_000
+HELD = 200_000
 #: Sources on each side of one comparison, and counts that one task compares at a time.
 TILE = 64
 CELLS = 400_000
@@ -51,11 +51,11 @@ def _keep(df: DataFrame) -> DataFrame:
 
 def terms(text: bytes, piece: int = 1 << 20) -> Iterator[list[bytes]]:
     """The terms of a text in slices that end between terms (a term longer than a slice stays whole)."""
-    text, at = text.lower(), 0
+    at = 0
     while at < len(text):
         cut = BREAK.search(text, at + piece)
         end = cut.start() if cut else len(text)
-        yield TERM.findall(text[at:end] if at or end < len(text) else text)
+        yield (text[at:end] if at or cut else text).translate(PLAIN).split()
         at = end
 
 
@@ -64,29 +64,34 @@ def grouped(docs: DataFrame) -> DataFrame:
 
 
 def _texts(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
-    yield from zip(*[batch.column(c).to_pylist() for c in columns], (x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column("text").cast(pa.binary())), strict=True)
+    """Rows as their columns and the UTF-8 of the text, a slice of the batch at a time."""
+    for some in text_slices(batch, "text"):
+        yield from zip(*[some.column(c).to_pylist() for c in columns], some.column("text").cast(pa.binary()).to_pylist(), strict=True)
 
 
 def _doc_counts(batches):
     schema = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("n", pa.int64())])
-    held: Counter = Counter()
+    held: defaultdict[str, Counter] = defaultdict(Counter)
 
     def rows():
-        keys = list(held)
-        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()), pa.array(list(held.values()), pa.int64())], schema=schema)
+        for lang, counts in held.items():
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(counts)), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], schema=schema)
         held.clear()
-        return out
 
+    size = 0
     for b in batches:
         for lang, text in _texts(b, "lang"):
-            seen: set[bytes] = set()
-            for part in terms(text):
+            parts = terms(text)
+            seen = set(next(parts, ()))
+            for part in parts:
                 seen.update(part)
-            held.update((lang, t) for t in seen)
-            if len(held) >= HELD:
-                yield rows()
-    if held:
-        yield rows()
+            size -= len(held[lang])
+            held[lang].update(seen)
+            size += len(held[lang])
+            if size >= HELD:
+                yield from rows()
+                size = 0
+    yield from rows()
 
 
 def vocabulary(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -223,7 +228,7 @@ def _recount(broadcast):
         firsts, ends = [p[0] for p in parts], [p[1] for p in parts]
         machines = [Transducer.load(p[3]) for p in parts]
         places: dict[bytes, int] = {}
-        held: Counter = Counter()
+        held: defaultdict[tuple, Counter] = defaultdict(Counter)
 
         def look_up(words: list[bytes]) -> None:
             """Walk words that have not come before, each through the shard whose range it lies in."""
@@ -238,35 +243,28 @@ def _recount(broadcast):
                 for w, p in zip(some, machines[k].ordinals(some).tolist(), strict=True):
                     places[w] = p + parts[k][2] if p >= 0 else -1
 
-        def counted(group: tuple, seen: Counter) -> None:
-            if len(places) > 4 * HELD:
-                places.clear()
-            look_up([w for w in seen if w not in places])
-            for w, n in seen.items():
-                if (p := places[w]) >= 0:
-                    held[group + (p,)] += n
-
         def rows():
-            keys = list(held)
-            out = pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))] + [pa.array(list(held.values()), pa.int64())], schema=schema)
+            for (lang, source), seen in held.items():
+                if len(places) > 2 * HELD:
+                    places.clear()
+                look_up([w for w in seen if w not in places])
+                at, n = np.fromiter(map(places.__getitem__, seen), np.int64, len(seen)), np.fromiter(seen.values(), np.int64, len(seen))
+                at, n = at[at >= 0], n[at >= 0]
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(at)), pa.repeat(source, len(at)), pa.array(at), pa.array(n)], schema=schema)
             held.clear()
-            return out
 
+        size = 0
         for b in batches:
-            seen: dict[tuple, Counter] = {}
             for lang, source, text in _texts(b, "lang", "source"):
-                each = seen.setdefault((lang, source), Counter())
                 for part in terms(text):
+                    each = held[lang, source]
+                    size -= len(each)
                     each.update(part)
-                    if len(each) > HELD:
-                        counted((lang, source), each)
-                        each.clear()
-            for group, each in seen.items():
-                counted(group, each)
-            if len(held) >= HELD:
-                yield rows()
-        if held:
-            yield rows()
+                    size += len(each)
+                    if size >= HELD:
+                        yield from rows()
+                        size = 0
+        yield from rows()
 
     return run
 
@@ -321,7 +319,7 @@ def smoothed(count: Column, total: Column, vocabulary: Column) -> Column:
     return F.when(vocabulary > 0, share + 1).otherwise(F.lit(0).cast("long"))
 
 
-def tile_sums(group: pa.Table) -> pa.Table:
+def tile_sums(group: pa.Table, width: int) -> pa.Table:
     """Sums of abs(p - q) over the terms that any source here has, for each pair of sources of one comparison.
 
     Rows without ord are the sources, with the p of a term they lack; the others are their terms. Columns are handled in slices, so that the
@@ -335,15 +333,15 @@ def tile_sums(group: pa.Table) -> pa.Table:
     plain[np.searchsorted(sources, nth[named])] = p[named]
     at, which = np.unique(ord_.filter(pa.array(~named)).to_numpy(), return_inverse=True)
     rows, values = np.searchsorted(sources, nth[~named]), p[~named]
-    tile = (sources - 1) // TILE
+    tile = (sources - 1) // width
     left, right = np.flatnonzero(tile == tile.min()), np.flatnonzero(tile == tile.max())
     total = np.zeros((len(left), len(right)), np.int64)
     order = np.argsort(which, kind="stable")
     which, rows, values = which[order], rows[order], values[order]
     for low in range(0, len(at), 8192):
-        width = min(8192, len(at) - low)
-        matrix = np.repeat(plain[:, None], width, axis=1)
-        a, b = np.searchsorted(which, [low, low + width])
+        columns = min(8192, len(at) - low)
+        matrix = np.repeat(plain[:, None], columns, axis=1)
+        a, b = np.searchsorted(which, [low, low + columns])
         matrix[rows[a:b], which[a:b] - low] = values[a:b]
         for i, x in enumerate(left):
             total[i] += np.abs(matrix[right] - matrix[x]).sum(axis=1)
@@ -359,7 +357,7 @@ def pairs(counts: DataFrame, stats: DataFrame) -> DataFrame:
     tile has enter by their number alone.
     """
     per = stats.groupBy("lang").agg(F.max("nth").alias("n_sources"), F.sum("rows").alias("cells"))
-    shape = per.select("lang", (F.floor((F.col("n_sources") - 1) / TILE)).cast("int").alias("last_tile"), F.greatest(F.lit(1), F.ceil(F.col("cells") / CELLS)).alias("blocks"))
+    shape = per.select("lang", F.floor((F.col("n_sources") - 1) / TILE).cast("int").alias("last_tile"), F.greatest(F.lit(1), F.ceil(F.col("cells") / CELLS)).alias("blocks"))
     placed = stats.join(shape, "lang").withColumn("tile", F.floor((F.col("nth") - 1) / TILE).cast("int"))
     null = F.lit(None).cast("long")
     sources = placed.select("lang", "nth", "tile", "last_tile", null.alias("ord"), F.col("p0").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
@@ -368,7 +366,8 @@ def pairs(counts: DataFrame, stats: DataFrame) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("last_tile"))).alias("other")
     both = sources.unionByName(cells).select("lang", "nth", "tile", "ord", "p", "block", other)
     tiles = both.select("lang", "nth", "ord", "p", "block", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
-    sums = tiles.groupBy("lang", "i", "j", "block").applyInArrow(tile_sums, "lang string, a long, b long, f long, met long")
+    width = TILE
+    sums = tiles.groupBy("lang", "i", "j", "block").applyInArrow(lambda group: tile_sums(group, width), "lang string, a long, b long, f long, met long")
     sums = sums.groupBy("lang", "a", "b").agg(F.sum("f").alias("f"), F.sum("met").alias("met"))
     side = stats.select("lang", "nth", "p0", "v")
     sums = sums.join(side.select("lang", F.col("nth").alias("a"), F.col("p0").alias("p0a"), "v"), ["lang", "a"]).join(side.select("lang", F.col("nth").alias("b"), F.col("p0").alias("p0b")), ["lang", "b"])
