@@ -20,15 +20,19 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablebridge.operators.scan import running
+
 from .textids import TextIds
 from .common import fresh, materialise, text_slices
 
 MAGIC = b"TBRIDGE1"
 HEAD = struct.Struct("<8s10q")
 EVERY = 256
+#: Keys of one file lie within this; where they don't, another file begins, of which a range of keys needs five at most.
+FAR = 1 << 62
 READ_DOCS = 4096
 
 
@@ -108,7 +112,7 @@ def pack_shard(keys: list[int | None], lengths: list[int], ids: np.ndarray) -> b
     known = np.array([k for k in keys if k is not None], np.int64)
     first = int(known[0]) if len(known) else 0
     spread = int(known[-1]) - first if len(known) else 0
-    if spread >= 1 << 62:
+    if spread >= FAR:
         raise ValueError("keys of one file are too far apart")
     width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
     ends = EliasFano.build(np.cumsum(np.array([0, *lengths], np.int64)), int(sum(lengths))).to_bytes()
@@ -117,6 +121,27 @@ def pack_shard(keys: list[int | None], lengths: list[int], ids: np.ndarray) -> b
     return HEAD.pack(MAGIC, 2, width, len(keys), len(ids), nulls, first, len(body), len(ends), len(codes), spread) + body + ends + codes
 
 
+def near_keys(keys: list[int | None], first: int | None) -> Iterator[tuple[int, int, int | None]]:
+    """Stretches (from, to, first key) of ascending keys, nulls first, that lie within FAR of their first key; the first goes on from ``first``."""
+    start = 0
+    for i, k in enumerate(keys):
+        if k is None:
+            continue
+        if first is not None and k - first >= FAR:
+            yield start, i, first
+            start, first = i, k
+        elif first is None:
+            first = k
+    yield start, len(keys), first
+
+
+def published(store: fs.FileSystem, temp: str, path: str) -> None:
+    """Give a whole file its name; where moves don't replace (hdfs), the one that an earlier run of the task left, with the same bytes, goes first."""
+    if store.get_file_info(path).type != fs.FileType.NotFound:
+        store.delete_file(path)
+    store.move(temp, path)
+
+
 class Shard:
     """A file's content: ``shard[i]`` gives the key and ids of its i-th document by one select."""
 
@@ -176,7 +201,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 1, shard_id
 
     Range-partitioned by key (then by a hash of the text, so that a repeated key spreads), sorted within partitions;
     each task writes its files under a temporary name and moves them, and a task that runs again writes the same
-    bytes to the same names. Returns the durable manifest ``part, seq, file, n_docs, n_ids, base`` where base counts the ids
+    bytes to the same names. A file ends at ``shard_ids`` ids, or where keys lie too far apart to be coded together (FAR), so keys may be any 64-bit numbers. Returns the durable manifest ``part, seq, file, n_docs, n_ids, base`` where base counts the ids
     of all files before. Null texts are empty documents of the end id alone; null keys come first; an empty table gives an
     empty manifest. ``out`` is a URI or path that all machines see (local, hdfs, s3, gs), one without a scheme is on Spark's default file system.
     """
@@ -190,7 +215,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 1, shard_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         store, root = fs.FileSystem.from_uri(out)
-        keys, lengths, pieces, held, seq = [], [], [], 0, 0
+        keys, lengths, pieces, held, seq, first = [], [], [], 0, 0, None
 
         def flush() -> pa.RecordBatch:
             ids = np.concatenate(pieces)
@@ -198,25 +223,31 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 1, shard_id
             store.create_dir(root, recursive=True)
             with store.open_output_stream(tmp := f"{root}/.{name}.{uuid.uuid4().hex}") as f:
                 f.write(pack_shard(keys, lengths, ids))
-            store.move(tmp, f"{root}/{name}")
+            published(store, tmp, f"{root}/{name}")
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "file": [name], "n_docs": [len(keys)], "n_ids": [len(ids)]})
 
         for b in batches:
             for some in text_slices(b, "t"):
                 ids, ends = library_encoder(path).encode(some.column("t"), end_id)
-                keys += some.column("k").to_pylist()
-                lengths += np.diff(ends).tolist()
-                pieces.append(ids)
-                held += len(ids)
+                ends, known = np.asarray(ends), some.column("k").to_pylist()
+                for lo, hi, begin in near_keys(known, first):
+                    if keys and (held >= shard_ids or begin != first and first is not None):
+                        yield flush()
+                        keys, lengths, pieces, held, seq = [], [], [], 0, seq + 1
+                    first = begin
+                    keys += known[lo:hi]
+                    lengths += np.diff(ends[lo : hi + 1]).tolist()
+                    pieces.append(ids[ends[lo] : ends[hi]])
+                    held += int(ends[hi] - ends[lo])
                 if held >= shard_ids:
                     yield flush()
-                    keys, lengths, pieces, held, seq = [], [], [], 0, seq + 1
+                    keys, lengths, pieces, held, seq, first = [], [], [], 0, seq + 1, None
         if keys:
             yield flush()
 
     files = materialise(rows.mapInArrow(run, schema), "idfiles")
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    summed = running(files, [], ["part", "seq"], {"upto": ("sum", F.col("n_ids"))}, lambda df: materialise(df, "idfiles"))
+    return summed.withColumn("base", F.col("upto") - F.col("n_ids")).drop("upto")
 
 
 def read_tokens(manifest: DataFrame, out: str, ids: bool = False) -> DataFrame:
