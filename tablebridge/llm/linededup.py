@@ -101,12 +101,27 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", window
     docs = docs.drop("n_lines", "n_gone")
     k, th, lost, h = (free_name(docs, c) for c in ("_k", "_th", "_gone", "_h"))
     runs = repeated_runs(docs, text, key, window, min_chars, long_chars)
-    gone = runs.groupBy(F.col("doc_id").alias(k), F.col("th").alias(th)).agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", F.col("start") + F.col("lines") - 1)))).alias(lost))
+    gone = runs.groupBy(F.col("doc_id").alias(k), F.col("th").alias(th)).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", F.col("start") + F.col("lines") - 1))))).alias(lost))
     rows = docs.withColumn(h, F.xxhash64(F.coalesce(text, F.lit(""))))
     out = rows.join(gone, rows[key].eqNullSafe(gone[k]) & (rows[h] == gone[th]), "left")
     parts = F.split(F.col(text), "\n", -1)
     number = F.transform(_content(F.col(text)), lambda x: x["i"])
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.transform(lost, lambda i: F.get(number, i)))
-    new = F.when(F.col(lost).isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+    gone_at = _marked(number, F.col(lost))
+    left = F.filter(F.zip_with(parts, _mask(gone_at, F.size(parts)), lambda x, m: F.struct(x.alias("x"), m.alias("m"))), lambda y: ~y["m"])
+    new = F.when(F.col(lost).isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda y: y["x"]), "\n"))
     out = out.withColumns({"n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long"), "n_gone": F.coalesce(F.size(lost), F.lit(0)).cast("long"), text: new})
     return out.drop(k, th, lost, h)
+
+
+def _mask(at: Column, n: Column) -> Column:
+    """n booleans, true at the ascending places ``at``: built from the gaps between them, in steps as many as the places."""
+    before = F.concat(F.array(F.lit(-1)), F.slice(at, F.lit(1), F.greatest(F.size(at) - 1, F.lit(0))))
+    pieces = F.zip_with(at, F.slice(before, F.lit(1), F.size(at)), lambda x, p: F.concat(F.array_repeat(F.lit(False), x - p - 1), F.array(F.lit(True))))
+    last = F.coalesce(F.try_element_at(at, F.lit(-1)), F.lit(-1))
+    return F.concat(F.flatten(pieces), F.array_repeat(F.lit(False), n - last - 1))
+
+
+def _marked(values: Column, at: Column) -> Column:
+    """The values at ascending places."""
+    both = F.zip_with(values, _mask(at, F.size(values)), lambda x, m: F.struct(x.alias("x"), m.alias("m")))
+    return F.transform(F.filter(both, lambda y: y["m"]), lambda y: y["x"])
