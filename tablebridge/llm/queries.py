@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, convtrie, decontam, divergence, langid, licenses, linededup, mixing, ngramjoin, paradedup, secretscan, tokenstore
-from .common import crc_fold, table
+from .common import crc_fold, fresh, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,10 +57,15 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two increments: half of the paths first, then all of them, of which only what is new to the ledger is scanned."""
+    """Two increments: half of the paths first, then all of them, of which only what is new to the ledger is scanned.
+
+    The ledger lies in the shared folder for as long as the run; a job that goes on gives secretscan.Ledger a path of its own.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    early = docs.where(crc_fold(F.col("doc_id"), 2) == 0)
-    found = secretscan.report(docs, secretscan.scan_increments([early, docs]))
+    ledger = secretscan.Ledger(spark, fresh(spark, "ledger"))
+    for versions in (docs.where(crc_fold(F.col("doc_id"), 2) == 0), docs):
+        ledger.scan(versions)
+    found = secretscan.report(docs, ledger.read())
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
 
 

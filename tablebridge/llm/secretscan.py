@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import join_hot, materialise
@@ -29,8 +29,8 @@ RULES = (
 LEDGER = "blob string, rule string, version int, spans array<struct<start:int,end:int>>"
 
 
-def match_spans(text: Column, rule: Rule) -> Column:
-    """Spans (code points, end exclusive) of a rule's passing matches in a text.
+def match_pieces(text: Column, rule: Rule) -> Column:
+    """The matches of a rule in order: ``gap`` and ``hit``, the code points before each since the last one and in it, and whether it ``passes``.
 
     The pieces between matches and the matches themselves give the places: each starts where all before it ends.
     """
@@ -38,16 +38,21 @@ def match_spans(text: Column, rule: Rule) -> Column:
         F.split(text, rule.pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("hit"),
         F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)).alias("value"),
     )
-    empty = F.array().cast("array<struct<start:int,end:int>>")
+    matches = F.filter(parts, lambda x: x["hit"].isNotNull())
+    sizes = F.transform(matches, lambda x: F.struct(F.char_length(x["gap"]).alias("gap"), F.char_length(x["hit"]).alias("hit"), (F.char_length(x["value"]) >= rule.least).alias("passes")))
+    return F.when(text.rlike(rule.hint), sizes)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["gap"])
-        end = start + F.coalesce(F.char_length(x["hit"]), F.lit(0))
-        passes = F.coalesce(F.char_length(x["value"]) >= rule.least, F.lit(False))
-        return F.struct(end.alias("at"), F.when(passes, F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end")))).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(rule.hint), found).otherwise(empty)
+def placed(pieces: DataFrame, *key: str) -> DataFrame:
+    """``key..., spans``: matches as spans (code points, end exclusive), by a running sum over the matches of a text, in time in proportion to them.
+
+    A key without matches keeps its row, with no spans.
+    """
+    rows = pieces.select(*key, F.posexplode_outer("pieces").alias("at", "m")).select(*key, "at", "m.*")
+    upto = Window.partitionBy(*key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.withColumn("end", F.sum(F.col("gap") + F.col("hit")).over(upto).cast("int"))
+    span = F.struct((F.col("end") - F.col("hit")).alias("start"), F.col("end").alias("end"))
+    return ends.groupBy(*key).agg(F.array_sort(F.collect_list(F.when(F.col("passes"), span))).alias("spans"))
 
 
 def address(text: Column) -> Column:
@@ -70,10 +75,11 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
     else:
         blobs = blobs.withColumn("due", every)
     one = [
-        F.when(F.array_contains("due", F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"))), F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), match_spans(F.col("t"), r).alias("spans")))
+        F.when(F.array_contains("due", F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"))), F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), match_pieces(F.col("t"), r).alias("pieces")))
         for r in rules
     ]
-    return blobs.select("blob", F.explode(F.array_compact(F.array(*one))).alias("r")).select("blob", "r.*")
+    found = blobs.select("blob", F.explode(F.array_compact(F.array(*one))).alias("r")).select("blob", "r.*")
+    return placed(found, "blob", "rule", "version")
 
 
 def scan_increments(increments: Iterable[DataFrame], ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
@@ -86,6 +92,49 @@ def scan_increments(increments: Iterable[DataFrame], ledger: DataFrame | None =
     return ledger
 
 
+class Ledger:
+    """The ledger at a path that stays: what is in it is not scanned again, by this run or any later one.
+
+    Each increment is a folder of its own beside the others, written whole before it counts (Spark's commit of a write), so an increment that was
+    lost is scanned again and nothing else is. compact() writes them as one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        self._hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self._hadoop(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _parts(self) -> list[str]:
+        root = self._hadoop(self.path)
+        names = sorted(s.getPath().getName() for s in self.fs.listStatus(root)) if self.fs.exists(root) else []
+        whole = [n for n in names if self.fs.exists(self._hadoop(f"{self.path}/{n}/_SUCCESS"))]
+        at = max((i for i, n in enumerate(whole) if n.endswith("-all")), default=0)  # what a compaction holds does not count twice
+        return [f"{self.path}/{n}" for n in whole[at:]]
+
+    def read(self) -> DataFrame | None:
+        parts = self._parts()
+        return self.spark.read.schema(LEDGER).parquet(*parts) if parts else None
+
+    def _next(self, kind: str) -> str:
+        root = self._hadoop(self.path)
+        numbers = [int(s.getPath().getName().split("-")[0]) for s in self.fs.listStatus(root)] if self.fs.exists(root) else []
+        return f"{self.path}/{max(numbers, default=0) + 1:09d}-{kind}"
+
+    def scan(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> int:
+        """Scan what is unseen of these versions, append it, and say how many pairs of a blob and a rule version that were."""
+        path = self._next("part")
+        scan_unseen(versions, self.read(), rules, text).write.parquet(path)
+        return self.spark.read.schema(LEDGER).parquet(path).count()
+
+    def compact(self) -> None:
+        """One folder instead of many; the others go once it is whole."""
+        old, whole = self._parts(), self.read()
+        if whole is not None and len(old) > 1:
+            whole.write.parquet(self._next("all"))
+            for part in old:
+                self.fs.delete(self._hadoop(part), True)
+
+
 def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per blob that has any: counts ``n_<rule>`` and ``spans``, rule:start:end by start and then the rules' order."""
     order = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(r.name), F.lit(k))])
