@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 # Token offsets that a seed reads; the others inside its span of eight may differ.
 MASKS = ((0, 1, 2, 4, 5, 7), (0, 2, 3, 4, 6, 7))
 SPAN = 8
@@ -65,8 +67,8 @@ def overlaps(docs: DataFrame, bench: DataFrame, text: str = "text", key: str = "
     Equal rows and equal keys share one result row; other columns play no part, whatever their names; empty tables give an empty result;
     a text of any length is read whole.
 
-    The benchmark is broadcast only if its counted seeds stay under BROADCAST_ROWS; a larger one is joined by shuffle, where
-    positions travel without texts and only distinct diagonals meet their documents again.
+    Hits are reduced to distinct diagonals, which meet their documents again, so that the work grows with tokens and not with the square of a
+    held text. The benchmark is broadcast only if its counted seeds stay under BROADCAST_ROWS; a larger one is joined by shuffle.
     """
     items = bench.select(F.col(item).alias("item_id"), token_hashes(F.col(text)).alias("bh")).where(F.size("bh") > 0).distinct()
     short, items = items.where(F.size("bh") < SPAN), items.where(F.size("bh") >= SPAN)
@@ -74,16 +76,17 @@ def overlaps(docs: DataFrame, bench: DataFrame, text: str = "text", key: str = "
     few = size <= BROADCAST_ROWS
     near = F.broadcast if few else lambda df: df
     seeds = _seeded(items.select("item_id", F.col("bh").alias("h")), "item_id").select("seed", "item_id", F.col("at").alias("item_at")).distinct()
-    rows = docs.select(F.col(key).alias("doc_id"), token_hashes(F.col(text)).alias("h"))
-    same = rows.where((F.size("h") < SPAN) & (F.size("h") > 0)).withColumn("th", F.xxhash64("h")).join(near(short.withColumn("th", F.xxhash64("bh"))), "th").where("h = bh")
+    rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), token_hashes(F.col(text)).alias("h"))
+    same = rows.where((F.size("h") < SPAN) & (F.size("h") > 0)).withColumn("hh", F.xxhash64("h")).join(near(short.withColumn("hh", F.xxhash64("bh"))), "hh").where("h = bh")
     same = same.select("doc_id", "item_id", F.size("bh").cast("long").alias("score"), F.size("bh").cast("long").alias("item_tokens")).distinct()
-    if few:
-        hits = _seeded(rows, "doc_id").join(F.broadcast(seeds), "seed").select("doc_id", "h", "item_id", (F.col("at") - F.col("item_at")).alias("diag"))
-        return _verified(hits.join(F.broadcast(items), "item_id"), "doc_id").unionByName(same)
-    rows = rows.withColumn("th", F.xxhash64("h"))
-    hits = _seeded(rows, "doc_id", "th").drop("h").join(seeds, "seed").select("doc_id", "th", "item_id", (F.col("at") - F.col("item_at")).alias("diag")).distinct()
-    hits = hits.alias("a").join(rows.dropDuplicates(["doc_id", "th"]).alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")))
-    return _verified(hits.select("a.doc_id", "item_id", "diag", "h").join(items, "item_id"), "doc_id").unionByName(same)
+    # However many seeds hit on a diagonal, it is verified once; positions travel without tokens, and only texts with a hit are read again.
+    hits = _seeded(rows, "doc_id", "th").drop("h").join(near(seeds), "seed").select("doc_id", "th", "item_id", (F.col("at") - F.col("item_at")).alias("diag"))
+    hits = materialise(hits.distinct(), "diagonals")
+    held = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), F.col(text).alias("t")).dropDuplicates(["doc_id", "th"])
+    some = hits.select("doc_id", "th").distinct()
+    found = held.alias("d").join(some.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.th") == F.col("s.th")), "left_semi").withColumn("h", token_hashes(F.col("t"))).drop("t")
+    each = hits.alias("a").join(found.alias("d"), F.col("a.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("a.th") == F.col("d.th")))
+    return _verified(each.select("a.doc_id", "item_id", "diag", "h").join(near(items), "item_id"), "doc_id").unionByName(same)
 
 
 def remove(docs: DataFrame, bench: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
