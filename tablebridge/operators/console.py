@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import console as rules
 from ..functions.values import console_value
@@ -23,6 +24,28 @@ class Result:
     truncated: bool
 
 
+def classified(statements: DataFrame, sql: str = "sql") -> DataFrame:
+    """The frame's columns and ``statement, level, returns_rows, error`` of each SQL text: what it does, or why it is rejected.
+
+    The scanner reads a text character by character; each batch of rows passes through it once.
+    """
+    schema = StructType([*statements.schema.fields, *StructType.fromDDL("statement string, level string, returns_rows boolean, error string").fields])
+
+    def one(text: str | None) -> tuple[str, str, bool, str]:
+        try:
+            risk = rules.analyse(text or "")
+            return risk.statement, risk.level, risk.returns_rows, ""
+        except ValueError as e:
+            return "", "rejected", False, str(e)
+
+    def run(batches):
+        for b in batches:
+            told = [one(t) for t in b[sql]]
+            yield b.assign(**{c: [x[i] for x in told] for i, c in enumerate(("statement", "level", "returns_rows", "error"))})
+
+    return statements.mapInPandas(run, schema)
+
+
 def execute(spark: SparkSession, sql: str, user: str, audit: str, namespace: str = "", most: int = 1000, seconds: float = 30.0) -> Result:
     """Run a statement and append to the audit table at ``audit``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -225,12 +225,13 @@ def repair_script(ddl: Column) -> Column:
     return F.array_join(F.transform(parts, one), "\n")
 
 
-def failed_ddl(items: DataFrame) -> DataFrame:
+def failed_ddl(items: DataFrame, keep: Callable[[DataFrame], DataFrame] = durable) -> DataFrame:
     """``seq, category, name, script`` of failed objects in the order they must run, unknown categories last."""
     rank = F.array_position(F.array(*[F.lit(c) for c in FAILED_ORDER]), F.col("category"))
-    w = Window.orderBy(rank == 0, rank, "category", "name")
     error = F.concat(F.lit("-- "), F.regexp_replace(redact(F.col("error")), "\n", "\n-- "))
-    return items.select(F.row_number().over(w).alias("seq"), "category", "name", F.concat_ws("\n", error, F.when(F.trim(F.coalesce("ddl", F.lit(""))) != "", repair_script(F.col("ddl")))).alias("script"))
+    script = F.concat_ws("\n", error, F.when(F.trim(F.coalesce("ddl", F.lit(""))) != "", repair_script(F.col("ddl"))))
+    rows = items.select(F.when(rank == 0, len(FAILED_ORDER) + 1).otherwise(rank).alias("rank"), "category", "name", script.alias("script"))
+    return running(rows, [], ["rank", "category", "name", "script"], {"seq": ("sum", F.lit(1))}, keep).select("seq", "category", "name", "script")
 
 
 # Which state may follow which.

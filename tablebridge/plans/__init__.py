@@ -1,4 +1,4 @@
 """Registered queries with their SQL."""
 
-from . import catalogs, changes, checks, exports, jobs, loads, scans  # noqa: F401  they register themselves
+from . import catalogs, changes, checks, exports, jobs, loads, outcomes, relations, scans, stores  # noqa: F401  they register themselves
 from .registry import QUERIES, SQL  # noqa: F401

@@ -10,27 +10,6 @@ from .changes import shared
 from .registry import load, query
 
 
-def _catalog(spark: SparkSession) -> DataFrame:
-    return spark.sql("SELECT * FROM VALUES ('app', 'a'), ('app', 'b'), ('empty', null), ('mysql', 'user'), ('SYS', 'x'), ('App2', 'a') AS v(schema_name, table_name)")
-
-
-@query("SELECT * FROM (VALUES ('app', CAST(2 AS BIGINT)), ('empty', 0), ('App2', 1)) v(schema_name, tables)")
-def catalog_namespaces(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.namespaces(_catalog(spark), "mysql")
-
-
-@query("""SELECT * FROM (VALUES ('app2', true, false), ('app2', false, true), ('App2', true, true)) v(name, exact, "exists")""")
-def catalog_schema_exists(spark: SparkSession, sf: str) -> DataFrame:
-    one = lambda name, exact: catalog.schema_exists(_catalog(spark), name, exact).select(F.lit(name).alias("name"), F.lit(exact).alias("exact"), "exists")
-    return one("app2", True).unionByName(one("app2", False)).unionByName(one("App2", True))
-
-
-@query("""SELECT * FROM (VALUES ('v1', 'select a.x from a join "b" on a.i = b.i where s = ''app2.x'''), ('v2', 'select 1')) v(view_name, body)""")
-def catalog_views(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [("app", "v1", "select a.x from `app`.a join App.\"b\" on app.a.i = \"app\".b.i where s = 'app2.x' "), ("app", "v2", "select 1"), ("other", "v3", "select 2")]
-    return catalog.views_of(spark.createDataFrame(rows, "schema_name string, view_name string, body string"), "app")
-
-
 @query("SELECT n_name AS table_name, CAST(count(s_suppkey) AS BIGINT) AS triggers FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey % 2 = 0 GROUP BY n_name")
 def catalog_trigger_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers as triggers of nations."""
@@ -39,24 +18,6 @@ def catalog_trigger_counts(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.trigger_counts(n.select(F.col("n_name").alias("table_name")), t)
 
 
-@query("SELECT * FROM (VALUES ('a', ['id', 'code', 'total'], [1, 0], [0], [2]), ('b', ['x'], [], [], [])) v(table_name, columns, key_places, auto_places, generated)")
-def catalog_stream_tables(spark: SparkSession, sf: str) -> DataFrame:
-    cols = spark.sql("SELECT * FROM VALUES ('a', 2, 'code', false, false), ('a', 1, 'id', true, false), ('a', 3, 'total', false, true), ('b', 1, 'x', false, false) AS v(table_name, position, column_name, auto, generated)")
-    return catalog.stream_tables(cols, spark.sql("SELECT * FROM VALUES ('a', 2, 'id'), ('a', 1, 'code') AS v(table_name, position, column_name)"))
-
-
-@query("SELECT * FROM (VALUES ('t', ['a', 'b']), ('t', ['c'])) v(table_name, columns)")
-def catalog_unique_sets(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.unique_sets(spark.sql("""SELECT * FROM VALUES ('t', 'u1', 'b', true, true, true, false, false), ('t', 'u1', 'a', true, true, true, false, false), ('t', 'u2', 'c', true, true, true, false, false), ('t', 'u3', 'd', true, false, true, false, false),
-        ('t', 'u4', 'e', true, true, false, false, false), ('t', 'u5', 'f', true, true, true, true, false), ('t', 'u6', 'g', true, true, true, false, true), ('t', 'i7', 'h', false, true, true, false, false), ('t', 'u8', 'c', true, true, true, false, false)
-        AS v(table_name, index_name, column_name, is_unique, is_valid, is_immediate, is_partial, is_expression)"""))
-
-
-@query("SELECT * FROM (VALUES ('t', 'i', false, ['b', 'a'])) v(table_name, index_name, is_unique, columns)")
-def catalog_indexes_without_key(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.index_columns(spark.sql("SELECT * FROM VALUES ('t', 'PRIMARY', true, true, 1, 'id'), ('t', 'i', false, false, 2, 'a'), ('t', 'i', false, false, 1, 'b') AS v(table_name, index_name, is_unique, is_primary, position, column_name)"))
-
-
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE (l_orderkey, l_linenumber, l_partkey) > (100, 3, 50) ORDER BY ALL LIMIT 500")
 def page_after_cursor(spark: SparkSession, sf: str) -> DataFrame:
     x = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
@@ -84,11 +45,3 @@ UNION ALL SELECT 'none', 'id', 'SELECT setval(pg_get_serial_sequence(''"app"."no
 def sink_reseed(spark: SparkSession, sf: str) -> DataFrame:
     o = load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
     return sinks.reseed(catalog.next_values({("o", "id"): o, ("none", "id"): o.where("false")}), "postgres", "app")
-
-
-@query("""SELECT * FROM (VALUES (1, 'FUNCTION', 'f', '-- FUNCTION: f' || chr(10) || 'create function f' || chr(10) || 'return 1'), (1, 'PROCEDURE', 'p', '-- PROCEDURE: p' || chr(10) || 'create procedure p'), (2, 'TRIGGER', 't', '-- TRIGGER: t' || chr(10) || 'create trigger t')) v(part, type, name, script)""")
-def catalog_routine_export(spark: SparkSession, sf: str) -> DataFrame:
-    """Numbered lines put together; an object seen twice is exported once, one without source not at all."""
-    lines = spark.sql(r"SELECT * FROM VALUES ('o', 'f', 'FUNCTION', 2, 'return 1'), ('o', 'f', 'FUNCTION', 1, 'create function f\n'), ('o2', 'f', 'FUNCTION', 1, 'create function f\nreturn 1'), ('o', 'p', 'PROCEDURE', 1, 'create procedure p'), ('o', 'e', 'PROCEDURE', 1, ' ') AS v(owner, name, type, line, text)")
-    triggers = spark.sql("SELECT * FROM VALUES ('o', 't', 'TRIGGER', 'create trigger t'), ('o', 't', 'TRIGGER', 'create trigger t') AS v(owner, name, type, body)")
-    return catalog.routine_export(catalog.routine_source(lines), triggers)

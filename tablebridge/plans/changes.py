@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.positions import Position, merge_intervals, reached_column
+from ..functions.positions import merge_intervals
 from ..operators import cdc, verify
 from ..sources.store import TableStore
 from ..streaming import apply as streaming
@@ -220,13 +220,6 @@ def cdc_pair_updates(spark: SparkSession, sf: str) -> DataFrame:
     return log.select("txn_seq", (F.col("op_seq.event") * 1_000_000 + F.col("op_seq.row")).alias("op_seq"), "action", F.col("before.part").alias("old_part"), F.col("after.part").alias("new_part"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'unique_key', 'uq', ['x'], 1, ''), ('b', 'primary_key', 'PRIMARY', ['id'], 1, 'changed'), ('c', 'full_row', '', [], 0, 'other_version'), ('d', 'primary_key', 'PRIMARY', ['id'], 1, 'gone'), ('e', 'full_row', '', [], 1, '')) v(table_name, strategy, index_name, columns, version, problem)")
-def locator_freeze(spark: SparkSession, sf: str) -> DataFrame:
-    old = spark.sql("SELECT * FROM VALUES ('a', 'unique_key', 'uq', array('x'), 1), ('b', 'primary_key', 'PRIMARY', array('id'), 1), ('c', 'full_row', '', cast(array() as array<string>), 0), ('d', 'primary_key', 'PRIMARY', array('id'), 1) AS v(table_name, strategy, index_name, columns, version)")
-    new = spark.sql("SELECT * FROM VALUES ('a', 'unique_key', 'uq', array('x')), ('b', 'unique_key', 'uq', array('x')), ('c', 'full_row', '', cast(array() as array<string>)), ('e', 'full_row', '', cast(array() as array<string>)) AS v(table_name, strategy, index_name, columns)")
-    return cdc.frozen_locators(old, new)
-
-
 @query("SELECT max(o_orderkey) AS head, max(o_orderkey) FILTER (WHERE o_orderkey <= 300) AS applied, count_if(o_orderkey <= 300 AND o_orderkey % 10 = 6) AS marked FROM orders")
 def stream_boundary(spark: SparkSession, sf: str) -> DataFrame:
     """A stream that stops at a boundary; the source's head stays ahead of it."""
@@ -253,14 +246,6 @@ def cdc_lag(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(done.alias("caught_up"), F.when(done, 0).otherwise(lag).cast("long").alias("lag_seconds"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'primary_key', 'PRIMARY', ['id']), ('b', 'unique_key', 'uq_code', ['code']), ('c', 'full_row', '', [])) v(table_name, strategy, index_name, columns)")
-def locator_choice(spark: SparkSession, sf: str) -> DataFrame:
-    src = spark.sql("""SELECT * FROM VALUES ('a', 'PRIMARY', array('id'), true, true, true), ('b', 'uq_tenant_email', array('tenant_id', 'email'), false, true, true), ('b', 'uq_code', array('code'), false, true, true),
-        ('c', 'uq_x', array('x'), false, true, true), ('c', 'uq_null', array('y'), false, true, false) AS v(table_name, index_name, columns, is_primary, is_unique, usable)""")
-    dst = spark.sql("SELECT * FROM VALUES ('b', array('email', 'tenant_id')), ('b', array('code')), ('c', array('y')) AS v(table_name, columns)")
-    return cdc.choose_locators(spark.sql("SELECT * FROM VALUES ('a'), ('b'), ('c') AS v(table_name)"), src, dst)
-
-
 @query("SELECT CAST(count(*) AS BIGINT) AS n, max(o_orderkey) AS last_key, count_if(o_orderstatus = 'X') AS marked FROM (" + _ORDERS_AFTER + ")")
 def cdc_streaming_foreachbatch(spark: SparkSession, sf: str) -> DataFrame:
     """The order log as two files of a stream, applied by foreachBatch to a versioned store."""
@@ -353,11 +338,6 @@ def count_compare(spark: SparkSession, sf: str) -> DataFrame:
     return verify.compare_counts({"orders": o, "part": p, "nation": load(spark, sf, "nation")}, {"orders": o.where("o_orderkey % 100 <> 0"), "part": p})
 
 
-@query("SELECT 'noise' AS table_name")
-def scope_isolation(spark: SparkSession, sf: str) -> DataFrame:
-    return verify.out_of_scope(spark.sql("SELECT * FROM VALUES ('orders'), ('noise') AS v(table_name)"), spark.sql("SELECT * FROM VALUES ('orders'), ('part') AS v(table_name)"))
-
-
 _P = ", ".join(f"max(CASE WHEN r = floor((n - 1) * {p}) THEN value END) AS p{int(p * 100)}" for p in (0.5, 0.95, 0.99))
 
 
@@ -375,12 +355,6 @@ def throughput(spark: SparkSession, sf: str) -> DataFrame:
 
 # Positions
 
-@query("SELECT file, pos, hit FROM (VALUES ('binlog.000009', 500, false), ('binlog.000010', 99, false), ('binlog.000010', 100, true), ('binlog.000011', 4, true), ('binlog.000100', 4, true)) v(file, pos, hit)")
-def position_reached_file(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.sql("SELECT * FROM VALUES ('binlog.000009', 500), ('binlog.000010', 99), ('binlog.000010', 100), ('binlog.000011', 4), ('binlog.000100', 4) AS v(file, pos)")
-    return rows.select("file", "pos", reached_column("file", "pos", Position("binlog.000010", 100)).alias("hit"))
-
-
 @query("""WITH x AS (SELECT CAST(o_custkey % 50 AS VARCHAR) AS uuid, o_orderkey AS lo, o_orderkey + o_orderkey % 40 AS hi FROM orders),
 y AS (SELECT *, max(hi) OVER (PARTITION BY uuid ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM x),
 z AS (SELECT *, sum(CASE WHEN top IS NULL OR lo > top + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY uuid ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM y)

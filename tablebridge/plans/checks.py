@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import checks, console, copy, verify
+from ..operators import checks, console, verify
 from ..sources import catalog, files
 from .changes import shared
 from .registry import load, query
@@ -38,35 +38,6 @@ def latency_sampling(spark: SparkSession, sf: str) -> DataFrame:
     return checks.latency_samples(led, seen)
 
 
-@query("SELECT * FROM (VALUES ('binlog_format', 'MIXED', 'wrong'), ('binlog_row_image', '', 'missing')) v(name, value, problem)")
-def preflight_settings(spark: SparkSession, sf: str) -> DataFrame:
-    return checks.settings_problems(spark.sql("SELECT * FROM VALUES ('LOG_BIN', 'on'), ('binlog_format', 'mixed') AS v(name, value)"))
-
-
-@query("SELECT * FROM (VALUES ('REPLICATION CLIENT'), ('SELECT')) v(privilege)")
-def preflight_grants(spark: SparkSession, sf: str) -> DataFrame:
-    """A privilege on one table is none on all."""
-    return checks.missing_grants(spark.sql("SELECT * FROM VALUES ('GRANT USAGE, Replication  Slave ON *.* TO `u`@`%`'), ('GRANT SELECT, INSERT (a, b) ON `other`.`t` TO `u`@`%`'), ('GRANT ALL PRIVILEGES ON `app`.* TO u'), ('REVOKE REPLICATION CLIENT ON *.* FROM u') AS v(line)"))
-
-
-@query("""SELECT * FROM (VALUES ('error', 'setting', 'binlog_row_image', 'missing'), ('error', 'grant', 'REPLICATION CLIENT', ''), ('error', 'missing_table', 'Gone', ''), ('error', 'column', 't.b', 'missing'), ('error', 'column', 't.z', 'required'),
-('error', 'start', '', 'log file is gone'), ('warning', 'retention', '', 'log kept for 10.0 hours only'), ('warning', 'no_key', 'Gone', ''), ('error', 'reserved_name', '_Checkpoint', '')) v(severity, kind, name, detail)""")
-def preflight_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Everything that is wrong before a stream, in one relation."""
-    settings = spark.sql("SELECT * FROM VALUES ('log_bin', 'ON'), ('binlog_format', 'row') AS v(name, value)")
-    grants = spark.sql("SELECT * FROM VALUES ('GRANT SELECT, REPLICATION SLAVE ON *.* TO u') AS v(line)")
-    tables = spark.sql("SELECT * FROM VALUES ('T', true), ('Gone', false), ('_Checkpoint', true) AS v(table_name, has_key)")
-    src = spark.sql("SELECT * FROM VALUES ('T', 'a'), ('T', 'b'), ('Gone', 'a'), ('_Checkpoint', 'a') AS v(table_name, column_name)")
-    dst = spark.sql("SELECT * FROM VALUES ('t', 'a', false, false, false), ('t', 'z', false, false, false), ('_checkpoint', 'a', true, false, false) AS v(table_name, column_name, nullable, has_default, is_identity)")
-    return checks.preflight(settings, grants, tables, src, dst, 36_000, "log file is gone", lower=True)
-
-
-@query("SELECT * FROM (VALUES ('drop_foreign_key', 'fk1'), ('drop_table', 'b')) v(action, name)")
-def bootstrap_finalise(spark: SparkSession, sf: str) -> DataFrame:
-    rev = spark.sql("SELECT * FROM VALUES ('a', null), ('b', 'data'), ('c', 'schema') AS v(table_name, stage)")
-    return checks.finalise(rev, spark.sql("SELECT * FROM VALUES ('a', 'fk1', 'b'), ('b', 'fk2', 'a'), ('a', 'fk3', 'a') AS v(table_name, fk_name, ref_table)"))
-
-
 @query("SELECT 'ready_with_warnings' AS state")
 def cutover_state(spark: SparkSession, sf: str) -> DataFrame:
     o = load(spark, sf, "orders")
@@ -81,11 +52,6 @@ def cutover_count_errors(spark: SparkSession, sf: str) -> DataFrame:
     return checks.count_errors(c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("table_name"), F.col("c_custkey").alias("src_rows"), dst.alias("dst_rows"), F.lit("timeout").alias("failure")))
 
 
-@query("SELECT 'data' AS category, CAST(2 AS BIGINT) AS total, CAST(1 AS BIGINT) AS success, CAST(1 AS BIGINT) AS failed, ['b'] AS failed_items UNION ALL SELECT 'views', 1, 1, 0, []")
-def report_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return copy.report(spark.sql("SELECT * FROM VALUES ('data', 'a', true, ''), ('data', 'b', false, 'e'), ('views', 'v', true, '') AS v(category, name, ok, error)"))
-
-
 @query("SELECT n_regionkey::VARCHAR AS n_regionkey, count(*)::VARCHAR AS n FROM nation GROUP BY 1")
 def console_execute(spark: SparkSession, sf: str) -> DataFrame:
     load(spark, sf, "nation").createOrReplaceTempView("console_nation")

@@ -5,100 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ddl import DIALECTS, Table
-from ..functions.typemap import Column
 from ..operators import jobs
 from .registry import load, query
 
 
-@query("SELECT * FROM (VALUES ('index', 'i1', 'e', 'd', 'objects'), ('view', 'v1', 'e', NULL, 'objects')) v(category, name, error, ddl, stage)")
-def failed_objects_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.failed_objects(spark.sql("SELECT * FROM VALUES ('index', 'i1', 'e', 'd', 'objects'), ('index', 'i1', 'e', 'd', 'objects'), ('view', 'v1', 'e', null, 'objects') AS v(category, name, error, ddl, stage)"))
-
-
-@query("""SELECT * FROM (VALUES ('table', 'A', 'e1', 'd1', 'schema'), ('data', 'B', 'e2', NULL, 'data'), ('primary_key', 'c', 'e3', 'd3', 'objects'), ('view', 'v', 'e4', 'd4', 'objects'),
-('row_count', 'D', 'rows differ: source=5 target=4', NULL, 'validation'), ('row_count', 'E', 'rows were not counted', NULL, 'validation'), ('cdc_compatibility', 'F', 'no key', NULL, 'validation')) v(category, name, error, ddl, stage)""")
-def failed_objects_of_report(spark: SparkSession, sf: str) -> DataFrame:
-    expected = spark.sql("SELECT * FROM VALUES ('A'), ('B'), ('C'), ('D'), ('E'), ('F'), ('G') AS v(table_name)")
-    items = spark.sql("SELECT * FROM VALUES ('table', 'A', 'e1', 'd1'), ('data', 'B', 'e2', null), ('primary_key', 'c', 'e3', 'd3'), ('view', 'v', 'e4', 'd4'), ('view', 'v', 'e4', 'd4') AS v(category, name, error, ddl)")
-    counts = spark.sql("SELECT * FROM VALUES ('a', 1L, 0L, false), ('c', 1L, 0L, false), ('d', 5L, 4L, false), ('f', 2L, 2L, true), ('g', 2L, 2L, true) AS v(table_name, src_rows, dst_rows, matches)")
-    return jobs.failures_of(expected, items, counts, spark.sql("SELECT * FROM VALUES ('F', 'no key'), ('A', 'no key'), ('G', '') AS v(table_name, error)"), lower=True)
-
-
-@query("""SELECT * FROM (VALUES (1, 'table', 't', '-- bad type
--- disabled: destructive
--- DROP TABLE IF EXISTS t CASCADE;
-CREATE TABLE t (a int);'), (2, 'index', 'i', '-- x
--- y
-CREATE INDEX i ON t (a);
--- disabled: destructive
--- dRoP TABLE "odd;name"
--- CASCADE
--- ;
--- disabled: destructive
--- TrUnCaTe TABLE audit;
-ALTER TABLE audit ADD COLUMN note text DEFAULT ''a;
-DROP TABLE b'';'), (3, 'data', 'd', '-- invalid input syntax for type integer: "<redacted>"'), (4, 'odd_kind', 'o', '-- z
--- a note
-SELECT 1;')) v(seq, category, name, script)""")
-def failed_ddl_export(spark: SparkSession, sf: str) -> DataFrame:
-    """Statement by statement, wherever it stands; unknown categories come last."""
-    many = "CREATE INDEX i ON t (a); dRoP TABLE \"odd;name\"\nCASCADE\n;\nTrUnCaTe TABLE audit;\nALTER TABLE audit ADD COLUMN note text DEFAULT 'a;\nDROP TABLE b'"
-    rows = [("odd_kind", "o", "z", "-- a note\nSELECT 1"), ("data", "d", 'invalid input syntax for type integer: "secret"', None), ("index", "i", "x\ny", many), ("table", "t", "bad type", "DROP TABLE IF EXISTS t CASCADE;\r\nCREATE TABLE t (a int)")]
-    return jobs.failed_ddl(spark.createDataFrame(rows, "category string, name string, error string, ddl string"))
-
-
 @query("""SELECT sha256('{"effective":' || to_json(list(n_name ORDER BY n_name)) || ',"excluded":[{"table_name":"a","stage":"data","error":"e","ddl":"x"},{"table_name":"t","stage":"data","error":"e","ddl":"CREATE TABLE t (a int)"}],"position":"binlog.000001:4"}') AS manifest_hash FROM nation""")
 def manifest_hash(spark: SparkSession, sf: str) -> DataFrame:
     out = spark.sql("SELECT * FROM VALUES ('t', 'data', 'e', 'CREATE TABLE t (a int)'), ('a', 'data', 'e', 'x') AS v(table_name, stage, error, ddl)")
     return jobs.manifest_hash(load(spark, sf, "nation").select(F.col("n_name").alias("table_name")), out, "binlog.000001:4")
-
-
-_PG = """DROP TABLE IF EXISTS "app"."users" CASCADE;
-CREATE TABLE "app"."users" (
-  "id" bigint NOT NULL,
-  "name" varchar(100),
-  "age" int DEFAULT ''0'',
-  "created" timestamp DEFAULT CURRENT_TIMESTAMP,
-  "flag" bit DEFAULT B''0''
-);"""
-_MY = """CREATE TABLE `app`.`users` (
-  `id` bigint NOT NULL AUTO_INCREMENT,
-  `name` varchar(100),
-  `age` int DEFAULT 0,
-  `created` datetime(6) DEFAULT CURRENT_TIMESTAMP,
-  `flag` bit(1) DEFAULT 0
-) ENGINE=InnoDB DEFAULT CHARSET=utf8mb4"""
-_DM = """CREATE TABLE "APP"."USERS" (
-  "ID" BIGINT IDENTITY(1, 1) NOT NULL,
-  "NAME" VARCHAR2(100),
-  "AGE" INT DEFAULT ''0'',
-  "CREATED" TIMESTAMP DEFAULT CURRENT_TIMESTAMP,
-  "FLAG" NUMBER(1) DEFAULT 0
-)"""
-_SPARK = """CREATE TABLE `app`.`users` (
-  `id` bigint NOT NULL,
-  `name` string,
-  `age` int,
-  `created` timestamp_ntz,
-  `flag` boolean
-) USING parquet"""
-_DROP = "DROP TABLE IF EXISTS `app`.`users`"
-
-
-@query(f"""SELECT dialect, 0 AS seq, '{_PG}' AS ddl FROM (VALUES ('postgres'), ('gaussdb'), ('seabox'), ('highgo'), ('kingbase')) v(dialect) UNION ALL
-SELECT * FROM (VALUES ('mysql', 0, '{_DROP}'), ('mysql', 1, '{_MY}'), ('dameng', 0, 'DROP TABLE "APP"."USERS" CASCADE CONSTRAINTS'), ('dameng', 1, '{_DM}'), ('spark', 0, '{_DROP}'), ('spark', 1, '{_SPARK}')) v""")
-def ddl_dialects(spark: SparkSession, sf: str) -> DataFrame:
-    t = Table("users", [Column("id", "bigint", nullable=False, extra="auto_increment"), Column("name", "varchar", 100), Column("age", "int", default="0"), Column("created", "datetime", default="CURRENT_TIMESTAMP"), Column("flag", "bit", 1, default="b'0'")])
-    return spark.createDataFrame([(n, i, s) for n, d in DIALECTS.items() for i, s in enumerate(d.create_table("app", t, "mysql"))], "dialect string, seq int, ddl string")
-
-
-@query("SELECT * FROM (VALUES ('index failed [i]: e'), ('foreign key failed [f]: Key (a)=(<redacted>) is missing')) v(message)")
-def review_warnings(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.object_warnings(spark.sql("SELECT * FROM VALUES ('index', 'i', 'e'), ('foreign_key', 'f', 'Key (a)=(4711) is missing'), ('table', 't', 'e'), ('data', 'd', 'e') AS v(category, name, error)"))
-
-
-@query("SELECT * FROM (VALUES ('b', 'not unique: code'), ('d', 'not unique: id, tenant_id')) v(table_name, problem)")
-def target_key_compatibility(spark: SparkSession, sf: str) -> DataFrame:
-    loc = spark.sql("SELECT * FROM VALUES ('a', 'primary_key', array('tenant_id', 'id')), ('b', 'unique_key', array('code')), ('c', 'full_row', cast(array() as array<string>)), ('d', 'primary_key', array('tenant_id', 'id')) AS v(table_name, strategy, columns)")
-    return jobs.key_compatibility(loc, spark.sql("SELECT * FROM VALUES ('a', array('id', 'tenant_id')), ('b', array('code', 'x')), ('d', array('id')) AS v(table_name, columns)"))

@@ -5,30 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import console, values, views
+from ..functions import values, views
 from ..operators import jobs
 from .registry import load, query
 
 
-_CLASSES = """SELECT * FROM (VALUES ('select 1', 'select', 'readonly', true, ''), ('with x as (select 1) delete from t', 'delete', 'write', false, ''), ('insert into t values (1) returning id', 'insert', 'write', true, ''),
-('drop table t', 'drop', 'dangerous', false, ''), ('select 1; select 2', '', 'rejected', false, 'not one statement'), ('begin', '', 'rejected', false, 'transaction control is not supported'),
-('select * from t into outfile ''/tmp/x''', 'select', 'dangerous', true, ''), ('select ''a;b'' -- c', 'select', 'readonly', true, ''), ('/* open', '', 'rejected', false, 'comment is not closed')) v(sql, statement, level, returns_rows, error)"""
-
-
-@query(_CLASSES)
-def console_classify(spark: SparkSession, sf: str) -> DataFrame:
-    texts = ["select 1", "with x as (select 1) delete from t", "insert into t values (1) returning id", "drop table t", "select 1; select 2", "begin", "select * from t into outfile '/tmp/x'", "select 'a;b' -- c", "/* open"]
-
-    def one(sql: str) -> tuple[str, str, bool, str]:
-        try:
-            r = console.analyse(sql)
-            return r.statement, r.level, r.returns_rows, ""
-        except ValueError as e:
-            return "", "rejected", False, str(e)
-
-    return spark.createDataFrame([(t, *one(t)) for t in texts], "sql string, statement string, level string, returns_rows boolean, error string")
-
-
 @query("SELECT *, (SELECT count(*) FROM events) > 100 AS truncated FROM events ORDER BY event_id LIMIT 100")
 def console_bounded_rows(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.bounded(load(spark, sf, "events"), ["event_id"], 100)
@@ -131,33 +112,6 @@ def log_journal(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.journal(load(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("job"), line.alias("line"))).drop("line")
 
 
-@query("""SELECT * FROM (VALUES ('invalid input syntax for type integer: "<redacted>"'), ('Key (a)=(<redacted>) exists'), ('plain text'), ('date/time field value out of range: "<redacted>"'), ('Incorrect integer value: "<redacted>" for column x'),
-('COPY t, line 3, column a: "<redacted>"'), ('invalid input value for enum e: "<redacted>"'), ('DETAIL: Key (a, b)=(<redacted>) already exists.'), ('name "x" stays')) v(line)""")
-def log_redaction(spark: SparkSession, sf: str) -> DataFrame:
-    texts = ['invalid input syntax for type integer: "4711"', "Key (a)=(secret) exists", "plain text", 'date/time field value out of range: "2024-13-01"', "Incorrect integer value: 'abc' for column x", 'COPY t, line 3, column a: "secret"', 'invalid input value for enum e: "z"', "DETAIL: Key (a, b)=(1, x (y)) already exists.", 'name "x" stays']
-    return spark.createDataFrame([(t,) for t in texts], "line string").select(jobs.redact(F.col("line")).alias("line"))
-
-
-@query("SELECT * FROM (VALUES ('good', NULL, NULL), ('bad_schema', 'schema', 'e1'), ('bad_data', 'data', 'e2'), ('bad_pk', 'cdc_compatibility', 'e3'), ('bad_count', 'row_count', 'e4'), ('bad_both', 'schema', 'e5')) v(table_name, stage, error)")
-def bootstrap_review(spark: SparkSession, sf: str) -> DataFrame:
-    exp = spark.sql("SELECT * FROM VALUES ('good'), ('bad_schema'), ('bad_data'), ('bad_pk'), ('bad_count'), ('bad_both') AS v(table_name)")
-    iss = spark.sql("SELECT * FROM VALUES ('bad_schema', 'schema', 'e1'), ('bad_data', 'data', 'e2'), ('bad_pk', 'primary_key', 'e3'), ('bad_count', 'row_count', 'e4'), ('bad_both', 'cdc_compatibility', 'e6'), ('bad_both', 'schema', 'e5') AS v(table_name, stage, error)")
-    return jobs.review(exp, iss)
-
-
-@query("SELECT * FROM (VALUES ('present', 'effective'), ('missing_a', 'excluded'), ('missing_b', 'unresolved'), ('other', 'out_of_scope')) v(table_name, outcome)")
-def preflight_exclusions(spark: SparkSession, sf: str) -> DataFrame:
-    v = lambda *x: spark.createDataFrame([(y,) for y in x], "table_name string")
-    return jobs.exclusions(v("present", "missing_a", "missing_b"), v("missing_a", "missing_b"), v("missing_a", "other"))
-
-
-@query("SELECT * FROM (VALUES ('t', 'b', 'missing'), ('t', 'z', 'required')) v(table_name, column_name, problem)")
-def target_compatibility(spark: SparkSession, sf: str) -> DataFrame:
-    s = spark.sql("SELECT * FROM VALUES ('t', 'a'), ('t', 'b') AS v(table_name, column_name)")
-    d = spark.sql("SELECT * FROM VALUES ('t', 'a', false, false, false), ('t', 'y', true, false, false), ('t', 'z', false, false, false), ('t', 'id', false, false, true) AS v(table_name, column_name, nullable, has_default, is_identity)")
-    return jobs.target_compatibility(s, d)
-
-
 def _view(spark: SparkSession, sf: str, dialect: str, body: str, *tables: str, **kw: bool) -> DataFrame:
     for t in tables:
         load(spark, sf, t).createOrReplaceTempView(t)

@@ -8,29 +8,6 @@ from pyspark.sql import functions as F
 from ..operators import workload
 from .registry import load, query
 
-# Rounds of what is left over, one row of g each: a table with room takes a row a round as long as there are any.
-_ALLOCATION = """WITH RECURSIVE t AS (SELECT i, CASE WHEN (i + 1) % 97 = 0 THEN 0 ELSE 1 / pow(i + 8, 0.82) END AS w FROM range(200) r(i)),
-c AS (SELECT i, w, least(floor(1000000 * w / sum(w) OVER ()), 100000)::BIGINT AS base FROM t), d AS (SELECT i, base, CASE WHEN w > 0 THEN 100000 - base ELSE 0 END AS room FROM c),
-g(k, rest) AS (SELECT 0, 1000000 - (SELECT sum(base) FROM d)::BIGINT UNION ALL SELECT k + 1, rest - (SELECT count(*) FROM d WHERE room > k) FROM g WHERE rest > 0),
-e AS (SELECT i FROM (SELECT i, rest, row_number() OVER (PARTITION BY k ORDER BY i) AS n FROM d JOIN g ON room > k WHERE rest > 0) WHERE n <= rest),
-a AS (SELECT d.i::INTEGER AS i, ['primary', 'composite', 'unique', 'keyless', 'wide', 'mixed_case'][d.i % 6 + 1] AS kind, base + coalesce(n, 0) AS rows FROM d LEFT JOIN (SELECT i, count(*) AS n FROM e GROUP BY i) USING (i))"""
-
-
-@query(f"{_ALLOCATION} SELECT i, kind, rows FROM a")
-def workload_zipf_alloc(spark: SparkSession, sf: str) -> DataFrame:
-    return workload.allocate(spark, 200, 1_000_000, 100_000)
-
-
-@query(f"{_ALLOCATION} SELECT i, kind, rows FROM a ORDER BY rows DESC, i LIMIT 2")
-def hot_tables_top1pct(spark: SparkSession, sf: str) -> DataFrame:
-    return workload.hottest(workload.allocate(spark, 200, 1_000_000, 100_000))
-
-
-@query(f"{_ALLOCATION} SELECT i + 1 AS i, 'load_run2024x_' || CASE WHEN kind = 'mixed_case' THEN 'Mixed_' ELSE '' END || printf('%06d', i + 1) AS table_name, kind, rows FROM a")
-def workload_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return workload.profile(spark, "Run-2024/x", 200, 1_000_000, 100_000)
-
-
 @query("SELECT event_id AS seq, 't' || printf('%03d', CASE WHEN event_id % 100 < 80 THEN (event_id // 100 + event_id * 7919) % 2 ELSE (event_id // 100 + event_id * 7919) % 200 END) AS table_name FROM events")
 def workload_hot_skew(spark: SparkSession, sf: str) -> DataFrame:
     """Two hundred tables, of which the two largest take four fifths of the writes."""
@@ -38,24 +15,6 @@ def workload_hot_skew(spark: SparkSession, sf: str) -> DataFrame:
     return workload.pick_tables(load(spark, sf, "events").select(F.col("event_id").alias("seq")), tables)
 
 
-@query("""SELECT * FROM (VALUES (100, 'cross-100', 't0', 'insert', 100, true), (100, 'cross-100', 't4', 'insert', 100, true), (101, 'rollback-101', 't0', 'insert', 101, false), (102, 'locator-102', 't0', 'locator_update', 1000000102, true),
-(103, 'locator-103', 't1', 'locator_update', 103, true), (104, 'locator-104', 't2', 'locator_update', 104, true)) v(seq, txn, table_name, action, row_id, committed)""")
-def workload_boundary_fixtures(spark: SparkSession, sf: str) -> DataFrame:
-    kinds = F.array(*[F.lit(k) for k in workload.KINDS])
-    return workload.boundary_fixtures(spark.range(12).select(F.col("id").alias("i"), F.format_string("t%d", "id").alias("table_name"), F.element_at(kinds, (F.col("id") % 6 + 1).cast("int")).alias("kind")), 100)
-
-
 @query("SELECT event_id, CASE WHEN event_id % 10 <= 5 THEN 'insert' WHEN event_id % 10 <= 7 THEN 'update' WHEN event_id % 10 = 8 THEN 'delete' ELSE 'rollback' END AS action FROM events")
 def workload_action_mix(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "events").select("event_id", workload.action(F.col("event_id")).alias("action"))
-
-
-@query("""SELECT id, (id % 31 + 1)::INTEGER AS tenant_id, printf('t%06d-r%012d', 3, id) AS code, CAST((id % 1000000) + (id % 10000) / 10000.0 AS DECIMAL(18,4)) AS amount,
-CASE WHEN id % 1000 = 0 THEN repeat('long-note-', 500) WHEN id % 7 = 0 THEN NULL ELSE 'note-' || CAST(id % 1000 AS VARCHAR) END AS note, make_timestamp((1700000000 + id % 10000000) * 1000000 + id % 1000000) AS created_at FROM (SELECT unnest(range(0, 5000)) AS id)""")
-def workload_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return workload.rows(spark, 3, 5000).select("id", "tenant_id", "code", "amount", "note", "created_at")
-
-
-@query("SELECT * FROM (VALUES (1205, 'x', 'capacity'), (1040, 'environment', 'environment'), (1, 'correctness', 'correctness'), (2, NULL, 'correctness')) v(code, kind, cls)")
-def error_class(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql("SELECT * FROM VALUES (1205, 'x'), (1040, 'environment'), (1, 'correctness'), (2, null) AS v(code, kind)").select("code", "kind", workload.error_class(F.col("code"), F.col("kind")).alias("cls"))

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import values
-from ..functions.defaults import clean_default
-from ..functions.typemap import Column, map_type
 from ..operators import verify
 from ..sources import catalog, readers
 from .registry import load, query
@@ -40,95 +38,17 @@ def page_count(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "orders").agg(F.count("*").alias("total")).withColumn("pages", F.ceil(F.col("total") / readers.PAGE))
 
 
-_NAMES = "(VALUES ('users'), ('orders'), ('order_log'), ('tmp_cache'), ('audit')) AS v(table_name)"
-
-
-def _names(spark: SparkSession) -> DataFrame:
-    return spark.sql(f"SELECT * FROM {_NAMES}")
-
-
-@query(f"SELECT table_name FROM {_NAMES}")
-def table_filter_all(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.filter_tables(_names(spark), "all")
-
-
-@query(f"SELECT table_name FROM {_NAMES} WHERE table_name GLOB 'order*' OR table_name GLOB 'a?d*'")
-def table_filter_include(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.filter_tables(_names(spark), "include", "order*, a?d*")
-
-
-@query(f"SELECT table_name FROM {_NAMES} WHERE NOT (table_name GLOB '*_log' OR table_name GLOB 'tmp_*' OR table_name = 'audit')")
-def table_filter_exclude(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.filter_tables(_names(spark), "exclude", "*_log,tmp_*,audit")
-
-
-@query(f"SELECT table_name FROM {_NAMES} WHERE table_name IN ('users', 'audit')")
-def exact_table_list(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.exact_tables(_names(spark), spark.sql("SELECT * FROM VALUES ('users'), ('audit'), ('gone') AS v(table_name)"))[0]
-
-
 @query("SELECT v.* FROM (VALUES ('nation', 0, 'n_nationkey', 'int'), ('nation', 1, 'n_name', 'string'), ('nation', 2, 'n_regionkey', 'int'), ('region', 0, 'r_regionkey', 'int'), ('region', 1, 'r_name', 'string')) v(table_name, position, column_name, data_type)")
 def catalog_columns(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.columns_of(spark, {t: load(spark, sf, t) for t in ("nation", "region")}).drop("nullable")
 
 
-_KEYS = "(VALUES ('orders', 1, 'o_orderkey'), ('lines', 2, 'l_linenumber'), ('lines', 1, 'l_orderkey'), ('conv', 1, 'conv_id'), ('conv', 2, 'turn')) AS v(table_name, position, column_name)"
-
-
-@query(f"SELECT table_name, list(column_name ORDER BY position) AS columns FROM {_KEYS} GROUP BY table_name")
-def catalog_pk_grouped(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.ordered_group(spark.sql(f"SELECT * FROM {_KEYS}"), ["table_name"], "position", "column_name", "columns")
-
-
-@query(f"SELECT table_name, string_agg(column_name, ',' ORDER BY position) AS columns FROM {_KEYS} GROUP BY table_name")
-def catalog_indexes_listagg(spark: SparkSession, sf: str) -> DataFrame:
-    keys = catalog.ordered_group(spark.sql(f"SELECT * FROM {_KEYS}"), ["table_name"], "position", "column_name", "c")
-    return keys.select("table_name", F.array_join("c", ",").alias("columns"))
-
-
-_PARTS = "(VALUES ('child', 'fk1', 'parent', 2, 'b', 'y', 'SET_NULL'), ('child', 'fk1', 'parent', 1, 'a', 'x', 'SET_NULL'), ('child', 'fk2', 'other', 1, 'c', 'id', 'no_action')) AS v(table_name, fk_name, ref_table, position, column_name, ref_column, on_delete)"
-
-
-@query(f"SELECT table_name, fk_name, ref_table, list(column_name ORDER BY position) AS columns, list(ref_column ORDER BY position) AS ref_columns, replace(upper(any_value(on_delete)), '_', ' ') AS on_delete FROM {_PARTS} GROUP BY ALL HAVING true".replace("GROUP BY ALL HAVING true", "GROUP BY table_name, fk_name, ref_table"))
-def catalog_foreign_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.foreign_keys(spark.sql(f"SELECT * FROM {_PARTS}"))
-
-
-@query("SELECT 'fk' AS fk_name, unnest(range(0, 2))::INTEGER AS position, unnest(['a', 'b']) AS col, unnest(['x', 'y']) AS ref")
-def catalog_fk_zip(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.unpair(spark.sql("SELECT 'fk' AS fk_name, array('a', 'b') AS col, array('x', 'y') AS ref"), "col", "ref", "fk_name")
-
-
-@query("SELECT * FROM (VALUES ('orders', '', 'all orders'), ('orders', 'o_custkey', 'buyer')) v(table_name, column_name, comment)")
-def catalog_comments_union(spark: SparkSession, sf: str) -> DataFrame:
-    t = spark.sql("SELECT * FROM VALUES ('orders', 'all orders'), ('part', ''), ('region', null) AS v(table_name, comment)")
-    return catalog.comments(t, spark.sql("SELECT * FROM VALUES ('orders', 'o_custkey', 'buyer'), ('orders', 'o_orderkey', null) AS v(table_name, column_name, comment)"))
-
-
 @query("SELECT 'orders' AS table_name, 'o_orderkey' AS column_name, max(o_orderkey) + 1 AS start_value FROM orders UNION ALL SELECT 'part', 'p_partkey', max(p_partkey) + 1 FROM part UNION ALL SELECT 'none', 'o_orderkey', 1")
 def seq_next_value(spark: SparkSession, sf: str) -> DataFrame:
     o = load(spark, sf, "orders")
     return catalog.next_values({("orders", "o_orderkey"): o, ("part", "p_partkey"): load(spark, sf, "part"), ("none", "o_orderkey"): o.where("false")})
 
 
-@query("SELECT 'SEQ_A' AS seq UNION ALL SELECT 'SEQ_B'")
-def seq_from_trigger(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql("SELECT * FROM VALUES ('select seq_a.nextval into :new.id from dual'), ('BEGIN :NEW.ID := \"SEQ_B\".NEXTVAL; END') AS v(body)").select(catalog.trigger_sequence(F.col("body")).alias("seq"))
-
-
-@query("SELECT * FROM (VALUES ('t', 'u_code', ['code'])) v(table_name, index_name, columns)")
-def catalog_eligible_unique(spark: SparkSession, sf: str) -> DataFrame:
-    rows = """SELECT * FROM VALUES ('t', 'u_code', 1, 'code', null, false, 'BTREE', true), ('t', 'u_null', 1, 'x', null, true, 'BTREE', true), ('t', 'u_prefix', 1, 'y', 10, false, 'BTREE', true),
-        ('t', 'u_fun', 1, null, null, false, 'BTREE', true), ('t', 'u_hash', 1, 'z', null, false, 'HASH', true), ('t', 'plain', 1, 'q', null, false, 'BTREE', false)
-        AS v(table_name, index_name, position, column_name, prefix_length, nullable, index_type, is_unique)"""
-    return catalog.eligible_unique(spark.sql(rows))
-
-
-@query("SELECT 'o' AS owner, 'f' AS name, 'FUNCTION' AS type, 'a' || chr(10) || 'b' || chr(10) || 'c' AS body")
-def routine_export(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.routine_source(spark.sql("SELECT * FROM VALUES ('o', 'f', 'FUNCTION', 2, 'b\\n'), ('o', 'f', 'FUNCTION', 1, 'a\\n'), ('o', 'f', 'FUNCTION', 3, 'c') AS v(owner, name, type, line, text)"))
-
-
 # Values
 
 @query("SELECT p_partkey AS p_partkey, lower(p_brand) AS brand_text, p_size AS p_size FROM part")
@@ -165,27 +85,6 @@ def copy_bool_int(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "events").select("event_id", values.bool_number(F.col("event_type") == "error").alias("flag"))
 
 
-_TYPES = [
-    ("mysql", "postgres", Column("c", "mediumint"), "int"), ("mysql", "gaussdb", Column("c", "double", precision=22), "decimal(22,0)"), ("mysql", "postgres", Column("c", "varchar", 20), "varchar(20)"),
-    ("mysql", "mysql", Column("c", "varchar", 20000), "text"), ("mysql", "dameng", Column("c", "json"), "CLOB"), ("oracle", "mysql", Column("c", "NUMBER", precision=9), "int"),
-    ("oracle", "postgres", Column("c", "TIMESTAMP(6)"), "timestamp"), ("oracle", "mysql", Column("c", "INTERVAL YEAR(2) TO MONTH"), "varchar(50)"), ("sqlserver", "mysql", Column("c", "nvarchar", -1), "longtext"),
-    ("sqlserver", "postgres", Column("c", "timestamp"), "bytea"), ("dameng", "mysql", Column("c", "bit"), "tinyint(1)"), ("dameng", "kingbase", Column("c", "clob"), "text"), ("postgres", "dameng", Column("c", "_int4"), "TEXT"),
-]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{d}', '{c.data_type}', '{want}')" for s, d, c, want in _TYPES) + ") v(src, dst, source_type, target_type)")
-def typemap_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(s, d, c.data_type, map_type(s, d, c)) for s, d, c, _ in _TYPES], "src string, dst string, source_type string, target_type string")
-
-
-_DEFAULTS = [("oracle", "''0''", "0"), ("oracle", "'''abc'''", "'abc'"), ("oracle", "'0'", "0"), ("postgres", "'abc'::character varying", "abc"), ("sqlserver", "((0))", "0"), ("sqlserver", "(N'x')", "'x'"), ("mysql", "(' ')", " "), ("other", " x ", " x ")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}', '{}')".format(*(x.replace("'", "''") for x in r)) for r in _DEFAULTS) + ") v(src, raw, cleaned)")
-def default_strip(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(s, r, clean_default(s, r)) for s, r, _ in _DEFAULTS], "src string, raw string, cleaned string")
-
-
 # Joins and sets
 
 @query("SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")

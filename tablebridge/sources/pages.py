@@ -5,7 +5,7 @@ the task's partition and the page's number, which is created last. Another attem
 the entry and writes nothing for that page. When all tasks have ended the driver writes the job's commit, with the pages of all messages; reading
 asks for it. abort() leaves the ledger, so that the next start goes on from there; discard() takes a job away.
 
-The rows of a partition must come in the same order each time: a sorted or durable input, dealt in the same way. A page that a ledger entry names is checked against
+The rows of a partition must come in the same order each time, as dealt() deals them. A page that a ledger entry names is checked against
 the rows' count and hash of the new attempt, so that another input is an error and not a mixture.
 """
 
@@ -126,8 +126,13 @@ class PageSink(DataSource):
         return PageWriter(dict(self.options), overwrite)
 
 
+def dealt(df: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """Rows dealt by a hash of keys and in the order of all columns: the same in each run, where ranges between sampled splitters would not be."""
+    return df.repartition(parts, *keys).sortWithinPartitions(*df.columns)
+
+
 def write_pages(df: DataFrame, path: str, job: str, rows: int = PAGE, **options: object) -> None:
-    """Write a table as pages of a job; started again after a failure, only what lacks is written."""
+    """Write a table as pages of a job; started again after a failure, only what lacks is written. ``df`` as dealt() gives it, or in an order of its own."""
     spark = df.sparkSession
     spark.dataSource.register(PageSink)
     writer = df.write.format("pages").option("path", qualified(spark, path)).option("job", job).option("rows", str(rows))

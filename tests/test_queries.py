@@ -5,6 +5,7 @@ import os
 import pytest
 
 from tablebridge import plans
+from tests.literal_cases import CASES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -41,6 +42,18 @@ def test_query(spark, duck, name):
     assert sorted(tuple(plain(v) for v in r) for r in df.select(*[f"`{c}`" for c in cols]).collect()) == want
 
 
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_fixed_rows(spark, name):
+    import duckdb
+
+    run, sql = CASES[name]
+    rel = duckdb.connect().execute(sql)
+    cols = [d[0] for d in rel.description]
+    want = sorted(tuple(plain(v) for v in r) for r in rel.fetchall())
+    df = run(spark, SF)
+    assert sorted(df.columns) == sorted(cols) and sorted(tuple(plain(v) for v in r) for r in df.select(*[f"`{c}`" for c in cols]).collect()) == want
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_entry(spark):
     import __spark_entry__ as e

@@ -116,7 +116,8 @@ def test_stream_of_a_log_with_positions(spark, tmp_path):
 
 def test_pages_are_written_once(spark, tmp_path):
     path = f"file://{tmp_path}/target"
-    df = spark.range(1000).selectExpr("id", "concat('v', id) as v").repartitionByRange(4, "id").sortWithinPartitions("id")
+    df = spark.range(1000).selectExpr("id", "concat('v', id) as v")
+    df = pages.dealt(df, ["id"], 4)
     with pytest.raises(Exception, match="stopped after 2 pages"):
         pages.write_pages(df, path, "copy1", 50, failAfter=2)
     with pytest.raises(ValueError, match="not ended"):
