@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -39,7 +38,9 @@ TOP = 50
 #: Terms of one transducer, bytes of the transducers that are broadcast at a time, entries that a task counts before it passes them on.
 SHARD = 200_000
 PASS_BYTES = 64_000_000
-HELD = 200_000
+HELD = 2_000_000
+#: Bytes of text whose terms are handled together.
+SLICE = 8_000_000
 #: Sources on each side of one comparison, and counts that one task compares at a time.
 TILE = 64
 CELLS = 400_000
@@ -49,49 +50,74 @@ def _keep(df: DataFrame) -> DataFrame:
     return materialise(df, "audit")
 
 
-def terms(text: bytes, piece: int = 1 << 20) -> Iterator[list[bytes]]:
-    """The terms of a text in slices that end between terms (a term longer than a slice stays whole)."""
-    at = 0
+def cuts(text: bytes, piece: int | None = None) -> Iterator[bytes]:
+    """A text in pieces that end between terms (a term longer than a piece stays whole)."""
+    at, piece = 0, piece or SLICE
     while at < len(text):
         cut = BREAK.search(text, at + piece)
         end = cut.start() if cut else len(text)
-        yield (text[at:end] if at or cut else text).translate(PLAIN).split()
+        yield text[at:end] if at or cut else text
         at = end
 
 
+def terms(text: bytes, piece: int | None = None) -> Iterator[list[bytes]]:
+    """The terms of a text, piece by piece."""
+    return (part.translate(PLAIN).split() for part in cuts(text, piece))
+
+
 def grouped(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
 
-def _texts(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
-    """Rows as their columns and the UTF-8 of the text, a slice of the batch at a time."""
-    for some in text_slices(batch, "text"):
-        yield from zip(*[some.column(c).to_pylist() for c in columns], some.column("text").cast(pa.binary()).to_pylist(), strict=True)
+def _slices(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple[list[list], list[bytes]]]:
+    """A batch in slices of about SLICE bytes of text: the columns' values, and the texts' UTF-8."""
+    for some in text_slices(batch, "text", SLICE):
+        yield [some.column(c).to_pylist() for c in columns], some.column("text").cast(pa.binary()).to_pylist()
+
+
+def encoded(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct terms of some texts, and for each term of them in order its place among these and the number of its text.
+
+    Letters without the blanks between them are the data of one binary array, whose offsets are where terms begin.
+    """
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    flat = np.frombuffer(b"".join(texts).translate(PLAIN), np.uint8)
+    letter = flat != 32
+    begin = letter.copy()
+    begin[1:] &= ~letter[:-1]
+    first = ends[:-1][ends[:-1] < len(flat)]
+    begin[first] = letter[first]
+    starts = np.flatnonzero(begin)
+    data = flat[letter]
+    offsets = np.append(np.cumsum(letter, dtype=np.int32)[starts] - 1, len(data)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    return words.dictionary, words.indices.to_numpy(), np.searchsorted(ends, starts, side="right")
+
+
+def _numbered(values: Iterable) -> tuple[list, np.ndarray]:
+    """Distinct values, and the number of each value among them."""
+    known: dict = {}
+    return known, np.fromiter((known.setdefault(v, len(known)) for v in values), np.int64)  # type: ignore[return-value]
 
 
 def _doc_counts(batches):
     schema = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("n", pa.int64())])
-    held: defaultdict[str, Counter] = defaultdict(Counter)
 
-    def rows():
-        for lang, counts in held.items():
-            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(counts)), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], schema=schema)
-        held.clear()
+    def rows(langs: list, of: np.ndarray, words: pa.Array, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()).take(pa.array(of)), words.take(pa.array(at)).cast(pa.binary()), pa.array(n)], schema=schema)
 
-    size = 0
     for b in batches:
-        for lang, text in _texts(b, "lang"):
-            parts = terms(text)
-            seen = set(next(parts, ()))
-            for part in parts:
-                seen.update(part)
-            size -= len(held[lang])
-            held[lang].update(seen)
-            size += len(held[lang])
-            if size >= HELD:
-                yield from rows()
-                size = 0
-    yield from rows()
+        for (langs,), texts in _slices(b, "lang"):
+            for lang, text in zip(langs, texts, strict=True):
+                if len(text) > SLICE:  # distinct terms of a long text, piece by piece
+                    seen = list({t for part in terms(text) for t in part})
+                    yield rows([lang], np.zeros(len(seen), np.int64), pa.array(seen, pa.binary()), np.arange(len(seen)), np.ones(len(seen), np.int64))
+            words, code, doc = encoded([t if len(t) <= SLICE else b"" for t in texts])
+            if len(code):
+                names, of = _numbered(langs)
+                pair = np.unique(doc * len(words) + code)  # a term once a text
+                key, n = np.unique(of[pair // len(words)] * len(words) + pair % len(words), return_counts=True)
+                yield rows(list(names), key // len(words), words, key % len(words), n)
 
 
 def vocabulary(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -144,10 +170,12 @@ class Transducer:
         pick = lambda x: np.array(x, np.int64)[order] if arcs else np.empty(0, np.int64)
         return cls(pick(arcs), pick(target), pick(adds), np.array([end for end, _ in known], bool), root)
 
-    def ordinals(self, words: list[bytes]) -> np.ndarray:
+    def ordinals(self, words: list[bytes] | pa.Array) -> np.ndarray:
         """The place of each word among the terms, -1 if it is none; all words go one byte further in each step."""
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        flat, start = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size
+        words = pa.array(words, pa.binary())
+        edges = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+        flat = np.frombuffer(words.buffers()[2] or b"", np.uint8) if len(words) else np.empty(0, np.uint8)
+        start, size = edges[:-1].astype(np.int64), np.diff(edges)
         state, place = np.full(len(words), self.root), np.zeros(len(words), np.int64)
         live, step = np.flatnonzero(size > 0), 0
         while len(live) and len(self.arcs):
@@ -220,50 +248,56 @@ def shards(kept: DataFrame) -> DataFrame:
 
 
 def _recount(broadcast):
-    """Counts by (lang, source, ordinal) of the terms in the broadcast shards, which are ``(first, last or None, base, data)`` in order."""
+    """Counts by (lang, source, ordinal) of the terms in the broadcast shards, which are ``(first, base, data)`` in order."""
     schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("ord", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
         parts = broadcast.value
-        firsts, ends = [p[0] for p in parts], [p[1] for p in parts]
-        machines = [Transducer.load(p[3]) for p in parts]
-        places: dict[bytes, int] = {}
-        held: defaultdict[tuple, Counter] = defaultdict(Counter)
-
-        def look_up(words: list[bytes]) -> None:
-            """Walk words that have not come before, each through the shard whose range it lies in."""
-            which: dict[int, list[bytes]] = {}
-            for w in words:
-                k = bisect_right(firsts, w) - 1
-                if k < 0 or ends[k] is not None and w >= ends[k]:
-                    places[w] = -1
-                else:
-                    which.setdefault(k, []).append(w)
-            for k, some in which.items():
-                for w, p in zip(some, machines[k].ordinals(some).tolist(), strict=True):
-                    places[w] = p + parts[k][2] if p >= 0 else -1
+        firsts = [p[0] for p in parts]
+        machines = [Transducer.load(p[2]) for p in parts]
+        def walk(words: pa.Array) -> np.ndarray:
+            """Each word through the shard whose range it lies in."""
+            if len(parts) == 1:
+                return np.where((p := machines[0].ordinals(words)) >= 0, p + parts[0][1], -1)
+            shard = np.array([bisect_right(firsts, w) - 1 for w in words.to_pylist()])
+            out = np.full(len(words), -1)
+            for k in np.unique(shard[shard >= 0]):
+                mine = np.flatnonzero(shard == k)
+                p = machines[k].ordinals(words.take(pa.array(mine)))
+                out[mine] = np.where(p >= 0, p + parts[k][1], -1)
+            return out
+
+        known: dict[tuple, int] = {}
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def rows():
-            for (lang, source), seen in held.items():
-                if len(places) > 2 * HELD:
-                    places.clear()
-                look_up([w for w in seen if w not in places])
-                at, n = np.fromiter(map(places.__getitem__, seen), np.int64, len(seen)), np.fromiter(seen.values(), np.int64, len(seen))
-                at, n = at[at >= 0], n[at >= 0]
-                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(at)), pa.repeat(source, len(at)), pa.array(at), pa.array(n)], schema=schema)
+            """Counts so far by group and ordinal; groups are numbered by the order in which they came."""
+            if held:
+                group, at, n = (np.concatenate(x) for x in zip(*held, strict=True))
+                order = np.lexsort((at, group))
+                group, at, n = group[order], at[order], n[order]
+                new = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (at[1:] != at[:-1])))
+                names = list(known)
+                lang, source = (pa.array([x[i] for x in names], pa.string()).take(pa.array(group[new])) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([lang, source, pa.array(at[new]), pa.array(np.add.reduceat(n, new))], schema=schema)
             held.clear()
+            known.clear()
 
         size = 0
         for b in batches:
-            for lang, source, text in _texts(b, "lang", "source"):
-                for part in terms(text):
-                    each = held[lang, source]
-                    size -= len(each)
-                    each.update(part)
-                    size += len(each)
-                    if size >= HELD:
-                        yield from rows()
-                        size = 0
+            for (langs, sources), texts in _slices(b, "lang", "source"):
+                of = np.fromiter((known.setdefault(g, len(known)) for g in zip(langs, sources, strict=True)), np.int64)
+                pieces = [(of, texts)] if max(map(len, texts)) <= 2 * SLICE else [(of[i : i + 1], [cut]) for i, t in enumerate(texts) for cut in cuts(t)]
+                for group, some in pieces:
+                    words, code, doc = encoded(some)
+                    if len(code):
+                        place = walk(words)[code]
+                        key, n = np.unique(group[doc[place >= 0]] << 40 | place[place >= 0], return_counts=True)
+                        held.append((key >> 40, key & ((1 << 40) - 1), n))
+                        size += len(key)
+                if size >= HELD:
+                    yield from rows()
+                    size = 0
         yield from rows()
 
     return run
@@ -289,8 +323,7 @@ def recount(docs: DataFrame, machines: DataFrame, pass_bytes: int = PASS_BYTES)
     for part in passes:
         low, high = listed[part[0]][0], listed[part[-1]][0]
         data = {bytes(r["first"]): bytes(r["data"]) for r in machines.where((F.col("first") >= F.lit(low)) & (F.col("first") <= F.lit(high))).select("first", "data").collect()}
-        ends = [listed[k + 1][0] if k + 1 < len(listed) else None for k in part]
-        sent = spark.sparkContext.broadcast([(listed[k][0], end, base[k], data[listed[k][0]]) for k, end in zip(part, ends, strict=True)])
+        sent = spark.sparkContext.broadcast([(listed[k][0], base[k], data[listed[k][0]]) for k in part])
         counts = docs.mapInArrow(_recount(sent), "lang string, source string, ord long, n long").groupBy("lang", "source", "ord").agg(F.sum("n").alias("n"))
         counts = _keep(counts)
         out = counts if out is None else out.unionByName(counts)
