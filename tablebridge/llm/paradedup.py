@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, components, gram_hashes, hash_words, join_hot, materialise, mix64, text_slices
@@ -15,8 +15,8 @@ from .ngramjoin import verified
 
 GRAM = 5
 LEAST = 0.8
-BANDS = 5
-ROWS = 2
+BANDS = 8
+ROWS = 3
 PARA_WORDS = 8
 RUN_WORDS = 25
 LONG_WORDS = 28
@@ -26,7 +26,7 @@ SENTENCE = re.compile(r"[^\n.!?…。！？]*[.!?…。！？]+|[^\n.!?…。！
 
 
 def recall(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
-    """Chance that a pair of this similarity collides: 0.994 at the threshold for 5 bands of 2 rows."""
+    """Chance that a pair of this similarity collides: 0.997 at the threshold for 8 bands of 3 rows, 0.0002 at 0.03, so that unrelated paragraphs seldom meet."""
     return 1 - (1 - similarity**rows) ** bands
 
 
@@ -36,8 +36,8 @@ def _low_words(s: str) -> list[str]:
     return WORD.findall(low) if len(low) == len(s) else [w.lower() for w in WORD.findall(s)]
 
 
-def _sentences(text: str | None) -> list[tuple[int, int, list[str]]]:
-    """Rows of sentences (start, end, words) up to one of PARA_WORDS words or a line's end."""
+def _sentences(text: str | None, para_words: int = PARA_WORDS) -> list[tuple[int, int, list[str]]]:
+    """Rows of sentences (start, end, words) up to one of ``para_words`` words or a line's end."""
     out, held, start, end = [], [], -1, 0
     for m in SENTENCE.finditer(text or ""):
         s = m.group()
@@ -48,14 +48,14 @@ def _sentences(text: str | None) -> list[tuple[int, int, list[str]]]:
                     start = m.end() - len(s.lstrip())
                 end = m.end()
                 held += words
-                if len(words) < PARA_WORDS or s[-1] not in STOPS:
+                if len(words) < para_words or s[-1] not in STOPS:
                     continue
             else:
                 continue
-        if len(held) >= PARA_WORDS:
+        if len(held) >= para_words:
             out.append((start, end, held))
         held, start = [], -1
-    if len(held) >= PARA_WORDS:
+    if len(held) >= para_words:
         out.append((start, end, held))
     return out
 
@@ -94,16 +94,17 @@ def _apart(places: np.ndarray, least: int = PARA_WORDS) -> list[int]:
     return out[::-1]
 
 
-def paragraphs(texts: list[str | None]) -> tuple[list[list[tuple[int, int, int]]], np.ndarray]:
+def paragraphs(texts: list[str | None], para_words: int = PARA_WORDS) -> tuple[list[list[tuple[int, int, int]]], np.ndarray]:
     """Paragraphs (start, end, words) of some texts, and the hashes of all their words in a row.
 
-    A line is one, and a line of several sentences is cut after each sentence of PARA_WORDS words or more; one of more than
+    A line is one, and a line of several sentences is cut after each sentence of ``para_words`` words or more; one of more than
     LONG_WORDS words is cut before words whose hash is the least within REACH words around (of equal words that with the least
     hash of GRAM words from there). Of anchors closer than PARA_WORDS the later stays, so that every word is in a piece. But for
     rows of such anchors, neither rule depends on what stands further off, so a passage copied into the middle of other text has the same
-    cuts inside. Shorter sentences belong to the next. Paragraphs under PARA_WORDS words are left out.
+    cuts inside. Shorter sentences belong to the next. Paragraphs under ``para_words`` words are left out; with 1 there is none, and
+    every line or sentence with a word is one.
     """
-    found = [_sentences(t) for t in texts]
+    found = [_sentences(t, para_words) for t in texts]
     h = hash_words([w for ps in found for p in ps for w in p[2]])
     anchor = _least_near(_order(h, [len(p[2]) for ps in found for p in ps])) if len(h) else np.empty(0, bool)
     out, at = [], 0
@@ -133,22 +134,28 @@ def _row_key(key: str, text: str):
     return F.xxhash64(F.col(key).cast("string"), F.col(text))
 
 
-def shingled(texts: list[str | None]) -> tuple[list[list[tuple[int, int, int]]], np.ndarray, np.ndarray]:
-    """Paragraphs of some texts, all their shingle hashes in a row, and where each paragraph's begin (and the end)."""
-    found, h = paragraphs(texts)
+def shingled(texts: list[str | None], para_words: int = PARA_WORDS) -> tuple[list[list[tuple[int, int, int]]], np.ndarray, np.ndarray]:
+    """Paragraphs of some texts, all their shingle hashes in a row, and where each paragraph's begin (and the end).
+
+    A paragraph of fewer than GRAM words is one shingle.
+    """
+    found, h = paragraphs(texts, para_words)
     sizes = np.array([p[2] for ps in found for p in ps], np.int64)
-    first = np.concatenate([[0], np.cumsum(sizes - GRAM + 1)]) if len(sizes) else np.zeros(1, np.int64)
+    first = np.concatenate([[0], np.cumsum(np.maximum(sizes - GRAM + 1, 1))]) if len(sizes) else np.zeros(1, np.int64)
     if not len(sizes):
         return found, h, first
     last = np.cumsum(sizes)
-    grams = gram_hashes(h, GRAM)
+    grams = np.zeros(len(h), np.uint64)
+    grams[: max(0, len(h) - GRAM + 1)] = gram_hashes(h, GRAM)[: max(0, len(h) - GRAM + 1)]
     inside = np.ones(len(h), bool)  # the last GRAM - 1 words of a paragraph start no shingle
     for k in range(1, GRAM):
-        inside[last - k] = False
-    return found, grams[inside[: len(grams)]], first
+        inside[(last - k)[sizes > k]] = False
+    for i in np.flatnonzero(sizes < GRAM):
+        grams[last[i] - sizes[i]] = gram_hashes(h[last[i] - sizes[i] : last[i]], GRAM)[0]
+    return found, grams[inside], first
 
 
-def units(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def units(docs: DataFrame, text: str = "text", key: str = "doc_id", para_words: int = PARA_WORDS) -> DataFrame:
     """A row for each paragraph: ``doc_id, rk, u, start, end, words, sid, bands``.
 
     sid is a hash of its shingles (as often as they occur); bands, a function of the shingles, stands at the first paragraph of
@@ -161,14 +168,14 @@ def units(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
         seeds = _seeds()
         for whole in batches:
             for b in text_slices(whole, "t"):
-                found, grams, first = shingled(b.column("t").to_pylist())
+                found, grams, first = shingled(b.column("t").to_pylist(), para_words)
                 if len(first) == 1:
                     continue
                 flat = np.array([p for ps in found for p in ps], np.int32)
                 counts = [len(ps) for ps in found]
                 sid = mix64(np.add.reduceat(mix64(grams ^ seeds[0]), first[:-1]))
                 least = [np.minimum.reduceat(mix64(grams * s), first[:-1]) for s in seeds]
-                bands = np.stack([mix64(least[ROWS * j] * np.uint64(3) + least[ROWS * j + 1] + np.uint64(j)) for j in range(BANDS)], 1)
+                bands = np.stack([mix64(sum((least[ROWS * j + k] * np.uint64(2 * k + 3) for k in range(1, ROWS)), least[ROWS * j] + np.uint64(j))) for j in range(BANDS)], 1)
                 again = np.ones(len(sid), bool)
                 again[np.unique(sid, return_index=True)[1]] = False
                 place = pa.array(np.repeat(np.arange(len(found)), counts))
@@ -184,24 +191,27 @@ def units(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
 
 
 def colliding(u: DataFrame) -> DataFrame:
-    """``band, sid`` of the paragraphs that share a band with other shingles."""
-    each = Window.partitionBy("band")
+    """``band, sid`` of the paragraphs that share a band with other shingles.
+
+    A band is two numbers and a count, added up within each task first, however often it occurs; only bands that differ in them meet their rows again.
+    """
     rows = u.where("bands is not null").select(F.explode("bands").alias("band"), "sid")
-    return rows.withColumns({"lo": F.min("sid").over(each), "hi": F.max("sid").over(each)}).where("lo <> hi").select("band", "sid").distinct()
+    shared = rows.groupBy("band").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
+    return join_hot(rows, materialise(shared.select("band", "rows"), "bands"), "band", "rows").select("band", "sid").distinct()
 
 
-def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", run_words: int = RUN_WORDS) -> DataFrame:
+def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", run_words: int = RUN_WORDS, para_words: int = PARA_WORDS) -> DataFrame:
     """Repeated stretches of texts: ``doc_id, start, end, words, removed, clusters``.
 
     Paragraphs with equal shingles are one entry; entries that collide in a band are joined, the Jaccard similarity of all pairs
     under a band is computed exactly, and links of 0.8 or more make clusters by connected components. A stretch is a row of repeated
-    paragraphs of at least ``run_words`` words together (0 takes every repeated paragraph); its parts are removed but for each cluster's
+    paragraphs of at least ``run_words`` words together (with 0, and ``para_words`` 1, every repeated line or sentence is one, however short); its parts are removed but for each cluster's
     first place by key, row and place. start and end count code points. Null, empty and short texts have no paragraphs; equal rows are one
     document and show the same stretches; a null key comes first; other columns, whatever their names, play no part; a text of any
     length is cut whole; an empty table gives an empty result.
     """
     place = F.struct("doc_id", "rk", "u")
-    u = materialise(units(docs, text, key), "paragraphs")
+    u = materialise(units(docs, text, key, para_words), "paragraphs")
     meeting = materialise(colliding(u), "meeting")
     met = meeting.groupBy("sid").agg(F.count("*").alias("met"))
     entries = u.groupBy("sid").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "rk", "u", "start", "end")).alias("first"))
