@@ -39,6 +39,12 @@ def canonical(c: Column, t: T.DataType) -> Column:
     return F.when(c.isNull(), NULL_TEXT).otherwise(text)
 
 
+def eight_bytes(n: Column) -> Column:
+    """A length as eight bytes, big-endian: small ones, of which most are, come from an array of constants."""
+    small = F.array(*[F.lit(i.to_bytes(8, "big")) for i in range(256)])
+    return F.when(n < 256, F.get(small, n)).otherwise(F.unhex(F.lpad(F.hex(n.cast("bigint")), 16, "0")))
+
+
 def row_hash(df: DataFrame, columns: list[str] | None = None, strict: bool = False) -> Column:
     """SHA-256 over each column's text with its length in bytes before it (eight bytes, big-endian).
 
@@ -49,7 +55,7 @@ def row_hash(df: DataFrame, columns: list[str] | None = None, strict: bool = Fal
         text = canonical(F.col(f"`{name}`"), df.schema[name].dataType)
         if strict:
             parts.append(F.when(F.col(f"`{name}`").isNull(), F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit("01"))))
-        parts += [F.unhex(F.lpad(F.hex(F.octet_length(text).cast("bigint")), 16, "0")), F.encode(text, "UTF-8")]
+        parts += [eight_bytes(F.octet_length(text)), F.encode(text, "UTF-8")]
     return F.sha2(F.concat(*parts), 256)
 
 
