@@ -102,6 +102,35 @@ def count_errors(counts: DataFrame) -> DataFrame:
     return counts.withColumn("error", why).where("error is not null").select("table_name", "error")
 
 
+def report_lines(items: DataFrame, counts: DataFrame, triggers: DataFrame | None = None) -> DataFrame:
+    """A job's report as lines of text: ``section, part, name, line``, to be read in that order.
+
+    Section 1 has the totals of each category (of triggers their number alone, which are not moved); 2 each failed object with its reason and
+    its DDL, indented; 3 the tables whose counts differ, by how much; 4 the counts of all. items: ``category, name, ok, error, ddl``; counts:
+    ``table_name, src_rows, dst_rows, matches``; triggers: ``table_name, triggers``.
+    """
+    line = lambda df, section, part, name, text: df.select(F.lit(section).alias("section"), part.alias("part"), name.alias("name"), text.alias("line"))
+    none = F.lit("")
+    totals = items.groupBy("category").agg(F.count("*").alias("n"), F.count_if("ok").alias("good"))
+    ddl = F.when(F.trim(F.coalesce("ddl", none)) == "", "  no DDL").otherwise(F.regexp_replace(F.concat(F.lit("DDL: "), "ddl"), r"(?m)^", "  "))
+    failed = items.where("not ok")
+    plain = F.format_string("%s: %d source, %d target", "table_name", "src_rows", "dst_rows")
+    parts = [
+        line(totals, 1, F.col("category"), none, F.format_string("%s: %d in all, %d done, %d failed", "category", "n", "good", F.col("n") - F.col("good"))),
+        line(failed, 2, F.col("category"), F.col("name"), F.concat_ws("\n", F.concat("category", F.lit(" "), "name"), F.concat(F.lit("  reason: "), F.coalesce("error", none)), ddl)),
+        line(counts.where("not matches"), 3, F.col("table_name"), none, F.concat(plain, F.format_string(", difference %d", F.col("dst_rows") - F.col("src_rows")))),
+        line(counts, 4, F.col("table_name"), none, F.concat(plain, F.when(F.col("matches"), "").otherwise(" (differs)"))),
+    ]
+    if triggers is not None:
+        parts.append(line(triggers.agg(F.coalesce(F.sum("triggers"), F.lit(0)).cast("long").alias("n")), 1, F.lit("~triggers"), none, F.format_string("triggers: %d in all, not moved", "n")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def export_report(lines: DataFrame, path: str) -> None:
+    """The report as one text file in a folder: sorted lines of a job's objects and tables, which are as many as its catalog has."""
+    lines.repartitionByRange(1, "section", "part", "name").sortWithinPartitions("section", "part", "name").select("line").write.text(path)
+
+
 def report_json(report: DataFrame, counts: DataFrame) -> str:
     """A job's report; both frames have a row for each category or table of the job."""
     return json.dumps({"categories": [r.asDict() for r in report.orderBy("category").collect()], "row_counts": [r.asDict() for r in counts.orderBy("table_name").collect()]}, ensure_ascii=False, sort_keys=True)

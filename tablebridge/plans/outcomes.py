@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.positions import Position, reached_column
-from ..operators import console, copy, jobs, workload
+from ..operators import checks, console, copy, jobs, workload
 from .registry import load, query
 from .relations import of
 
@@ -17,6 +17,20 @@ def report_totals(spark: SparkSession, sf: str) -> DataFrame:
     return copy.report(of(spark, sf, "part", "p_type AS category", "concat('p', p_partkey) AS name", "p_partkey % 7 > 0 AS ok", "'' AS error"))
 
 
+@query("""WITH i AS (SELECT p_type AS c, 'p' || p_partkey AS name, p_partkey % 7 > 0 AS ok, p_brand AS error, CASE WHEN p_partkey % 14 = 0 THEN 'CREATE x' || chr(10) || '  (' || p_size || ')' END AS ddl FROM part),
+n AS (SELECT c_custkey AS k, c_custkey - CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE 0 END AS d FROM customer)
+SELECT 1 AS section, c AS part, '' AS name, c || ': ' || count(*) || ' in all, ' || count_if(ok) || ' done, ' || count_if(NOT ok) || ' failed' AS line FROM i GROUP BY c
+UNION ALL SELECT 2, c, name, c || ' ' || name || chr(10) || '  reason: ' || error || chr(10) || CASE WHEN ddl IS NULL THEN '  no DDL' ELSE '  DDL: ' || replace(ddl, chr(10), chr(10) || '  ') END FROM i WHERE NOT ok
+UNION ALL SELECT 3, 'c' || k, '', 'c' || k || ': ' || k || ' source, ' || d || ' target, difference ' || (d - k) FROM n WHERE k <> d
+UNION ALL SELECT 4, 'c' || k, '', 'c' || k || ': ' || k || ' source, ' || d || ' target' || CASE WHEN k = d THEN '' ELSE ' (differs)' END FROM n
+UNION ALL SELECT 1, '~triggers', '', 'triggers: ' || count(*) || ' in all, not moved' FROM supplier""")
+def report_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as objects of a job, customers as its tables, suppliers as triggers of their nations."""
+    items = of(spark, sf, "part", "p_type AS category", "concat('p', p_partkey) AS name", "p_partkey % 7 > 0 AS ok", "p_brand AS error", "if(p_partkey % 14 = 0, concat('CREATE x\\n  (', p_size, ')'), null) AS ddl")
+    counts = of(spark, sf, "customer", "concat('c', c_custkey) AS table_name", "c_custkey AS src_rows", "c_custkey - if(c_custkey % 5 = 0, 2, 0) AS dst_rows", "c_custkey % 5 > 0 AS matches")
+    return checks.report_lines(items, counts, of(spark, sf, "supplier", "s_nationkey").groupBy(F.col("s_nationkey").alias("table_name")).agg(F.count("*").alias("triggers")))
+
+
 @query("SELECT DISTINCT l_returnflag AS category, 'o' || l_orderkey % 100 AS name, l_linestatus AS error, CASE WHEN l_linenumber % 2 = 0 THEN 'ddl' || l_linenumber END AS ddl, 'objects' AS stage FROM lineitem")
 def failed_objects_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.failed_objects(of(spark, sf, "lineitem", "l_returnflag AS category", "concat('o', l_orderkey % 100) AS name", "l_linestatus AS error", "if(l_linenumber % 2 = 0, concat('ddl', l_linenumber), null) AS ddl", "'objects' AS stage"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablebridge.functions.positions import Position, contains_intervals, intersect_intervals, merge_intervals, subtract_intervals
-from tablebridge.operators import jobs, verify, workload
+from tablebridge.operators import checks, jobs, verify, workload
 from tablebridge.sources import pages, readers, sinks
 from tablebridge.sources.store import Conflict, TableStore
 from tablebridge.streaming import apply as streaming
@@ -259,3 +259,11 @@ def test_error_classes(spark):
     rows = [(1213, "Deadlock"), (1062, "Duplicate"), (None, "dial tcp: Connection REFUSED"), (None, "bad"), (None, None), (1040, "no route to host"), (1, "no route to host")]
     df = spark.createDataFrame(rows, "number int, text string")
     assert [r[0] for r in df.select(workload.error_class(F.col("number"), F.col("text"))).collect()] == ["capacity", "correctness", "environment", "correctness", "", "capacity", "correctness"]
+
+
+def test_report_as_one_text(spark, tmp_path):
+    items = spark.createDataFrame([("table", "a", True, None, None), ("view", "v", False, "bad", "CREATE\nVIEW v")], "category string, name string, ok boolean, error string, ddl string")
+    counts = spark.createDataFrame([("a", 5, 3, False), ("b", 1, 1, True)], "table_name string, src_rows long, dst_rows long, matches boolean")
+    checks.export_report(checks.report_lines(items, counts), f"file://{tmp_path}/report")
+    text = "".join(open(f"{tmp_path}/report/{n}").read() for n in os.listdir(f"{tmp_path}/report") if n.startswith("part-"))
+    assert text == "table: 1 in all, 1 done, 0 failed\nview: 1 in all, 0 done, 1 failed\nview v\n  reason: bad\n  DDL: CREATE\n  VIEW v\na: 5 source, 3 target, difference -2\na: 5 source, 3 target (differs)\nb: 1 source, 1 target\n"
