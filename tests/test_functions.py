@@ -139,8 +139,8 @@ def test_mysql_strings_and_nested_joins():
 
 
 def test_statements_of_sinks():
-    assert sinks.promote("dameng", "app", "t", "t__stage", ["id", 'a"b'], identity=True) == ['SET IDENTITY_INSERT "app"."t" ON', 'INSERT INTO "app"."t" ("id", "a""b") SELECT "id", "a""b" FROM "app"."t__stage"', 'SET IDENTITY_INSERT "app"."t" OFF', 'DROP TABLE "app"."t__stage"']
-    assert sinks.promote("mysql", "app", "t", "s", ["id"], identity=True) == ["INSERT INTO `app`.`t` (`id`) SELECT `id` FROM `app`.`s`", "DROP TABLE `app`.`s`"]
+    assert sinks.promote("dameng", "app", "t", "t__stage", ["id", 'a"b'], identity=True) == ['SET IDENTITY_INSERT "app"."t" ON', 'INSERT INTO "app"."t" ("id", "a""b") SELECT "id", "a""b" FROM "app"."t__stage"', 'SET IDENTITY_INSERT "app"."t" OFF'] and sinks.drop_stage("dameng", "app", "t__stage") == 'DROP TABLE "app"."t__stage"'
+    assert sinks.promote("mysql", "app", "t", "s", ["id"], identity=True) == ["INSERT INTO `app`.`t` (`id`) SELECT `id` FROM `app`.`s`"] and sinks.drop_stage("mysql", "app", "s") == "DROP TABLE `app`.`s`"
     assert sinks.create_view("gaussdb", "app", "v", "select 1;") == ['SET LOCAL search_path TO "app"', 'CREATE OR REPLACE VIEW "app"."v" AS select 1'] and len(sinks.create_view("mysql", "app", "v", "select 1")) == 1
     assert sinks.change_owner("postgres", "app", "t", "joe") == ['ALTER TABLE "app"."t" OWNER TO "joe"'] and sinks.change_owner("mysql", "app", "t", "joe") == []
     with pytest.raises(ValueError):
