@@ -109,7 +109,3 @@ def test_short_paragraphs_with_a_parameter(spark):
     rows = [(1, "Hi.\none two three\nalone here"), (2, "hi\nelse\nOne, two three!"), (3, "one two three four\nHi. Hi."), (4, None)]
     got = {(r.doc_id, (rows[r.doc_id - 1][1] or "")[r.start : r.end], r.removed) for r in paradedup.repeated(spark.createDataFrame(rows, DOCS), run_words=0, para_words=1).collect()}
     assert got == {(1, "Hi.\none two three", False), (2, "hi", True), (2, "One, two three!", True), (3, "Hi. Hi.", True)}
-
-
-def test_bands_are_selective():
-    assert paradedup.recall(0.8) > 0.996 and paradedup.recall(0.03) < 0.001
