@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import durable
+from .scan import running
+
 KINDS = ("primary", "composite", "unique", "keyless", "wide", "mixed_case")
 # Too many connections, lock wait timeout, deadlock.
 CAPACITY = (1040, 1205, 1213)
@@ -55,8 +60,7 @@ def profile(spark: SparkSession, run: str, tables: int, total: int, most: int |
 
 def hottest(tables: DataFrame, share: float = 0.01) -> DataFrame:
     """The first hundredth of the tables by rows (one at least), ties by number."""
-    ranked = tables.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("rows"), "i"))).withColumn("_n", F.count("*").over(Window.partitionBy()))
-    return ranked.where(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))).drop("_r", "_n")
+    return tables.orderBy(F.desc("rows"), "i").limit(max(1, int(tables.count() * share)))
 
 
 def action(seq: Column) -> Column:
@@ -65,9 +69,9 @@ def action(seq: Column) -> Column:
     return F.when(m <= 5, "insert").when(m <= 7, "update").when(m == 8, "delete").otherwise("rollback")
 
 
-def pick_tables(seqs: DataFrame, tables: DataFrame, hot: int = 80) -> DataFrame:
+def pick_tables(seqs: DataFrame, tables: DataFrame, hot: int = 80, keep: Callable[[DataFrame], DataFrame] = durable) -> DataFrame:
     """``seq, table_name`` of writes: four of five go to the hottest hundredth of the tables, the rest to any; the number alone decides."""
-    ranked = tables.select("table_name", (F.row_number().over(Window.orderBy(F.desc("rows"), "table_name")) - 1).alias("place"), F.count("*").over(Window.partitionBy()).alias("n"))
+    ranked = running(tables.select("table_name", "rows"), [], [F.desc("rows"), F.asc("table_name")], {"n": ("sum", F.lit(1))}, keep).withColumn("place", F.col("n") - 1)
     few = F.greatest(F.lit(1), F.floor(F.col("all") / 100))
     want = seqs.crossJoin(F.broadcast(tables.agg(F.count("*").alias("all")))).withColumn("of", F.when(F.pmod("seq", F.lit(100)) < hot, few).otherwise(F.col("all")))
     return want.withColumn("place", F.pmod(F.floor(F.col("seq") / 100) + F.col("seq") * 7919, F.col("of"))).join(ranked.select("table_name", "place"), "place").select("seq", "table_name")
