@@ -1,4 +1,4 @@
-"""Maximum inner product search: score-aware (anisotropic) 4-bit product quantisation, exact reranking."""
+"""Maximum inner product search: score-aware (anisotropic) 4-bit product quantisation with error bounds, exact reranking."""
 
 from __future__ import annotations
 
@@ -6,15 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_group, join_hot, materialise
+from .common import by_group, materialise
 
 SAMPLE = 8000  # vectors that the codebooks are fitted on, at most in expectation
 INDEX_BLOCK = 65536
 QUERY_BLOCK = 4096
+#: Components of a block's vectors at most, so that blocks of long vectors hold fewer of them.
+BLOCK_NUMBERS = 1 << 22
 RERANK = 200
 
 
@@ -80,10 +81,16 @@ class Quantiser:
                 gap = rest + par[rows, m, codes[:, m]]
         return codes
 
-    def pack(self, x: np.ndarray) -> np.ndarray:
-        codes = self.encode(x).astype(np.uint8)
+    def pack(self, x: np.ndarray, codes: np.ndarray | None = None) -> np.ndarray:
+        codes = (self.encode(x) if codes is None else codes).astype(np.uint8)
         return codes[:, ::2] | codes[:, 1::2] << 4
 
+    def gap(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """How far a scan() of these codes for a query of length 1 can be from its inner product with x: |r|, and the rounding of scan()."""
+        parts, _, width = self.books.shape
+        r = np.sqrt(((self._split(x, parts, width) - self.books[np.arange(parts), codes]) ** 2).sum((1, 2)))
+        return r + (parts / 2 + 4) * np.finfo(np.float32).eps * (np.sqrt((x**2).sum(1)) + r)
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """Inner products of each query with two subspaces' centroids: [queries, subspaces / 2, 256]."""
         parts, _, width = self.books.shape
@@ -103,13 +110,53 @@ def usable(col: str) -> object:
     return (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
 
 
+def matrix(lists: pa.Array) -> np.ndarray:
+    """Rows of equal length, without nulls, in the type that they have."""
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length 1 and the lengths, in double precision."""
+    x = x.astype(np.float64)
+    most = np.abs(x).max(1, keepdims=True)
+    x /= most
+    size = np.sqrt((x**2).sum(1, keepdims=True))
+    return x / size, (most * size)[:, 0]
+
+
+def greatest(q: np.ndarray, x: np.ndarray, near: np.ndarray, gap: np.ndarray, size: np.ndarray, first: np.ndarray, keep: int, rerank: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query the rows of x with the ``keep`` greatest inner products, ties to the smaller ``first``, and these products.
+
+    ``near`` has the inner products of directions by codes, each within ``gap`` of the true one. The ``rerank`` rows that may be the
+    greatest by that are computed exactly, then all others that may still reach the least of the ``keep`` greatest among them.
+    """
+
+    def exact(v: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        step = max(1, BLOCK_NUMBERS // x.shape[1])
+        return np.concatenate([np.einsum("rd,d->r", x[rows[k : k + step]].astype(np.float64), v) for k in range(0, len(rows), step)])
+
+    length = directions(q)[1]
+    m = min(max(rerank, keep), len(x))
+    for v, reach, norm in zip(q.astype(np.float64), (near + gap) * size, length, strict=True):
+        rows = np.argpartition(-reach, m - 1)[:m]
+        score = exact(v, rows)
+        if m < len(x):
+            reach[rows] = -np.inf
+            rest = np.flatnonzero(reach >= np.partition(score, m - keep)[m - keep] / norm)
+            if len(rest):
+                rows, score = np.concatenate([rows, rest]), np.concatenate([score, exact(v, rest)])
+        best = np.lexsort((first[rows], -score))[:keep]
+        yield rows[best], score[best] + 0.0
+
+
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, rerank: int = RERANK, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row whose key is divisible by ``every`` the k greatest inner products.
 
     Equal vectors are one index entry with their k + 1 least keys, which is all that a result can show of them; that bounds
-    groups of copies without loss. Codebooks come from at most SAMPLE vectors; every vector is indexed. Blocks of queries meet
-    blocks of the index, of which only the codes travel: a table scan over 4-bit codes proposes entries for each query, the ``rerank`` best
-    of all blocks stay, and only for these the vectors are fetched and their inner products computed in double precision.
+    groups of copies without loss. Codebooks come from the directions of at most SAMPLE vectors; every vector is indexed, with its length and
+    the distance of its direction to its code. Blocks of queries meet blocks of the index: a table scan over 4-bit codes bounds all inner products, those of the ``rerank``
+    best are computed in double precision, and so are all that the bounds do not put behind them. So the result is that of a
+    comparison with every row, whatever the rows; on rows that codes tell apart badly more of them are computed.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without key, take no part; vectors of
     different length never meet. Equal rows count once. Ties go to the smaller key. Columns other than key and vector play no part. No
@@ -125,80 +172,59 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, rerank: int = RERA
     asked = materialise(rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "v", F.xxhash64("v").alias("h")), "queries")
     out = None
     for r in groups.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect():
-        part = _search(groups.where(F.size("v") == r["d"]), asked.where(F.size("v") == r["d"]), r["n"], k, max(rerank, k + 1))
+        part = _search(groups.where(F.size("v") == r["d"]), asked.where(F.size("v") == r["d"]), r["n"], r["d"], k, rerank)
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     return out
 
 
-def proposals(index: DataFrame, asked: DataFrame, n: int, model: Broadcast, rerank: int) -> DataFrame:
-    """``q, h, near``: for each query (``h``, ``v``) the entries (``h``, ``codes``) with the greatest inner products by their codes."""
-    blocks, sets = max(1, -(-n // INDEX_BLOCK)), max(1, -(-asked.count() // QUERY_BLOCK))
-    one = lambda col, m: F.pmod(F.xxhash64(F.lit(col), "h"), F.lit(m)).cast("int")
-    none = F.lit(None)
-    left = index.select("h", "codes", none.cast(asked.schema["v"].dataType).alias("v"), one("i", blocks).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("s"))
-    right = asked.select("h", none.cast("binary").alias("codes"), "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"), one("s", sets).alias("s"))
-    tasks = left.unionByName(right).withColumn("task", F.xxhash64("i", "s")).drop("i", "s")
-
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in found:
-            entry = g.column("codes").is_valid().to_numpy(zero_copy_only=False)
-            if entry.all() or not entry.any():
-                continue
-            h = g.column("h").to_numpy()
-            q = np.array(g.column("v").filter(pa.array(~entry)).to_pylist(), np.float64)
-            qh, h = h[~entry], h[entry]
-            packed = np.frombuffer(b"".join(g.column("codes").filter(pa.array(entry)).to_pylist()), np.uint8).reshape(len(h), -1)
-            m = min(rerank, len(h))
-            for lo in range(0, len(q), 64):
-                near = model.value.scan(q[lo : lo + 64], packed)
-                top = np.argpartition(-near, m - 1, axis=1)[:, :m]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qh[lo : lo + 64], m)), pa.array(h[top].ravel()), pa.array(np.take_along_axis(near, top, 1).ravel())], names=["q", "h", "near"])
-
-    met = by_group(tasks, "task", run, "q long, h long, near float")
-    if blocks == 1:
-        return met
-    best = Window.partitionBy("q").orderBy(F.desc("near"), "h")
-    return met.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= rerank).drop("_r")
-
-
-def _search(groups: DataFrame, asked: DataFrame, n: int, k: int, rerank: int) -> DataFrame:
+def _search(groups: DataFrame, asked: DataFrame, n: int, d: int, k: int, rerank: int) -> DataFrame:
     """``h`` names a vector within its length; two that shared one would only be asked together."""
     spark = groups.sparkSession
     sample = np.array([r["v"] for r in groups.where(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / n))).select("v").collect() or groups.limit(64).select("v").collect()])
-    model = spark.sparkContext.broadcast(Quantiser.fit(sample))
+    model = spark.sparkContext.broadcast(Quantiser.fit(directions(sample)[0]))
+    vector, most = groups.schema["v"].dataType, max(1, BLOCK_NUMBERS // d)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = np.array(b.column("v").to_pylist(), np.float64)
-                yield pa.RecordBatch.from_arrays([b.column("h"), pa.array([c.tobytes() for c in model.value.pack(x)], pa.binary())], names=["h", "codes"])
-
-    index = materialise(groups.select("v", "h").mapInArrow(encode, "h long, codes binary"), "index")
-    distinct = asked.dropDuplicates(["v"]).select("v", "h")
-    found = materialise(proposals(index, distinct, n, model, rerank), "proposals")
-    # An entry that very many queries propose is fetched by broadcast.
-    counted = found.groupBy("h").agg(F.count("*").alias("asks"))
-    entries = materialise(groups.select("h", "v", "ids").join(counted, "h"), "proposed")
-    pairs = join_hot(found.select("q", "h"), entries, "h", "asks").select("q", "v", "ids")
-    both = pairs.unionByName(distinct.select(F.col("h").alias("q"), "v", F.lit(None).cast("array<long>").alias("ids")))
-
-    def exact(groups_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups_:
-            entry = g.column("ids").is_valid().to_numpy(zero_copy_only=False)
+                x, size = directions(matrix(b.column("v")))
+                codes = model.value.encode(x)
+                packed = pa.array([c.tobytes() for c in model.value.pack(x, codes)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("h"), packed, pa.array(size), pa.array(model.value.gap(x, codes)), b.column("v"), b.column("ids")], names=["h", "codes", "size", "gap", "v", "ids"])
+
+    index = groups.select("h", "v", "ids").mapInArrow(encode, f"h long, codes binary, size double, gap double, v {vector.simpleString()}, ids array<long>")
+    index, distinct = materialise(index, "index"), materialise(asked.dropDuplicates(["v"]).select("h", "v"), "distinct")
+    blocks, sets = max(1, -(-n // min(INDEX_BLOCK, most))), max(1, -(-distinct.count() // min(QUERY_BLOCK, most)))
+    one = lambda col, m: F.pmod(F.xxhash64(F.lit(col), "h"), F.lit(m)).cast("int")
+    left = index.withColumns({"i": one("i", blocks), "s": F.explode(F.sequence(F.lit(0), F.lit(sets - 1)))})
+    right = distinct.withColumns({"i": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), "s": one("s", sets)})
+    tasks = left.unionByName(right, allowMissingColumns=True).withColumn("task", F.xxhash64("i", "s")).drop("i", "s")
+    found_type = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int64()))]))
+
+    def run(met: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in met:
+            entry = g.column("codes").is_valid().to_numpy(zero_copy_only=False)
             if entry.all() or not entry.any():
                 continue
-            x = np.array(g.column("v").to_pylist(), np.float64)
-            ids = g.column("ids").filter(pa.array(entry)).to_pylist()
-            score = np.einsum("rd,d->r", x[entry], x[~entry][0])
-            best = np.lexsort((np.array([i[0] for i in ids]), -score))[: k + 1]
-            yield pa.RecordBatch.from_arrays(
-                [g.column("q").slice(0, 1), pa.array([[{"score": float(score[p]), "ids": ids[p]} for p in best.tolist()]], pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int64()))])))],
-                names=["h", "found"],
-            )
-
-    top = by_group(both, "q", exact, "h long, found array<struct<score:double,ids:array<long>>>")
+            x, h, mine = matrix(g.column("v")), g.column("h"), pa.array(entry)
+            q, qh, x = x[~entry], h.filter(pa.array(~entry)), x[entry]
+            packed = np.frombuffer(b"".join(g.column("codes").filter(mine).to_pylist()), np.uint8).reshape(len(x), -1)
+            size, gap = (g.column(c).filter(mine).to_numpy() for c in ("size", "gap"))
+            ids = g.column("ids").filter(mine)
+            first = ids.flatten().to_numpy()[ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py()]
+            for lo in range(0, len(q), 64):
+                some = q[lo : lo + 64]
+                best = greatest(some, x, model.value.scan(directions(some)[0], packed), gap, size, first, k + 1, rerank)
+                found = [[{"score": s, "ids": e} for s, e in zip(score.tolist(), ids.take(pa.array(at)).to_pylist(), strict=True)] for at, score in best]
+                yield pa.RecordBatch.from_arrays([qh.slice(lo, 64), pa.array(found, found_type)], names=["h", "found"])
+
+    top = by_group(tasks, "task", run, "h long, found array<struct<score:double,ids:array<long>>>")
+    if blocks > 1:
+        best = Window.partitionBy("h").orderBy(F.desc("f.score"), F.col("f.ids")[0])
+        top = top.select("h", F.explode("found").alias("f")).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).groupBy("h").agg(F.collect_list("f").alias("found"))
+    top = materialise(top, "nearest")
     each = F.flatten(F.transform("found", lambda f: F.transform(F.filter(f["ids"], lambda i: i != F.col("query_id")), lambda i: F.struct((-f["score"]).alias("s"), i.alias("id")))))
     best = asked.select("query_id", "h").join(top, "h").select("query_id", F.posexplode(F.slice(F.array_sort(each), 1, k)).alias("p", "x"))
     return best.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.s")).alias("score"))

@@ -497,6 +497,30 @@ def test_nearest_by_codes(spark, monkeypatch):
     assert few == 5000
 
 
+def test_nearest_whatever_the_rows(spark, monkeypatch):
+    """Rows that codes tell apart badly: the result is still that of a comparison with every row, in one block and in several."""
+    rng = np.random.default_rng(8)
+    noise = rng.normal(size=(3000, 24))
+    kinds = {
+        "tight clusters": rng.normal(size=(3, 24))[rng.integers(3, size=3000)] + 0.01 * noise,
+        "lengths": noise * np.exp(2 * rng.normal(size=(3000, 1))),
+        "few values": np.sign(noise),
+    }
+    for kind, x in kinds.items():
+        x = x.astype(np.float32)
+        monkeypatch.setattr(ann, "INDEX_BLOCK", 1100 if kind in ("tight clusters", "few values") else 65536)
+        table = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+        got = {}
+        for r in ann.nearest(table, every=100).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+        assert len(got) == 30
+        for q, mine in got.items():
+            s = np.einsum("rd,d->r", x.astype(np.float64), x[q].astype(np.float64))
+            want = [i for i in np.lexsort((np.arange(3000), -s)).tolist() if i != q][:20]
+            assert [r[1] for r in sorted(mine)] == want, (kind, q)
+            assert [r[2] for r in sorted(mine)] == s[want].tolist(), (kind, q)
+
+
 def test_quantiser_recall():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(4000, 64))
