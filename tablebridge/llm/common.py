@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
@@ -169,6 +169,28 @@ def local_spanning(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np
     return m, root[m]
 
 
+def least_star(names: np.ndarray, member: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from the names of a spanning star's nodes (positions ``member``, ``root``) to the least name of their component."""
+    least = names.copy()
+    np.minimum.at(least, root, names[member])
+    tops = np.unique(root)
+    src, dst = np.concatenate([names[member], names[tops]]), least[np.concatenate([root, tops])]
+    return src[src != dst], dst[src != dst]
+
+
+def thinned(edges: DataFrame, name: str = "thin") -> DataFrame:
+    """``src, dst``: fewer edges with the same components, a durable table.
+
+    Each node keeps the edge to the least of its smaller neighbours, to which the others are linked instead. Where a node meets its component in
+    many tasks, each of which links it to the least of what met there (least_star()), one edge a node stays and those between the few ends.
+    A node's smaller neighbours meet in one task, so stars around greatest nodes belong turned first.
+    """
+    e = edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
+    e = e.withColumn("m", F.min("dst").over(Window.partitionBy("src")))
+    both = F.array(F.struct("src", F.col("m").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("m").alias("dst")))
+    return materialise(e.select(F.explode(both).alias("e")).select("e.src", "e.dst").where("src <> dst").distinct(), name)
+
+
 def spanning_pairs(hit: np.ndarray, rows: np.ndarray, cols: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     """local_spanning() from a boolean matrix over rows x cols of m nodes: each node's row and column are read once, no edge list is made."""
     at_r, at_c = np.full(m, -1), np.full(m, -1)

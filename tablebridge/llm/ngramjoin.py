@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, components, free_name, join_hot, local_spanning, materialise, mix64, spanning_pairs, text_slices, word_shingles
+from .common import by_group, components, free_name, join_hot, least_star, local_spanning, materialise, mix64, spanning_pairs, text_slices, thinned, word_shingles
 
 GRAM = 5
 LEAST = 0.8
@@ -112,7 +112,7 @@ def matched(trees: DataFrame, sets: DataFrame, depth: int) -> DataFrame:
     """What meets under prefixes of ``depth`` values: links ``src, dst``, and sums ``stratum, prefix, met`` over the pairs.
 
     Sets of one node are compared in blocks by signature and by the sizes' ratio; a pair is open down to five standard
-    deviations under the threshold. Only a spanning forest of the open pairs comes out. Each pair that looks like a link is counted in the
+    deviations under the threshold. Only a spanning forest of the open pairs comes out, around the least set of each tree. Each pair that looks like a link is counted in the
     first tree in which it meets, by the inverse of its chance to meet at all (prefix 0) and by what other prefixes would have met of it.
     """
     hashes = TREES * DEEPEST
@@ -152,9 +152,9 @@ def matched(trees: DataFrame, sets: DataFrame, depth: int) -> DataFrame:
                     like = like[equal[like, :, :depth].all(2).argmax(1) == tree]
                     np.add.at(sums, stratum[count[like]], weight[count[like]])
             if found_a:
-                x, y = local_spanning(m, np.concatenate(found_a), np.concatenate(found_b))
-                src.append(sid[x])
-                dst.append(sid[y])
+                x, y = least_star(sid, *local_spanning(m, np.concatenate(found_a), np.concatenate(found_b)))
+                src.append(x)
+                dst.append(y)
             if sum(map(len, src)) > 50_000:
                 yield links()
                 src, dst = [], []
@@ -167,7 +167,7 @@ def matched(trees: DataFrame, sets: DataFrame, depth: int) -> DataFrame:
 
 
 def candidate_edges(sets: DataFrame, target: float = TARGET) -> tuple[DataFrame, list[tuple[int, dict[int, float]]]]:
-    """Links ``src, dst`` of sets that meet in the forest, and the recall that was measured at each prefix tried.
+    """Links ``src, dst`` that join what meets in the forest, about one for each set, and the recall that was measured at each prefix tried.
 
     Rows: ``sid, n, sig``, one for each distinct set, a durable table. Prefixes begin at full length and are shortened until, in each stratum of
     similarity, the links that met are at least ``target`` of all, estimated from those that met and their chance to meet.
@@ -186,7 +186,7 @@ def candidate_edges(sets: DataFrame, target: float = TARGET) -> tuple[DataFrame,
         seen.append((depth, {k: v[1][depth - 1] / v[0] for k, v in found.items()}))
         shorter = next_depth(found, depth, target)
         if shorter == depth:
-            return edges.distinct(), seen
+            return thinned(edges, "candidates"), seen
         depth = shorter
 
 
@@ -282,10 +282,10 @@ def verified(sets: DataFrame, least: float = LEAST) -> DataFrame:
             else:
                 links = np.concatenate([hit @ copies[cols], hit.T @ copies[rows]])
                 named = np.concatenate([sid[rows], sid[cols]])
-            x, y = spanning_pairs(hit, rows, cols, g.num_rows)
+            x, y = least_star(sid, *spanning_pairs(hit, rows, cols, g.num_rows))
             some = links > 0
             yield pa.RecordBatch.from_pydict({
-                "sid": np.concatenate([named[some], sid[x]]), "other": pa.array([None] * int(some.sum()) + sid[y].tolist(), pa.int64()), "links": np.concatenate([links[some], np.zeros(len(x), links.dtype)]).astype(np.int64),
+                "sid": np.concatenate([named[some], x]), "other": pa.array([None] * int(some.sum()) + y.tolist(), pa.int64()), "links": np.concatenate([links[some], np.zeros(len(x), links.dtype)]).astype(np.int64),
             })
 
     return by_group(small.union(large), "task", run, "sid long, other long, links long")
@@ -318,7 +318,7 @@ def join_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     shingled = texts.select("sid", "n", "copies", "comp", "t").mapInArrow(shingle, "sid long, n int, copies long, comp long, s binary")
     found = materialise(verified(materialise(shingled, "shingles")), "links")
-    classes = components(found.where("other is not null").select(F.col("sid").alias("src"), F.col("other").alias("dst")))
+    classes = components(thinned(found.where("other is not null").select(F.col("sid").alias("src"), F.col("other").alias("dst"))))
     links = found.groupBy("sid").agg(F.sum("links").alias("links"))
     known = sets.select("sid", "copies", "key", "f").join(classes.toDF("sid", "comp"), "sid", "left").join(links, "sid", "left")
     known = materialise(known.select("sid", "copies", "key", "f", F.coalesce("comp", "sid").alias("comp"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "known")

@@ -578,6 +578,26 @@ def test_ngram_join(spark, odd_rows, monkeypatch, block):
     assert len(kept) == len(groups) and all(len(r) == 4 and r.rk == "r" for r in kept)
 
 
+def test_links_of_one_class_grow_with_its_sets(spark, monkeypatch):
+    """A class over many trees and blocks: what goes to the components is about one link a set."""
+    monkeypatch.setattr(ngramjoin._blocked, "__defaults__", (8,))
+    docs = frame(spark, list(enumerate(near_copies(81, 100))))
+    table = common.materialise(ngramjoin.signatures(docs).dropDuplicates(["sid"]).select("sid", "n", "sig"), "sets")
+    edges = ngramjoin.candidate_edges(table)[0]
+    assert table.count() == 100 and 99 <= edges.count() <= 150
+    assert Counter(r.component for r in common.components(edges).collect()) == {min(r.sid for r in table.collect()): 100}
+
+
+def test_thinned_links_keep_components(spark):
+    rng = np.random.default_rng(15)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(5, 5), (None, 3), (4, None)]
+    rows = frame(spark, edges, "src long, dst long")
+    thin = common.thinned(rows)
+    assert sorted(map(tuple, common.components(thin).collect())) == sorted(map(tuple, common.components(rows).collect()))
+    src, dst = common.least_star(np.array([7, 3, 9, 1, 4]), np.array([1, 2, 4]), np.array([0, 0, 3]))
+    assert sorted(zip(src.tolist(), dst.tolist(), strict=True)) == [(4, 1), (7, 3), (9, 3)]
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngramjoin.join_documents(frame(spark, [])).count() == 0
     assert ngramjoin.next_depth({}, 8) == 4 and ngramjoin.next_depth({}, 8, 1.1) == 1
