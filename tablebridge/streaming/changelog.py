@@ -7,6 +7,8 @@ another writer appends to it ends with its last whole line.
 
 from __future__ import annotations
 
+import io
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,6 +24,10 @@ from ..session import qualified
 SCHEMA = "file string, pos long, line string"
 #: Bytes of a planned partition, and of a trigger (0: all there is).
 PARTITION_BYTES, TRIGGER_BYTES = 64_000_000, 0
+#: Most partitions of a trigger, or a few more: beyond, each is larger than asked for, since a task costs the driver and Python the same for any size.
+MOST_PARTITIONS = 2_000
+#: Most bytes that a task reads at once; entries and bytes after which it hands on what it has.
+READ_BYTES, BATCH_ROWS, BATCH_BYTES = 1 << 20, 10_000, 8_000_000
 
 
 @dataclass
@@ -62,24 +68,19 @@ class Folder:
         return 0
 
     def lines(self, part: Stretch) -> Iterator[tuple[int, str]]:
-        """(position, entry) of the lines that begin in the stretch; the one it begins within belongs to the stretch before."""
-        with self.fs.open_input_stream(f"{self.root}/{part.file}") as f:
-            at = max(0, part.start - 1)
-            f.seek(at) if f.seekable() else f.read(at)
-            held = b""
-            skip = part.start > 0
-            while at < part.end:
-                block = f.read(1 << 20)
-                if not block:
-                    return
-                held += block
-                *full, held = held.split(b"\n")
-                for line in full:
-                    if not skip and at < part.end:
-                        if line.strip():
-                            yield at, line.decode()
-                    skip = False
-                    at += len(line) + 1
+        """(position, entry) of the lines that begin in the stretch; the one it begins within belongs to the stretch before.
+
+        The file is opened for random access: a stream can only go forward, so all that is before the stretch would be read.
+        """
+        at = max(0, part.start - 1)
+        with self.fs.open_input_file(f"{self.root}/{part.file}") as f, io.BufferedReader(f, min(READ_BYTES, part.end - at + 4096)) as r:
+            r.seek(at)
+            if part.start > 0:
+                at += len(r.readline())
+            while at < part.end and (line := r.readline()).endswith(b"\n"):
+                if line.strip():
+                    yield at, line[:-1].decode()
+                at += len(line)
 
 
 def number(name: str) -> tuple[int, str]:
@@ -129,20 +130,21 @@ class ChangeLogReader(DataSourceStreamReader):
         sizes = Folder(self.uri).sizes()
         if start["file"] and start["file"] not in sizes:
             raise ValueError(f"log file {start['file']} is gone: the stream can't go on at {start['pos']}")
-        out = []
+        spans = []
         for name in sizes:
             if (start["file"] and number(name) < number(start["file"])) or not end["file"] or number(name) > number(end["file"]):
                 continue
             low = start["pos"] if name == start["file"] else 0
             high = end["pos"] if name == end["file"] else sizes[name]
-            out += [Stretch(name, a, min(high, a + self.partition_bytes)) for a in range(low, high, self.partition_bytes)]
-        return out
+            spans.append((name, low, high))
+        step = max(self.partition_bytes, math.ceil(sum(high - low for _, low, high in spans) / MOST_PARTITIONS))
+        return [Stretch(name, a, min(high, a + step)) for name, low, high in spans for a in range(low, high, step)]
 
     def read(self, partition: Stretch) -> Iterator:
         import pyarrow as pa
 
         schema = pa.schema([("file", pa.string()), ("pos", pa.int64()), ("line", pa.string())])
-        places, lines = [], []
+        places, lines, held = [], [], 0
 
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([partition.file] * len(lines), pa.string()), pa.array(places, pa.int64()), pa.array(lines, pa.string())], schema=schema)
@@ -150,9 +152,10 @@ class ChangeLogReader(DataSourceStreamReader):
         for at, line in Folder(self.uri).lines(partition):
             places.append(at)
             lines.append(line)
-            if len(lines) == 10_000:
+            held += len(line)
+            if len(lines) == BATCH_ROWS or held >= BATCH_BYTES:
                 yield batch()
-                places, lines = [], []
+                places, lines, held = [], [], 0
         if lines:
             yield batch()
 
@@ -161,7 +164,7 @@ class ChangeLogReader(DataSourceStreamReader):
 
 
 class ChangeLogSource(DataSource):
-    """Options: ``path``, ``startFile`` and ``startPos``, ``partitionBytes``, ``triggerBytes``."""
+    """Options: ``path``, ``startFile`` and ``startPos``, ``partitionBytes`` (more for a trigger of over MOST_PARTITIONS of them), ``triggerBytes``."""
 
     @classmethod
     def name(cls) -> str:

@@ -2,6 +2,7 @@
 
 import datetime
 import os
+import tracemalloc
 from collections import Counter
 
 import pytest
@@ -101,6 +102,41 @@ def test_triggers_of_limited_size(spark, log):
     assert len(seen) == 40 and n > 4
 
 
+def test_a_stretch_reads_only_itself(tmp_path):
+    begin = 200_000_000
+    with open(f"{tmp_path}/binlog.000001", "wb") as f:  # what is before takes no disk
+        f.seek(begin - 1)
+        f.write(b"\n" + b"".join(b'{"id":%d}\n' % i for i in range(1000)) + b'{"id":1000')
+    end = os.path.getsize(f"{tmp_path}/binlog.000001")
+    tracemalloc.start()
+    got = list(changelog.Folder(f"file://{tmp_path}").lines(changelog.Stretch("binlog.000001", begin, end)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [line for _, line in got] == [f'{{"id":{i}}}' for i in range(1000)] and got[0][0] == begin and most < 4_000_000
+
+
+def test_long_entries_go_on_in_small_batches(tmp_path):
+    with open(f"{tmp_path}/binlog.000001", "w") as f:
+        f.writelines("x" * 200_000 + f"{i}\n" for i in range(200))
+    reader = changelog.ChangeLogReader({"path": f"file://{tmp_path}"})
+    batches = list(reader.read(changelog.Stretch("binlog.000001", 0, os.path.getsize(f"{tmp_path}/binlog.000001"))))
+    assert [line[200_000:] for b in batches for line in b["line"].to_pylist()] == [str(i) for i in range(200)] and max(b.nbytes for b in batches) < 9_000_000
+
+
+def test_partitions_of_a_large_trigger(tmp_path):
+    for i, size in enumerate((3_000_000_000, 0, 1_000_000_001), 1):
+        with open(f"{tmp_path}/binlog.{i:06d}", "wb") as f:
+            f.truncate(size)
+    reader = changelog.ChangeLogReader({"path": f"file://{tmp_path}", "partitionbytes": "200000"})
+    parts = reader.partitions({"file": "binlog.000001", "pos": 7}, {"file": "binlog.000003", "pos": 1_000_000_001})
+    at = {"binlog.000001": 7, "binlog.000003": 0}
+    for p in parts:
+        assert p.start == at[p.file] < p.end
+        at[p.file] = p.end
+    assert at == {"binlog.000001": 3_000_000_000, "binlog.000003": 1_000_000_001} and len(parts) <= changelog.MOST_PARTITIONS + 3
+    assert len(reader.partitions({"file": "binlog.000001", "pos": 0}, {"file": "binlog.000001", "pos": 1_000_000})) == 5
+
+
 def test_stream_of_a_log_with_positions(spark, tmp_path):
     base = spark.range(50).select(F.col("id").alias("k"), F.lit("a").alias("v"))
     store = TableStore(spark, f"file://{tmp_path}/store")
