@@ -150,6 +150,23 @@ def test_stream_of_a_log_with_positions(spark, tmp_path):
     assert store.latest()["position"] == 29 and {r.v: r["count"] for r in store.read("t").groupBy("v").count().collect()} == {"b": 30, "a": 20}
 
 
+def test_stream_from_a_position_far_into_a_file(spark, tmp_path):
+    """Applying begins behind a terabyte (which takes no disk) that no task could hold."""
+    base = spark.range(50).select(F.col("id").alias("k"), F.lit("a").alias("v"))
+    store = TableStore(spark, f"file://{tmp_path}/store")
+    store.commit(store.latest(), {"t": store.stage_buckets("t", base, ["k"], 4)}, -1)
+    schema, begin = streaming.log_schema(base.schema), 1 << 40
+    rows = [r for i in range(30) for r in ((i, 0, "t", "update", (i, "a"), (i, "b"), ""), (i, 1, "", "commit", None, None, ""))]
+    lines = spark.createDataFrame(rows, schema).select(F.to_json(F.struct("*"))).collect()
+    os.mkdir(f"{tmp_path}/log")
+    with open(f"{tmp_path}/log/binlog.000007", "wb") as f:
+        f.seek(begin - 1)
+        f.write(b"\n" + b"".join(r[0].encode() + b"\n" for r in lines))
+    entries = changelog.follow(spark, f"file://{tmp_path}/log", schema, Position("binlog.000007", begin), partitionBytes=900).drop("log_file", "log_pos")
+    streaming.stream(spark, store, entries, schema, {"t": ["k"]}, f"file://{tmp_path}/check").awaitTermination()
+    assert store.latest()["position"] == 29 and {r.v: r["count"] for r in store.read("t").groupBy("v").count().collect()} == {"b": 30, "a": 20}
+
+
 def test_pages_are_written_once(spark, tmp_path):
     path = f"file://{tmp_path}/target"
     df = spark.range(1000).selectExpr("id", "concat('v', id) as v")
